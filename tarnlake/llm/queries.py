@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import simhash_dedup
+from tarnlake.llm import quality_rules, simhash_dedup, source_mixing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_dedup": lambda spark, d: simhash_dedup.op1(_documents(spark, d)),
+    "op2_source_mixing": lambda spark, d: source_mixing.op2(_documents(spark, d)),
+    "op8_quality_rules": lambda spark, d: quality_rules.op8(_documents(spark, d)),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_source_mixing": source_mixing.ORACLE_SQL,
+    "op8_quality_rules": quality_rules.ORACLE_SQL,
+}
