@@ -85,7 +85,8 @@ def _measure(name: str) -> Column:
         "repeat_share": of("n_repeat_words", "n_words"),
         "mean_word_chars": of("word_chars", "n_words"),
         "symbols_per_word": of("n_symbols", "n_words"),
-        "stop_word_share": of("n_stop", "n_words"),
+        # one more than counted, so that a short text is not judged by its luck
+        "stop_word_share": F.when(c["n_words"] > 0, (c["n_stop"] + 1) / c["n_words"]).otherwise(F.lit(0.0)),
         "dup_line_share": of("n_dup_lines", "n_lines"),
         "echo_share": of("n_echo", "n_words"),
         "upper_share": of("n_upper", "word_chars"),
@@ -122,7 +123,7 @@ def _oracle() -> str:
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
     share = {
         "n_words": "n_words", "repeat_share": "n_repeat_words / nullif(n_words, 0)", "mean_word_chars": "word_chars / nullif(n_words, 0)", "symbols_per_word": "n_symbols / nullif(n_words, 0)",
-        "stop_word_share": "n_stop / nullif(n_words, 0)", "dup_line_share": "n_dup_lines / nullif(n_lines, 0)", "echo_share": "n_echo / nullif(n_words, 0)", "upper_share": "n_upper / nullif(word_chars, 0)",
+        "stop_word_share": "(n_stop + 1) / nullif(n_words, 0)", "dup_line_share": "n_dup_lines / nullif(n_lines, 0)", "echo_share": "n_echo / nullif(n_words, 0)", "upper_share": "n_upper / nullif(word_chars, 0)",
     }
     bounds = [f"coalesce({share[k]}, 0) >= {lo}" for k, lo, _ in RULES if lo is not None] + [f"coalesce({share[k]}, 0) <= {hi}" for k, _, hi in RULES if hi is not None]
     return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import quality_rules, simhash_dedup, source_mixing
+from tarnlake.llm import license_scan, quality_rules, secret_scan, simhash_dedup, source_mixing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,10 +14,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_dedup": lambda spark, d: simhash_dedup.op1(_documents(spark, d)),
     "op2_source_mixing": lambda spark, d: source_mixing.op2(_documents(spark, d)),
+    "op4_license_scan": lambda spark, d: license_scan.op4(_documents(spark, d)),
+    "op6_secret_scan": lambda spark, d: secret_scan.op6(_documents(spark, d)),
     "op8_quality_rules": lambda spark, d: quality_rules.op8(_documents(spark, d)),
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_source_mixing": source_mixing.ORACLE_SQL,
+    "op4_license_scan": license_scan.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
 }
