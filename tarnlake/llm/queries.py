@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import digest, license_scan, packing, quality_rules, secret_scan, simhash_dedup, source_mixing
+from tarnlake.llm import digest, license_scan, packing, pii_crf, quality_rules, secret_scan, simhash_dedup, source_mixing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +14,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_dedup": lambda spark, d: simhash_dedup.op1(_documents(spark, d)),
     "op2_source_mixing": lambda spark, d: source_mixing.op2(_documents(spark, d)),
+    "op3_pii_crf": lambda spark, d: pii_crf.op3(_documents(spark, d)),
     "op4_license_scan": lambda spark, d: license_scan.op4(_documents(spark, d)),
     "op5_digest": lambda spark, d: digest.op5(_documents(spark, d)),
     "op6_secret_scan": lambda spark, d: secret_scan.op6(_documents(spark, d)),
