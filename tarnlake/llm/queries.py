@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnlake.llm import digest, license_scan, packing, pii_crf, quality_rules, secret_scan, simhash_dedup, source_mixing
+from tarnlake.llm import digest, html_blocks, license_scan, packing, pii_crf, pitman_yor, quality_rules, secret_scan, simhash_dedup, source_mixing
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,8 @@ QUERIES = {
     "op6_secret_scan": lambda spark, d: secret_scan.op6(_documents(spark, d)),
     "op7_packing": lambda spark, d: packing.op7(_documents(spark, d)),
     "op8_quality_rules": lambda spark, d: quality_rules.op8(_documents(spark, d)),
+    "op9_html_blocks": lambda spark, d: html_blocks.op9(spark.read.parquet(f"{d}/pages.parquet")),
+    "op10_pitman_yor": lambda spark, d: pitman_yor.op10(_documents(spark, d)),
 }
 
 ORACLE_SQL: dict[str, str] = {
