@@ -20,9 +20,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnlake.llm.components import connected_components
 from tarnlake.llm.shared import LOWER, mix, raw, stage
+from tarnlake.llm.words import runs_of, words_of
 
 SEED = 42
 MAX_BITS = 4
@@ -30,6 +32,9 @@ MAX_BITS = 4
 SEGMENTS = (11, 11, 11, 11, 10, 10)
 PIVOTS = 24
 BLOCK = 1024
+#: deduplicate(): fingerprints of each text's distinct words, words of a shingle, least similarity, and shingles of a sketch.
+VIEWS = 6
+SHINGLE, SIMILAR, SKETCH = 5, 0.8, 192
 
 _shift = np.cumsum([0, *SEGMENTS[:-1]]).astype(np.uint64)
 _mask = np.array([(1 << n) - 1 for n in SEGMENTS], np.uint64) << _shift
@@ -165,10 +170,14 @@ def links(reps: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Buckets of one row are dropped at once; larger ones than `block` are dealt out as pairs of blocks.
     """
-    bands = reps.select("rep", "fp").mapInArrow(_band, "key long, rep long, fp long")
+    return linked(reps.select("rep", "fp").mapInArrow(_band, "key long, rep long, fp long"), block)
+
+
+def linked(bands: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links within the buckets of (key, rep, fp) rows."""
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / F.lit(block)).cast("long")
-    own = F.pmod(F.xxhash64("fp"), parts)
+    own = F.pmod(F.xxhash64("rep"), parts)
     dealt = (
         bands.join(sizes, "key")
         .select("key", "rep", "fp", own.alias("own"), parts.alias("parts"))
@@ -202,3 +211,101 @@ def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
 def op1(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, fingerprint (16 hex digits), component_id, and n_links."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+def _classes(h: np.ndarray, counts: np.ndarray) -> list[int]:
+    """A hash of each text's word sequence."""
+    ends = np.cumsum(counts)
+    place = np.arange(len(h)) - np.repeat(ends - counts, counts)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * (mix((place + 1).astype(np.uint64)) | np.uint64(1)), dtype=np.uint64)))
+    return mix(sums[ends] - sums[ends - counts]).tolist()
+
+
+def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text: a hash of its word sequence, VIEWS fingerprints of its distinct words, and the least hashes of its shingles."""
+    seeds = mix(np.arange(1, VIEWS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+    for b in batches:
+        cls, fps, sketch = [], [], []
+        for _, h, counts in runs_of(raw(b.column(1))):
+            cls += _classes(h, counts)
+            at = np.concatenate(([0], np.cumsum(counts)))
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                w = h[lo:hi]
+                own = np.unique(w)
+                fps.append(np.array([simhash(mix(own ^ s)) for s in seeds], np.uint64))
+                run = w[: max(1, len(w) - SHINGLE + 1)].copy()
+                for k in range(1, min(SHINGLE, len(w))):
+                    run = mix(run) + w[k : k + len(run)]
+                sketch.append(np.unique(mix(run))[:SKETCH].tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array([f.tobytes() for f in fps], pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "cls", "fps", "sketch"]
+        )
+
+
+def _band_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 2048):
+            rep = b.column(0).slice(at, 2048).to_numpy()
+            fps = np.frombuffer(b"".join(b.column(1).slice(at, 2048).to_pylist()), np.uint64).reshape(-1, VIEWS)
+            for v in range(VIEWS):
+                keys = mix(bucket_keys(coordinates(fps[:, v])) + np.uint64(v))
+                n = keys.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(rep, n)), pa.array(np.repeat(fps[:, v], n).view(np.int64))], ["key", "rep", "fp"])
+
+
+def resemblance(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets: exact while both fit their sketches, else estimated from the least SKETCH hashes of their union."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    least = np.union1d(x, y)
+    if max(len(x), len(y)) >= SKETCH:
+        least = least[:SKETCH]
+    return float(np.isin(least, x).astype(int) @ np.isin(least, y).astype(int)) / max(1, len(least))
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = [resemblance(x, y) >= SIMILAR for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def keepers(docs: DataFrame) -> DataFrame:
+    """(doc_id, cls): of each group of near-duplicates the row that stays, the one of the least doc_id (null last).
+
+    Candidates differ in at most four bits in one of VIEWS fingerprints of their distinct words, and are linked if
+    the sets of their five-word shingles have a Jaccard similarity of SIMILAR or more. Texts of the same words are one class.
+    """
+    marks = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_views, "doc_id long, cls long, fps binary, sketch binary"), "views")
+    classes = marks.groupBy("cls").agg(F.min("doc_id").alias("least"))
+    # fingerprints and sketches depend on the class alone: those of the row with the least id stand for it
+    own = (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("least"))
+    reps = stage(marks.join(classes.withColumnRenamed("cls", "c"), own).dropDuplicates(["cls"]).select("cls", "least", "fps", "sketch"), "reps")
+    pairs = linked(reps.select("cls", "fps").mapInArrow(_band_views, "key long, rep long, fp long")).distinct()
+    side = lambda name: reps.select(F.col("cls").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+    found = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_similar, "a long, b long")
+    component = connected_components(found)
+    named = reps.select("cls", "least").join(component, F.col("cls") == F.col("id"), "left")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cls")).alias("x")
+    return named.groupBy(F.coalesce("component", "cls").alias("group")).agg(first).select(F.col("x.least").alias("keep_id"), F.col("x.cls").alias("keep_cls"))
+
+
+def _with_class(at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cls = np.array([c for _, h, counts in runs_of(raw(b.column(at))) for c in _classes(h, counts)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cls.view(np.int64))], [*b.schema.names, "__cls"])
+
+    return run
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates, with the columns of docs.
+
+    It is the row of the least doc_id; of repeated rows of that id and text one stays. Null and empty texts have the
+    same (no) words and are one group; rows without an id stay only if their whole group has none. An empty table
+    gives an empty table. Texts move once, by doc_id.
+    """
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("__cls", T.LongType())])
+    marked = docs.mapInArrow(_with_class(names.index("text")), schema)
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__cls") == F.col("keep_cls"))
+    return marked.join(stage(keepers(docs), "keepers"), same, "left_semi").dropDuplicates(["doc_id", "__cls"]).select(*names)

@@ -102,17 +102,18 @@ def _drawn(planned: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, u): the words of each text (null: none) and the id's uniform number."""
+    """(doc_id, source, size, u, __text): the words of each text (null: none) the id's uniform number, and a hash of the text."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         _uniform(F.col("doc_id")).alias("u"),
+        F.xxhash64("text").alias("__text"),
     )
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) of every row of docs.
+    """(doc_id, source, __text, size, source_size, target, copies, taken) of every row of docs.
 
     A null text has no words, a null source is a source of its own (last), a null doc_id ranks like a fixed id;
     repeated rows are ranked one by one; rows without words have copies but take no words. Sources of no words
@@ -123,11 +124,24 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     edge, drawn = _drawn(planned)
     rest = planned.join(edge, F.col("source").eqNullSafe(F.col("of")), "left")
     extra = F.when((F.col("p") > 0) & (F.col("edge").isNull() | (F.col("bin") < F.col("edge"))), 1).otherwise(0)
-    keep = ["doc_id", "size", "source_size", "target", "certain"]
+    keep = ["doc_id", "source", "__text", "size", "source_size", "target", "certain"]
     others = rest.where("not coalesce(p > 0 and bin = edge, false)").withColumn("extra", extra)
     out = others.select(*keep, "extra").unionByName(drawn.select(*keep, "extra"))
     copies = F.col("certain") + F.col("extra")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "__text", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def take_mix(docs: DataFrame) -> DataFrame:
+    """docs with each row as often as the mix takes it (not at all, once, or up to MAX_COPIES times), with the columns of docs.
+
+    Rows equal in doc_id, source and text share their copies. Texts move once.
+    """
+    names = docs.columns
+    plan = mix_sources(docs).groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__text").alias("__t")).agg(F.sum("copies").alias("__n")).where("__n > 0")
+    marked = docs.withColumn("__text", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & F.col("__text").eqNullSafe(F.col("__t"))
+    once = marked.join(plan, same).dropDuplicates(["__d", "__s", "__t"])
+    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*names)
 
 
 def op2(docs: DataFrame) -> DataFrame:
