@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm.shared import raw, stage
+from tarnlake.llm.words import located
 
 LENGTH = 2048
 END = 1
@@ -24,54 +25,77 @@ END = 1
 GROUP = 8192
 #: Words whose ids a worker remembers, at most; then it starts anew.
 REMEMBER = 1 << 20
-CHUNK = 1 << 20
-_LONG_WORD = 64
-
-
-class _Words(dict):
-    """Numbers of words in order of first sight; `new` has those whose ids are yet unknown."""
-
-    def __init__(self) -> None:
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
+CHUNK = 1 << 21
+_BETWEEN, _JOINED = "\x01", 2000
 
 
 class Tokenized:
-    """Ids of whole texts. White space always ends a token of this tokenizer, so a word's ids don't depend on its neighbours and can be remembered."""
+    """Ids of whole texts. White space always ends a token of this tokenizer and letters become small, so a word's ids
+    don't depend on its neighbours or on A-Z, and are remembered under the 64-bit hash of the lower-cased word."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids[0]
         self._forget()
 
     def _forget(self) -> None:
-        self.words = _Words()
-        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self) -> None:
-        new, self.words.new = self.words.new, []
-        parts = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.length = np.concatenate([self.length, sizes])
-        self.flat = np.concatenate([self.flat, *parts])
+        self.index: dict[int, int] = {}
+        self.n_flat, self.flat = 0, np.zeros(1 << 16, np.uint32)
+        self.n_known, self.start, self.length = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and each one's number of ids.
+
+        Many words are encoded as one text, with a word of a control character between them, whose one id tells them apart.
+        """
+        if len(words) == 1:
+            parts = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *parts]), np.fromiter(map(len, parts), np.int64, len(parts))
+        joined = [f" {_BETWEEN} ".join(words[at : at + _JOINED]) + f" {_BETWEEN}" for at in range(0, len(words), _JOINED)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        between = ids == self.between
+        ends = np.flatnonzero(between)
+        assert len(ends) == len(words)
+        return ids[~between], np.diff(ends, prepend=-1) - 1
+
+    def _learn(self, words: list[str]) -> None:
+        # a word that has the control character itself is encoded alone, and so, to keep their order, are the others new with it
+        for part in [[w] for w in words] if any(_BETWEEN in w for w in words) else [words]:
+            ids, sizes = self._encoded(part)
+            self.flat = self._put(self.flat, self.n_flat, ids)
+            self.start = self._put(self.start, self.n_known, self.n_flat + np.cumsum(sizes) - sizes)
+            self.length = self._put(self.length, self.n_known, sizes)
+            self.n_flat, self.n_known = self.n_flat + len(ids), self.n_known + len(sizes)
+
+    @staticmethod
+    def _put(to: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+        """values written from `at` on, in an array twice as long if need be."""
+        if at + len(values) > len(to):
+            to = np.concatenate([to, np.zeros(max(len(to), len(values)), to.dtype)])
+        to[at : at + len(values)] = values
+        return to
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, END last."""
-        if len(self.words) > REMEMBER:
+        if len(self.index) > REMEMBER:
             self._forget()
-        split = [t.split() for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((n for words in split for n in map(self.words.__getitem__, words)), np.int64, int(counts.sum()))
-        if self.words.new:
-            self._learn()
-        sizes = self.length[at]
+        data, begin, end, h, counts = located(texts)
+        order = np.argsort(h)
+        ranked = h[order]
+        fresh = np.concatenate((np.ones(min(1, len(h)), bool), ranked[1:] != ranked[:-1]))
+        own, where = ranked[fresh].tolist(), order[fresh]
+        number = np.fromiter((self.index.get(x, -1) for x in own), np.int64, len(own))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = np.arange(self.n_known, self.n_known + len(new))
+            self.index.update((own[i], n) for i, n in zip(new.tolist(), number[new].tolist(), strict=True))
+            self._learn([data[a:b].decode("utf-8", "replace") for a, b in zip(begin[where[new]].tolist(), end[where[new]].tolist(), strict=True)])
+        at = np.empty(len(h), np.int64)
+        at[order] = number[np.cumsum(fresh) - 1]
+        sizes = self.length[at].astype(np.int64)
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(total)]

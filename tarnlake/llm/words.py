@@ -27,7 +27,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words of all texts, in order, and the number of words of each text."""
-    data = np.frombuffer(b"\n".join(texts).translate(LOWER), np.uint8)
+    return located(texts)[3:]
+
+
+def located(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased texts joined by newlines, start and end of every word in them, the words' hashes, and the number of words of each text."""
+    joined = b"\n".join(texts).translate(LOWER)
+    data = np.frombuffer(joined, np.uint8)
     up, down = _power(len(data) + 1)
     inside = np.concatenate(([False], ~_space[data], [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
@@ -35,7 +41,7 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_byte[data] * up[: len(data)], dtype=np.uint64)))
     h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return h, np.diff(np.searchsorted(start, begins))
+    return joined, start, end, h, np.diff(np.searchsorted(start, begins))
 
 
 def runs_of(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
