@@ -33,7 +33,7 @@ SEGMENTS = (11, 11, 11, 11, 10, 10)
 PIVOTS = 24
 BLOCK = 1024
 #: deduplicate(): fingerprints of each text's distinct words, words of a shingle, least similarity, and shingles of a sketch.
-VIEWS = 6
+VIEWS = 5
 SHINGLE, SIMILAR, SKETCH = 5, 0.8, 192
 
 _shift = np.cumsum([0, *SEGMENTS[:-1]]).astype(np.uint64)
@@ -236,7 +236,7 @@ def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 run = w[: max(1, len(w) - SHINGLE + 1)].copy()
                 for k in range(1, min(SHINGLE, len(w))):
                     run = mix(run) + w[k : k + len(run)]
-                sketch.append(np.unique(mix(run))[:SKETCH].tobytes())
+                sketch.append(np.unique((mix(run) >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array([f.tobytes() for f in fps], pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "cls", "fps", "sketch"]
         )
@@ -255,7 +255,7 @@ def _band_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def resemblance(a: bytes, b: bytes) -> float:
     """Jaccard similarity of two shingle sets: exact while both fit their sketches, else estimated from the least SKETCH hashes of their union."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     least = np.union1d(x, y)
     if max(len(x), len(y)) >= SKETCH:
         least = least[:SKETCH]
