@@ -23,7 +23,7 @@ LENGTH = 2048
 END = 1
 #: Pieces of a group, about.
 GROUP = 8192
-#: Words whose ids a worker remembers, at most; then it starts anew.
+#: Words whose ids a worker remembers: the first so many, the frequent ones among them. Others are encoded where they stand.
 REMEMBER = 1 << 20
 CHUNK = 1 << 21
 _BETWEEN, _JOINED = "\x01", 2000
@@ -39,9 +39,6 @@ class Tokenized:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids[0]
-        self._forget()
-
-    def _forget(self) -> None:
         self.index: dict[int, int] = {}
         self.n_flat, self.flat = 0, np.zeros(1 << 16, np.uint32)
         self.n_known, self.start, self.length = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
@@ -80,8 +77,7 @@ class Tokenized:
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, END last."""
-        if len(self.index) > REMEMBER:
-            self._forget()
+        full, known = len(self.index) >= REMEMBER, (self.n_flat, self.n_known)
         data, begin, end, h, counts = located(texts)
         order = np.argsort(h)
         ranked = h[order]
@@ -91,7 +87,8 @@ class Tokenized:
         new = np.flatnonzero(number < 0)
         if len(new):
             number[new] = np.arange(self.n_known, self.n_known + len(new))
-            self.index.update((own[i], n) for i, n in zip(new.tolist(), number[new].tolist(), strict=True))
+            if not full:
+                self.index.update((own[i], n) for i, n in zip(new.tolist(), number[new].tolist(), strict=True))
             self._learn([data[a:b].decode("utf-8", "replace") for a, b in zip(begin[where[new]].tolist(), end[where[new]].tolist(), strict=True)])
         at = np.empty(len(h), np.int64)
         at[order] = number[np.cumsum(fresh) - 1]
@@ -99,6 +96,8 @@ class Tokenized:
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.flat[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(total)]
+        if full:
+            self.n_flat, self.n_known = known
         bounds = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
         return [np.append(flat[a:b], np.uint32(END)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
