@@ -1,0 +1,66 @@
+"""Ledger merges, capture plans and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """new rows, and the old ones whose key isn't among them; a column that new lacks is null in its rows."""
+    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def merge_sessions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """By uuid: facets of new where known, else of old; first_seen of old, last_archived of new."""
+    o, n = old.select([F.col(c).alias(f"o_{c}") for c in old.columns]), new
+    both = n.join(o, n.uuid == F.col("o_uuid"), "full")
+    newer = lambda c: F.coalesce(c, f"o_{c}").alias(c)
+    return both.select(newer("uuid"), newer("git_branch"), F.coalesce("o_first_seen", "first_seen").alias("first_seen"), newer("last_archived"))
+
+
+def capture_plan(current: DataFrame, prior: DataFrame) -> DataFrame:
+    """(path, plan, start, end): what to capture of appendable files up to their last newline.
+
+    Skip if the captured beginning is unchanged and nothing whole follows, tail from the captured end if it is
+    unchanged, else full. `current` has (path, content binary), `prior` (path, offset, sha256).
+    """
+    c = current.withColumn("end", F.expr("octet_length(content) - instr(reverse(decode(content, 'ISO-8859-1')), '\n') + 1")).withColumn("end", F.when(F.expr("instr(decode(content, 'ISO-8859-1'), '\n') = 0"), 0).otherwise(F.col("end")))
+    x = c.join(prior.withColumnRenamed("path", "p"), F.col("path") == F.col("p"), "left")
+    same = (F.col("offset") <= F.octet_length("content")) & (F.sha2(F.expr("substr(content, 1, offset)"), 256) == F.col("sha256"))
+    plan = F.when(F.coalesce(same, F.lit(False)), F.when(F.col("end") <= F.col("offset"), "skip").otherwise("tail")).otherwise("full")
+    return x.select("path", plan.alias("plan"), F.when(plan == "full", 0).otherwise(F.col("offset")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+def changed(candidates: DataFrame, watermark: DataFrame) -> DataFrame:
+    """Candidates (source_path, source_sha256, ...) whose content the watermark doesn't have."""
+    return candidates.join(watermark.select("source_path", "source_sha256"), ["source_path", "source_sha256"], "left_anti")
+
+
+def status(sessions: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """One row of counts; zeros for empty tables."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    a = artifacts.agg(F.count("*").alias("artifacts"), total("redacted").alias("redacted"), total("quarantined").alias("quarantined"), F.count_if(F.col("verified_at").isNull()).alias("unverified"), total("source_bytes").alias("bytes"))
+    return sessions.agg(F.count("*").alias("sessions")).join(a)
+
+
+def secrets_report(found: DataFrame, artifacts: DataFrame, least: str = "low") -> DataFrame:
+    """Findings of a severity or more with their artifacts; `by_text` orders severities as text (med, low, high), `by_grade` by grade."""
+    grades = ["low", "med", "high"]
+    grade = lambda c: F.array_position(F.array(*map(F.lit, grades)), c).cast("long")
+    x = found.where(F.col("severity").isin(grades[grades.index(least):])).join(artifacts.select("id", "session_uuid", "source_path"), "id")
+    return x.select("id", "session_uuid", "source_path", "kind", "severity", "sha8", "action", grade(F.col("severity")).alias("grade")).orderBy(F.desc("severity"), "session_uuid", "id", "sha8")
+
+
+def store_key(slug: Column, uuid: Column) -> Column:
+    """slug--uuid; its hexadecimal form if a part has a slash or begins with an underscore; a digest if that is longer than 255 bytes."""
+    plain = F.concat(slug, F.lit("--"), uuid)
+    coded = F.concat(F.lit("_hex--"), F.lower(F.hex(slug)), F.lit("--"), F.lower(F.hex(uuid)))
+    key = F.when(plain.rlike("/|^_"), coded).otherwise(plain)
+    return F.when(F.octet_length(key) > 255, F.concat(F.lit("_h256--"), F.sha2(F.concat(slug, F.lit("\0"), uuid), 256))).otherwise(key)
+
+
+def shapes(paths: DataFrame) -> DataFrame:
+    """(shape, n, bytes, example) of (path, bytes): numbers and long hexadecimal parts of a path become templates."""
+    parts = F.transform(F.split("path", "/"), lambda p: F.when(p.rlike("^[0-9a-f-]{32,}$"), "<uuid>").when(p.rlike("^[0-9]+([.?#].*)?$"), "<n>").otherwise(p))
+    return paths.select("*", F.array_join(parts, "/").alias("shape")).groupBy("shape").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("path").alias("example"))

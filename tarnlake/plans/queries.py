@@ -1,0 +1,460 @@
+"""The registered queries of the session model, each with SQL over the same tables where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnlake.operators import ledger, retention, scanning, search, transcripts
+from tarnlake.sources import tables as t
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query, and SQL that follows the common relations of tables.SQL."""
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = f"WITH {t.SQL}{sql if sql.startswith(',') else ' ' + sql}"
+        return f
+
+    return add
+
+
+# --- search and read ---------------------------------------------------------------------------------------
+
+_RECENT = "SELECT entry_uuid, session_uuid, role, timestamp, substr(text, 1, 200) AS snippet, 0.0::DOUBLE AS rank FROM entries WHERE {} ORDER BY timestamp DESC NULLS LAST, entry_uuid LIMIT {}"
+
+
+def _search(name: str, text: str, where: str, limit: int = 20, **named: str) -> None:
+    query(name, _RECENT.format(where, limit))(lambda s, d: search.recent(t.entries(s, d), search.parse(text, **named), limit))
+
+
+_search("search_metadata_recent", "", "true")
+_search("search_facets", "project:proj-3 role:assistant", "project_slug = 'proj-3' AND role = 'assistant'", 50)
+_search("search_facet_tool", "tool:Read agent:main", "tool_name = 'Read' AND agent = 'main'", 50)
+_search("search_facet_branch_cwd", "branch:main cwd:/w/1", "git_branch = 'main' AND cwd = '/w/1'", 50)
+_search("search_inline_loses_to_named", "role:user session:conv-4", "role = 'assistant' AND session_uuid = 'conv-4'", role="assistant")
+_search("search_time_range", "since:2024-01-02 until:2024-01-03", "timestamp >= '2024-01-02' AND timestamp < '2024-01-03'", 100)
+_search("search_on_date", "since:2024-01-09", "timestamp >= '2024-01-02' AND timestamp < '2024-01-03'", 100, on="2024-01-02")
+
+_NORMAL = f"""' ' || trim(regexp_replace(translate(lower(text), '{search.FOLD[0]}', '{search.FOLD[1]}'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"""
+
+
+def _ranked(phrases: list[str], where: str = "true") -> str:
+    tf = ", ".join(f"len(regexp_extract_all(replace(norm, ' ', '  '), ' {p.replace(' ', '  ')} '))::DOUBLE AS tf{i}" for i, p in enumerate(phrases))
+    score = " + ".join(
+        f"(CASE WHEN ln((n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) > 0 THEN ln((n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) ELSE 1e-6 END) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))"
+        for i in range(len(phrases))
+    )
+    return f""", n0 AS (SELECT *, {_NORMAL} AS norm FROM entries), n1 AS (SELECT *, CASE WHEN length(norm) <= 2 THEN 0 ELSE length(norm) - length(replace(norm, ' ', '')) - 1 END::DOUBLE AS dl, {tf} FROM n0),
+ st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(phrases)))} FROM n1)
+ SELECT entry_uuid, session_uuid, round(-({score}), 9) AS rank FROM n1, st WHERE {" AND ".join(f"tf{i} > 0" for i in range(len(phrases)))} AND {where}"""
+
+
+@query("search_bm25_single", _ranked(["than"]))
+def _(s, d):
+    return search.bm25(t.entries(s, d), search.parse("than"))
+
+
+@query("search_bm25_and", _ranked(["the", "er"]))
+def _(s, d):
+    return search.bm25(t.entries(s, d), search.parse("the er"))
+
+
+@query("search_bm25_faceted", _ranked(["etion"], "role = 'user'"))
+def _(s, d):
+    return search.bm25(t.entries(s, d), search.parse("étion role:user"))
+
+
+@query("search_phrase", _ranked(["of the"]))
+def _(s, d):
+    return search.bm25(t.entries(s, d), search.parse("of:the"))
+
+
+@query("search_trigram_substring", "SELECT entry_uuid, session_uuid FROM entries WHERE contains(lower(text), 'tion')")
+def _(s, d):
+    return search.contains_trigrams(t.entries(s, d), "Tion")
+
+
+@query("search_snippet")
+def _(s, d):
+    return search.snippet(t.entries(s, d), "the")
+
+
+_THREAD = "SELECT entry_uuid, parent_uuid, role, agent, tool_name, timestamp, seq, text FROM entries WHERE session_uuid = '{}'"
+
+
+@query("read_session", _THREAD.format("conv-3") + " AND agent = 'main'")
+def _(s, d):
+    return search.thread(t.entries(s, d), "conv-3")
+
+
+@query("read_session_agents", _THREAD.format("conv-5"))
+def _(s, d):
+    return search.thread(t.entries(s, d), "conv-5", agents=True)
+
+
+@query("read_entry", _THREAD.format("conv-3") + " AND entry_uuid = '3:1'")
+def _(s, d):
+    return search.thread(t.entries(s, d), "conv-3", agents=True).where("entry_uuid = '3:1'")
+
+
+@query("read_grep", _THREAD.format("conv-1") + " AND contains(text, 'in')")
+def _(s, d):
+    return search.thread(t.entries(s, d), "conv-1", agents=True, grep="in")
+
+
+# --- transcripts -------------------------------------------------------------------------------------------
+
+_LINES = """, l AS (SELECT *, seq % 11 = 10 AS cut, tool_name IS NOT NULL AS calls, role = 'user' AND seq % 2 = 0 AND seq > 0 AS answers FROM entries),
+ p AS (SELECT artifact_id AS artifact, seq, entry_uuid, CASE WHEN answers THEN 'tool_result' ELSE role END AS role, CASE WHEN calls THEN '$' || tool_name || ' ' || substr(text, 1, 40) ELSE text END AS text,
+   CASE WHEN calls THEN tool_name WHEN answers THEN (SELECT c.tool_name FROM l c WHERE c.artifact_id = l.artifact_id AND c.seq = l.seq - 1 AND NOT c.cut AND c.calls) END AS tool_name FROM l WHERE NOT cut AND trim(text) <> '')"""
+
+
+def _values(s: SparkSession, d: str) -> DataFrame:
+    return transcripts.parsed(transcripts.lines(transcripts.as_transcripts(t.entries(s, d))))
+
+
+@query("jsonl_parse_entries", f"{_LINES} SELECT artifact, seq, entry_uuid, role, text, tool_name FROM p")
+def _(s, d):
+    return transcripts.parsed_entries(_values(s, d))
+
+
+@query("jsonl_tool_names", f"{_LINES} SELECT role, tool_name, count(*) AS n FROM p WHERE tool_name IS NOT NULL GROUP BY ALL")
+def _(s, d):
+    return transcripts.parsed_entries(_values(s, d)).where("tool_name is not null").groupBy("role", "tool_name").agg(F.count("*").alias("n"))
+
+
+@query("jsonl_skipped_count", "SELECT artifact_id AS artifact, count(*) FILTER (seq % 11 = 10) AS skipped, count(*) AS lines FROM entries GROUP BY 1")
+def _(s, d):
+    return _values(s, d).groupBy("artifact").agg(F.count_if("malformed").alias("skipped"), F.count("*").alias("lines"))
+
+
+@query("transcript_header", "SELECT artifact_id AS artifact, arg_min(cwd, seq) AS cwd, arg_min(git_branch, seq) AS branch, arg_min(timestamp, seq) AS first_seen, arg_max(timestamp, seq) AS last_seen, count(*) AS n_lines FROM entries WHERE seq % 11 <> 10 GROUP BY 1")
+def _(s, d):
+    return transcripts.header(_values(s, d))
+
+
+# --- scan --------------------------------------------------------------------------------------------------
+
+#: Keys made from ids, so that several detectors have something to find; put together when the query runs.
+_PLANT = [("AK", "IA", 16, True), ("gh", "p_", 36, False), ("xox", "b-", 20, False), ("np", "m_", 40, False)]
+
+
+def _planted(s: SparkSession, d: str) -> DataFrame:
+    x = t.table(s, d, "documents")
+    key = F.sha2(F.col("doc_id").cast("string"), 256)
+    forms = [F.concat(F.lit(a + b), F.upper(F.substring(key, 1, n)) if up else F.substring(key, 1, n)) for a, b, n, up in _PLANT]
+    return x.select(F.col("doc_id").alias("id"), F.concat(F.lit("key "), F.get(F.array(*forms), (F.col("doc_id") % 4).cast("int")), F.lit(" \n"), "text").alias("text"))
+
+
+_PLANT_SQL = ", ".join(f"'{a}' || '{b}' || {'upper' if up else ''}(substr(sha256(doc_id::VARCHAR), 1, {n}))" for a, b, n, up in _PLANT)
+_KINDS = [k for k, _, _ in scanning.DETECTORS]
+_FOUND = f""", planted AS (SELECT doc_id AS id, 'key ' || [{_PLANT_SQL}][(doc_id % 4) + 1] || ' ' || chr(10) || text AS text FROM documents),
+ entropy AS (SELECT id, unnest(regexp_extract_all(text, $${scanning.DETECTORS[17][2]}$$)) AS found FROM planted),
+ f AS (SELECT id, ['aws-key', 'github-token', 'slack-token', 'npm-token'][(id % 4) + 1] AS kind, 'high' AS severity, 'quarantine' AS action, 4 AS pos, [{_PLANT_SQL.replace("doc_id", "id")}][(id % 4) + 1] AS found FROM planted
+   UNION ALL SELECT e.id, 'generic-entropy', 'med', 'redact', octet_length(encode(split_part(text, found, 1))), found FROM entropy e JOIN planted p ON p.id = e.id)"""
+
+
+@query("scan_findings", f"{_FOUND} SELECT id, kind, severity, substr(sha256(found), 1, 8) AS sha8, action, pos::BIGINT AS span_start, octet_length(encode(found))::BIGINT AS span_len FROM f")
+def _(s, d):
+    return scanning.findings(scanning.scanned(_planted(s, d)))
+
+
+@query("scan_findings_by_kind", f"{_FOUND} SELECT kind, severity, count(*) AS n FROM f GROUP BY ALL")
+def _(s, d):
+    return scanning.findings(scanning.scanned(_planted(s, d))).groupBy("kind", "severity").agg(F.count("*").alias("n"))
+
+
+_PLACE = "'‹REDACTED:' || kind || ':' || substr(sha256(found), 1, 8) || '›'"
+
+
+@query("scan_redacted_text", f"""{_FOUND}, once AS (SELECT id, any_value(found) FILTER (kind = 'generic-entropy') AS e, any_value({_PLACE}) FILTER (kind = 'generic-entropy') AS ep, any_value(found) FILTER (kind <> 'generic-entropy') AS k, any_value({_PLACE}) FILTER (kind <> 'generic-entropy') AS kp FROM f GROUP BY id)
+ SELECT p.id, replace(replace(text, k, kp), coalesce(e, k), coalesce(ep, kp)) AS redacted FROM planted p JOIN once USING (id)""")
+def _(s, d):
+    return scanning.scanned(_planted(s, d)).select("id", "redacted")
+
+
+@query("scan_tally", f"{_FOUND} SELECT id, count(*) AS n_findings, count(*) AS n_redacted, 0::BIGINT AS n_flagged, count(*) FILTER (action = 'quarantine') AS n_quarantined, true AS needs_quarantine FROM f GROUP BY id")
+def _(s, d):
+    return scanning.tally(scanning.scanned(_planted(s, d)))
+
+
+@query("scan_allowlist", f"{_FOUND} SELECT kind, CASE WHEN kind = 'npm-token' THEN 'allowed' ELSE action END AS action, count(*) AS n FROM f GROUP BY ALL")
+def _(s, d):
+    return scanning.findings(scanning.scanned(_planted(s, d), ["^npm_", "(broken"])).groupBy("kind", "action").agg(F.count("*").alias("n"))
+
+
+_FORGED = "SELECT doc_id AS id, CASE WHEN doc_id % 9 = 0 THEN '‹REDACTED:aws-key:00000000› ' WHEN doc_id % 9 = 1 THEN '‹QUARANTINED:x:0› ' ELSE '' END || text AS text FROM documents"
+
+
+def _forged(s: SparkSession, d: str) -> DataFrame:
+    x = t.table(s, d, "documents")
+    mark = F.when(F.col("doc_id") % 9 == 0, "‹REDACTED:aws-key:00000000› ").when(F.col("doc_id") % 9 == 1, "‹QUARANTINED:x:0› ").otherwise("")
+    return x.select(F.col("doc_id").alias("id"), F.concat(mark, "text").alias("text"))
+
+
+@query("scan_defang", f", x AS ({_FORGED}) SELECT id, replace(replace(text, '‹REDACTED:', '<REDACTED:'), '‹QUARANTINED:', '<QUARANTINED:') AS text, contains(text, '‹REDACTED:') OR contains(text, '‹QUARANTINED:') AS forged FROM x")
+def _(s, d):
+    return scanning.defanged(_forged(s, d))
+
+
+@query("scan_has_redaction_truncate", f", x AS ({_FORGED}), y AS (SELECT id, repeat(text, 1 + (id % 50)) AS text FROM x) SELECT id, CASE WHEN length(text) > 262144 THEN left(text, 262144) || '…[truncated]' ELSE text END AS text, contains(text, '‹REDACTED:') OR contains(text, '‹QUARANTINED:') AS has_redaction FROM y")
+def _(s, d):
+    return scanning.indexed_text(_forged(s, d).select("id", F.repeat("text", (1 + F.col("id") % 50).cast("int")).alias("text")))
+
+
+@query("scan_jsonl_gate", "SELECT artifact_id AS artifact, bool_or(seq % 11 = 10) AS quarantined FROM entries GROUP BY 1")
+def _(s, d):
+    return _values(s, d).groupBy("artifact").agg(F.bool_or("malformed").alias("quarantined"))
+
+
+@query("scan_hidden_secret", "SELECT doc_id AS id, doc_id % 6 = 0 AS hidden FROM documents")
+def _(s, d):
+    x = t.table(s, d, "documents")
+    split = F.concat(F.lit(" AK\\u0049A"), F.upper(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 16)), F.lit(" "))
+    return scanning.hidden_secrets(x.select(F.col("doc_id").alias("id"), F.concat("text", F.when(F.col("doc_id") % 6 == 0, split).otherwise("")).alias("text")))
+
+
+@query("scan_nul_island", "SELECT doc_id AS id, doc_id % 5 = 0 AS island FROM documents")
+def _(s, d):
+    x = t.table(s, d, "documents")
+    zeros = F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit("a\0\0\0"), 16)).when(F.col("doc_id") % 5 == 1, F.repeat(F.lit("abcdefg\0"), 16)).otherwise("")
+    return scanning.nul_islands(x.select(F.col("doc_id").alias("id"), F.concat(F.repeat(F.lit("."), 50), zeros, F.repeat(F.lit("."), 50), "text").cast("binary").alias("content")))
+
+
+_STORED = """, x AS (SELECT doc_id AS id, CASE WHEN doc_id % 8 = 0 THEN '‹QUARANTINED:malformed-jsonl:00000000›' || chr(10) WHEN doc_id % 8 = 1 THEN 'AK' || 'IA' || upper(substr(sha256(doc_id::VARCHAR), 1, 16)) ELSE text END AS text, doc_id % 8 AS k FROM documents),
+ r AS (SELECT id, CASE WHEN k = 1 THEN 'visible-quarantine' ELSE 'in-place' END AS transition FROM x WHERE k = 1 OR (k > 1 AND regexp_matches(text, $$""" + scanning.DETECTORS[17][2] + "$$)))"
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    x, k = t.table(s, d, "documents"), F.col("doc_id") % 8
+    key = F.concat(F.lit("AK"), F.lit("IA"), F.upper(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 16)))
+    text = F.when(k == 0, "‹QUARANTINED:malformed-jsonl:00000000›\n").when(k == 1, key).otherwise(F.col("text"))
+    return x.select(F.col("doc_id").alias("id"), text.alias("text"), (k == 0).cast("int").alias("quarantined"))
+
+
+@query("rescan_plan", f"{_STORED} SELECT id, transition, true AS fixpoint FROM r")
+def _(s, d):
+    return scanning.rescan_plan(_stored(s, d))
+
+
+@query("rescan_kinds", f"{_STORED} SELECT transition, count(*) AS n FROM r GROUP BY 1")
+def _(s, d):
+    return scanning.rescan_plan(_stored(s, d)).groupBy("transition").agg(F.count("*").alias("n"))
+
+
+# --- ledger ------------------------------------------------------------------------------------------------
+
+
+@query("index_candidates", "SELECT a.id, a.source_path, a.role, project_slug FROM artifacts a LEFT JOIN sessions s ON a.session_uuid = s.uuid WHERE role IN ('transcript', 'subagent', 'tool-result', 'mcp', 'snapshot', 'paste', 'history')")
+def _(s, d):
+    a, x = t.artifacts(s, d).where(F.col("role").isin(t.INDEXABLE)), t.sessions(s, d)
+    return a.join(x, a.session_uuid == x.uuid, "left").select("id", "source_path", "role", "project_slug")
+
+
+@query("index_changed", "SELECT id, source_path FROM artifacts WHERE source_sha256 <> live_sha256 OR NOT archived")
+def _(s, d):
+    a = t.artifacts(s, d)
+    now = a.select("id", "source_path", F.col("live_sha256").alias("source_sha256"))
+    return ledger.changed(now, a.where("archived").select("source_path", "source_sha256")).select("id", "source_path")
+
+
+@query("index_doc_counts", "SELECT artifact_id, count(*) AS n FROM entries GROUP BY 1")
+def _(s, d):
+    return t.entries(s, d).groupBy("artifact_id").agg(F.count("*").alias("n"))
+
+
+@query("status_counts", "SELECT (SELECT count(*) FROM sessions) AS sessions, count(*) AS artifacts, sum(redacted)::BIGINT AS redacted, sum(quarantined)::BIGINT AS quarantined, count(*) FILTER (verified_at IS NULL) AS unverified, sum(source_bytes)::BIGINT AS bytes FROM artifacts")
+def _(s, d):
+    return ledger.status(t.sessions(s, d), t.artifacts(s, d))
+
+
+@query("status_unverified", "SELECT id, source_path FROM artifacts WHERE verified_at IS NULL")
+def _(s, d):
+    return t.artifacts(s, d).where("verified_at is null").select("id", "source_path")
+
+
+@query("status_secrets", f"{_FOUND} SELECT f.id, session_uuid, source_path, kind, severity, substr(sha256(found), 1, 8) AS sha8, action, CASE severity WHEN 'high' THEN 3 WHEN 'med' THEN 2 END::BIGINT AS grade FROM f JOIN artifacts a ON f.id = a.id")
+def _(s, d):
+    return ledger.secrets_report(scanning.findings(scanning.scanned(_planted(s, d))), t.artifacts(s, d), "med")
+
+
+@query("capture_whole_skip", "SELECT id FROM artifacts WHERE archived AND source_sha256 = live_sha256")
+def _(s, d):
+    a = t.artifacts(s, d)
+    return a.join(a.where("archived").select(F.col("source_path").alias("p"), F.col("source_sha256").alias("h")), (F.col("source_path") == F.col("p")) & (F.col("live_sha256") == F.col("h")), "left_semi").select("id")
+
+
+@query("capture_plan", """, x AS (SELECT doc_id, source || '/' || doc_id AS path, text || chr(10) || CASE WHEN doc_id % 4 = 1 THEN 'more' || chr(10) WHEN doc_id % 4 = 2 THEN 'part' ELSE '' END AS now, octet_length(encode(text)) + 1 AS n FROM documents)
+ SELECT path, CASE WHEN doc_id % 4 = 3 OR doc_id % 11 = 0 THEN 'full' WHEN doc_id % 4 = 1 THEN 'tail' ELSE 'skip' END AS plan, CASE WHEN doc_id % 4 = 3 OR doc_id % 11 = 0 THEN 0 ELSE n END::BIGINT AS start, (n + CASE WHEN doc_id % 4 = 1 THEN 5 ELSE 0 END)::BIGINT AS "end" FROM x""")
+def _(s, d):
+    x, k = t.table(s, d, "documents"), F.col("doc_id") % 4
+    path = F.concat_ws("/", "source", "doc_id").alias("path")
+    old = F.concat("text", F.lit("\n"))
+    now = x.select(path, F.concat(old, F.when(k == 1, "more\n").when(k == 2, "part").otherwise("")).cast("binary").alias("content"))
+    prior = x.where("doc_id % 11 > 0").select(path, F.octet_length(old).alias("offset"), F.when(k == 3, "changed").otherwise(F.sha2(old, 256)).alias("sha256"))
+    return ledger.capture_plan(now, prior)
+
+
+@query("capture_upsert", "SELECT id, source_path, CASE WHEN id % 10 = 0 THEN live_sha256 ELSE source_sha256 END AS source_sha256, CASE WHEN id % 10 = 0 THEN NULL ELSE verified_at END AS verified_at FROM artifacts WHERE archived OR id % 10 = 0")
+def _(s, d):
+    a = t.artifacts(s, d)
+    old = a.where("archived").select("id", "source_path", "source_sha256", "verified_at")
+    return ledger.upsert(old, a.where("id % 10 = 0").select("id", "source_path", F.col("live_sha256").alias("source_sha256")), "source_path")
+
+
+@query("session_upsert", "SELECT uuid, coalesce(git_branch, 'old') AS git_branch, CASE WHEN substr(uuid, 6)::INT % 2 = 0 THEN '2023' ELSE '2024' END AS first_seen, '2024' AS last_archived FROM sessions")
+def _(s, d):
+    x = t.sessions(s, d)
+    old = x.where("cast(substr(uuid, 6) as int) % 2 = 0").select("uuid", F.lit("old").alias("git_branch"), F.lit("2023").alias("first_seen"), F.lit("2023").alias("last_archived"))
+    new = x.select("uuid", F.when((F.substring("uuid", 6, 9).cast("int") % 2 == 0) | F.col("git_branch").isNotNull(), F.col("git_branch")).otherwise("old").alias("git_branch"), F.lit("2024").alias("first_seen"), F.lit("2024").alias("last_archived"))
+    return ledger.merge_sessions(old, new)
+
+
+@query("manifest_rollup", "SELECT session_uuid, count(*) AS n, sum(source_bytes)::BIGINT AS bytes, bool_or(quarantined = 1) AS any_quarantined FROM artifacts GROUP BY 1")
+def _(s, d):
+    return t.artifacts(s, d).groupBy("session_uuid").agg(F.count("*").alias("n"), F.sum("source_bytes").alias("bytes"), F.bool_or(F.col("quarantined") == 1).alias("any_quarantined"))
+
+
+@query("shape_inventory", r"""SELECT array_to_string(list_transform(string_split(url, '/'), lambda p: CASE WHEN regexp_matches(p, '^[0-9a-f-]{32,}$') THEN '<uuid>' WHEN regexp_matches(p, '^[0-9]+([.?#].*)?$') THEN '<n>' ELSE p END), '/') AS shape,
+ count(*) AS n, sum(octet_length(encode(html)))::BIGINT AS bytes, min(url) AS example FROM pages GROUP BY 1""")
+def _(s, d):
+    return ledger.shapes(t.table(s, d, "pages").select(F.col("url").alias("path"), F.octet_length("html").cast("long").alias("bytes")))
+
+
+@query("store_key", """, x AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN source || '/x' ELSE repeat(source, 60) END AS slug, 'u' || doc_id AS uuid FROM documents)
+ SELECT id, CASE WHEN id % 3 = 1 THEN '_hex--' || lower(hex(encode(slug))) || '--' || lower(hex(encode(uuid))) WHEN octet_length(encode(slug || '--' || uuid)) > 255 THEN '_h256--' || sha256(slug || chr(0) || uuid) ELSE slug || '--' || uuid END AS key FROM x""")
+def _(s, d):
+    x, k = t.table(s, d, "documents"), F.col("doc_id") % 3
+    slug = F.when(k == 0, F.col("source")).when(k == 1, F.concat("source", F.lit("/x"))).otherwise(F.repeat("source", 60))
+    return x.select(F.col("doc_id").alias("id"), ledger.store_key(slug, F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("key"))
+
+
+# --- retention ---------------------------------------------------------------------------------------------
+
+_ACTIVE = "SELECT DISTINCT 'conv-' || user_id AS session_uuid FROM events WHERE ts >= TIMESTAMP '2024-01-30 12:00:00'"
+
+
+def _active(s: SparkSession, d: str) -> DataFrame:
+    return t.table(s, d, "events").where(F.col("ts") >= F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")).select(F.concat(F.lit("conv-"), "user_id").alias("session_uuid")).distinct()
+
+
+def _verdicts(s: SparkSession, d: str, policy: retention.Policy) -> DataFrame:
+    a = t.artifacts(s, d)
+    candidates = a.select("source_path", F.when(F.col("role") == "transcript", F.col("session_uuid")).alias("session_uuid"), "role", "live_sha256", F.col("source_bytes").alias("bytes"), "age_days", (F.col("id") % 23 == 0).alias("denied"), (F.col("id") % 29 > 0).alias("readable"))
+    kept = a.where("archived").select("source_path", "source_sha256", "content_sha256", (F.col("id") % 31 > 0).alias("stored_ok"))
+    return retention.file_verdicts(candidates, kept, a.where("id % 2 = 0").select("source_path", "source_sha256"), _active(s, d), policy)
+
+
+def _verdict_sql(full: bool, indexed: bool) -> str:
+    floor = "1 / 24.0" if full else "7"
+    window = "0" if full else "CASE role WHEN 'transcript' THEN 90 WHEN 'subagent' THEN 90 WHEN 'mcp' THEN 14 WHEN 'scratch-file' THEN 3 ELSE 7 END"
+    return f""", act AS ({_ACTIVE}), g AS (SELECT source_path, source_bytes AS bytes, CASE WHEN id % 23 = 0 THEN 'Blacklisted' WHEN id % 29 = 0 THEN 'OpenFailed' WHEN NOT archived THEN 'NoCatalogRow' WHEN live_sha256 <> source_sha256 THEN 'ShaMismatch'
+   WHEN content_sha256 = '' THEN 'EmptyContentSha' WHEN id % 31 = 0 THEN 'StoreReverifyFailed' {"WHEN id % 2 = 1 THEN 'NotIndexed'" if indexed else ""} WHEN age_days < {floor} THEN 'TooYoung' WHEN age_days < greatest({floor}, {window}) THEN 'RetainWindow'
+   WHEN (role = 'transcript' AND session_uuid IN (SELECT session_uuid FROM act)) OR age_days < 1 / 24.0 THEN 'SessionLive' ELSE '' END AS reason FROM artifacts),
+ v AS (SELECT source_path, CASE WHEN reason = '' THEN 'delete' WHEN reason IN ('TooYoung', 'RetainWindow', 'SessionLive') THEN 'protected' ELSE 'unverified' END AS verdict, reason, bytes::BIGINT AS bytes,
+   CASE WHEN reason IN ('Blacklisted', 'OpenFailed', 'NoCatalogRow', 'ShaMismatch', 'EmptyContentSha', 'StoreReverifyFailed') THEN 0 ELSE bytes END::BIGINT AS archived_bytes FROM g)"""
+
+
+for _name, _policy in (("gc_plan_files", retention.Policy()), ("gc_full_mode", retention.Policy(full=True)), ("gc_require_indexed", retention.Policy(full=True, require_indexed=True))):
+    query(_name, f"{_verdict_sql(_policy.full, _policy.require_indexed)} SELECT * FROM v")(lambda s, d, p=_policy: _verdicts(s, d, p))
+
+
+@query("gc_plan_rollup", f"{_verdict_sql(False, False)} SELECT verdict, reason, count(*) AS n, sum(bytes)::BIGINT AS bytes, sum(archived_bytes)::BIGINT AS archived_bytes FROM v GROUP BY ALL")
+def _(s, d):
+    return retention.rollup(_verdicts(s, d, retention.Policy()))
+
+
+@query("gc_log_records", f"{_verdict_sql(True, False)} SELECT source_path, CASE verdict WHEN 'delete' THEN 'delete' WHEN 'protected' THEN 'protect' ELSE 'skip' END AS action, reason FROM v")
+def _(s, d):
+    v = _verdicts(s, d, retention.Policy(full=True))
+    return v.select("source_path", F.when(F.col("verdict") == "delete", "delete").when(F.col("verdict") == "protected", "protect").otherwise("skip").alias("action"), "reason")
+
+
+@query("gc_liveness", _ACTIVE)
+def _(s, d):
+    return _active(s, d)
+
+
+_EXT = ["md", "zip", "log", "bin", "txt"]
+_FILES = "fl AS (SELECT source AS tree, CASE WHEN doc_id % 12 = 0 THEN 'target/' ELSE 'a/' END || doc_id || '.' || ['md', 'zip', 'log', 'bin', 'txt'][(doc_id % 5) + 1] AS path, n_chars AS bytes, doc_id FROM documents)"
+_ADMIT = f""", {_FILES}, ru AS (SELECT *, CASE WHEN doc_id % 5 IN (1, 3) THEN 'not_allowed' WHEN doc_id % 12 = 0 THEN 'denied' WHEN bytes > 5000 THEN 'file_cap' END AS not_stored FROM fl),
+ ad AS (SELECT tree, path, bytes, not_stored, not_stored IS NULL AND NOT over_total AS stored, over_total FROM (SELECT *, coalesce(sum(bytes) FILTER (not_stored IS NULL) OVER (PARTITION BY tree), 0) > 40000 AS over_total FROM ru))"""
+
+
+def _scratch(s: SparkSession, d: str) -> DataFrame:
+    x = t.table(s, d, "documents")
+    folder = F.when(F.col("doc_id") % 12 == 0, "target/").otherwise("a/")
+    return x.select(F.col("source").alias("tree"), F.concat(folder, "doc_id", F.lit("."), t.pick(_EXT, F.col("doc_id") % 5)).alias("path"), F.col("n_chars").alias("bytes"), "doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("scratch_admission", f"{_ADMIT} SELECT * FROM ad")
+def _(s, d):
+    return retention.admission(_scratch(s, d), 5000, 40_000)
+
+
+@query("scratch_caps", f"{_ADMIT} SELECT tree, count(*) AS files, sum(bytes)::BIGINT AS total_bytes, coalesce(sum(bytes) FILTER (not_stored IS NULL), 0)::BIGINT AS admitted_bytes, coalesce(sum(bytes) FILTER (stored), 0)::BIGINT AS archived_bytes, coalesce(sum(bytes) FILTER (NOT stored), 0)::BIGINT AS unarchived_bytes, bool_or(over_total) AS over_total FROM ad GROUP BY tree")
+def _(s, d):
+    return retention.tree_totals(retention.admission(_scratch(s, d), 5000, 40_000))
+
+
+@query("scratch_coverage", """, x AS (SELECT source AS tree, doc_id, 'a/' || doc_id AS path, CASE WHEN doc_id % 97 = 5 THEN 'NoCatalogRow' WHEN doc_id % 89 = 3 THEN 'OpenFailed' WHEN doc_id % 83 = 7 THEN 'ShaMismatch' END AS why FROM documents)
+ SELECT tree, coalesce(arg_min(why, path) FILTER (why IS NOT NULL), '') AS reason FROM x GROUP BY tree""")
+def _(s, d):
+    x = t.table(s, d, "documents")
+    i, sha = F.col("doc_id"), F.sha2("text", 256)
+    keys = [F.col("source").alias("tree"), F.concat(F.lit("a/"), i).alias("path"), F.col("n_chars").alias("bytes")]
+    live = x.select(*keys, sha.alias("live_sha256"))
+    manifest = x.where("doc_id % 97 <> 5").select(*keys, F.lit(True).alias("stored"), F.when(i % 83 == 7, "other").otherwise(sha).alias("source_sha256"), sha.alias("content_sha256"), (i % 89 == 3).alias("capture_failed"))
+    return retention.tree_coverage(live, manifest)
+
+
+@query("scratch_retention", ", x AS (SELECT source AS tree, 'a/' || doc_id AS path, sha256(text) AS sha256, doc_id % 6 > 0 AS present FROM documents) SELECT * FROM x")
+def _(s, d):
+    x = t.table(s, d, "documents").select(F.col("source").alias("tree"), F.concat(F.lit("a/"), "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("no"))
+    return retention.retained(x.unionByName(x.withColumn("sha256", F.lit("later")).withColumn("no", F.col("no") + 10**9)), x.where("no % 6 > 0"))
+
+
+_CLAIM = "CASE WHEN doc_id % 37 = 4 THEN 'OrphanArtifact' WHEN doc_id % 41 = 6 THEN 'DuplicateIdentity' WHEN doc_id % 7 = 2 AND doc_id % 5 = 0 THEN 'UnclaimedArtifact' WHEN doc_id % 7 <> 2 AND doc_id % 5 <> 0 THEN 'MissingArtifact' WHEN doc_id % 7 <> 2 AND doc_id % 17 = 0 THEN 'NoContentHash' WHEN doc_id % 7 <> 2 AND doc_id % 19 = 0 THEN 'ContentMismatch' END"
+_LAW_S = f", x AS (SELECT source AS key, 'a/' || doc_id AS path, {_CLAIM} AS issue, doc_id FROM documents), y AS (SELECT key, path, issue FROM x WHERE issue IS NOT NULL AND (issue <> 'OrphanArtifact' OR doc_id % 5 = 0))"
+
+
+def _law_s(s: SparkSession, d: str) -> DataFrame:
+    x, i = t.table(s, d, "documents"), F.col("doc_id")
+    sha = F.sha2("text", 256)
+    keys = [F.col("source").alias("key"), F.concat(F.lit("a/"), i).alias("path")]
+    store = x.where("doc_id % 5 = 0").select(*keys, F.when(i % 19 == 0, "other").otherwise(sha).alias("sha256"))
+    claims = x.where("doc_id % 37 <> 4").select(*keys, (i % 7 != 2).alias("stored"), F.when(i % 17 == 0, "").otherwise(sha).alias("content_sha256"), i.alias("i"))
+    return retention.store_issues(store, claims.unionByName(claims.where("i % 41 = 6")))
+
+
+@query("verify_law_s", f"{_LAW_S} SELECT * FROM y")
+def _(s, d):
+    return _law_s(s, d)
+
+
+@query("verify_classes", f"{_LAW_S} SELECT issue, CASE WHEN issue = 'NoContentHash' THEN 'unverifiable' ELSE 'violation' END AS class, count(*) AS n FROM y GROUP BY 1")
+def _(s, d):
+    return retention.classed(_law_s(s, d), exclusive=True)
+
+
+@query("verify_exclusion", f"{_LAW_S} SELECT issue, CASE WHEN issue = 'DuplicateIdentity' THEN 'violation' ELSE 'unverifiable' END AS class, count(*) AS n FROM y GROUP BY 1")
+def _(s, d):
+    return retention.classed(_law_s(s, d), exclusive=False)
+
+
+@query("verify_law_q", """, x AS (SELECT source || '/' || doc_id AS path, CASE WHEN doc_id % 13 = 1 THEN (CASE WHEN doc_id % 3 = 0 THEN 'QuarantineStray' END) WHEN doc_id % 43 = 2 THEN 'QuarantineCollision' WHEN doc_id % 3 <> 0 THEN 'QuarantineMissing' WHEN doc_id % 11 = 0 THEN 'QuarantineNoSourceHash' WHEN doc_id % 23 = 0 THEN 'QuarantineMismatch' END AS issue FROM documents)
+ SELECT path, issue FROM x WHERE issue IS NOT NULL""")
+def _(s, d):
+    x, i = t.table(s, d, "documents"), F.col("doc_id")
+    path, sha = F.concat_ws("/", "source", "doc_id").alias("path"), F.sha2("text", 256)
+    files = x.where("doc_id % 3 = 0").select(path, F.when(i % 23 == 0, "other").otherwise(sha).alias("sha256"))
+    claims = x.where("doc_id % 13 <> 1").select(path, F.when(i % 11 == 0, "").otherwise(sha).alias("source_sha256"), i.alias("i"))
+    return retention.quarantine_issues(files, claims.unionByName(claims.where("i % 43 = 2")))

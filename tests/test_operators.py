@@ -1,0 +1,142 @@
+"""Single operators on literal rows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tarnlake.functions.units import parse_duration, parse_size, show_duration
+from tarnlake.operators import ledger, retention, scanning, search, transcripts
+from tarnlake.sources import files
+from tarnlake.streaming.capture import LEDGER, capture_stream
+
+
+def test_units():
+    assert parse_size("5 MB") == 5 * 1024**2 and parse_size("12") == 12
+    assert parse_duration("7d") == 604_800 and show_duration(604_800) == "1w" and show_duration(90) == "90s" and show_duration(0) == "0s"
+    for bad in ("", "x", "5 XB", "-1d", "99999999999999999999w"):
+        with pytest.raises(ValueError, match="quantity|large"):
+            parse_duration(bad)
+
+
+def test_query_parse():
+    q = search.parse("cargo tool:Bash role: weird:token since:2024-01-01", role="user", on="2024-02-28")
+    assert q.phrases == ["cargo", "weird:token"] and q.facets == {"role": "user", "tool": "Bash"}
+    assert (q.since, q.until) == ("2024-02-28", "2024-02-29")
+    with pytest.raises(ValueError, match="isoformat|month|Invalid"):
+        search.parse("x", on="2024-13-01")
+
+
+def test_search_without_tokens_or_rows(spark):
+    e = spark.createDataFrame([("a", "s", "user", None, "Épée of THE lake")], "entry_uuid string, session_uuid string, role string, timestamp string, text string")
+    assert search.bm25(e, search.parse(":: --")).count() == 0
+    assert search.bm25(e, search.parse("epee")).count() == 1
+    assert search.bm25(e.where("false"), search.parse("epee")).count() == 0
+    assert search.matching(e, search.parse("since:2000")).count() == 0
+    assert search.contains_trigrams(e, "of").count() == 0 and search.contains_trigrams(e, "LAK").count() == 1
+    assert search.snippet(e, "of the").first()["snippet"] == "epee [of the] lake"
+
+
+def _entries(spark, *lines):
+    f = spark.createDataFrame([("t", "\n".join(lines) + "\n")], "artifact string, content string")
+    return transcripts.parsed(transcripts.lines(f))
+
+
+def test_transcript_entries(spark):
+    v = _entries(
+        spark,
+        '{"type":"user","uuid":"u1","message":{"content":"hi"}}',
+        '{"type":"assistant","message":{"content":[{"type":"text","text":"a"},{"type":"thinking","thinking":"b"},{"type":"tool_use","id":"c1","name":"Bash","input":{"description":"d","command":"ls"}}]}}',
+        '{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"c1","is_error":true,"content":[{"type":"text","text":"no"}]},{"type":"text","text":"dropped"}]}}',
+        '{"type":"assistant","message":{"content":"a string gives no entry"}}',
+        '{"broken',
+        '{"type":"system","content":"sys"} x',
+        "",
+        '{"type":"summary","summary":"sum"}',
+        '{"type":"noise","content":"n"}',
+        '{"type":"assistant","message":{"content":[{"type":"tool_use","id":"c2","name":"Read","input":{}}]}}',
+    )
+    got = {r["seq"]: (r["entry_uuid"], r["role"], r["text"], r["tool_name"]) for r in transcripts.parsed_entries(v).collect()}
+    assert got == {
+        0: ("u1", "user", "hi", None), 1: ("line:t:1", "assistant", "a\nb\n$Bash ls d", "Bash"), 2: ("line:t:2", "tool_result", "[error] no", "Bash"),
+        7: ("line:t:7", "summary", "sum", None), 9: ("line:t:9", "assistant", "$Read", "Read"),
+    }
+    assert v.where("malformed").count() == 2
+
+
+def _key(*parts):
+    return "".join(parts)
+
+
+def test_redaction_and_spans():
+    aws = _key("AK", "IA", "ABCDEFGHIJKLMNOP")
+    text, found = scanning.resolve(f"é {aws} and Bearer {'x' * 24}")
+    assert text == f"é ‹REDACTED:aws-key:{scanning.tag(aws)}› and ‹REDACTED:bearer:{scanning.tag('Bearer ' + 'x' * 24)}›"
+    assert [(f[0], f[3], f[4], f[5]) for f in found] == [("aws-key", "quarantine", 3, 20), ("bearer", "redact", 28, 31)]
+    assert scanning.resolve(text) == (text, [])
+    same, allowed = scanning.resolve(aws, [scanning.tag(aws).upper()])
+    assert same == aws and allowed[0][3] == "allowed"
+    # the longer of two matches with one start wins
+    assert [f[0] for f in scanning.resolve(_key("sk-", "ant-", "a" * 30))[1]] == ["anthropic-key"]
+    assert scanning.resolve("postgres://u:p@ss/w@host/db")[0].endswith("›host/db")
+    for calm in ("password==x", "the bearer of news arrived", "https://host:8080/a@b is it", "sk-learn"):
+        assert scanning.resolve(calm)[1] == []
+
+
+def test_hidden_and_nul(spark):
+    aws = _key("AK", "IA", "ABCDEFGHIJKLMNOP")
+    rows = [(1, aws[:6] + "​" + aws[6:]), (2, "".join(chr(ord(c) + 0xFEE0) for c in aws)), (3, aws), (4, "日本語 👩‍👩‍👧 clean"), (5, None), (6, aws.replace("K", "\\u004B"))]
+    got = {r["id"]: r["hidden"] for r in scanning.hidden_secrets(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
+    x = spark.createDataFrame([(1, b"a\0\0\0"), (2, b"x" * 100 + b"\0" * 11 + b"x" * 100), (3, b"x" * 100 + b"\0" * 12 + b"x" * 100), (4, b""), (5, None)], "id long, content binary")
+    assert {r["id"]: r["island"] for r in scanning.nul_islands(x).collect()} == {1: True, 2: False, 3: True, 4: False, 5: False}
+
+
+def test_capture_plan(spark):
+    import hashlib
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    now = spark.createDataFrame([("none", b"a\nb"), ("same", b"a\n"), ("part", b"a\nb"), ("grown", b"a\nb\nc"), ("other", b"x\n"), ("short", b"a"), ("empty", b"")], "path string, content binary")
+    prior = spark.createDataFrame([(p, 2, sha(b"a\n")) for p in ("same", "part", "grown", "other", "short")], "path string, offset long, sha256 string")
+    got = {r["path"]: (r["plan"], r["start"], r["end"]) for r in ledger.capture_plan(now, prior).collect()}
+    assert got == {"none": ("full", 0, 2), "same": ("skip", 2, 2), "part": ("skip", 2, 2), "grown": ("tail", 2, 4), "other": ("full", 0, 2), "short": ("full", 0, 0), "empty": ("full", 0, 0)}
+
+
+def test_stream_is_idempotent(spark, tmp_path):
+    source = str(tmp_path / "in")
+    schema = "path string, content binary"
+    last = {}
+    for n, content in enumerate([b"a\n", b"a\nb\npart", b"a\nb\npart"]):
+        spark.createDataFrame([("f", content)], schema).write.mode("append").parquet(source)
+        q = capture_stream(spark, spark.readStream.schema(schema).parquet(source), str(tmp_path / "ledger"), str(tmp_path / "cp"))
+        q.awaitTermination()
+        last[n] = spark.read.schema(LEDGER).parquet(str(tmp_path / f"ledger/v{n}")).first()
+    assert [last[n]["offset"] for n in range(3)] == [2, 4, 4] and last[1] == last[2]
+
+
+def test_files(spark, tmp_path):
+    base = tmp_path / "root/projects/slug"
+    (base / "u1/subagents").mkdir(parents=True)
+    (base / "u1.jsonl").write_text("{}\n")
+    (base / "u1/subagents/x.jsonl").write_text("{}\n")
+    (base / "u1/subagents/x.meta.json").write_text('{"agentType":"Explore"}')
+    got = {(r["role"], r["project"], r["session"], r["agent"]) for r in files.with_agents(files.discover(spark, str(tmp_path / "root"))).collect()}
+    assert got == {("transcript", "slug", "u1", "main"), ("subagent", "slug", "u1", "Explore")}
+    x = spark.createDataFrame([("a", b"one"), ("b", None)], "path string, content binary")
+    two = files.encoded(x).select("path", F.concat("content", "content").alias("content"))
+    assert {r["path"]: r["content"] for r in files.decoded(two).collect()} == {"a": b"oneone", "b": None}
+    with pytest.raises(ValueError, match="unknown"):
+        files.include("transcript,nothing")
+
+
+def test_globs(spark):
+    import re
+
+    allow = re.compile(retention.glob_pattern(retention.ALLOW))
+    deny = re.compile(retention.glob_pattern(retention.DENY))
+    assert all(map(allow.match, ["a.md", "x/y/a.md", "d/.b.txt"])) and not any(map(allow.match, ["a.mdx", "md", "a.MD"]))
+    assert all(map(deny.match, [".git/x", "a/.git/x/y", "node_modules/m", "a/b.zip", "b.zip"])) and not any(map(deny.match, ["agit/x", "zip", "a.zipx"]))
+
+
+def test_empty_tables(spark):
+    a = spark.createDataFrame([], "id long, redacted int, quarantined int, verified_at string, source_bytes long")
+    r = ledger.status(spark.createDataFrame([], "uuid string"), a).first()
+    assert tuple(r) == (0, 0, 0, 0, 0, 0)
