@@ -12,6 +12,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.llm.shared import neutral
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -110,8 +112,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     an empty table gives an empty table.
     """
     # a projection with a row number isn't one that filters are pushed below, where they would hold the measures many times over
-    judged = measures(docs).select(*docs.columns, (~base_failed() & verdict()).alias("__kept"), F.monotonically_increasing_id().alias("__row"))
-    return judged.where(F.col("__kept") & (F.col("__row") >= 0)).select(*docs.columns)
+    d = neutral(docs, "text")
+    judged = measures(d).select(*d.columns, (~base_failed() & verdict()).alias("__kept"), F.monotonically_increasing_id().alias("__row"))
+    return judged.where(F.col("__kept") & (F.col("__row") >= 0)).select(*d.columns).toDF(*docs.columns)
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -63,6 +63,11 @@ def _clean() -> None:
                 return
 
 
+def neutral(docs: DataFrame, *needed: str) -> DataFrame:
+    """docs with all columns but the needed ones renamed by their place, so that no name can clash; toDF(*docs.columns) undoes it."""
+    return docs.toDF(*(n if n in needed else f"column_{i}" for i, n in enumerate(docs.columns)))
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.binary()).to_pylist()
