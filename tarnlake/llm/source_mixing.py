@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnlake.llm.shared import stage
+from tarnlake.llm.shared import neutral, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -20,7 +20,7 @@ MAX_COPIES = 3
 #: Documents of a bin, about.
 BIN = 5000
 #: Times the edge bin is gone through for documents that fit into what is left of the size.
-PASSES = 4
+PASSES = 6
 SEED = "mix-1"
 
 
@@ -98,7 +98,11 @@ def _drawn(planned: DataFrame) -> tuple[DataFrame, DataFrame]:
         drawn = drawn.withColumn("now", F.when(may.isNotNull() & (F.sum(may).over(own) <= F.col("gap")), 1).otherwise(0))
         took = F.sum(F.col("now") * F.col("size")).over(Window.partitionBy("source"))
         drawn = drawn.withColumn("gap", F.col("gap") - took).withColumn("extra", F.col("extra") + F.col("now"))
-    return edge, drawn
+    # at last the smallest document left that brings the size nearer although it goes beyond
+    over = F.when((F.col("extra") == 0) & (F.col("size") < 2 * F.col("gap")), F.col("size"))
+    smallest = Window.partitionBy("source").orderBy(over.asc_nulls_last(), "rank", "doc_id")
+    drawn = drawn.withColumn("last", F.when(over.isNotNull() & (F.row_number().over(smallest) == 1), 1).otherwise(0))
+    return edge, drawn.withColumn("extra", F.col("extra") + F.col("last"))
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
@@ -136,12 +140,12 @@ def take_mix(docs: DataFrame) -> DataFrame:
 
     Rows equal in doc_id, source and text share their copies. Texts move once.
     """
-    names = docs.columns
-    plan = mix_sources(docs).groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__text").alias("__t")).agg(F.sum("copies").alias("__n")).where("__n > 0")
-    marked = docs.withColumn("__text", F.xxhash64("text"))
+    d = neutral(docs, "doc_id", "source", "text")
+    plan = mix_sources(d).groupBy(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("__text").alias("__t")).agg(F.sum("copies").alias("__n")).where("__n > 0")
+    marked = d.withColumn("__text", F.xxhash64("text"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & F.col("__text").eqNullSafe(F.col("__t"))
     once = marked.join(plan, same).dropDuplicates(["__d", "__s", "__t"])
-    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*names)
+    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*d.columns).toDF(*docs.columns)
 
 
 def op2(docs: DataFrame) -> DataFrame:
@@ -175,7 +179,9 @@ def _oracle() -> str:
  x AS (SELECT source, min(bin) AS edge, arg_min(upto - words, bin) AS before FROM v WHERE upto > words_left GROUP BY source),
  y AS (SELECT k.*, edge, before FROM k LEFT JOIN x ON k.source IS NOT DISTINCT FROM x.source),
  p0 AS (SELECT *, (words_left - before)::DOUBLE AS gap, 0 AS extra FROM y WHERE p > 0 AND bin = edge){passes},
- z AS (SELECT doc_id, size, source_size, target, certain, extra FROM p{PASSES} UNION ALL
+ o1 AS (SELECT *, CASE WHEN extra = 0 AND size < 2 * gap THEN size END AS over_ FROM p{PASSES}),
+ o2 AS (SELECT *, CASE WHEN over_ IS NOT NULL AND row_number() OVER (PARTITION BY source ORDER BY over_ NULLS LAST, rank, doc_id) = 1 THEN 1 ELSE 0 END AS last_ FROM o1),
+ z AS (SELECT doc_id, size, source_size, target, certain, extra + last_ AS extra FROM o2 UNION ALL
    SELECT doc_id, size, source_size, target, certain, CASE WHEN p > 0 AND (edge IS NULL OR bin < edge) THEN 1 ELSE 0 END FROM y WHERE NOT coalesce(p > 0 AND bin = edge, false))
 SELECT doc_id, size, source_size, target, ((certain + extra) * size)::BIGINT AS taken FROM z"""
 
