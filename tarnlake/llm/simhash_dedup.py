@@ -35,8 +35,8 @@ BLOCK = 1024
 #: deduplicate(): fingerprints of each text's distinct words, words of a shingle, least similarity, and shingles of a sketch.
 VIEWS = 8
 SHINGLE, SIMILAR, SKETCH = 5, 0.8, 192
-#: Bits in which candidates of a view may differ; they are verified, so the filter may be wide.
-WIDE_BITS = 14
+#: Bits in which candidates of a view may differ, closest first; they are verified, so the filter may be wide.
+WIDE_BITS = (2, MAX_BITS, 8, 14)
 
 _shift = np.cumsum([0, *SEGMENTS[:-1]]).astype(np.uint64)
 _mask = np.array([(1 << n) - 1 for n in SEGMENTS], np.uint64) << _shift
@@ -85,16 +85,16 @@ def bucket_keys(table: np.ndarray) -> np.ndarray:
     return np.stack([mix(per_segment[:, i] + mix(per_segment[:, j] + np.uint64(n))) for n, (i, j) in enumerate(_pairs)], 1)
 
 
-def link_bucket_rows(bucket: np.ndarray, fp: np.ndarray, bits: int = MAX_BITS, *, nearest: bool = False) -> list[tuple[int, int]]:
+def link_bucket_rows(bucket: np.ndarray, fp: np.ndarray, tiers: tuple[int, ...] = (MAX_BITS,)) -> list[tuple[int, int]]:
     """Positions of linked rows that span the links within each bucket; rows must be sorted by bucket.
 
-    With `nearest`, each row's closest partner among those before it is linked to it as well. Bounded by the sum over buckets of rows times those with a first coordinate within reach.
+    Links are at most tiers[-1] bits long; those of an earlier tier come first, so that closer rows are linked rather
+    than farther ones. Bounded by the sum over buckets of rows times those with a first coordinate within reach.
     """
     table = coordinates(fp).sum(2, dtype=np.int16)
     order = np.lexsort((table[:, 0], bucket))
     bucket, fp, table = bucket[order], fp[order], table[order]
     root = list(range(len(fp)))
-    least, closest = np.full(len(fp), 65, np.uint8), np.zeros(len(fp), np.int64)
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -103,23 +103,19 @@ def link_bucket_rows(bucket: np.ndarray, fp: np.ndarray, bits: int = MAX_BITS, *
         return i
 
     out = []
-    for step in range(1, len(fp)):
-        near = np.flatnonzero((bucket[step:] == bucket[:-step]) & (table[step:, 0] - table[:-step, 0] <= bits))
-        if not len(near):
-            break
-        for p in range(1, PIVOTS):
-            near = near[np.abs(table[near + step, p] - table[near, p]) <= bits]
-        apart = np.bitwise_count(fp[near + step] ^ fp[near])
-        near, apart = near[apart <= bits], apart[apart <= bits]
-        closer = apart < least[near + step]
-        least[near[closer] + step], closest[near[closer] + step] = apart[closer], near[closer]
-        for i in near.tolist():
-            a, b = find(i), find(i + step)
-            if a != b:
-                root[b] = a
-                out.append((int(order[i]), int(order[i + step])))
-    if nearest:
-        out += [(int(order[closest[j]]), int(order[j])) for j in np.flatnonzero(least < 65).tolist()]
+    for bits in tiers:
+        for step in range(1, len(fp)):
+            near = np.flatnonzero((bucket[step:] == bucket[:-step]) & (table[step:, 0] - table[:-step, 0] <= bits))
+            if not len(near):
+                break
+            for p in range(1, PIVOTS):
+                near = near[np.abs(table[near + step, p] - table[near, p]) <= bits]
+            near = near[np.bitwise_count(fp[near + step] ^ fp[near]) <= bits]
+            for i in near.tolist():
+                a, b = find(i), find(i + step)
+                if a != b:
+                    root[b] = a
+                    out.append((int(order[i]), int(order[i + step])))
     return out
 
 
@@ -149,10 +145,10 @@ def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _link(bits: int, *, nearest: bool):
+def _link(tiers: tuple[int, ...]):
     """Links within groups (key, lo, hi) of a sorted partition; a group may go over several batches."""
     def emit(group: np.ndarray, rep: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        found = np.array(link_bucket_rows(group, fp.view(np.uint64), bits, nearest=nearest), np.int64).reshape(-1, 2)
+        found = np.array(link_bucket_rows(group, fp.view(np.uint64), tiers), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(rep[found[:, 0]]), pa.array(rep[found[:, 1]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +179,7 @@ def links(reps: DataFrame, block: int = BLOCK) -> DataFrame:
     return linked(reps.select("rep", "fp").mapInArrow(_band, "key long, rep long, fp long"), block)
 
 
-def linked(bands: DataFrame, block: int = BLOCK, bits: int = MAX_BITS, *, nearest: bool = False) -> DataFrame:
+def linked(bands: DataFrame, block: int = BLOCK, tiers: tuple[int, ...] = (MAX_BITS,)) -> DataFrame:
     """Links within the buckets of (key, rep, fp) rows; for more than MAX_BITS bits those that share a bucket."""
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / F.lit(block)).cast("long")
@@ -194,7 +190,7 @@ def linked(bands: DataFrame, block: int = BLOCK, bits: int = MAX_BITS, *, neares
         .select("key", "rep", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "fp")
     )
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_link(bits, nearest=nearest), "a long, b long")
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_link(tiers), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -282,7 +278,7 @@ def keepers(docs: DataFrame) -> DataFrame:
     """(doc_id, cls): of each group of near-duplicates the row that stays, the one of the least doc_id (null last).
 
     Candidates share a bucket of one of VIEWS fingerprints of their distinct words (certain for four differing bits,
-    likely for up to WIDE_BITS), and are linked if
+    likely for up to WIDE_BITS[-1]), and are linked if
     the sets of their five-word shingles have a Jaccard similarity of SIMILAR or more. Texts of the same words are one class.
     """
     marks = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_views, "doc_id long, cls long, fps binary, sketch binary"), "views")
@@ -290,7 +286,7 @@ def keepers(docs: DataFrame) -> DataFrame:
     # fingerprints and sketches depend on the class alone: those of the row with the least id stand for it
     own = (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("least"))
     reps = stage(marks.join(classes.withColumnRenamed("cls", "c"), own).dropDuplicates(["cls"]).select("cls", "least", "fps", "sketch"), "reps")
-    pairs = linked(reps.select("cls", "fps").mapInArrow(_band_views, "key long, rep long, fp long"), bits=WIDE_BITS, nearest=True).distinct()
+    pairs = linked(reps.select("cls", "fps").mapInArrow(_band_views, "key long, rep long, fp long"), tiers=WIDE_BITS).distinct()
     side = lambda name: reps.select(F.col("cls").alias(name), F.col("sketch").alias(f"sketch_{name}"))
     found = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_similar, "a long, b long")
     component = connected_components(found)
