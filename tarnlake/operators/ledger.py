@@ -37,6 +37,22 @@ def changed(candidates: DataFrame, watermark: DataFrame) -> DataFrame:
     return candidates.join(watermark.select("source_path", "source_sha256"), ["source_path", "source_sha256"], "left_anti")
 
 
+def flips(planned: DataFrame, now: DataFrame) -> DataFrame:
+    """(planned, now, n): verdicts of a plan against those at its execution, by source_path; only what is `delete` in both may go, and what has gone is null."""
+    then = planned.select("source_path", F.col("verdict").alias("planned"))
+    return then.join(now.select("source_path", F.col("verdict").alias("now")), "source_path", "left").groupBy("planned", "now").agg(F.count("*").alias("n"))
+
+
+def stored_ok(stored: DataFrame, decoded: DataFrame) -> DataFrame:
+    """(path, ok): the stored bytes (path, content, stored_sha256, content_sha256) have their hash, and so have the decoded ones (path, content).
+
+    An empty content hash is an old record, for which the first check alone counts; what can't be decoded is not ok.
+    """
+    x = stored.join(decoded.select(F.col("path").alias("dp"), F.col("content").alias("plain")), F.col("path") == F.col("dp"), "left")
+    inner = (F.col("content_sha256") == "") | (F.sha2("plain", 256) == F.col("content_sha256"))
+    return x.select("path", F.coalesce((F.sha2("content", 256) == F.col("stored_sha256")) & inner, F.lit(False)).alias("ok"))
+
+
 def status(sessions: DataFrame, artifacts: DataFrame) -> DataFrame:
     """One row of counts; zeros for empty tables."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")

@@ -134,15 +134,40 @@ def store_issues(store: DataFrame, claims: DataFrame) -> DataFrame:
     return x.select(F.coalesce("key", "sk").alias("key"), F.coalesce("path", "sp").alias("path"), issue.alias("issue")).where("issue is not null")
 
 
+def legacy_places(path: Column) -> Column:
+    """Where superseded layouts would have put the original that belongs at a path, likeliest first."""
+    part = F.split(path, "/")
+    first, second = F.get(part, F.lit(0)), F.get(part, F.lit(1))
+    below = lambda n: F.array_join(F.slice(part, n, F.greatest(F.size(part), F.lit(1))), "/")
+    scratch = F.array(F.concat_ws("/", F.concat(F.lit("_scratch--"), second), below(2)))
+    category = F.array(F.concat_ws("/", first, path))
+    session = F.array(F.concat_ws("/", second, below(3)), F.concat_ws("/", second, path))
+    return F.when(F.size(part) < 2, F.array().cast("array<string>")).when(first == "_scratch", scratch).when(F.startswith(first, F.lit("_")), category).otherwise(session)
+
+
 def quarantine_issues(files: DataFrame, claims: DataFrame) -> DataFrame:
-    """(path, issue): two claims of one path, claimed originals that are missing, files that nothing claims, and wrong or unknown hashes."""
+    """(path, issue): two claims of one path, claimed originals that are missing, files that nothing claims, and wrong or unknown hashes.
+
+    An original that stands in a superseded layout is told as such, under the path where it stands, as is an unclaimed file
+    that has the form of one: its first part is a claim's session, begins with _scratch--, or comes twice. The old place's
+    hash is not compared.
+    """
     c = claims.groupBy("path").agg(F.count("*").alias("n"), F.min("source_sha256").alias("claimed"))
-    x = c.join(files.select(F.col("path").alias("fp"), "sha256"), F.col("path") == F.col("fp"), "full")
+    f = files.select(F.col("path").alias("fp"), "sha256")
+    x = c.join(f, F.col("path") == F.col("fp"), "full")
+    # an old place is looked up for claims without an original only; of several the first that is there counts
+    lost = x.where("path is not null and fp is null").select("path", F.posexplode(legacy_places(F.col("path"))).alias("at", "old"))
+    moved = lost.join(files.select(F.col("path").alias("old")).distinct(), "old").groupBy("path").agg(F.min_by("old", "at").alias("old"))
+    x = x.join(moved.withColumnRenamed("path", "lost"), F.col("path") == F.col("lost"), "left").join(moved.select(F.col("old").alias("located")).distinct(), F.col("fp") == F.col("located"), "left")
+    part = F.split("fp", "/")
+    session = claims.select(F.split("path", "/").alias("p")).where("size(p) > 1 and not startswith(p[0], '_')").select(F.get("p", F.lit(1)).alias("session")).distinct()
+    x = x.withColumn("first", F.when(F.col("path").isNull(), F.get(part, F.lit(0)))).join(session, F.col("first") == F.col("session"), "left")
+    old_form = F.col("session").isNotNull() | F.startswith("first", F.lit("_scratch--")) | F.coalesce(F.col("first") == F.get(part, F.lit(1)), F.lit(False))
     issue = (
-        F.when(F.col("path").isNull(), "QuarantineStray").when(F.col("n") > 1, "QuarantineCollision").when(F.col("fp").isNull(), "QuarantineMissing")
-        .when(F.coalesce("claimed", F.lit("")) == "", "QuarantineNoSourceHash").when(F.col("claimed") != F.col("sha256"), "QuarantineMismatch")
+        F.when(F.col("path").isNull(), F.when(F.col("located").isNotNull(), None).when(old_form, "QuarantineLegacyLayout").otherwise("QuarantineStray")).when(F.col("n") > 1, "QuarantineCollision")
+        .when(F.col("old").isNotNull(), "QuarantineLegacyLayout").when(F.col("fp").isNull(), "QuarantineMissing").when(F.coalesce("claimed", F.lit("")) == "", "QuarantineNoSourceHash").when(F.col("claimed") != F.col("sha256"), "QuarantineMismatch")
     )
-    return x.select(F.coalesce("path", "fp").alias("path"), issue.alias("issue")).where("issue is not null")
+    return x.select(F.coalesce("old", "path", "fp").alias("path"), issue.alias("issue")).where("issue is not null")
 
 
 def classed(issues: DataFrame, *, exclusive: bool) -> DataFrame:

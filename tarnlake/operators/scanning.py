@@ -6,6 +6,7 @@ spans are resolved, as that is a fold over overlapping matches of many patterns.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -192,6 +193,55 @@ def nul_islands(files: DataFrame) -> DataFrame:
     return files.where(~may).select(ids, F.lit(False).alias("island")).unionByName(files.where(may).select(ids, "content").mapInArrow(run, "id long, island boolean"))
 
 
+def _text_of(content: bytes) -> tuple[str | None, str | None]:
+    """The text of a file by its byte order mark, or why there is none."""
+    for mark, encoding, why in ((b"\xef\xbb\xbf", "utf-8", "non-utf8"), (b"\xff\xfe", "utf-16-le", "utf16-decode-failed"), (b"\xfe\xff", "utf-16-be", "utf16-decode-failed"), (b"", "utf-8", "non-utf8")):
+        if content.startswith(mark):
+            try:
+                return content[len(mark) :].decode(encoding), None
+            except UnicodeDecodeError:
+                return None, why
+    raise AssertionError
+
+
+def decoded_texts(files: DataFrame) -> DataFrame:
+    """(id, text, reason) of files (id, content): the text without its byte order mark, or why the file can't be scanned as text.
+
+    Only contents with a mark, zero bytes or broken UTF-8 reach Python. A null content is an empty text.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [_text_of(x) if not i else (None, "utf16-ambiguous") for x, i in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([d[k] for d in done], pa.string()) for k in (0, 1))], ["id", "text", "reason"])
+
+    marks = [b"\xef\xbb\xbf", b"\xff\xfe", b"\xfe\xff"]
+    f = files.select(F.col("id").cast("long").alias("id"), F.coalesce("content", F.lit(b"")).alias("content"))
+    f = f.withColumn("marked", F.substring("content", 1, 3).isin(marks[:1]) | F.substring("content", 1, 2).isin(marks[1:]))
+    plain = ~F.col("marked") & F.is_valid_utf8(F.col("content").cast("string")) & ~F.contains("content", F.lit(b"\0"))
+    rest = f.where(~plain)
+    # a mark settles the encoding; zero bytes are a sign of another one in valid UTF-8 without a mark only
+    doubtful = rest.where(~F.col("marked") & F.is_valid_utf8(F.col("content").cast("string")))
+    islands = nul_islands(doubtful.select("id", "content")).where("island").select("id", "island")
+    other = rest.join(islands, "id", "left").select("id", "content", F.coalesce("island", F.lit(False)).alias("island")).mapInArrow(run, "id long, text string, reason string")
+    return f.where(plain).select("id", F.decode("content", "UTF-8").alias("text"), F.lit(None).cast("string").alias("reason")).unionByName(other)
+
+
+def canonical_texts(texts: DataFrame) -> DataFrame:
+    """(id, text) in canonical form; texts of plain ASCII are their own unless they hold control characters."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else canonical(t) for t in b.column(1).to_pylist()], pa.string())], ["id", "text"])
+
+    may = F.coalesce(F.col("text").rlike(r"[^\x20-\x7E\n\t\r]"), F.lit(False))
+    t = texts.select(F.col("id").cast("long").alias("id"), "text")
+    return t.where(~may).unionByName(t.where(may).mapInArrow(run, "id long, text string"))
+
+
+def policy_digest(allow: list[str], *, enabled: bool = True, quarantine_all: bool = False) -> str:
+    """A hash of all that decides what a scan does: equal for equal sets of allowed entries in any order, and for any policy once scanning is off."""
+    return sha256(json.dumps([enabled, quarantine_all, sorted(set(allow))] if enabled else [enabled]).encode()).hexdigest()
+
+
 def rescan_plan(stored: DataFrame) -> DataFrame:
     """(id, transition, fixpoint) of stored texts that a scan would change: skip rows that are one quarantine marker.
 

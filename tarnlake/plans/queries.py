@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.operators import ledger, retention, scanning, search, transcripts
+from tarnlake.operators import ledger, retention, scanning, scratch, search, transcripts
+from tarnlake.sources import files
 from tarnlake.sources import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,9 +158,10 @@ def _planted(s: SparkSession, d: str) -> DataFrame:
 _PLANT_SQL = ", ".join(f"'{a}' || '{b}' || {'upper' if up else ''}(substr(sha256(doc_id::VARCHAR), 1, {n}))" for a, b, n, up in _PLANT)
 _KINDS = [k for k, _, _ in scanning.DETECTORS]
 _FOUND = f""", planted AS (SELECT doc_id AS id, 'key ' || [{_PLANT_SQL}][(doc_id % 4) + 1] || ' ' || chr(10) || text AS text FROM documents),
- entropy AS (SELECT id, unnest(regexp_extract_all(text, $${scanning.DETECTORS[17][2]}$$)) AS found FROM planted),
+ matched AS (SELECT id, regexp_extract_all(text, $${scanning.DETECTORS[17][2]}$$) AS hits, string_split_regex(text, $${scanning.DETECTORS[17][2]}$$) AS gaps FROM planted),
+ entropy AS (SELECT id, hits[k] AS found, octet_length(encode(array_to_string(gaps[1:k], '') || array_to_string(hits[1:k - 1], ''))) AS pos FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM matched)),
  f AS (SELECT id, ['aws-key', 'github-token', 'slack-token', 'npm-token'][(id % 4) + 1] AS kind, 'high' AS severity, 'quarantine' AS action, 4 AS pos, [{_PLANT_SQL.replace("doc_id", "id")}][(id % 4) + 1] AS found FROM planted
-   UNION ALL SELECT e.id, 'generic-entropy', 'med', 'redact', octet_length(encode(split_part(text, found, 1))), found FROM entropy e JOIN planted p ON p.id = e.id)"""
+   UNION ALL SELECT id, 'generic-entropy', 'med', 'redact', pos, found FROM entropy)"""
 
 
 @query("scan_findings", f"{_FOUND} SELECT id, kind, severity, substr(sha256(found), 1, 8) AS sha8, action, pos::BIGINT AS span_start, octet_length(encode(found))::BIGINT AS span_len FROM f")
@@ -458,3 +460,179 @@ def _(s, d):
     files = x.where("doc_id % 3 = 0").select(path, F.when(i % 23 == 0, "other").otherwise(sha).alias("sha256"))
     claims = x.where("doc_id % 13 <> 1").select(path, F.when(i % 11 == 0, "").otherwise(sha).alias("source_sha256"), i.alias("i"))
     return retention.quarantine_issues(files, claims.unionByName(claims.where("i % 43 = 2")))
+
+
+# --- scratch trees and their store -------------------------------------------------------------------------
+
+_TREE = "SELECT source AS tree, 'a/' || doc_id AS path, doc_id AS i, sha256(text) AS sha FROM documents"
+
+
+def _tree(s: SparkSession, d: str) -> DataFrame:
+    return t.table(s, d, "documents").select(F.col("source").alias("tree"), F.concat(F.lit("a/"), "doc_id").alias("path"), F.col("doc_id").alias("i"), F.sha2("text", 256).alias("sha"), F.col("n_chars").alias("bytes"))
+
+
+@query("scratch_reuse", f""", x AS ({_TREE}), y AS (SELECT *, i % 3 > 0 AND i % 4 > 0 AND i % 5 > 0 AND i % 7 <> 1 AND i % 11 > 0 AND i % 13 > 0 AND i % 17 > 0 AND (i % 6 > 1 OR i % 19 > 3) AS reused FROM x)
+ SELECT tree, path, reused, CASE WHEN reused THEN sha END AS content_sha256, CASE WHEN reused THEN i % 6 <= 1 END AS quarantined FROM y""")
+def _(s, d):
+    x, i = _tree(s, d), F.col("i")
+    prior = x.where("i % 3 > 0").select("tree", "path", (i % 4 > 0).alias("stored"), (i % 5 > 0).alias("present"), (i % 7 == 1).alias("capture_failed"), F.when(i % 11 > 0, F.col("sha")).otherwise("old").alias("source_sha256"), F.when(i % 13 > 0, F.col("sha")).alias("content_sha256"), (i % 6 <= 1).alias("quarantined"))
+    return scratch.reusable(x.select("tree", "path", F.col("sha").alias("source_sha256")), prior, x.where("i % 17 > 0"), x.where("i % 19 > 3"))
+
+
+_ENTRY = "SELECT source AS tree, n_chars AS bytes, doc_id % 3 > 0 AS stored, doc_id % 5 > 0 AS present FROM documents"
+
+
+def _entries_of(s: SparkSession, d: str) -> DataFrame:
+    return _tree(s, d).select("tree", "bytes", (F.col("i") % 3 > 0).alias("stored"), (F.col("i") % 5 > 0).alias("present"))
+
+
+@query("scratch_byte_split", f", x AS ({_ENTRY}) SELECT tree, coalesce(sum(bytes) FILTER (present AND stored), 0)::BIGINT AS archived, coalesce(sum(bytes) FILTER (present AND NOT stored), 0)::BIGINT AS unarchived FROM x GROUP BY tree")
+def _(s, d):
+    return scratch.byte_split(_entries_of(s, d))
+
+
+@query("scratch_wipe_split", f""", x AS ({_ENTRY}), l AS (SELECT source AS tree, sum(n_chars // 2) AS bytes FROM documents GROUP BY source), y AS (SELECT l.tree, l.bytes, coalesce(sum(x.bytes) FILTER (present AND stored), 0) AS told FROM l LEFT JOIN x ON l.tree = x.tree GROUP BY ALL)
+ SELECT tree, least(told, bytes)::BIGINT AS archived, (bytes - least(told, bytes))::BIGINT AS unarchived FROM y""")
+def _(s, d):
+    live = _tree(s, d).groupBy("tree").agg(F.sum(F.expr("bytes div 2")).alias("bytes"))
+    return scratch.wipe_split(live, _entries_of(s, d))
+
+
+@query("scratch_orphans", f""", x AS ({_TREE}), o AS (SELECT * FROM x WHERE i % 2 = 0 AND i % 7 IN (0, 3) AND tree NOT IN (SELECT tree FROM x WHERE i % 101 = 0))
+ SELECT tree, count(*) AS removed, count(*) FILTER (i % 7 = 3) AS by_cap FROM o GROUP BY tree""")
+def _(s, d):
+    x, i = _tree(s, d), F.col("i")
+    claims = x.select("tree", F.when(i % 101 > 0, F.col("path")).alias("path"), (~(i % 7).isin(0, 3)).alias("stored"))
+    return scratch.reconciled(x.where("i % 2 = 0"), claims, x.where("i % 7 = 3"))
+
+
+_TREE_STATE = f"""SELECT doc_id AS tree, 'conv-' || (doc_id % 150) AS session_uuid, doc_id % 31 = 0 AS foreign_, doc_id % 29 = 0 AS missing, doc_id % 23 = 0 AS other, doc_id % 19 = 0 AS corrupt, doc_id % 17 = 0 AS uncovered, CASE WHEN doc_id % 13 > 0 THEN doc_id % 40 ELSE 0 END AS age,
+ doc_id % 11 = 0 AS captured, doc_id % 7 = 0 AS lifted, 'conv-' || (doc_id % 150) IN ({_ACTIVE}) AS live FROM documents"""
+
+
+def _tree_sql(gates: str, floor: str, window: str) -> str:
+    return f""", x AS ({_TREE_STATE}), y AS (SELECT tree, CASE {gates} WHEN age < {floor} THEN 'TooYoung' WHEN age < {window} THEN 'RetainWindow' WHEN live OR age < 1 / 24.0 THEN 'SessionLive' ELSE '' END AS reason FROM x)
+ SELECT tree, CASE WHEN reason = '' THEN 'delete' WHEN reason IN ('TooYoung', 'RetainWindow', 'SessionLive', 'Captured', 'NotFullyArchived') THEN 'protected' ELSE 'unverified' END AS verdict, reason FROM y"""
+
+
+_GATES = "WHEN foreign_ THEN 'ForeignStoreDir' WHEN missing THEN 'NoCatalogRow' WHEN other THEN 'StoreKeyCollision' WHEN corrupt THEN 'UndecodableIdentity' WHEN uncovered THEN 'ShaMismatch'"
+
+
+def _tree_verdicts(s: SparkSession, d: str, policy: retention.Policy, *, wipe: bool = False) -> DataFrame:
+    i = F.col("doc_id")
+    x = t.table(s, d, "documents").select(
+        i.alias("tree"), F.concat(F.lit("conv-"), i % 150).alias("session_uuid"), (i % 31 == 0).alias("foreign"), F.when(i % 29 == 0, "missing").otherwise("ok").alias("manifest"),
+        F.when(i % 23 == 0, "other").when(i % 19 == 0, "corrupt").otherwise("same").alias("identity"), F.when(i % 13 > 0, i % 40).alias("age_days"), (i % 11 == 0).alias("captured"), (i % 7 == 0).alias("caps_lifted"),
+    )
+    covered = x.select("tree", F.when(F.col("tree") % 17 == 0, "ShaMismatch").otherwise("").alias("reason"))
+    return scratch.tree_verdicts(x, covered, _active(s, d), policy, wipe=wipe)
+
+
+@query("scratch_gate_aged", _tree_sql(_GATES, "7", "10"))
+def _(s, d):
+    return _tree_verdicts(s, d, retention.Policy(retain=(("scratch-file", 10),)))
+
+
+@query("scratch_gate_full", _tree_sql(f"{_GATES} WHEN captured THEN 'Captured' WHEN NOT lifted THEN 'NotFullyArchived'", "1 / 24.0", "0"))
+def _(s, d):
+    return _tree_verdicts(s, d, retention.Policy(full=True))
+
+
+@query("scratch_gate_wipe", _tree_sql("", "1 / 24.0", "0"))
+def _(s, d):
+    return _tree_verdicts(s, d, retention.Policy(), wipe=True)
+
+
+@query("gc_empty_dirs", """, x AS (SELECT url AS path, page_id AS i FROM pages), y AS (SELECT path, CASE WHEN i % 13 = 0 THEN 'OpenFailed' WHEN i % 3 > 0 THEN 'RetainWindow' WHEN i % 20 < 7 THEN 'TooYoung' ELSE '' END AS reason FROM x)
+ SELECT path, CASE reason WHEN '' THEN 'delete' WHEN 'OpenFailed' THEN 'unverified' ELSE 'protected' END AS verdict, reason FROM y""")
+def _(s, d):
+    i = F.col("page_id")
+    return scratch.empty_dir_verdicts(t.table(s, d, "pages").select(F.col("url").alias("path"), (i % 13 > 0).alias("readable"), (i % 3).alias("children"), (i % 20).alias("age_days")), retention.Policy())
+
+
+@query("gc_commit_flips", f"""{_verdict_sql(True, False)}, n AS (SELECT v.source_path, CASE WHEN a.id % 4 = 0 THEN 'protected' ELSE verdict END AS now FROM v JOIN artifacts a ON a.source_path = v.source_path WHERE a.id % 9 > 0)
+ SELECT verdict AS planned, now, count(*) AS n FROM v LEFT JOIN n ON v.source_path = n.source_path GROUP BY ALL""")
+def _(s, d):
+    v = _verdicts(s, d, retention.Policy(full=True))
+    i = F.element_at(F.split("source_path", "/"), -1).cast("long")
+    return ledger.flips(v, v.where(i % 9 > 0).withColumn("verdict", F.when(i % 4 == 0, "protected").otherwise(F.col("verdict"))))
+
+
+@query("stored_verification", "SELECT source_path AS path, NOT (id % 5 = 0 OR (id % 7 = 0 AND id % 13 > 0)) AS ok FROM artifacts")
+def _(s, d):
+    i, plain = F.col("id"), F.col("text").cast("binary")
+    a = t.artifacts(s, d).select(F.col("source_path").alias("path"), "id", plain.alias("content"))
+    kept = files.encoded(a.select("path", "content"))
+    hashes = a.select("path", F.when(i % 13 == 0, "").when(i % 7 == 0, "other").otherwise(F.sha2("content", 256)).alias("content_sha256"), "id")
+    stored = kept.join(hashes, "path").withColumn("stored_sha256", F.when(i % 5 == 0, "other").otherwise(F.sha2("content", 256)))
+    return ledger.stored_ok(stored, files.decoded(kept))
+
+
+@query("store_key_select", "SELECT CASE WHEN doc_id % 3 = 0 THEN '_hex--' || lower(hex(encode(source || '/x'))) || '--' || lower(hex(encode('u' || (doc_id % 10)))) WHEN doc_id % 3 = 1 THEN source || '--u' || (doc_id % 10) ELSE '_h256--' || doc_id END AS key, CASE WHEN doc_id % 3 = 2 AND doc_id % 7 = 0 THEN 'unreadable' ELSE 'match' END AS state FROM documents WHERE (doc_id % 3 < 2 AND doc_id % 10 = 4) OR (doc_id % 3 = 2 AND (doc_id % 7 = 0 OR doc_id % 10 = 4))")
+def _(s, d):
+    i = F.col("doc_id")
+    uuid, slug = F.concat(F.lit("u"), (i % 10).cast("string")), F.col("source")
+    key = F.when(i % 3 == 0, ledger.store_key(F.concat(slug, F.lit("/x")), uuid)).when(i % 3 == 1, ledger.store_key(slug, uuid)).otherwise(F.concat(F.lit("_h256--"), i.cast("string")))
+    return scratch.selected_keys(t.table(s, d, "documents").select(key.alias("key"), F.when(i % 7 == 0, "xyz").otherwise(F.lower(F.hex(uuid))).alias("uuid_hex")), "u4")
+
+
+@query("verify_keys", """, x AS (SELECT doc_id AS i, source || '--' || doc_id AS key FROM documents), y AS (SELECT key, i, CASE WHEN i % 23 = 0 THEN 'ForeignStoreDir' WHEN i % 19 = 0 THEN 'UnreadableStoreRoot' WHEN i % 17 = 0 THEN 'NoManifest' WHEN i % 17 = 1 THEN 'UnreadableManifest' WHEN i % 13 = 0 THEN 'StoreKeyCollision' END AS stop FROM x)
+ SELECT key, stop AS issue FROM y WHERE stop IS NOT NULL UNION ALL SELECT key, 'UndecodableIdentity' FROM y WHERE stop IS NULL AND i % 13 = 1 UNION ALL SELECT key, 'ForeignArtifact' FROM y WHERE stop IS NULL AND i % 5 = 0 UNION ALL SELECT key, unnest(['UndecodableEntry', 'UnreconcilableKey']) FROM y WHERE stop IS NULL AND i % 7 = 0""")
+def _(s, d):
+    i = F.col("doc_id")
+    slug, uuid = F.lower(F.hex("source")), F.lower(F.hex(i.cast("string")))
+    x = t.table(s, d, "documents").select(
+        ledger.store_key(F.col("source"), i.cast("string")).alias("key"), (i % 19 > 0).alias("readable"), (i % 23 == 0).alias("foreign"), F.when(i % 17 == 0, "missing").when(i % 17 == 1, "unreadable").otherwise("ok").alias("manifest"),
+        F.when(i % 13 == 0, F.lit("61")).when(i % 13 == 2, "").otherwise(slug).alias("slug_hex"), F.when(i % 13 == 1, "6").when(i % 13 == 2, "").otherwise(uuid).alias("uuid_hex"), F.when(i % 7 == 0, 2).otherwise(0).alias("undecodable"), F.when(i % 5 == 0, 1).otherwise(0).alias("irregular"),
+    )
+    return scratch.key_issues(x)
+
+
+@query("verify_legacy_layout", """, x AS (SELECT doc_id AS i, ['slug', '_scratch', '_history'][(doc_id % 3) + 1] || '/' || CASE WHEN doc_id % 3 < 2 THEN 'u' || doc_id || '/' ELSE '' END || doc_id || '.txt' AS path FROM documents),
+ y AS (SELECT i, path, CASE i % 3 WHEN 0 THEN 'u' || i || '/' || i || '.txt' WHEN 1 THEN '_scratch--u' || i || '/u' || i || '/' || i || '.txt' ELSE '_history/' || path END AS old FROM x)
+ SELECT CASE WHEN i % 4 = 1 THEN old ELSE path END AS path, CASE WHEN i % 4 = 1 THEN 'QuarantineLegacyLayout' ELSE 'QuarantineMissing' END AS issue FROM y WHERE i % 4 IN (1, 2)
+ UNION ALL SELECT 'other/' || i, 'QuarantineStray' FROM y WHERE i % 4 = 3 UNION ALL SELECT '_scratch--gone/' || i, 'QuarantineLegacyLayout' FROM y WHERE i % 8 = 3""")
+def _(s, d):
+    i = F.col("i")
+    name = F.concat(F.lit("u"), i.cast("string"))
+    x = t.table(s, d, "documents").select(F.col("doc_id").alias("i"), F.sha2("text", 256).alias("sha"))
+    x = x.withColumn("path", F.concat_ws("/", t.pick(["slug", "_scratch", "_history"], i % 3), F.when(i % 3 < 2, name), F.concat(i.cast("string"), F.lit(".txt"))))
+    x = x.withColumn("old", F.get(retention.legacy_places(F.col("path")), F.lit(0)))
+    at = F.explode(F.array_compact(F.array(F.when(i % 4 == 0, F.col("path")), F.when(i % 4 == 1, F.col("old")), F.when(i % 4 == 3, F.concat(F.lit("other/"), i.cast("string"))), F.when(i % 8 == 3, F.concat(F.lit("_scratch--gone/"), i.cast("string"))))))
+    return retention.quarantine_issues(x.select(at.alias("path"), F.col("sha").alias("sha256")), x.where("i % 4 < 3").select("path", F.col("sha").alias("source_sha256")))
+
+
+@query("scan_utf8_gate", """, x AS (SELECT doc_id AS id, doc_id % 7 AS k, text FROM documents) SELECT id, CASE k WHEN 2 THEN 'non-utf8' WHEN 3 THEN 'utf16-ambiguous' WHEN 4 THEN 'utf16-decode-failed' END AS reason, CASE WHEN k IN (2, 3, 4) THEN NULL WHEN k = 6 THEN repeat('é', 40) || chr(0) ELSE text END AS text FROM x""")
+def _(s, d):
+    k, text = F.col("doc_id") % 7, F.col("text").cast("binary")
+    wide = F.concat(F.lit(b"\xff\xfe"), F.encode("text", "UTF-16LE"))
+    content = (
+        F.when(k == 0, wide).when(k == 1, F.concat(F.lit(b"\xef\xbb\xbf"), text)).when(k == 2, F.concat(text, F.lit(b"\xff"))).when(k == 3, F.concat(text, F.lit(b"a\0" * 40)))
+        .when(k == 4, F.concat(wide, F.lit(b"a"))).when(k == 6, F.concat(F.repeat(F.lit("é"), 40).cast("binary"), F.lit(b"\0"))).otherwise(text)
+    )
+    return scanning.decoded_texts(t.table(s, d, "documents").select(F.col("doc_id").alias("id"), content.alias("content")))
+
+
+@query("scan_canonical", "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'AK' || 'IA-file ' || doc_id ELSE 'plain ' || doc_id || chr(10) END AS text FROM documents")
+def _(s, d):
+    x, i = t.table(s, d, "documents"), F.col("doc_id")
+    text = F.when(i % 4 == 0, F.concat(F.lit("A\u200b\uff2b\u0301IA-\u2060\ufb01le\xa0 "), i.cast("string"))).when(i % 4 == 1, F.concat(F.lit("plain\a "), i.cast("string"), F.lit("\n"))).otherwise(F.concat(F.lit("plain "), i.cast("string"), F.lit("\n")))
+    return scanning.canonical_texts(x.select(i.alias("id"), text.alias("text")))
+
+
+@query("scan_spans", f"{_FOUND} SELECT id, kind, row_number() OVER (PARTITION BY id ORDER BY pos) AS no, pos::BIGINT AS span_start, (pos + octet_length(encode(found)))::BIGINT AS span_end FROM f")
+def _(s, d):
+    f = scanning.scanned(_planted(s, d)).select("id", F.posexplode("findings").alias("at", "f"))
+    return f.select("id", "f.kind", (F.col("at") + 1).cast("long").alias("no"), "f.span_start", (F.col("f.span_start") + F.col("f.span_len")).alias("span_end"))
+
+
+@query("rescan_fixpoint", f"{_STORED} SELECT count(*) AS changed, count(*) AS fixpoints FROM r")
+def _(s, d):
+    return scanning.rescan_plan(_stored(s, d)).agg(F.count("*").alias("changed"), F.count_if("fixpoint").alias("fixpoints"))
+
+
+@query("gc_age_policy", "SELECT role, count(*) AS n, count(*) FILTER (age_days >= CASE role WHEN 'transcript' THEN 90 WHEN 'subagent' THEN 90 WHEN 'mcp' THEN 14 ELSE 7 END) AS old_enough FROM artifacts GROUP BY role")
+def _(s, d):
+    policy = retention.Policy()
+    old = F.col("age_days") >= F.greatest(F.lit(float(policy.floor())), policy.window(F.col("role")))
+    return t.artifacts(s, d).groupBy("role").agg(F.count("*").alias("n"), F.count_if(old).alias("old_enough"))

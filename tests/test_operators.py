@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnlake.functions.units import parse_duration, parse_size, show_duration
-from tarnlake.operators import ledger, retention, scanning, search, transcripts
+from tarnlake.operators import ledger, retention, scanning, scratch, search, transcripts
 from tarnlake.sources import files
 from tarnlake.streaming.capture import LEDGER, capture_stream
 
@@ -140,3 +140,34 @@ def test_empty_tables(spark):
     a = spark.createDataFrame([], "id long, redacted int, quarantined int, verified_at string, source_bytes long")
     r = ledger.status(spark.createDataFrame([], "uuid string"), a).first()
     assert tuple(r) == (0, 0, 0, 0, 0, 0)
+
+
+def test_quarantine_layouts(spark):
+    claim = spark.createDataFrame([("slug/u1/a", "x"), ("_scratch/k/a", "x"), ("_history/h", "x"), ("slug/u2/b", "x")], "path string, source_sha256 string")
+    there = spark.createDataFrame([("u1/slug/u1/a", "x"), ("_scratch--k/k/a", "y"), ("_history/_history/h", "x"), ("u2/other", "x"), ("q/q/r", "x"), ("q/r", "x")], "path string, sha256 string")
+    got = {tuple(r) for r in retention.quarantine_issues(there, claim).collect()}
+    old = {"u1/slug/u1/a", "_scratch--k/k/a", "_history/_history/h", "u2/other", "q/q/r"}
+    assert got == {(p, "QuarantineLegacyLayout") for p in old} | {("slug/u2/b", "QuarantineMissing"), ("q/r", "QuarantineStray")}
+
+
+def test_keys(spark):
+    keys = spark.createDataFrame([("a--u1", None), ("b--u1", None), ("_h256--x", "7532"), ("_h256--y", "zz"), ("_hex--61--753", None)], "key string, uuid_hex string")
+    assert scratch.the_key(keys, "b--u1") == "b--u1" and scratch.the_key(keys, "u2") == "_h256--x"
+    for selector, why in (("u1", "ambiguous"), ("u9", "no such")):
+        with pytest.raises(LookupError, match=why):
+            scratch.the_key(keys, selector)
+
+
+def test_nothing_is_reused_when_the_policy_changed(spark):
+    live = spark.createDataFrame([("t", "p", "h")], "tree string, path string, source_sha256 string")
+    prior = spark.createDataFrame([("t", "p", True, True, False, "h", "c", False)], "tree string, path string, stored boolean, present boolean, capture_failed boolean, source_sha256 string, content_sha256 string, quarantined boolean")
+    reused = lambda **k: scratch.reusable(live, prior, live, live.where("false"), **k).first()["reused"]
+    assert reused() and not reused(same_policy=False) and not reused(rearchive=True)
+    assert scanning.policy_digest(["a", "b"]) == scanning.policy_digest(["b", "a"]) != scanning.policy_digest(["ab"])
+    assert scanning.policy_digest(["a"], enabled=False) == scanning.policy_digest([], enabled=False, quarantine_all=True)
+
+
+def test_encodings(spark):
+    rows = [(0, None), (1, b""), (2, "é".encode("utf-16")), (3, b"\xfe\xff\xd8\x00"), (4, b"ok\0"), (5, b"a" * 60 + b"\0"), (6, b"\xef\xbb\xbf\xff")]
+    got = {r["id"]: (r["text"], r["reason"]) for r in scanning.decoded_texts(spark.createDataFrame(rows, "id long, content binary")).collect()}
+    assert got == {0: ("", None), 1: ("", None), 2: ("é", None), 3: (None, "utf16-decode-failed"), 4: (None, "utf16-ambiguous"), 5: ("a" * 60 + "\0", None), 6: (None, "non-utf8")}
