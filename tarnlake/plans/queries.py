@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.operators import ledger, retention, scanning, scratch, search, transcripts
+from tarnlake.operators import index, ledger, paths, retention, scanning, scratch, search, transcripts
 from tarnlake.sources import files
 from tarnlake.sources import tables as t
 
@@ -636,3 +636,92 @@ def _(s, d):
     policy = retention.Policy()
     old = F.col("age_days") >= F.greatest(F.lit(float(policy.floor())), policy.window(F.col("role")))
     return t.artifacts(s, d).groupBy("role").agg(F.count("*").alias("n"), F.count_if(old).alias("old_enough"))
+
+
+# --- upkeep of index and ledger ----------------------------------------------------------------------------
+
+
+@query("findings_replace", "SELECT id, 'old' AS kind FROM artifacts WHERE id % 2 = 0 AND id % 3 > 0 UNION ALL SELECT id, 'new' FROM artifacts WHERE id % 6 = 0")
+def _(s, d):
+    a = t.artifacts(s, d).select("id")
+    found = lambda rows, kind: rows.withColumn("kind", F.lit(kind))
+    return index.replaced(found(a.where("id % 2 = 0"), "old"), a.where("id % 3 = 0"), found(a.where("id % 6 = 0"), "new"), "id")
+
+
+@query("index_delete_session", "SELECT entry_uuid, session_uuid FROM entries WHERE session_uuid <> 'conv-3'")
+def _(s, d):
+    return index.without_session(t.entries(s, d), "conv-3").select("entry_uuid", "session_uuid")
+
+
+@query("index_watermarks", """SELECT source_path, source_sha256, 1::BIGINT AS doc_count, 'then' AS indexed_at FROM artifacts WHERE archived AND id % 10 > 0
+ UNION ALL SELECT source_path, live_sha256, count(e.entry_uuid), 'now' FROM artifacts a LEFT JOIN entries e ON e.artifact_id = a.id WHERE a.id % 10 = 0 GROUP BY source_path, live_sha256""")
+def _(s, d):
+    a = t.artifacts(s, d)
+    old = a.where("archived").select("source_path", "source_sha256", F.lit(1).cast("long").alias("doc_count"), F.lit("then").alias("indexed_at"))
+    return index.watermarked(old, t.entries(s, d), a.where("id % 10 = 0").select(F.col("id").alias("artifact_id"), "source_path", F.col("live_sha256").alias("source_sha256")), "now")
+
+
+@query("index_report", ", x AS (SELECT id, archived AND source_sha256 = live_sha256 AS same FROM artifacts) SELECT count(*) FILTER (same) AS up_to_date, count(*) FILTER (NOT same) AS to_index, coalesce(sum(id % 4) FILTER (NOT same), 0)::BIGINT AS skipped_lines FROM x")
+def _(s, d):
+    a = t.artifacts(s, d)
+    now = a.select(F.col("id").alias("artifact_id"), "source_path", F.col("live_sha256").alias("source_sha256"))
+    return index.index_report(now, a.where("archived").select("source_path", "source_sha256"), a.where("id % 4 > 0").select(F.col("id").alias("artifact_id"), (F.col("id") % 4).alias("n")))
+
+
+@query("rescan_update", """SELECT id, source_path, source_sha256, CASE WHEN id % 8 = 1 THEN 'new' ELSE source_sha256 END AS stored_sha256, CASE WHEN id % 8 = 1 THEN 7 ELSE source_bytes END::BIGINT AS stored_bytes, CASE WHEN id % 8 = 1 THEN 1 ELSE redacted END AS redacted,
+ CASE WHEN id % 8 = 1 THEN (id % 16 = 1)::INT ELSE quarantined END AS quarantined, CASE WHEN id % 8 = 1 THEN 'now' ELSE verified_at END AS verified_at FROM artifacts""")
+def _(s, d):
+    a = t.artifacts(s, d).select("id", "source_path", "source_sha256", F.col("source_sha256").alias("stored_sha256"), F.col("source_bytes").alias("stored_bytes"), "redacted", "quarantined", "verified_at")
+    changes = a.where("id % 8 = 1").select("id", F.lit("new").alias("stored_sha256"), F.lit(7).cast("long").alias("stored_bytes"), F.lit(1).alias("redacted"), (F.col("id") % 16 == 1).cast("int").alias("quarantined"))
+    return index.rescan_updated(a, changes, "now")
+
+
+@query("manifest_merge", """, r AS (SELECT session_uuid, CASE WHEN id % 5 = 0 THEN 2 ELSE 1 END AS findings, CASE WHEN id % 5 = 0 THEN 0 ELSE 1 END AS redacted, id % 5 = 0 AND id % 2 = 0 AS quarantined FROM artifacts WHERE id % 3 > 0 OR id % 5 = 0)
+ SELECT session_uuid, count(*) AS artifacts, sum(findings)::BIGINT AS findings, sum(redacted)::BIGINT AS redacted, bool_or(quarantined) AS quarantined FROM r GROUP BY 1""")
+def _(s, d):
+    a, i = t.artifacts(s, d), F.col("id")
+    record = lambda rows, n, m, q: rows.select("session_uuid", F.col("source_path").alias("source"), F.lit(n).alias("findings"), F.lit(m).alias("redacted"), q.alias("quarantined"))
+    return index.summary(index.overlaid(record(a.where("id % 3 > 0"), 1, 1, F.lit(False)), record(a.where("id % 5 = 0"), 2, 0, i % 2 == 0)))
+
+
+# --- paths and inventories ---------------------------------------------------------------------------------
+
+_PLACES = ["/home/u[1]/.keys.json", "/home/u[1]/backups/a/b", "/home/u[1]/./x/../.lake//y", "/srv/abc/x", "/data/k.pem", "/home/u1/.keys.json", "/home/u[1]/backup/a", "/home/u[1]/.lakes"]
+
+
+@query("path_gates", f""", x AS (SELECT doc_id AS id, doc_id % 8 AS k FROM documents) SELECT id, replace(replace({_PLACES!r}[k + 1], './x/../', ''), '//', '/') AS normal, k <= 4 AS denied, k IN (0, 1, 2, 6, 7) AS inside FROM x""")
+def _(s, d):
+    x = t.table(s, d, "documents").select(F.col("doc_id").alias("id"), t.pick(_PLACES, F.col("doc_id") % 8).alias("path"))
+    p = F.col("path")
+    return x.select("id", paths.normal_path(p).alias("normal"), paths.denied(p, ["~/.keys.json", "~/backups/**", "/srv/a*/x", "*.pem"], "/home/u[1]", "/home/u[1]/.lake").alias("denied"), paths.contained(p, ["/home/u[1]/", "/tmp"]).alias("inside"))
+
+
+@query("live_sessions", """SELECT 'conv-' || (doc_id % 50) AS session_uuid FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 > 0 UNION SELECT 'conv-' || (100 + doc_id % 20) FROM documents WHERE doc_id % 2 = 0 AND doc_id % 40 >= 30""")
+def _(s, d):
+    x, i = t.table(s, d, "documents"), F.col("doc_id")
+    records = x.select(i.alias("pid"), F.when(i % 4 == 0, "{broken").otherwise(F.to_json(F.struct(F.concat(F.lit("conv-"), i % 50).alias("sessionId")))).alias("content"))
+    locks = x.select(F.concat(F.lit("/locks/conv-"), 100 + i % 20, F.when(i % 2 == 0, ".lock").otherwise(".tmp")).alias("path"), (i % 40).alias("modified"))
+    return paths.active_sessions(records, x.where("doc_id % 3 = 0").select(i.alias("pid")), locks, F.lit(30))
+
+
+@query("scratch_trees", """SELECT source || '/' || (doc_id % 3) AS tree, count(*) AS files, sum(n_chars)::BIGINT AS bytes, max(doc_id % 40) AS newest FROM documents GROUP BY 1 UNION ALL SELECT DISTINCT source || '/empty', 0, 0, NULL FROM documents""")
+def _(s, d):
+    x, i = t.table(s, d, "documents"), F.col("doc_id")
+    files_ = x.select(F.concat_ws("/", F.lit("/tmp/r"), "source", i % 3, i).alias("path"), F.col("n_chars").alias("bytes"), (i % 40).alias("modified"))
+    dirs = x.select(F.concat_ws("/", F.lit("/tmp/r"), "source", F.lit("empty")).alias("path"), F.lit(None).cast("long").alias("bytes"), F.lit(1).cast("long").alias("modified")).distinct()
+    return paths.trees(files_.unionByName(dirs), "/tmp/r/")
+
+
+@query("empty_dir_scan", "SELECT '/d/' || (doc_id % 50) || '/' || doc_id AS path, 4::BIGINT AS depth FROM documents WHERE doc_id % 3 = 0")
+def _(s, d):
+    x, i = t.table(s, d, "documents"), F.col("doc_id")
+    above, own = F.concat(F.lit("/d/"), i % 50), F.concat(F.lit("/d/"), i % 50, F.lit("/"), i)
+    return paths.empty_dirs(x.select(F.explode(F.array(above, own)).alias("path")), x.where("doc_id % 3 > 0").select(F.concat(own, F.lit("/f")).alias("path")))
+
+
+@query("user_roots", "SELECT 'u' || doc_id AS user, doc_id AS uid, '/home/u' || doc_id AS home FROM documents WHERE doc_id % 7 > 0 AND doc_id % 5 > 0 AND doc_id % 2 = 0")
+def _(s, d):
+    x, i = t.table(s, d, "documents"), F.col("doc_id")
+    home = F.concat(F.when(i % 5 > 0, "/home/u").otherwise("/var/u"), i)
+    line = F.concat(F.lit("u"), i, F.lit(":x:"), F.when(i % 7 > 0, i.cast("string")).otherwise("bad"), F.lit(":9:a, b:"), home, F.lit(":/bin/sh"))
+    return paths.user_roots(x.select(line.alias("value")), x.where("doc_id % 2 = 0").select(F.concat(home, F.lit("/.sessions")).alias("path")), "/home", ".sessions")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnlake.functions.units import parse_duration, parse_size, show_duration
-from tarnlake.operators import ledger, retention, scanning, scratch, search, transcripts
+from tarnlake.operators import index, ledger, paths, retention, scanning, scratch, search, transcripts
 from tarnlake.sources import files
 from tarnlake.streaming.capture import LEDGER, capture_stream
 
@@ -171,3 +171,42 @@ def test_encodings(spark):
     rows = [(0, None), (1, b""), (2, "é".encode("utf-16")), (3, b"\xfe\xff\xd8\x00"), (4, b"ok\0"), (5, b"a" * 60 + b"\0"), (6, b"\xef\xbb\xbf\xff")]
     got = {r["id"]: (r["text"], r["reason"]) for r in scanning.decoded_texts(spark.createDataFrame(rows, "id long, content binary")).collect()}
     assert got == {0: ("", None), 1: ("", None), 2: ("é", None), 3: (None, "utf16-decode-failed"), 4: (None, "utf16-ambiguous"), 5: ("a" * 60 + "\0", None), 6: (None, "non-utf8")}
+
+
+def test_tokenizer_changes_by_rebuild_only():
+    assert index.tokenizer_for(None, "unicode61") == index.tokenizer_for("unicode61", "unicode61") == "unicode61"
+    for recorded, asked in ((None, "trigram"), ("unicode61", "trigram"), ("trigram", "unicode61")):
+        with pytest.raises(index.TokenizerMismatch):
+            index.tokenizer_for(recorded, asked)
+        assert index.tokenizer_for(recorded, asked, rebuild=True) == asked
+    with pytest.raises(ValueError, match="unknown"):
+        index.tokenizer_for(None, "porter", rebuild=True)
+
+
+def test_replacement(spark):
+    old = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "id long, kind string")
+    touched = spark.createDataFrame([(1,), (3,), (None,)], "id long")
+    new = spark.createDataFrame([(3, "e"), (3, "e")], "id long, kind string")
+    got = sorted(((r["id"] or 0, r["kind"]) for r in index.replaced(old, touched, new, "id").collect()))
+    assert got == [(0, "d"), (2, "c"), (3, "e"), (3, "e")]
+    rows = spark.createDataFrame([("a",), (None,), ("b",)], "session_uuid string")
+    assert {r[0] for r in index.without_session(rows, "a").collect()} == {None, "b"}
+
+
+def test_paths(spark):
+    p = ["/a/./b//c/../d/", "/../x", "/", "/home/u/x", "/home/user2", "/home/u", "/etc/../home/u/y", None]
+    x = spark.createDataFrame([(v,) for v in p], "path string").select(paths.normal_path(F.col("path")).alias("n"), paths.contained(F.col("path"), ["/home/u"]).alias("c")).collect()
+    assert [r["n"] for r in x] == ["/a/b/d", "/x", "/", "/home/u/x", "/home/user2", "/home/u", "/home/u/y", None]
+    assert [r["c"] for r in x] == [False, False, False, True, False, True, True, False]
+    deny = lambda *rows: [r[0] for r in spark.createDataFrame([(v,) for v in rows], "path string").select(paths.denied(F.col("path"), ["~/a?/k", "/s/*.key", "b*/c"], "/h*", "/st.ore")).collect()]
+    assert deny("/h*/ab/k", "/s/x.key", "/q/bb/c", "/st.ore", "/st.ore/x", "/s/../st.ore", None) == [True] * 7
+    assert deny("/hh/ab/k", "/h*/a/k", "/s/x.keys", "/st-ore", "/stxore/x", "/q/c") == [False] * 6
+
+
+def test_inventories_of_nothing(spark):
+    none = lambda schema: spark.createDataFrame([], schema)
+    assert paths.trees(none("path string, bytes long, modified long"), "/t").count() == 0
+    assert paths.empty_dirs(none("path string"), none("path string")).count() == 0
+    assert paths.active_sessions(none("pid long, content string"), none("pid long"), none("path string, modified long"), F.lit(0)).count() == 0
+    bad = spark.createDataFrame([("",), ("root:x:0:0:r:/root:/bin/sh",), ("u:x:1",), (None,)], "value string")
+    assert paths.user_roots(bad, none("path string"), "/home", ".s").count() == 0
