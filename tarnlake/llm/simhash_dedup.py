@@ -32,9 +32,9 @@ MAX_BITS = 4
 SEGMENTS = (11, 11, 11, 11, 10, 10)
 PIVOTS = 24
 BLOCK = 1024
-#: deduplicate(): fingerprints of each text's distinct words, words of a shingle, least similarity, and shingles of a sketch.
+#: deduplicate(): fingerprints of each text's distinct words, words of a shingle, and least similarity.
 VIEWS = 8
-SHINGLE, SIMILAR, SKETCH = 5, 0.8, 192
+SHINGLE, SIMILAR = 5, 0.8
 #: Bits in which candidates of a view may differ, closest first; they are verified, so the filter may be wide.
 WIDE_BITS = (2, MAX_BITS, 8, 14)
 
@@ -228,7 +228,7 @@ def _classes(h: np.ndarray, counts: np.ndarray) -> list[int]:
 
 
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: a hash of its word sequence, VIEWS fingerprints of its distinct words, and the least hashes of its shingles."""
+    """Per text: a hash of its word sequence, VIEWS fingerprints of its distinct words, and the hashes of all its shingles."""
     seeds = mix(np.arange(1, VIEWS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
     for b in batches:
         cls, fps, sketch = [], [], []
@@ -242,7 +242,7 @@ def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 run = w[: max(1, len(w) - SHINGLE + 1)].copy()
                 for k in range(1, min(SHINGLE, len(w))):
                     run = mix(run) + w[k : k + len(run)]
-                sketch.append(np.unique((mix(run) >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes())
+                sketch.append(np.unique((mix(run) >> np.uint64(32)).astype(np.uint32)).tobytes())
         yield pa.RecordBatch.from_arrays(
             [b.column(0), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array([f.tobytes() for f in fps], pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "cls", "fps", "sketch"]
         )
@@ -260,12 +260,10 @@ def _band_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def resemblance(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets: exact while both fit their sketches, else estimated from the least SKETCH hashes of their union."""
+    """Jaccard similarity of two shingle sets."""
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    least = np.union1d(x, y)
-    if max(len(x), len(y)) >= SKETCH:
-        least = least[:SKETCH]
-    return float(np.isin(least, x).astype(int) @ np.isin(least, y).astype(int)) / max(1, len(least))
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / max(1, len(x) + len(y) - shared)
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -285,3 +285,8 @@ def test_word_hashes():
 def test_resemblance():
     a, b = np.arange(100, dtype=np.uint32), np.arange(10, 110, dtype=np.uint32)
     assert simhash_dedup.resemblance(a.tobytes(), b.tobytes()) == 90 / 110
+
+
+def test_long_sets_are_compared_whole():
+    a, b = np.arange(1000, dtype=np.uint32), np.arange(100, 1100, dtype=np.uint32)
+    assert simhash_dedup.resemblance(a.tobytes(), b.tobytes()) == 900 / 1100
