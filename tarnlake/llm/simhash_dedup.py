@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnlake.llm.components import connected_components
-from tarnlake.llm.shared import LOWER, mix, neutral, raw, stage
+from tarnlake.llm.shared import LOWER, mix, neutral, raw, stage, unstage
 from tarnlake.llm.words import runs_of, words_of
 
 SEED = 42
@@ -32,11 +32,12 @@ MAX_BITS = 4
 SEGMENTS = (11, 11, 11, 11, 10, 10)
 PIVOTS = 24
 BLOCK = 1024
-#: deduplicate(): fingerprints of each text's distinct words, words of a shingle, and least similarity.
-VIEWS = 8
-SHINGLE, SIMILAR = 5, 0.8
-#: Bits in which candidates of a view may differ, closest first; they are verified, so the filter may be wide.
+#: deduplicate(): words of a shingle, least similarity as a fraction, and 64-bit words of a set's parity bits.
+SHINGLE, SIMILAR, PARITY = 5, (4, 5), 8
+#: Bits in which first candidates may differ, closest first; they are verified, so the filter may be wide.
 WIDE_BITS = (2, MAX_BITS, 8, 14)
+#: Shingles found so often in a batch are put last in the order of shingles, at most COMMON of them.
+OFTEN, COMMON = 3, 1 << 19
 
 _shift = np.cumsum([0, *SEGMENTS[:-1]]).astype(np.uint64)
 _mask = np.array([(1 << n) - 1 for n in SEGMENTS], np.uint64) << _shift
@@ -227,67 +228,189 @@ def _classes(h: np.ndarray, counts: np.ndarray) -> list[int]:
     return mix(sums[ends] - sums[ends - counts]).tolist()
 
 
-def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: a hash of its word sequence, VIEWS fingerprints of its distinct words, and the hashes of all its shingles."""
-    seeds = mix(np.arange(1, VIEWS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text: a hash of its word sequence, the fingerprint of its distinct words, and the sorted hashes of all its shingles."""
     for b in batches:
-        cls, fps, sketch = [], [], []
-        for _, h, counts in runs_of(raw(b.column(1))):
-            cls += _classes(h, counts)
+        for first, h, counts in runs_of(raw(b.column(1))):
             at = np.concatenate(([0], np.cumsum(counts)))
+            fps, sets = [], []
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 w = h[lo:hi]
-                own = np.unique(w)
-                fps.append(np.array([simhash(mix(own ^ s)) for s in seeds], np.uint64))
+                fps.append(simhash(mix(np.unique(w))))
                 run = w[: max(1, len(w) - SHINGLE + 1)].copy()
                 for k in range(1, min(SHINGLE, len(w))):
                     run = mix(run) + w[k : k + len(run)]
-                sketch.append(np.unique((mix(run) >> np.uint64(32)).astype(np.uint32)).tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array([f.tobytes() for f in fps], pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "cls", "fps", "sketch"]
-        )
+                sets.append(np.unique(mix(run)).tobytes())
+            cls = np.array(_classes(h, counts), np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(counts)), pa.array(cls), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], ["doc_id", "cls", "fp", "shingles"])
 
 
-def _band_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _flat(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of the sets, and the size of each."""
+    return np.frombuffer(b"".join(sets), np.uint64), np.fromiter(map(len, sets), np.int64, len(sets)) // 8
+
+
+def _slices(b: pa.RecordBatch, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    for at in range(0, b.num_rows, rows):
+        yield b.slice(at, rows)
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles found OFTEN in a batch, and how often."""
     for b in batches:
-        for at in range(0, b.num_rows, 2048):
-            rep = b.column(0).slice(at, 2048).to_numpy()
-            fps = np.frombuffer(b"".join(b.column(1).slice(at, 2048).to_pylist()), np.uint64).reshape(-1, VIEWS)
-            for v in range(VIEWS):
-                keys = mix(bucket_keys(coordinates(fps[:, v])) + np.uint64(v))
-                n = keys.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(rep, n)), pa.array(np.repeat(fps[:, v], n).view(np.int64))], ["key", "rep", "fp"])
+        own, n = np.unique(_flat(b.column(0).to_pylist())[0], return_counts=True)
+        own, n = own[n >= OFTEN], n[n >= OFTEN]
+        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+
+def _prefixes(common: np.ndarray, times: np.ndarray):
+    """(key, rep, n, at): the first shingles of each set in the order of (how common, hash), and their places.
+
+    Two sets of n shingles or more and a similarity of SIMILAR share one of their first n - ceil(SIMILAR * n) + 1, whatever the order is.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in _slices(whole)):
+            h, sizes = _flat(b.column(1).to_pylist())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            often = np.zeros(len(h), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                often = np.where(common[at] == h, times[at], 0)
+            order = np.lexsort((h, often, row))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            kept = place < (sizes - -(-sizes * SIMILAR[0] // SIMILAR[1]) + 1)[row]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[order][kept].view(np.int64)), b.column(0).take(pa.array(row[kept])), pa.array(sizes[row[kept]].astype(np.int32)), pa.array(place[kept].astype(np.int32))], ["key", "rep", "n", "at"]
+            )
+
+    return run
+
 
+def parity(shingles: bytes) -> bytes:
+    """A bit for each of PARITY * 64 remainders: whether an odd number of shingles has it. Two sets differ in at least as many shingles as their bits do."""
+    at = (np.frombuffer(shingles, np.uint64) % np.uint64(PARITY * 64)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=PARITY * 64) & 1).astype(np.uint8)).tobytes()
 
-def resemblance(a: bytes, b: bytes) -> float:
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parity(x) for x in b.column(1).to_pylist()], pa.binary())], ["rep", "bits"])
+
+
+def _enough(shared: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether so many shared shingles make sets of x and y shingles similar: SIMILAR or more of the union."""
+    return shared * (SIMILAR[0] + SIMILAR[1]) >= SIMILAR[0] * (x + y)
+
+
+def bucket_candidates(group: np.ndarray, n: np.ndarray, at: np.ndarray, component: np.ndarray, own: np.ndarray, single: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs within a group that may be similar and are of different components.
+
+    Left out are only pairs whose sizes, places of the shared shingle (of their first one, if similar), or parity bits rule it out;
+    in a group of two blocks, those within one block, which has a group of its own.
+    """
+    order = np.lexsort((n, group))
+    group, n, at, component, own, single, bits = (x[order] for x in (group, n, at, component, own, single, bits))
+    left, right = [], []
+    for step in range(1, len(n)):
+        i = np.flatnonzero((group[step:] == group[:-step]) & (n[:-step] * SIMILAR[1] >= n[step:] * SIMILAR[0]))
+        if not len(i):
+            break
+        j = i + step
+        ok = (component[i] != component[j]) & (single[i] | (own[i] != own[j]))
+        ok &= _enough(1 + np.minimum(n[i] - at[i] - 1, n[j] - at[j] - 1), n[i], n[j])
+        i, j = i[ok], j[ok]
+        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+        ok = _enough((n[i] + n[j] - apart) // 2, n[i], n[j])
+        left.append(order[i[ok]])
+        right.append(order[j[ok]])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) of groups (key, lo, hi) of a sorted partition; a group may go over several batches."""
+    def emit(rows: np.ndarray, bits: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+        i, j = bucket_candidates(group, rows[:, 4], rows[:, 5], rows[:, 6], rows[:, 7], rows[:, 1] == rows[:, 2], bits)
+        a, b = rows[i, 3], rows[j, 3]
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], ["a", "b"])
+
+    held, held_bits = np.zeros((0, 8), np.int64), np.zeros((0, PARITY), np.uint64)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = np.concatenate([held, np.stack([b.column(k).to_numpy() for k in range(8)], 1)])
+        bits = np.concatenate([held_bits, np.frombuffer(b"".join(b.column(8).to_pylist()), np.uint64).reshape(-1, PARITY)])
+        group = np.concatenate(([0], np.cumsum((rows[1:, :3] != rows[:-1, :3]).any(1))))
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield emit(rows[:cut], bits[:cut], group[:cut])
+        held, held_bits = rows[cut:], bits[cut:]
+    if len(held):
+        yield emit(held, held_bits, np.zeros(len(held), np.int64))
+
+
+def resemblance(a: bytes, b: bytes, kind: type = np.uint32) -> float:
     """Jaccard similarity of two shingle sets."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    x, y = np.frombuffer(a, kind), np.frombuffer(b, kind)
     shared = len(np.intersect1d(x, y, assume_unique=True))
     return shared / max(1, len(x) + len(y) - shared)
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keep = [resemblance(x, y) >= SIMILAR for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        keep = [resemblance(x, y, np.uint64) * SIMILAR[1] >= SIMILAR[0] for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose whole shingle sets are similar."""
+    side = lambda name: reps.select(F.col("cls").alias(name), F.col("shingles").alias(f"shingles_{name}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_similar, "a long, b long")
+
+
+def exact_candidates(reps: DataFrame, component: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of (cls, shingles) rows that hold all similar ones of different components: prefix, length, positional and parity filters."""
+    common = stage(reps.select("shingles").mapInArrow(_common, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "common")
+    level = F.floor(F.log2("n") * 64).cast("int")
+    least, room = 1 << 20, COMMON
+    for r in sorted(common.groupBy(level.alias("level")).agg(F.count("*").alias("m")).collect(), reverse=True):
+        if r["m"] > room:
+            break
+        least, room = r["level"], room - r["m"]
+    top = common.where(level >= least).toPandas()
+    h = top["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    entries = reps.select("cls", "shingles").mapInArrow(_prefixes(h[order], top["n"].to_numpy(np.int64)[order]), "key long, rep long, n int, at int")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    buckets = stage(entries.join(sizes, "key"), "buckets")
+    parts = F.ceil(F.col("m") / F.lit(block)).cast("long")
+    known = reps.select("cls", "shingles").mapInArrow(_parities, "rep long, bits binary").join(component.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "bits")
+    dealt = (
+        buckets.withColumns({"own": F.pmod(F.xxhash64("rep"), parts), "other": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))})
+        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", F.col("n").cast("long"), F.col("at").cast("long"), "own")
+        .join(known, "rep").select("key", "lo", "hi", "rep", "n", "at", "component", "own", "bits")
+    )
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_candidates, "a long, b long").distinct()
+
+
 def keepers(docs: DataFrame) -> DataFrame:
     """(doc_id, cls): of each group of near-duplicates the row that stays, the one of the least doc_id (null last).
 
-    Candidates share a bucket of one of VIEWS fingerprints of their distinct words (certain for four differing bits,
-    likely for up to WIDE_BITS[-1]), and are linked if
-    the sets of their five-word shingles have a Jaccard similarity of SIMILAR or more. Texts of the same words are one class.
+    Texts are linked if the sets of their five-word shingles have a Jaccard similarity of SIMILAR or more, which is decided on
+    the whole sets. Close fingerprints are verified first; what they leave in different groups is then looked for among
+    exact_candidates(), so that no link between groups is missed. Texts of the same words are one class.
     """
-    marks = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_views, "doc_id long, cls long, fps binary, sketch binary"), "views")
+    marks = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sets, "doc_id long, cls long, fp long, shingles binary"), "sets")
     classes = marks.groupBy("cls").agg(F.min("doc_id").alias("least"))
-    # fingerprints and sketches depend on the class alone: those of the row with the least id stand for it
+    # fingerprints and sets depend on the class alone: those of the row with the least id stand for it
     own = (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("least"))
-    reps = stage(marks.join(classes.withColumnRenamed("cls", "c"), own).dropDuplicates(["cls"]).select("cls", "least", "fps", "sketch"), "reps")
-    pairs = linked(reps.select("cls", "fps").mapInArrow(_band_views, "key long, rep long, fp long"), tiers=WIDE_BITS).distinct()
-    side = lambda name: reps.select(F.col("cls").alias(name), F.col("sketch").alias(f"sketch_{name}"))
-    found = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(_similar, "a long, b long")
-    component = connected_components(found)
+    reps = stage(marks.join(classes.withColumnRenamed("cls", "c"), own).dropDuplicates(["cls"]).select("cls", "least", "fp", "shingles"), "reps")
+    unstage(docs.sparkSession, marks)
+    close = linked(reps.select(F.col("cls").alias("rep"), "fp").mapInArrow(_band, "key long, rep long, fp long"), tiers=WIDE_BITS).distinct()
+    found = stage(_verified(close, reps), "close")
+    more = _verified(exact_candidates(reps, connected_components(found)), reps)
+    component = connected_components(found.unionByName(more))
     named = reps.select("cls", "least").join(component, F.col("cls") == F.col("id"), "left")
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cls")).alias("x")
     return named.groupBy(F.coalesce("component", "cls").alias("group")).agg(first).select(F.col("x.least").alias("keep_id"), F.col("x.cls").alias("keep_cls"))

@@ -287,6 +287,27 @@ def test_resemblance():
     assert simhash_dedup.resemblance(a.tobytes(), b.tobytes()) == 90 / 110
 
 
+def test_keepers_against_brute_force(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    line = " ".join(word() for _ in range(40))
+    texts = []
+    for n in (12, 30, 60, 150, 300, 700):
+        for k in range(16):
+            base = [word() for _ in range(n)]
+            cut = max(1, round(n * (0.09 + 0.012 * k)))
+            other = base[cut // 2 :] + [word() for _ in range(cut // 2)] if k % 2 else base + [word() for _ in range(cut)]
+            # a third one between the two, or one that only links to the second
+            texts += [" ".join(base), " ".join(other), " ".join(other + [word() for _ in range(cut // 2)])]
+            if k % 4 == 0:
+                texts.append(line + " " + " ".join(base[: n // 2]))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    near = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert 40 < len(near) < 300
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.keep_id for x in simhash_dedup.keepers(table).collect()} == set(_components(len(texts), near))
+
+
 def test_long_sets_are_compared_whole():
     a, b = np.arange(1000, dtype=np.uint32), np.arange(100, 1100, dtype=np.uint32)
     assert simhash_dedup.resemblance(a.tobytes(), b.tobytes()) == 900 / 1100
