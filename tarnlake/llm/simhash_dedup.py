@@ -38,6 +38,8 @@ SHINGLE, SIMILAR, PARITY = 5, (4, 5), 8
 WIDE_BITS = (2, MAX_BITS, 8, 14)
 #: Shingles found so often in a batch are put last in the order of shingles, at most COMMON of them.
 OFTEN, COMMON = 3, 1 << 19
+#: Bits of the filter of classes whose sets are kept.
+LIVE = 1 << 26
 
 _shift = np.cumsum([0, *SEGMENTS[:-1]]).astype(np.uint64)
 _mask = np.array([(1 << n) - 1 for n in SEGMENTS], np.uint64) << _shift
@@ -228,21 +230,34 @@ def _classes(h: np.ndarray, counts: np.ndarray) -> list[int]:
     return mix(sums[ends] - sums[ends - counts]).tolist()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: a hash of its word sequence, the fingerprint of its distinct words, and the sorted hashes of all its shingles."""
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text: a hash of its word sequence, and the fingerprint of its distinct words."""
     for b in batches:
         for first, h, counts in runs_of(raw(b.column(1))):
             at = np.concatenate(([0], np.cumsum(counts)))
-            fps, sets = [], []
-            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                w = h[lo:hi]
-                fps.append(simhash(mix(np.unique(w))))
-                run = w[: max(1, len(w) - SHINGLE + 1)].copy()
-                for k in range(1, min(SHINGLE, len(w))):
-                    run = mix(run) + w[k : k + len(run)]
-                sets.append(np.unique(mix(run)).tobytes())
+            fps = [simhash(mix(np.unique(h[lo:hi]))) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             cls = np.array(_classes(h, counts), np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(counts)), pa.array(cls), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], ["doc_id", "cls", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(counts)), pa.array(cls), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "cls", "fp"])
+
+
+def _sets(live: np.ndarray | None = None):
+    """(cls, shingles): a hash of each text's word sequence, and the sorted hashes of all its shingles; only of classes whose bit is set in live."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, h, counts in runs_of(raw(b.column(0))):
+                cls = np.array(_classes(h, counts), np.uint64)
+                kept = np.ones(len(cls), bool) if live is None else (live[(cls & np.uint64(LIVE - 1)) >> np.uint64(6)] >> (cls & np.uint64(63)) & np.uint64(1)).astype(bool)
+                at = np.concatenate(([0], np.cumsum(counts)))
+                sets = []
+                for k in np.flatnonzero(kept).tolist():
+                    w = h[at[k] : at[k + 1]]
+                    run = w[: max(1, len(w) - SHINGLE + 1)].copy()
+                    for i in range(1, min(SHINGLE, len(w))):
+                        run = mix(run) + w[i : i + len(run)]
+                    sets.append(np.unique(mix(run)).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(cls[kept].view(np.int64)), pa.array(sets, pa.binary())], ["cls", "shingles"])
+
+    return run
 
 
 def _flat(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -369,9 +384,9 @@ def _verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_similar, "a long, b long")
 
 
-def exact_candidates(reps: DataFrame, component: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of (cls, shingles) rows that hold all similar ones of different components: prefix, length, positional and parity filters."""
-    common = stage(reps.select("shingles").mapInArrow(_common, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "common")
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """(key, rep, n, at, m): of (cls, shingles) rows the first shingles that more than one class has; all similar classes share one."""
+    common = stage(sets.select("shingles").mapInArrow(_common, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "common")
     level = F.floor(F.log2("n") * 64).cast("int")
     least, room = 1 << 20, COMMON
     for r in sorted(common.groupBy(level.alias("level")).agg(F.count("*").alias("m")).collect(), reverse=True):
@@ -381,9 +396,15 @@ def exact_candidates(reps: DataFrame, component: DataFrame, block: int = BLOCK)
     top = common.where(level >= least).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    entries = reps.select("cls", "shingles").mapInArrow(_prefixes(h[order], top["n"].to_numpy(np.int64)[order]), "key long, rep long, n int, at int")
-    sizes = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    buckets = stage(entries.join(sizes, "key"), "buckets")
+    entries = stage(sets.mapInArrow(_prefixes(h[order], top["n"].to_numpy(np.int64)[order]), "key long, rep long, n int, at int"), "entries")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key", "m")
+    out = stage(entries.join(sizes, "key").dropDuplicates(["key", "rep"]), "buckets")
+    unstage(sets.sparkSession, entries)
+    return out
+
+
+def exact_candidates(buckets: DataFrame, reps: DataFrame, component: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of shared_shingles() that hold all similar ones of different components: prefix, length, positional and parity filters."""
     parts = F.ceil(F.col("m") / F.lit(block)).cast("long")
     known = reps.select("cls", "shingles").mapInArrow(_parities, "rep long, bits binary").join(component.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "bits")
     dealt = (
@@ -394,22 +415,32 @@ def exact_candidates(reps: DataFrame, component: DataFrame, block: int = BLOCK)
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_candidates, "a long, b long").distinct()
 
 
+def _live(buckets: DataFrame) -> np.ndarray:
+    """LIVE bits, those of the classes in the buckets set: a filter of bounded size."""
+    out = np.zeros(LIVE >> 6, np.uint64)
+    low = F.col("rep").bitwiseAND(F.lit(LIVE - 1))
+    bit = F.expr("shiftleft(1L, cast(rep & 63 as int))")
+    for r in buckets.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
+        out[r["word"]] = np.int64(r["bits"]).view(np.uint64)
+    return out
+
+
 def keepers(docs: DataFrame) -> DataFrame:
     """(doc_id, cls): of each group of near-duplicates the row that stays, the one of the least doc_id (null last).
 
     Texts are linked if the sets of their five-word shingles have a Jaccard similarity of SIMILAR or more, which is decided on
     the whole sets. Close fingerprints are verified first; what they leave in different groups is then looked for among
-    exact_candidates(), so that no link between groups is missed. Texts of the same words are one class.
+    exact_candidates(), so that no link between groups is missed. Texts of the same words are one class. Whole sets are kept
+    only of classes that share one of the first shingles with another.
     """
-    marks = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sets, "doc_id long, cls long, fp long, shingles binary"), "sets")
-    classes = marks.groupBy("cls").agg(F.min("doc_id").alias("least"))
-    # fingerprints and sets depend on the class alone: those of the row with the least id stand for it
-    own = (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("least"))
-    reps = stage(marks.join(classes.withColumnRenamed("cls", "c"), own).dropDuplicates(["cls"]).select("cls", "least", "fp", "shingles"), "reps")
-    unstage(docs.sparkSession, marks)
+    marks = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_marks, "doc_id long, cls long, fp long"), "marks")
+    reps = stage(marks.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "reps")
+    schema = "cls long, shingles binary"
+    buckets = shared_shingles(docs.select("text").mapInArrow(_sets(), schema))
+    sets = stage(docs.select("text").mapInArrow(_sets(_live(buckets)), schema).dropDuplicates(["cls"]), "sets")
     close = linked(reps.select(F.col("cls").alias("rep"), "fp").mapInArrow(_band, "key long, rep long, fp long"), tiers=WIDE_BITS).distinct()
-    found = stage(_verified(close, reps), "close")
-    more = _verified(exact_candidates(reps, connected_components(found)), reps)
+    found = stage(_verified(close, sets), "close")
+    more = _verified(exact_candidates(buckets, sets, connected_components(found)), sets)
     component = connected_components(found.unionByName(more))
     named = reps.select("cls", "least").join(component, F.col("cls") == F.col("id"), "left")
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cls")).alias("x")
