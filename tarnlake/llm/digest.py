@@ -2,7 +2,8 @@
 
 Every window of WINDOW bytes has the Shannon entropy of its bytes. Windows are ranked by how rare such an entropy
 is in prose (far from its usual level first; nearly constant windows last). In each run of NEIGHBOURS windows the
-rarest one scores a point, and windows of at least POINTS points are the features. A feature sets HASHES bits of a
+rarest one scores a point, and windows of at least POINTS points are the features; if there is none, those of the most
+points are. A feature sets HASHES bits of a
 filter of FILTER_BITS bits; after PER_FILTER features a new filter is begun.
 """
 
@@ -75,9 +76,13 @@ def features(texts: list[bytes]) -> list[np.ndarray]:
                 least = np.minimum(least[: len(least) - step], least[step:])
                 width += step
             points = np.bincount(least & 0xFFFFFFFF, minlength=n)
-            at = np.flatnonzero(points >= min(POINTS, len(least)))
-            words = np.ascontiguousarray(view[a + at]).view("<u8").astype(np.uint64)
-            found.append(mix((mix(words) * _power).sum(1, dtype=np.uint64)))
+            # in flat and periodic text no window may have POINTS points: then those with the most are taken
+            at = a + np.flatnonzero(points >= min(POINTS, points.max()))
+            own = []
+            for k in range(0, len(at), CHUNK):
+                words = np.ascontiguousarray(view[at[k : k + CHUNK]]).view("<u8").astype(np.uint64)
+                own.append(mix((mix(words) * _power).sum(1, dtype=np.uint64)))
+            found.append(np.concatenate(own))
     rest = iter(found)
     return [next(rest) if len(t) >= WINDOW else np.frombuffer(sha256(t).digest()[:8], "<u8").astype(np.uint64) if t else np.zeros(0, np.uint64) for t in texts]
 

@@ -318,3 +318,10 @@ def test_failed_links_hide_no_pair():
     zero, none = np.zeros(4, np.int64), np.zeros((4, simhash_dedup.PARITY), np.uint64)
     i, j = simhash_dedup.bucket_candidates(zero, zero + 100, zero, np.array([1, 2, 3, 3]), zero, zero == 0, none)
     assert {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist(), strict=True)} == {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)}
+
+
+def test_flat_and_periodic_texts_have_features():
+    texts = [b"x" * 300_000, b"y" * 300_000, b"ha " * 500, b"=-" * 400]
+    prints = [digest.filters(f) for f in digest.features(texts)]
+    assert all(len(p) for p in prints)
+    assert all(digest.likeness(p, q) < 0.5 for i, p in enumerate(prints) for q in prints[:i])
