@@ -25,8 +25,11 @@ PAGES = 600
 
 _tag = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
 _attr = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-#: Elements whose content is no text, elements inside a line, and elements without content.
+#: Elements whose content is no text, those of them that end only with their end tag, what a head holds, elements inside a line, and elements without content.
 SILENT = {"script", "style", "noscript", "template", "svg", "head", "iframe", "textarea", "select", "object"}
+RAW = {"script", "style", "textarea", "title"}
+HEAD_SILENT = {"title", "script", "style", "noscript", "template"}
+HEAD = HEAD_SILENT | {"head", "meta", "link", "base"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 
@@ -40,12 +43,42 @@ class Block:
         self.text, self.parts, self.linked = text, parts, linked
 
 
+def _silent_end(html: str, name: str, at: int, never: set[str]) -> int:
+    """Where the content of a silent element ends. Without its end tag only RAW ones go on to the end of the page; of others the tag alone is skipped.
+
+    never: names found to have no end tag any more.
+    """
+    over = None if name in never else re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(html, at)
+    if over:
+        return over.end()
+    never.add(name)
+    return len(html) if name in RAW else at
+
+
+def _head_end(html: str, at: int) -> int:
+    """Where the head ends: after its end tag, or before the first tag or text that belongs to the body."""
+    never: set[str] = set()
+    while m := _tag.search(html, at):
+        if html[at : m.start()].strip():
+            return at
+        name = (m[2] or "").lower()
+        if name == "head" and m[1]:
+            return m.end()
+        if name and name not in HEAD:
+            return m.start()
+        at = m.end()
+        if name in HEAD_SILENT and not m[1]:
+            at = _silent_end(html, name, at, never)
+    return at
+
+
 def blocks(html: str) -> list[Block]:
     """The leaf blocks of a page with any text, in page order; character references decoded, white space made one space."""
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     held: list[str] = []
     inside = linked = 0
+    never: set[str] = set()
 
     def close() -> None:
         nonlocal linked
@@ -71,8 +104,7 @@ def blocks(html: str) -> list[Block]:
         if name in SILENT:
             if not m[1] and not m[3].rstrip().endswith("/"):
                 close()
-                over = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(html, at)
-                at = over.end() if over else end
+                at = _head_end(html, at) if name == "head" else _silent_end(html, name, at, never)
             continue
         if name in INLINE:
             if name == "a":
@@ -127,7 +159,7 @@ def vectors(page: list[Block]) -> np.ndarray:
         ends = b.text.count(".") + b.text.count(",")
         x[i, PATH_DIM + WORD_DIM :] = (
             min(np.log1p(n) / 5, 2), min(b.linked / len(b.text), 1), min(ends / max(n, 1), 1), i / len(page), len(b.text) / total,
-            b.text[-1] in ".!?…", sum(c.isdigit() for c in b.text[:2000]) / min(len(b.text), 2000), 1,
+            b.text[-1] in ".!?…", sum(c.isdigit() for c in b.text) / len(b.text), 1,
         )
     return x
 

@@ -325,3 +325,13 @@ def test_flat_and_periodic_texts_have_features():
     prints = [digest.filters(f) for f in digest.features(texts)]
     assert all(len(p) for p in prints)
     assert all(digest.likeness(p, q) < 0.5 for i, p in enumerate(prints) for q in prints[:i])
+
+
+def test_silent_elements_without_end_tag():
+    texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert texts("<html><head><meta charset=x><title>T</title><style>p{}</style><body><p>One<p>Two") == ["One", "Two"]
+    assert texts("<head><title>T</title></head><p>One") == ["One"] and texts("<head><script>x<p>y") == []
+    for name in ("select", "object", "svg", "noscript", "iframe"):
+        assert texts(f"<p>One<{name}><p>Two</p>") == ["One", "Two"] and texts(f"<p>One<{name}>x</{name}><p>Two") == ["One", "Two"]
+    letters = html_blocks.Block("a" * 2000 + "1" * 2000, (), 0)
+    assert html_blocks.vectors([letters])[0, -2] == 0.5
