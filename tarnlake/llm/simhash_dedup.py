@@ -40,6 +40,8 @@ WIDE_BITS = (2, MAX_BITS, 8, 14)
 OFTEN, COMMON = 3, 1 << 19
 #: Bits of the filter of classes whose sets are kept.
 LIVE = 1 << 26
+#: Candidates that a task holds before it hands them on.
+PAIRS = 1 << 17
 
 _shift = np.cumsum([0, *SEGMENTS[:-1]]).astype(np.uint64)
 _mask = np.array([(1 << n) - 1 for n in SEGMENTS], np.uint64) << _shift
@@ -317,15 +319,15 @@ def _enough(shared: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return shared * (SIMILAR[0] + SIMILAR[1]) >= SIMILAR[0] * (x + y)
 
 
-def bucket_candidates(group: np.ndarray, n: np.ndarray, at: np.ndarray, component: np.ndarray, own: np.ndarray, single: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs within a group that may be similar and are of different components.
+def bucket_candidates(group: np.ndarray, n: np.ndarray, at: np.ndarray, component: np.ndarray, own: np.ndarray, single: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs within a group that may be similar and are of different components, in runs of bounded size.
 
     Left out are only pairs whose sizes, places of the shared shingle (of their first one, if similar), or parity bits rule it out;
     in a group of two blocks, those within one block, which has a group of its own.
     """
     order = np.lexsort((n, group))
     group, n, at, component, own, single, bits = (x[order] for x in (group, n, at, component, own, single, bits))
-    left, right = [], []
+    left, right, held = [], [], 0
     for step in range(1, len(n)):
         i = np.flatnonzero((group[step:] == group[:-step]) & (n[:-step] * SIMILAR[1] >= n[step:] * SIMILAR[0]))
         if not len(i):
@@ -338,17 +340,20 @@ def bucket_candidates(group: np.ndarray, n: np.ndarray, at: np.ndarray, componen
         ok = _enough((n[i] + n[j] - apart) // 2, n[i], n[j])
         left.append(order[i[ok]])
         right.append(order[j[ok]])
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(left or none), np.concatenate(right or none)
+        held += len(left[-1])
+        if held > PAIRS:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, held = [], [], 0
+    if held:
+        yield np.concatenate(left), np.concatenate(right)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates (a, b) of groups (key, lo, hi) of a sorted partition; a group may go over several batches."""
-    def emit(rows: np.ndarray, bits: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
-        i, j = bucket_candidates(group, rows[:, 4], rows[:, 5], rows[:, 6], rows[:, 7], rows[:, 1] == rows[:, 2], bits)
-        a, b = rows[i, 3], rows[j, 3]
-        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in (0, 1)], ["a", "b"])
+    def emit(rows: np.ndarray, bits: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i, j in bucket_candidates(group, rows[:, 4], rows[:, 5], rows[:, 6], rows[:, 7], rows[:, 1] == rows[:, 2], bits):
+            a, b = rows[i, 3], rows[j, 3]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     held, held_bits = np.zeros((0, 8), np.int64), np.zeros((0, PARITY), np.uint64)
     for b in batches:
@@ -359,10 +364,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.concatenate(([0], np.cumsum((rows[1:, :3] != rows[:-1, :3]).any(1))))
         cut = int(np.searchsorted(group, group[-1]))
         if cut:
-            yield emit(rows[:cut], bits[:cut], group[:cut])
+            yield from emit(rows[:cut], bits[:cut], group[:cut])
         held, held_bits = rows[cut:], bits[cut:]
     if len(held):
-        yield emit(held, held_bits, np.zeros(len(held), np.int64))
+        yield from emit(held, held_bits, np.zeros(len(held), np.int64))
 
 
 def resemblance(a: bytes, b: bytes, kind: type = np.uint32) -> float:
