@@ -7,6 +7,7 @@ at random into groups of about GROUP pieces that are packed independently of eac
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.shared import raw, stage
+from tarnlake.llm.shared import LOWER, raw, stage
 from tarnlake.llm.words import located
 
 LENGTH = 2048
@@ -31,15 +32,19 @@ _BETWEEN, _JOINED = "\x01", 2000
 
 class Tokenized:
     """Ids of whole texts. White space always ends a token of this tokenizer and letters become small, so a word's ids
-    don't depend on its neighbours or on A-Z, and are remembered under the 64-bit hash of the lower-cased word."""
+    don't depend on its neighbours or on A-Z, and are remembered under the bytes of the lower-cased word.
+
+    The tokenizer's own special tokens count where they stand in a text, in whatever word and in just their spelling: a
+    text that has one, in any letters, is encoded as a whole."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special)) or b"(?!)")
         self.between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids[0]
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.n_flat, self.flat = 0, np.zeros(1 << 16, np.uint32)
         self.n_known, self.start, self.length = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
@@ -77,19 +82,32 @@ class Tokenized:
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, END last."""
+        whole = [k for k, t in enumerate(texts) if self.special.search(t.translate(LOWER))]
+        if not whole:
+            return self._by_word(texts)
+        plain = list(texts)
+        for k in whole:
+            plain[k] = b""
+        out = self._by_word(plain)
+        for k in whole:
+            out[k] = np.array([*self.tokenizer.encode(texts[k].decode("utf-8", "replace"), add_special_tokens=False).ids, END], np.uint32)
+        return out
+
+    def _by_word(self, texts: list[bytes]) -> list[np.ndarray]:
         full, known = len(self.index) >= REMEMBER, (self.n_flat, self.n_known)
         data, begin, end, h, counts = located(texts)
         order = np.argsort(h)
         ranked = h[order]
         fresh = np.concatenate((np.ones(min(1, len(h)), bool), ranked[1:] != ranked[:-1]))
-        own, where = ranked[fresh].tolist(), order[fresh]
+        where = order[fresh]
+        own = [data[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)]
         number = np.fromiter((self.index.get(x, -1) for x in own), np.int64, len(own))
         new = np.flatnonzero(number < 0)
         if len(new):
             number[new] = np.arange(self.n_known, self.n_known + len(new))
             if not full:
                 self.index.update((own[i], n) for i, n in zip(new.tolist(), number[new].tolist(), strict=True))
-            self._learn([data[a:b].decode("utf-8", "replace") for a, b in zip(begin[where[new]].tolist(), end[where[new]].tolist(), strict=True)])
+            self._learn([own[i].decode("utf-8", "replace") for i in new.tolist()])
         at = np.empty(len(h), np.int64)
         at[order] = number[np.cumsum(fresh) - 1]
         sizes = self.length[at].astype(np.int64)
