@@ -4,7 +4,8 @@ The field is trained by gradient ascent of the conditional log-likelihood on a s
 labels; a table made by rule is the default) and decoded by Viterbi in numpy batches. It reads segments: every
 token with a digit or an at-sign together with CONTEXT tokens on either side, overlapping ones joined. Other
 tokens of a text are plain words, of which the field has no label but O. What it finds and the patterns don't, in
-particular phone numbers without a plus sign and spelt-out addresses, is added after a plain check of its digits.
+particular phone numbers without a plus sign, spelt-out mail addresses, and IPv6 or defanged internet addresses, is
+added after a plain check of its form.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from ipaddress import ip_address
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O", *(f"{x}-{k}" for k in KINDS for x in "BI")]
@@ -34,7 +37,8 @@ _local = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_any = re.compile(r"[0-9@]")
+_any = re.compile(r"[0-9@]|::")
+_defanged = re.compile(r"[0-9]{1,3}(?:(?:\.|[(\[]\.[)\]]|[(\[]dot[)\]])[0-9]{1,3}){3}", re.IGNORECASE)
 _at = re.compile(r"[(\[]at[)\]]", re.IGNORECASE)
 #: Words that announce personal data.
 CUES = {"email": "email", "e-mail": "email", "mail": "email", "contact": "email", "ip": "ip", "host": "ip", "address": "ip", "card": "card", "visa": "card", "credit": "card",
@@ -74,14 +78,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-@lru_cache(1 << 16)
 def shape(token: str) -> str:
     """Letters as X or x, runs of them once; runs of digits as d and their number; other characters as they are."""
-    s = re.sub(r"[0-9]+", lambda m: f"\0{min(len(m[0]), 9)}", token[:64])
+    return _kept_shape(token) if len(token) <= 64 else _shape(token)
+
+
+def _shape(token: str) -> str:
+    s = re.sub(r"[0-9]+", lambda m: f"\0{min(len(m[0]), 9)}", token)
     s = re.sub(r"[^\W\d_]+", lambda m: "X" if m[0][0].isupper() else "x", s)
     return s.replace("\0", "d").rstrip(".,;:!?")
 
 
+#: Shapes of tokens of usual length are remembered.
+_kept_shape = lru_cache(1 << 16)(_shape)
+
+
 def token_features(tokens: list[str]) -> list[list[str]]:
     """The names of each token's features: its own shape and number of digits, its neighbours' shapes, and cues before it."""
     shapes = ["^", *map(shape, tokens), "$"]
@@ -99,7 +110,7 @@ def token_features(tokens: list[str]) -> list[list[str]]:
 FEATURES = 8
 
 
-def labelled_table(n: int = 700, seed: int = 11) -> list[tuple[int, int, str, str]]:
+def labelled_table(n: int = 1000, seed: int = 11) -> list[tuple[int, int, str, str]]:
     """(sequence, position, token, label): the default small labelled table, made by rule."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -111,13 +122,15 @@ def labelled_table(n: int = 700, seed: int = 11) -> list[tuple[int, int, str, st
             name, host = r.choice([word(), f"{word()}.{d(2)}", f"{word()}_{word()}"]), f"{word()}{r.choice(['', d(1)])}.{r.choice(['com', 'org', 'example.net'])}"
             return r.choice([[f"{name}@{host}"]] * 3 + [[name, r.choice(["(at)", "[at]"]), host]])
         if kind == "ip":
-            return [".".join(str(r.randint(0, 255)) for _ in range(4))]
+            four, group = [str(r.randint(0, 255)) for _ in range(4)], lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.randint(1, 4)))
+            short = ":".join(group() for _ in range(r.randint(1, 4))) + "::" + ":".join(group() for _ in range(r.randint(0, 3)))
+            return [r.choice([".".join(four), r.choice(["[.]", "(.)", "[dot]"]).join(four), ":".join(group() for _ in range(8)), short])]
         if kind == "card":
             return r.choice([[d(16)], [d(4), d(4), d(4), d(4)], ["-".join(d(4) for _ in range(4))], [d(4), d(6), d(5)]])
         return r.choice([["+" + d(1), f"({d(3)})", f"{d(3)}-{d(4)}"], [f"({d(3)})", f"{d(3)}-{d(4)}"], [f"{d(3)}-{d(3)}-{d(4)}"], [f"{d(3)}.{d(3)}.{d(4)}"], ["+" + d(2), d(3), d(4), d(4)], [f"+{d(11)}"]])
 
     other = [lambda: [d(r.randint(1, 3))], lambda: ["19" + d(2)], lambda: [f"{d(2)}.{d(2)}"], lambda: [f"{d(1)}.{d(1)}.{d(1)}"], lambda: [f"20{d(2)}-{d(2)}-{d(2)}"], lambda: [f"{d(2)}:{d(2)}"],
-             lambda: ["token", "=", '"' + "".join(r.choice("0123456789abcdef") for _ in range(40)) + '"'], lambda: [f"${d(2)}.{d(2)}"], lambda: [d(5), d(2)], lambda: [f"{d(2)}%"], lambda: [f"@{word()}"], lambda: [f"{word()}{d(2)}"], lambda: [f"{d(3)},{d(3)}"], lambda: [f"{d(3)}-{d(3)}"]]
+             lambda: ["token", "=", '"' + "".join(r.choice("0123456789abcdef") for _ in range(40)) + '"'], lambda: [f"${d(2)}.{d(2)}"], lambda: [d(5), d(2)], lambda: [f"{d(2)}%"], lambda: [f"@{word()}"], lambda: [f"{word()}{d(2)}"], lambda: [f"{d(3)},{d(3)}"], lambda: [f"{d(3)}-{d(3)}"], lambda: [f"{word()}::{word()}"], lambda: [f"{d(2)}:{d(2)}:{d(2)}"]]
     rows = []
     for s in range(n):
         seq: list[tuple[str, str]] = []
@@ -257,6 +270,8 @@ def segments(text: str) -> list[list[tuple[int, int]]]:
 def _holds(kind: int, found: str) -> bool:
     """A plain check of what the field found: enough digits of the kind, or the form of an address."""
     digits = "".join(c for c in found if "0" <= c <= "9")
+    if kind == 1:
+        return _is_address(found)
     if kind == 0:
         return re.fullmatch(r"[^@\s]+(?:@|\s*[(\[]at[)\]]\s*)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", found, re.IGNORECASE) is not None
     if kind == 2:
@@ -264,6 +279,16 @@ def _holds(kind: int, found: str) -> bool:
     return kind == 3 and 7 <= len(digits) <= 15 and re.fullmatch(r"\+?[0-9().\x20-]+", found) is not None
 
 
+def _is_address(found: str) -> bool:
+    """Four numbers of at most 255, defanged or not, or an IPv6 address."""
+    if _defanged.fullmatch(found):
+        return all(int(x) <= 255 for x in re.findall("[0-9]+", found))
+    try:
+        return len(found) <= 45 and found.count(":") > 1 and ip_address(found).version == 6
+    except ValueError:
+        return False
+
+
 def all_spans(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """(base spans, all spans) of each text, by kind and start; the field's spans don't overlap a base one or each other."""
     base = [base_spans(t) if _any.search(t) else [] for t in texts]
@@ -279,9 +304,9 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int,
                 while end < len(path) and path[end] == 2 + 2 * kind:
                     end += 1
                 a, b = s[at][0], s[end - 1][1]
-                while a < b and text[a] in "\"'<[{,;:":
+                while a < b and (text[a] in "\"'<[{,;" or (text[a] == ":" and text[a : a + 2] != "::")):
                     a += 1
-                while b > a and text[b - 1] in "\"'>]}.,;:!?*$%&#|":
+                while b > a and text[b - 1] in "\"'>]}.,;:!?*$%&#|" and text[b - 2 : b] != "::":
                     b -= 1
                 if _holds(kind, text[a:b]):
                     added.setdefault(i, []).append((kind, a, b))
@@ -352,13 +377,19 @@ def _redact(field: Field, at: int, chars: int | None):
             columns = list(b.columns)
             columns[at] = pa.array(out, pa.string())
             if chars is not None:
-                columns[chars] = pa.array([None if t is None else len(t) for t in out], b.schema.field(chars).type)
+                columns[chars] = pa.array([None if t is None else len(t) for t in out], pa.int64()).cast(b.schema.field(chars).type, safe=False)
             yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
 
     return run
 
 
 def redact(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    """docs with every span in `text` replaced by its kind in brackets, and `n_chars`, where there is one, counted anew; a null text stays null."""
+    """docs with every span in `text` replaced by its kind in brackets, and `n_chars` counted anew.
+
+    n_chars is counted where there is such a column of numbers or strings (a narrower number wraps around); one of another
+    type is left as it is. A null text stays null and has a null n_chars; an empty one stays empty; a null doc_id, repeated
+    rows and all other columns stay as they are, row by row; an empty table gives an empty table. No shuffle.
+    """
     names = docs.columns
-    return docs.mapInArrow(_redact(trained(table), names.index("text"), names.index("n_chars") if "n_chars" in names else None), docs.schema)
+    counted = "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, (T.NumericType, T.StringType)) and not isinstance(docs.schema["n_chars"].dataType, T.DecimalType)
+    return docs.mapInArrow(_redact(trained(table), names.index("text"), names.index("n_chars") if counted else None), docs.schema)
