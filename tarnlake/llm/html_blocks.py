@@ -22,25 +22,66 @@ PATH_DIM, WORD_DIM, MEASURES = 256, 128, 8
 HIDDEN = 24
 EPOCHS, BATCH, RATE = 6, 32, 0.01
 PAGES = 600
-
-_tag = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
+#: Blocks of a page whose wide vectors are held at once.
+ROWS = 4096
+
+#: A comment, a tag, or another declaration. Each alternative matches to the end of the page if it is never closed, so that
+#: no stretch is read twice. A quote counts after an equals sign and if it is closed; any other one is a character as others.
+_tag = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
+    re.DOTALL,
+)
 _attr = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-#: Elements whose content is no text, those of them that end only with their end tag, what a head holds, elements inside a line, and elements without content.
+#: Elements whose content is no text, those of them that end only with their end tag, what a head holds, elements inside a line, elements that end an open one of their kind, and elements without content.
 SILENT = {"script", "style", "noscript", "template", "svg", "head", "iframe", "textarea", "select", "object"}
 RAW = {"script", "style", "textarea", "title"}
 HEAD_SILENT = {"title", "script", "style", "noscript", "template"}
 HEAD = HEAD_SILENT | {"head", "meta", "link", "base"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+ENDS_ITS_KIND = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "tr", "td", "th", "option"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 
 class Block:
-    """Raw text of a block, the parts of its path, and how many of its characters are in links."""
+    """Text of a block, the hashed parts of its path (a bit for each), and how many of its characters are in links."""
+
+    __slots__ = ("linked", "path", "text")
+
+    def __init__(self, text: str, path: int, linked: int) -> None:
+        self.text, self.path, self.linked = text, path, linked
+
+
+class Path:
+    """The open elements of a place in a page, and the parts of their path; keeping it costs no more than the tags read."""
 
-    __slots__ = ("linked", "parts", "text")
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, list[int]]] = []
+        self.open: dict[str, int] = {}
+        self.times = [0] * PATH_DIM
+        self.bits = 0
 
-    def __init__(self, text: str, parts: tuple[str, ...], linked: int) -> None:
-        self.text, self.parts, self.linked = text, parts, linked
+    def push(self, name: str, parts: list[str]) -> None:
+        own = [crc32(p.encode()) % PATH_DIM for p in parts]
+        for k in own:
+            self.times[k] += 1
+            self.bits |= 1 << k
+        self.stack.append((name, own))
+        self.open[name] = self.open.get(name, 0) + 1
+
+    def pop(self) -> str:
+        name, own = self.stack.pop()
+        for k in own:
+            self.times[k] -= 1
+            if not self.times[k]:
+                self.bits ^= 1 << k
+        self.open[name] -= 1
+        return name
+
+    def end(self, name: str) -> None:
+        """An end tag closes the last open element of its name and all within; without one it says nothing."""
+        if self.open.get(name):
+            while self.pop() != name:
+                pass
 
 
 def _silent_end(html: str, name: str, at: int, never: set[str]) -> int:
@@ -75,7 +116,7 @@ def _head_end(html: str, at: int) -> int:
 def blocks(html: str) -> list[Block]:
     """The leaf blocks of a page with any text, in page order; character references decoded, white space made one space."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    path = Path()
     held: list[str] = []
     inside = linked = 0
     never: set[str] = set()
@@ -84,7 +125,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal linked
         text = " ".join(unescape("".join(held)).split())
         if text:
-            out.append(Block(text, tuple(p for _, ps in stack for p in ps), linked))
+            out.append(Block(text, path.bits, linked))
         held.clear()
         linked = 0
 
@@ -118,17 +159,12 @@ def blocks(html: str) -> list[Block]:
         if name in VOID:
             continue
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            path.end(name)
         else:
-            if name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "tr", "td", "th", "option"):
-                # these end an open one of their kind
-                while stack and (stack[-1][0] == name or (stack[-1][0] == "p")):
-                    stack.pop()
-            names = [w for a in _attr.findall(m[3] or "") for w in re.split(r"[^a-z]+", "".join(a).lower()) if w]
-            stack.append((name, (name, *names)))
+            if name in ENDS_ITS_KIND:
+                while path.stack and path.stack[-1][0] in (name, "p"):
+                    path.pop()
+            path.push(name, [name, *(w for a in _attr.findall(m[3]) for w in re.split(r"[^a-z]+", "".join(a).lower()) if w)])
     close()
     return out
 
@@ -145,20 +181,21 @@ def _bucket(word: str) -> int:
     return b
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    """One row per block: hashed path parts, shares of hashed words (all of them), and measures of the block and its place."""
-    x = np.zeros((len(page), PATH_DIM + WORD_DIM + MEASURES), np.float32)
-    total = sum(len(b.text) for b in page) or 1
-    for i, b in enumerate(page):
-        for p in b.parts:
-            x[i, crc32(p.encode()) % PATH_DIM] = 1
+def vectors(page: list[Block], first: int = 0, last: int | None = None, total: int | None = None) -> np.ndarray:
+    """One row per block from `first` to before `last`: hashed path parts, shares of hashed words (all of them), and measures of the block and its place."""
+    total = sum(len(b.text) for b in page) if total is None else total
+    part = page[first:last]
+    x = np.zeros((len(part), PATH_DIM + WORD_DIM + MEASURES), np.float32)
+    bits = np.frombuffer(b"".join(b.path.to_bytes(PATH_DIM // 8, "little") for b in part), np.uint8)
+    x[:, :PATH_DIM] = np.unpackbits(bits.reshape(len(part), -1), axis=1, bitorder="little")
+    for i, b in enumerate(part):
         words = b.text.split()
         n = len(words)
         counts = np.bincount(np.fromiter(map(_bucket, words), np.int64, n), minlength=WORD_DIM)
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = counts / max(n, 1) ** 0.5
         ends = b.text.count(".") + b.text.count(",")
         x[i, PATH_DIM + WORD_DIM :] = (
-            min(np.log1p(n) / 5, 2), min(b.linked / len(b.text), 1), min(ends / max(n, 1), 1), i / len(page), len(b.text) / total,
+            min(np.log1p(n) / 5, 2), min(b.linked / len(b.text), 1), min(ends / max(n, 1), 1), (first + i) / len(page), len(b.text) / max(total, 1),
             b.text[-1] in ".!?…", sum(c.isdigit() for c in b.text) / len(b.text), 1,
         )
     return x
@@ -179,32 +216,36 @@ class Labeller:
         for k in "fb":
             self.p |= {f"{k}x": mat(h, 4 * h), f"{k}h": mat(h, 4 * h), f"{k}c": np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)]).astype(np.float32)}
 
-    def _run(self, u: np.ndarray, on: np.ndarray, k: str) -> tuple[np.ndarray, list]:
-        """States of one direction over (pages, blocks, hidden); rows that have ended keep theirs."""
+    def _run(self, u: np.ndarray, on: np.ndarray, k: str, tape: list | None = None) -> np.ndarray:
+        """States of one direction over (pages, blocks, hidden); rows that have ended keep theirs. A tape, kept for training only, takes what each step went through."""
         n, length, h = u.shape
         s, c = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-        out, tape = np.zeros((n, length, h), np.float32), []
+        out = np.zeros((n, length, h), np.float32)
         for t in range(length) if k == "f" else range(length - 1, -1, -1):
             z = u[:, t] @ self.p[k + "x"] + s @ self.p[k + "h"] + self.p[k + "c"]
             i, f, o, g = _sigmoid(z[:, :h]), _sigmoid(z[:, h : 2 * h]), _sigmoid(z[:, 2 * h : 3 * h]), np.tanh(z[:, 3 * h :])
             m = on[:, t, None]
             c2 = np.where(m, f * c + i * g, c)
             s2 = np.where(m, o * np.tanh(c2), s)
-            tape.append((t, s, c, c2, i, f, o, g))
+            if tape is not None:
+                tape.append((t, s, c, c2, i, f, o, g))
             s, c = s2, c2
             out[:, t] = s
-        return out, tape
+        return out
 
-    def forward(self, x: np.ndarray, on: np.ndarray):
-        u = np.tanh(x @ self.p["in"])
-        f, tf = self._run(u, on, "f")
-        b, tb = self._run(u, on, "b")
-        both = np.concatenate([f, b], 2)
-        return _sigmoid((both @ self.p["out"])[..., 0] + self.p["bias"]), (u, both, tf, tb)
+    def enter(self, x: np.ndarray) -> np.ndarray:
+        """The input layer: HIDDEN numbers of each block."""
+        return np.tanh(x @ self.p["in"])
+
+    def forward(self, u: np.ndarray, on: np.ndarray, tapes: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """How likely each block is main text, from what entered, and both directions' states."""
+        both = np.concatenate([self._run(u, on, k, tapes[i] if tapes else None) for i, k in enumerate("fb")], 2)
+        return _sigmoid((both @ self.p["out"])[..., 0] + self.p["bias"]), both
 
     def gradient(self, x: np.ndarray, on: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy per block, by backpropagation through both directions."""
-        q, (u, both, tf, tb) = self.forward(x, on)
+        u, tapes = self.enter(x), ([], [])
+        q, both = self.forward(u, on, tapes)
         h = HIDDEN
         d = np.where(on, q - y, 0).astype(np.float32) / on.sum()
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -212,7 +253,7 @@ class Labeller:
         g["bias"] = d.sum(keepdims=True).reshape(1)
         ds = d[..., None] * self.p["out"][:, 0]
         du = np.zeros_like(u)
-        for k, tape, own in (("f", tf, ds[..., :h]), ("b", tb, ds[..., h:])):
+        for k, tape, own in (("f", tapes[0], ds[..., :h]), ("b", tapes[1], ds[..., h:])):
             s_next, c_next = np.zeros_like(u[:, 0]), np.zeros_like(u[:, 0])
             for t, s, c, c2, i, f, o, gg in reversed(tape):
                 m = on[:, t, None]
@@ -247,7 +288,7 @@ class Labeller:
         return self
 
     def main(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Which blocks of each page are main text; pages of like length share a batch of bounded cells."""
+        """Which blocks of each page are main text, from the vectors that entered; pages of like length share a batch of bounded cells, a longer page is one alone."""
         order = sorted(range(len(pages)), key=lambda i: len(pages[i]))
         out: list[np.ndarray] = [np.zeros(0, bool) for _ in pages]
         at = 0
@@ -261,10 +302,16 @@ class Labeller:
                 out[i] = row[: len(pages[i])] > 0.5
         return out
 
+    def read(self, page: list[Block]) -> np.ndarray:
+        """What enters of a page's blocks, a run of ROWS of their wide vectors at a time."""
+        total = sum(len(b.text) for b in page)
+        runs = [self.enter(vectors(page, at, at + ROWS, total)) for at in range(0, len(page), ROWS)]
+        return np.concatenate([np.zeros((0, HIDDEN), np.float32), *runs])
+
 
 def padded(pages: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     length = max(1, max(len(y) for _, y in pages))
-    x = np.zeros((len(pages), length, PATH_DIM + WORD_DIM + MEASURES), np.float32)
+    x = np.zeros((len(pages), length, pages[0][0].shape[1]), np.float32)
     on, y = np.zeros((len(pages), length), bool), np.zeros((len(pages), length), np.float32)
     for i, (v, label) in enumerate(pages):
         x[i, : len(label)], on[i, : len(label)], y[i, : len(label)] = v, True, label
@@ -331,7 +378,7 @@ def _extract(model: Labeller):
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 pages = [blocks(h or "") for h in part.column(2).to_pylist()]
-                kept = model.main([vectors(p) for p in pages])
+                kept = model.main([model.read(p) for p in pages])
                 texts = ["\n\n".join(x.text for x, k in zip(p, keep.tolist(), strict=True) if k) for p, keep in zip(pages, kept, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -8,6 +8,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -252,7 +253,8 @@ def test_html(spark):
 
 def test_labeller_on_held_out_pages():
     pages = html_blocks.labelled_pages(150, 99)
-    got = html_blocks.trained().main([x for x, _ in pages])
+    model = html_blocks.trained()
+    got = model.main([model.enter(x) for x, _ in pages])
     assert np.mean(np.concatenate([g == (y > 0.5) for g, (_, y) in zip(got, pages, strict=True)])) > 0.98
 
 
@@ -262,7 +264,7 @@ def test_gradient_of_the_labeller():
     d = html_blocks.PATH_DIM + html_blocks.WORD_DIM + html_blocks.MEASURES
     x, on, y = html_blocks.padded([(r.random((n, d), np.float32), (r.random(n) > 0.5).astype(np.float32)) for n in (3, 5)])
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
-    loss = lambda: -np.where(on, np.log(np.where(y > 0.5, (q := m.forward(x, on)[0]), 1 - q)), 0).sum() / on.sum()
+    loss = lambda: -np.where(on, np.log(np.where(y > 0.5, (q := m.forward(m.enter(x), on)[0]), 1 - q)), 0).sum() / on.sum()
     g = m.gradient(x, on, y)
     for k, at in (("in", (3, 1)), ("fx", (2, 5)), ("bh", (1, 70)), ("fc", (30,)), ("out", (4, 0))):
         old = m.p[k][at]
@@ -364,5 +366,22 @@ def test_silent_elements_without_end_tag():
     assert texts("<head><title>T</title></head><p>One") == ["One"] and texts("<head><script>x<p>y") == []
     for name in ("select", "object", "svg", "noscript", "iframe"):
         assert texts(f"<p>One<{name}><p>Two</p>") == ["One", "Two"] and texts(f"<p>One<{name}>x</{name}><p>Two") == ["One", "Two"]
-    letters = html_blocks.Block("a" * 2000 + "1" * 2000, (), 0)
+    letters = html_blocks.Block("a" * 2000 + "1" * 2000, 0, 0)
     assert html_blocks.vectors([letters])[0, -2] == 0.5
+
+
+def test_hostile_pages_are_read_in_linear_time():
+    texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert texts("<p title=\"it's fine>Broken quote") == ["Broken quote"] and texts("<p title='a>b' it's>One</p>") == ["One"]
+    assert texts("One<p>Two <b") == ["One", "Two"] and texts("1 < 2 and 3<4") == ["1 < 2 and 3<4"] and texts("<p>a</ p>b<!x>c<? y>d") == ["abcd"]
+    n = 300_000
+    for page in ("<a " * n, "<a ='" * n, "<!" * n, "</p" * n, "<div>" * n + "</p>" * n, "<div>x" * 50_000, '<a b="' * n, "<" * n, "<a" + " class=" * n, "<svg>" * n):
+        began = time.perf_counter()
+        found = html_blocks.blocks(page)
+        model = html_blocks.trained()
+        assert len(model.read(found[:5000])) == min(len(found), 5000)
+        assert time.perf_counter() - began < 12, page[:10]
+    # long pages are read in runs of rows, with the same result
+    page = html_blocks.blocks("".join(f"<div class=c{i % 7}><p>some words {i}, and more.</p></div>" for i in range(9000)))
+    model = html_blocks.trained()
+    assert np.allclose(model.read(page), model.enter(html_blocks.vectors(page)))
