@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tarnlake.llm.components import connected_components
 from tarnlake.llm.shared import LOWER, mix, neutral, raw, stage, unstage
-from tarnlake.llm.words import runs_of, words_of
+from tarnlake.llm.words import runs_of
 
 SEED = 42
 MAX_BITS = 4
@@ -32,12 +32,13 @@ MAX_BITS = 4
 SEGMENTS = (11, 11, 11, 11, 10, 10)
 PIVOTS = 24
 BLOCK = 1024
-#: deduplicate(): words of a shingle, least similarity as a fraction, and 64-bit words of a set's parity bits.
+#: deduplicate(): words of a shingle, least similarity as a fraction, and 64-bit words of a set's parity bits, at least.
 SHINGLE, SIMILAR, PARITY = 5, (4, 5), 8
 #: Bits in which first candidates may differ, closest first; they are verified, so the filter may be wide.
 WIDE_BITS = (2, MAX_BITS, 8, 14)
-#: Shingles found so often in a batch are put last in the order of shingles, at most COMMON of them.
-OFTEN, COMMON = 3, 1 << 19
+#: Shingles found so often among a task's HELD distinct ones are put last in the order of shingles, at most COMMON of them;
+#: those found HOT times have their entries dealt to SPREAD partitions.
+OFTEN, HELD, COMMON, HOT, SPREAD = 3, 1 << 20, 1 << 19, 512, 256
 #: Bits of the filter of classes whose sets are kept.
 LIVE = 1 << 26
 #: Candidates that a task holds before it hands them on.
@@ -232,86 +233,152 @@ def _classes(h: np.ndarray, counts: np.ndarray) -> list[int]:
     return mix(sums[ends] - sums[ends - counts]).tolist()
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: a hash of its word sequence, and the fingerprint of its distinct words."""
-    for b in batches:
-        for first, h, counts in runs_of(raw(b.column(1))):
-            at = np.concatenate(([0], np.cumsum(counts)))
-            fps = [simhash(mix(np.unique(h[lo:hi]))) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            cls = np.array(_classes(h, counts), np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(counts)), pa.array(cls), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "cls", "fp"])
+class _Seen:
+    """Classes that a task has met, the last so many of them: copies need not be looked at again."""
 
+    def __init__(self, most: int = 1 << 20) -> None:
+        self.most, self.met = most, set()
 
-def _sets(live: np.ndarray | None = None):
-    """(cls, shingles): a hash of each text's word sequence, and the sorted hashes of all its shingles; only of classes whose bit is set in live."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, h, counts in runs_of(raw(b.column(0))):
-                cls = np.array(_classes(h, counts), np.uint64)
-                kept = np.ones(len(cls), bool) if live is None else (live[(cls & np.uint64(LIVE - 1)) >> np.uint64(6)] >> (cls & np.uint64(63)) & np.uint64(1)).astype(bool)
-                at = np.concatenate(([0], np.cumsum(counts)))
-                sets = []
-                for k in np.flatnonzero(kept).tolist():
-                    w = h[at[k] : at[k + 1]]
-                    run = w[: max(1, len(w) - SHINGLE + 1)].copy()
-                    for i in range(1, min(SHINGLE, len(w))):
-                        run = mix(run) + w[i : i + len(run)]
-                    sets.append(np.unique(mix(run)).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(cls[kept].view(np.int64)), pa.array(sets, pa.binary())], ["cls", "shingles"])
+    def fresh(self, cls: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(cls), bool)
+        for i, c in enumerate(cls.tolist()):
+            if c not in self.met:
+                out[i] = True
+                if len(self.met) >= self.most:
+                    self.met.clear()
+                self.met.add(c)
+        return out
+
+
+def _shingle_set(w: np.ndarray) -> np.ndarray:
+    """The sorted hashes of all shingles of a text of the word hashes w."""
+    run = w[: max(1, len(w) - SHINGLE + 1)].copy()
+    for i in range(1, min(SHINGLE, len(w))):
+        run = mix(run) + w[i : i + len(run)]
+    return np.unique(mix(run))
 
-    return run
 
+def _set_runs(texts: list[bytes | None], keep=None) -> Iterator[tuple[int, np.ndarray, list[int], list[np.ndarray]]]:
+    """Runs of texts of bounded size: the place of the first, the classes of all, and places and shingle sets of those that keep(classes) lets through."""
+    for first, h, counts in runs_of(texts):
+        cls = np.array(_classes(h, counts), np.uint64)
+        at = np.concatenate(([0], np.cumsum(counts)))
+        kept = range(len(cls)) if keep is None else np.flatnonzero(keep(cls)).tolist()
+        yield first, cls, list(kept), [_shingle_set(h[at[k] : at[k + 1]]) for k in kept]
 
-def _flat(sets: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All shingles of the sets, and the size of each."""
-    return np.frombuffer(b"".join(sets), np.uint64), np.fromiter(map(len, sets), np.int64, len(sets)) // 8
+
+def parity(shingles: np.ndarray) -> bytes:
+    """A bit for each remainder of a division: whether an odd number of shingles has it. Two sets differ in at least as many shingles as their bits do.
+
+    There are PARITY * 64 bits, or more by a power of two for a large set; folded() brings them down again.
+    """
+    n = PARITY * 64
+    while n < 2 * len(shingles):
+        n *= 2
+    at = (shingles % np.uint64(n)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=n) & 1).astype(np.uint8)).tobytes()
 
 
-def _slices(b: pa.RecordBatch, rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    for at in range(0, b.num_rows, rows):
-        yield b.slice(at, rows)
+def folded(bits: bytes, size: int = PARITY * 8) -> np.ndarray:
+    """The parity bits of fewer remainders, in bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text: a hash of its word sequence, the fingerprint of its distinct words, and size and parity bits of its shingle set."""
+    for b in batches:
+        for first, h, counts in runs_of(raw(b.column(1))):
+            at = np.concatenate(([0], np.cumsum(counts)))
+            spans = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            fps = [simhash(mix(np.unique(h[lo:hi]))) for lo, hi in spans]
+            cls = np.array(_classes(h, counts), np.uint64).view(np.int64)
+            sets = [_shingle_set(h[lo:hi]) for lo, hi in spans]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).slice(first, len(counts)), pa.array(cls), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity(x) for x in sets], pa.binary())],
+                ["doc_id", "cls", "fp", "n", "bits"],
+            )
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles found OFTEN in a batch, and how often."""
+    """Shingles found OFTEN in a task's texts of about HELD distinct shingles, and how often."""
+    held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def often() -> pa.RecordBatch:
+        kept = counts >= OFTEN
+        return pa.RecordBatch.from_arrays([pa.array(held[kept].view(np.int64)), pa.array(counts[kept])], ["h", "n"])
+
     for b in batches:
-        own, n = np.unique(_flat(b.column(0).to_pylist())[0], return_counts=True)
-        own, n = own[n >= OFTEN], n[n >= OFTEN]
-        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+        for *_, sets in _set_runs(raw(b.column(0))):
+            own, n = np.unique(np.concatenate(sets), return_counts=True)
+            held, at = np.unique(np.concatenate([held, own]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(held)).astype(np.int64)
+            if len(held) > HELD:
+                yield often()
+                held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    yield often()
 
 
 def _prefixes(common: np.ndarray, times: np.ndarray):
-    """(key, rep, n, at): the first shingles of each set in the order of (how common, hash), and their places.
+    """(key, rep, n, at, part): the first shingles of each set in the order of (how common, hash), and their places; part spreads the keys found HOT times.
 
     Two sets of n shingles or more and a similarity of SIMILAR share one of their first n - ceil(SIMILAR * n) + 1, whatever the order is.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for whole in batches for part in _slices(whole)):
-            h, sizes = _flat(b.column(1).to_pylist())
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            often = np.zeros(len(h), np.int64)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                often = np.where(common[at] == h, times[at], 0)
-            order = np.lexsort((h, often, row))
-            place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            kept = place < (sizes - -(-sizes * SIMILAR[0] // SIMILAR[1]) + 1)[row]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[order][kept].view(np.int64)), b.column(0).take(pa.array(row[kept])), pa.array(sizes[row[kept]].astype(np.int32)), pa.array(place[kept].astype(np.int32))], ["key", "rep", "n", "at"]
-            )
+        seen = _Seen()
+        for b in batches:
+            for _, cls, kept, sets in _set_runs(raw(b.column(0)), seen.fresh):
+                if not kept:
+                    continue
+                h, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                often = np.zeros(len(h), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    often = np.where(common[at] == h, times[at], 0)
+                order = np.lexsort((h, often, row))
+                place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                first = place < (sizes - -(-sizes * SIMILAR[0] // SIMILAR[1]) + 1)[row]
+                chosen, of = order[first], row[first]
+                rep = cls[kept][of]
+                part = np.where(often[chosen] >= HOT, 1 + (rep % np.uint64(SPREAD)).astype(np.int64), 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[chosen].view(np.int64)), pa.array(rep.view(np.int64)), pa.array(sizes[of].astype(np.int32)), pa.array(place[first].astype(np.int32)), pa.array(part.astype(np.int32))],
+                    ["key", "rep", "n", "at", "part"],
+                )
 
     return run
 
 
-def parity(shingles: bytes) -> bytes:
-    """A bit for each of PARITY * 64 remainders: whether an odd number of shingles has it. Two sets differ in at least as many shingles as their bits do."""
-    at = (np.frombuffer(shingles, np.uint64) % np.uint64(PARITY * 64)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=PARITY * 64) & 1).astype(np.uint8)).tobytes()
-
-
-def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of entries sorted by (key, rep) those once whose key has another rep, and all of HOT keys; one row is held, whatever the size of a group."""
+    last, told = np.zeros((0, 5), np.int64), False
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parity(x) for x in b.column(1).to_pylist()], pa.binary())], ["rep", "bits"])
+        rows = np.concatenate([last, np.stack([b.column(k).to_numpy() for k in range(5)], 1)])
+        rows = rows[np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(1)))] if len(rows) else rows
+        if not len(rows):
+            continue
+        same = rows[1:, 0] == rows[:-1, 0]
+        shared = np.concatenate(([False], same)) | np.concatenate((same, [False])) | (rows[:, 4] > 0)
+        now = shared.copy()
+        if len(last):
+            now[0] &= not told
+            told = bool(shared[-1]) if len(rows) > 1 else told or bool(shared[0])
+        else:
+            told = bool(shared[-1])
+        last, out = rows[-1:], rows[now]
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2].astype(np.int32)), pa.array(out[:, 3].astype(np.int32))], ["key", "rep", "n", "at"])
+
+
+def _sets(live: np.ndarray):
+    """(cls, shingles): the sorted hashes of all shingles of each text whose class's bit is set in live."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        wanted = lambda cls: (live[(cls & np.uint64(LIVE - 1)) >> np.uint64(6)] >> (cls & np.uint64(63)) & np.uint64(1)).astype(bool) & seen.fresh(cls)
+        for b in batches:
+            for _, cls, kept, sets in _set_runs(raw(b.column(0)), wanted):
+                yield pa.RecordBatch.from_arrays([pa.array(cls[kept].view(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary())], ["cls", "shingles"])
+
+    return run
 
 
 def _enough(shared: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -383,15 +450,44 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose whole shingle sets are similar."""
-    side = lambda name: reps.select(F.col("cls").alias(name), F.col("shingles").alias(f"shingles_{name}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_similar, "a long, b long")
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
+        apart = np.zeros(len(n), np.int64)
+        for i, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+            size = min(len(x), len(y))
+            apart[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64)
+        yield b.select(["a", "b"]).filter(pa.array(_enough((n + m - apart) // 2, n, m)))
 
 
-def shared_shingles(sets: DataFrame) -> DataFrame:
-    """(key, rep, n, at, m): of (cls, shingles) rows the first shingles that more than one class has; all similar classes share one."""
-    common = stage(sets.select("shingles").mapInArrow(_common, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "common")
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = [resemblance(x, y, np.uint64) * SIMILAR[1] >= SIMILAR[0] for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose whole shingle sets are similar, staged.
+
+    Sizes and parity bits, which rule out nothing else than pairs surely below SIMILAR, go first; sets are made of the classes left.
+    """
+    spark = docs.sparkSession
+    side = lambda df, name, *columns: df.select(F.col("cls").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+    small = pairs.join(side(reps, "a", "n", "bits"), "a").join(side(reps, "b", "n", "bits"), "b")
+    left = stage(small.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_plausible, "a long, b long"), "plausible")
+    live = _live(left.select(F.explode(F.array("a", "b")).alias("rep")))
+    sets = stage(docs.select("text").mapInArrow(_sets(live), "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
+    whole = left.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b")
+    out = stage(whole.mapInArrow(_similar, "a long, b long"), "verified")
+    unstage(spark, sets)
+    unstage(spark, left)
+    return out
+
+
+def shared_shingles(docs: DataFrame) -> DataFrame:
+    """(key, rep, n, at, m): the first shingles of the docs' sets that more than one class has, m classes; all similar classes share one."""
+    spark, text = docs.sparkSession, docs.select("text")
+    common = stage(text.mapInArrow(_common, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "common")
     level = F.floor(F.log2("n") * 64).cast("int")
     least, room = 1 << 20, COMMON
     for r in sorted(common.groupBy(level.alias("level")).agg(F.count("*").alias("m")).collect(), reverse=True):
@@ -399,19 +495,27 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
             break
         least, room = r["level"], room - r["m"]
     top = common.where(level >= least).toPandas()
+    unstage(spark, common)
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    entries = stage(sets.mapInArrow(_prefixes(h[order], top["n"].to_numpy(np.int64)[order]), "key long, rep long, n int, at int"), "entries")
-    sizes = entries.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key", "m")
-    out = stage(entries.join(sizes, "key").dropDuplicates(["key", "rep"]), "buckets")
-    unstage(sets.sparkSession, entries)
+    entries = text.mapInArrow(_prefixes(h[order], top["n"].to_numpy(np.int64)[order]), "key long, rep long, n int, at int, part int")
+    met = stage(entries.repartition("key", "part").sortWithinPartitions("key", "rep").mapInArrow(_shared, "key long, rep long, n int, at int"), "entries")
+    # the copies of a class from several partitions of a hot key are one row here
+    sizes = met.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key", "m")
+    out = stage(met.join(sizes, "key"), "buckets")
+    unstage(spark, met)
     return out
 
 
+def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([folded(x).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["rep", "bits"])
+
+
 def exact_candidates(buckets: DataFrame, reps: DataFrame, component: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) of shared_shingles() that hold all similar ones of different components: prefix, length, positional and parity filters."""
     parts = F.ceil(F.col("m") / F.lit(block)).cast("long")
-    known = reps.select("cls", "shingles").mapInArrow(_parities, "rep long, bits binary").join(component.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "bits")
+    known = reps.select("cls", "bits").mapInArrow(_narrow, "rep long, bits binary").join(component.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "bits")
     dealt = (
         buckets.withColumns({"own": F.pmod(F.xxhash64("rep"), parts), "other": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))})
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", F.col("n").cast("long"), F.col("at").cast("long"), "own")
@@ -431,25 +535,30 @@ def _live(buckets: DataFrame) -> np.ndarray:
 
 
 def keepers(docs: DataFrame) -> DataFrame:
-    """(doc_id, cls): of each group of near-duplicates the row that stays, the one of the least doc_id (null last).
+    """(keep_id, keep_cls, repeated): of each group of near-duplicates the row that stays, the one of the least doc_id (null last), and whether several rows have that id and class.
 
     Texts are linked if the sets of their five-word shingles have a Jaccard similarity of SIMILAR or more, which is decided on
     the whole sets. Close fingerprints are verified first; what they leave in different groups is then looked for among
-    exact_candidates(), so that no link between groups is missed. Texts of the same words are one class. Whole sets are kept
-    only of classes that share one of the first shingles with another.
+    exact_candidates(), so that no link between groups is missed. Texts of the same words are one class. Whole sets are made
+    only of classes in a pair that sizes and parity bits leave open.
     """
-    marks = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_marks, "doc_id long, cls long, fp long"), "marks")
-    reps = stage(marks.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "reps")
-    schema = "cls long, shingles binary"
-    buckets = shared_shingles(docs.select("text").mapInArrow(_sets(), schema))
-    sets = stage(docs.select("text").mapInArrow(_sets(_live(buckets)), schema).dropDuplicates(["cls"]), "sets")
+    spark = docs.sparkSession
+    marks = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_marks, "doc_id long, cls long, fp long, n long, bits binary"), "marks")
+    reps = stage(marks.groupBy("cls").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "n", "bits")]), "reps")
     close = linked(reps.select(F.col("cls").alias("rep"), "fp").mapInArrow(_band, "key long, rep long, fp long"), tiers=WIDE_BITS).distinct()
-    found = stage(_verified(close, sets), "close")
-    more = _verified(exact_candidates(buckets, sets, connected_components(found)), sets)
+    found = verified(close, reps, docs)
+    buckets = shared_shingles(docs)
+    more = verified(exact_candidates(buckets, reps, connected_components(found)), reps, docs)
+    unstage(spark, buckets)
     component = connected_components(found.unionByName(more))
     named = reps.select("cls", "least").join(component, F.col("cls") == F.col("id"), "left")
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cls")).alias("x")
-    return named.groupBy(F.coalesce("component", "cls").alias("group")).agg(first).select(F.col("x.least").alias("keep_id"), F.col("x.cls").alias("keep_cls"))
+    kept = named.groupBy(F.coalesce("component", "cls").alias("group")).agg(first).select(F.col("x.least").alias("keep_id"), F.col("x.cls").alias("keep_cls"))
+    several = marks.groupBy("doc_id", "cls").agg(F.count("*").alias("times")).where("times > 1")
+    out = stage(kept.join(several, F.col("keep_id").eqNullSafe(F.col("doc_id")) & (F.col("keep_cls") == F.col("cls")), "left").select("keep_id", "keep_cls", F.col("times").isNotNull().alias("repeated")), "keepers")
+    for df in (marks, reps, found, more):
+        unstage(spark, df)
+    return out
 
 
 def _with_class(at: int):
@@ -464,12 +573,20 @@ def _with_class(at: int):
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of docs.
 
-    It is the row of the least doc_id; of repeated rows of that id and text one stays. Null and empty texts have the
-    same (no) words and are one group; rows without an id stay only if their whole group has none. An empty table
-    gives an empty table. Texts move once, by doc_id.
+    It is the row of the least doc_id; of repeated rows of that id and those words the one of the least text stays, of equal
+    texts the one whose other columns come first as JSON. Null and empty texts have the same (no) words and are one group;
+    rows without an id stay only if their whole group has none. An empty table gives an empty table. Texts move once at most,
+    by doc_id and class; where the ids that stay are few, not at all.
     """
     d = neutral(docs, "doc_id", "text")
     schema = T.StructType([*d.schema.fields, T.StructField("__cls", T.LongType())])
     marked = d.mapInArrow(_with_class(d.columns.index("text")), schema)
-    same = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("__cls") == F.col("keep_cls"))
-    return marked.join(stage(keepers(d), "keepers"), same, "left_semi").dropDuplicates(["doc_id", "__cls"]).select(*d.columns).toDF(*docs.columns)
+    kept = keepers(d)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__cls") == F.col("keep_cls"))
+    out = marked.join(kept.where("not repeated"), same, "left_semi").select(*d.columns)
+    if kept.where("repeated").head(1):
+        row = F.struct(*d.columns)
+        order = F.struct("text", F.to_json(F.struct(*[c for c in d.columns if c != "text"])))
+        one = marked.join(kept.where("repeated"), same, "left_semi").groupBy(F.col("doc_id").cast("long").alias("i"), "__cls").agg(F.min_by(row, order).alias("row"))
+        out = out.unionByName(one.select("row.*"))
+    return out.toDF(*docs.columns)
