@@ -185,6 +185,32 @@ def test_secrets(spark, docs):
     assert got[len(texts) - 1].spans == "random:45:69"
 
 
+def test_discoveries_among_random_and_readable_tokens(spark):
+    r = random.Random(1)
+    token = re.compile(secret_scan.TOKEN)
+    words = "user account transaction history update remote branch merge conflict resolve render widget layout parser syntax token memory pointer".split()
+    alphabets = {"base64": secret_scan.BASE64, "hex": "0123456789abcdef", "base32": secret_scan.BASE64[:26] + "234567"}
+    rows = []
+    for name, alphabet in alphabets.items():
+        for n in (20, 24, 32, 40, 64):
+            found = [v for v in ("".join(r.choice(alphabet) for _ in range(n)) for _ in range(60)) if token.fullmatch(v)]
+            rows += [(name, n, v) for v in found[:40]]
+    while len(rows) < 2500:
+        some = [r.choice(words) for _ in range(r.randint(3, 8))] + [str(r.randint(1, 2030))]
+        v = r.choice([lambda: "_".join(some), lambda: "-".join(some), lambda: "".join(w.capitalize() for w in some)])()  # noqa: B023
+        if token.fullmatch(v):
+            rows.append(("readable", 0, v))
+    text = " \n".join(v for *_, v in rows)
+    spans = secret_scan.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    told = collections.Counter(text[s.start : s.end] for s in spans)
+    share = lambda name, least, most: np.mean([told[v] > 0 for e, n, v in rows if e == name and least <= n <= most])
+    assert share("base64", 20, 20) > 0.4 and share("base64", 24, 32) > 0.85 and share("base64", 40, 64) == 1
+    assert share("hex", 20, 24) > 0.7 and share("hex", 32, 64) == 1 and share("base32", 64, 64) == 1
+    # the share of readable ones among all reported by the tests
+    wrong = [v for e, _, v in rows if e == "readable" and told[v]]
+    assert len(wrong) <= secret_scan.Q * len(told)
+
+
 def test_digests(spark, docs):
     got = {r.doc_id: r for r in digest.op5(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     for i, d in enumerate(docs):
