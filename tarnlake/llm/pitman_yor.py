@@ -1,13 +1,18 @@
 """Language-model scoring with a hierarchical Pitman-Yor model, seated by Gibbs sampling.
 
-Words are counted over all training texts. The CLASSES most frequent ones are classes of their own, all others
-share one class. Every frequent previous word (CONTEXTS of them, one for all others, and one for the beginning of
-a text) is a context with a restaurant over classes; their tables are the customers of one parent restaurant, whose
-own base is uniform. Words of the shared class have a restaurant with a uniform base over them and one unknown
-word. A sweep seats every dish's customers anew by the Chinese-restaurant rule, given all other dishes' tables of
-the sweep before; contexts are seated in parallel. Predictive probabilities are averaged over the sweeps after
-BURN_IN. All tables that tasks hold are bounded: contexts by classes, and the FREQUENT most frequent words. Rarer
-words are joined with their counts by a shuffle.
+Every word of the training texts, and the beginning of a text, is a context with a restaurant of its own; the dishes are the
+words that follow. All these restaurants share one parent, whose customers are their tables and whose base is uniform over
+the words and one unknown word. There is no class of words and no cap on contexts or cells: cells (context, word, count) are
+counted by a shuffle and grow with the corpus.
+
+A sweep seats every cell's customers anew by the Chinese-restaurant rule, given all other cells' tables of the sweep before,
+then the parent's customers. A cell seen once has one table in any sweep: it needs no seating, and the numbers of such cells
+of a context or a word follow from its count. Random numbers depend on the cell and the sweep alone, so that neither
+partitions nor batches change a draw. After BURN_IN sweeps, tables and the parent's predictive probabilities are averaged
+over SAMPLES sweeps, and p(w | u) = (c - discount * tables + (strength + discount * tables of u) * parent(w)) / (strength + customers of u).
+
+Tasks look up the FREQUENT most frequent words and the TOP most frequent cells, tables of bounded size; everything about
+other words and cells is joined by a shuffle. A filter of bounded size tells most cells that were seen once from others.
 """
 
 from __future__ import annotations
@@ -15,28 +20,46 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.shared import mix, raw, stage
+from tarnlake.llm.shared import mix, raw, release, stage, unstage
 from tarnlake.llm.words import runs_of
 
-CLASSES = 4096
-CONTEXTS = 255
-FREQUENT = 1 << 18
-BURN_IN, SAMPLES = 2, 3
+FREQUENT, TOP = 1 << 18, 1 << 20
+BURN_IN, SAMPLES = 2, 4
 STRENGTH = 1.0
-#: Distinct words that a task holds before it hands their counts on.
-HELD = 1 << 21
-END = np.uint64(0x454E44)
+#: Distinct words, and pairs of words, that a task holds before it hands their counts on.
+HELD, HELD_PAIRS = 1 << 20, 1 << 21
+#: Bits of the filter of cells.
+BITS = 1 << 26
+END, BEGIN = np.uint64(0x454E44), np.uint64(0x424547494E)
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+
 
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text is 2 modulo 7; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+def tokens_of(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, text) of each token: words, and one end after each text's words."""
+    text = np.repeat(np.arange(len(counts)), counts + 1)
+    ends = np.cumsum(counts + 1) - 1
+    w = np.empty(len(text), np.uint64)
+    is_end = np.zeros(len(text), bool)
+    is_end[ends] = True
+    w[~is_end], w[is_end] = h, END
+    u = np.concatenate((w[:0] if not len(w) else [BEGIN], w[:-1])).astype(np.uint64)
+    u[ends - counts] = BEGIN
+    return u, w, text
+
+
+def cell_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(u * _A) + w * _B)
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for b in batches:
@@ -50,187 +73,310 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], ["h", "c"])
 
 
-def seat(c: np.ndarray, tables: float, base: np.ndarray | float, discount: float, r: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its c customers are seated one after another, the other dishes' tables given.
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, w, c, asked): pairs of neighbours of training texts and their number; a pair of a held-out text is asked for, and counts nothing."""
+    us, ws, cs, held = [], [], [], 0
+
+    def merged() -> pa.RecordBatch:
+        u, w, c = np.concatenate([np.zeros(0, np.uint64), *us]), np.concatenate([np.zeros(0, np.uint64), *ws]), np.concatenate([np.zeros(0, bool), *cs])
+        order = np.lexsort((w, u))
+        u, w, c = u[order], w[order], c[order]
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(u)), bool), (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
+        n = np.add.reduceat(c.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(u)))
+        us.clear(), ws.clear(), cs.clear()
+        return pa.RecordBatch.from_arrays([pa.array(u[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n), pa.array(n < size)], ["u", "w", "c", "asked"])
 
-    A customer opens a table with odds (strength + discount * tables) * base to (seated - discount * own tables). The
-    first 16 customers sit down singly, later ones in blocks of an eighth of those seated, whose new tables are
+    for b in batches:
+        out = np.array(b.column(1).to_pylist(), bool)
+        for at, h, counts in runs_of(raw(b.column(0))):
+            u, w, text = tokens_of(h, counts)
+            us.append(u), ws.append(w), cs.append(~out[at + text])
+            held += len(u)
+            if held > HELD_PAIRS:
+                yield merged()
+                held = 0
+    yield merged()
+
+
+def uniform(cell: np.ndarray, sweep: int, step: int) -> np.ndarray:
+    """A number in [0, 1) for each cell, the same wherever and whenever it is drawn."""
+    return (mix(cell + np.uint64(int(_B) * (sweep * 65536 + step + 1) % 2**64)) >> np.uint64(11)).astype(float) * 2.0**-53
+
+
+def _normal_quantile(u: np.ndarray) -> np.ndarray:
+    """By a rational approximation, off by 5e-4 at most."""
+    tail = np.clip(np.minimum(u, 1 - u), 1e-16, 0.5)
+    t = np.sqrt(-2 * np.log(tail))
+    z = t - (2.515517 + t * (0.802853 + t * 0.010328)) / (1 + t * (1.432788 + t * (0.189269 + t * 0.001308)))
+    return np.where(u < 0.5, -z, z)
+
+
+def binomial(u: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The u-quantile of a binomial distribution: by its sums, or by a normal one where its variance is over 30."""
+    out = (u < p).astype(np.int64)
+    wide = (n > 1) & (n * p * (1 - p) > 30)
+    mean = n[wide] * p[wide]
+    out[wide] = np.clip(np.rint(mean + _normal_quantile(u[wide]) * np.sqrt(mean * (1 - p[wide]))), 0, n[wide])
+    left = np.flatnonzero((n > 1) & ~wide)
+    # counted from the likelier side, so that the first term is no underflow
+    m, q, v = n[left], np.minimum(p[left], 1 - p[left]), np.where(p[left] > 0.5, 1 - u[left], u[left])
+    term = np.exp(m * np.log1p(-q))
+    total, k = term.copy(), np.zeros(len(left), np.int64)
+    on = np.flatnonzero((total < v) & (k < m))
+    while len(on):
+        term[on] *= (m[on] - k[on]) / (k[on] + 1) * (q[on] / (1 - q[on]))
+        k[on] += 1
+        total[on] += term[on]
+        on = on[(total[on] < v[on]) & (k[on] < m[on])]
+    out[left] = np.where(p[left] > 0.5, m - k, k)
+    return out
+
+
+def seat(c: np.ndarray, weight: np.ndarray, discount: float, cell: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of each cell after its c customers are seated one after another, the other cells' tables given.
+
+    A customer opens a table with odds weight = (strength + discount * tables) * base to (seated - discount * own tables).
+    The first 16 customers sit down singly, later ones in blocks of an eighth of those seated, whose new tables are
     drawn binomially: the number of steps grows with the logarithm of the largest count.
     """
-    c = np.asarray(c, np.int64)
-    weight = (STRENGTH + discount * tables) * np.broadcast_to(np.asarray(base, float), c.shape)
     t = (c > 0).astype(np.int64)
-    seated = 1
+    seated, step = 1, 0
     live = np.flatnonzero(c > 1)
     while len(live):
         block = 1 if seated < 16 else seated // 8
         n = np.minimum(block, c[live] - seated)
-        middle = seated + (n - 1) / 2
-        p = weight[live] / (weight[live] + np.maximum(middle - discount * t[live], 1e-9))
-        t[live] += r.binomial(n, np.clip(p, 0, 1))
-        seated += block
+        p = weight[live] / (weight[live] + np.maximum(seated + (n - 1) / 2 - discount * t[live], 1e-9))
+        t[live] += binomial(uniform(cell[live], sweep, step), n, p)
+        seated, step = seated + block, step + 1
         live = live[c[live] > seated]
     return t
 
 
-def _seed(h: np.ndarray, sweep: int) -> np.random.Generator:
-    """A generator that depends on the dishes alone, so a task that runs again seats them alike."""
-    return np.random.default_rng([sweep, int(np.bitwise_xor.reduce(mix(h.view(np.uint64)))) if len(h) else 0])
+def _discount(once: int, twice: int) -> float:
+    """From the numbers of dishes seen once and twice."""
+    return float(np.clip(once / (once + 2 * twice), 0.1, 0.95)) if once else 0.5
 
 
-def _discount(counts: DataFrame) -> float:
-    """From the numbers of dishes seen once and twice."""
-    n = counts.agg(F.count_if(F.col("c") == 1).alias("a"), F.count_if(F.col("c") == 2).alias("b")).first()
-    return float(np.clip(n["a"] / (n["a"] + 2 * n["b"]), 0.1, 0.95)) if n["a"] else 0.5
+def _bin(column: str) -> Column:
+    """64 bins to each doubling of a count."""
+    return F.floor(F.log2(column) * 64).cast("int")
 
 
-def count_bin() -> Column:
-    """64 bins to each doubling of the column c."""
-    return F.floor(F.log2("c") * 64).cast("int")
+def _least_bin(table: DataFrame, column: str, room: int) -> int:
+    """The least bin of counts of which, and of all above, at most `room` rows are."""
+    least = 1 << 20
+    for b, n in sorted(((r["bin"], r["n"]) for r in table.groupBy(_bin(column).alias("bin")).agg(F.count("*").alias("n")).collect()), reverse=True):
+        if n > room:
+            break
+        least, room = b, room - n
+    return least
 
 
-class Model:
-    """What scoring needs of the corpus, all of bounded size: see the module's text."""
-
-    def __init__(self, vocabulary: DataFrame, tokens: int, types: int) -> None:
-        self.tokens, self.types = tokens, types
-        sizes = sorted((r["bin"], r["n"]) for r in vocabulary.groupBy(count_bin().alias("bin")).agg(F.count("*").alias("n")).collect())
-        self.least_bin, room = 1 << 20, FREQUENT
-        for b, n in reversed(sizes):
-            if n > room:
-                break
-            self.least_bin, room = b, room - n
-        top = vocabulary.where(count_bin() >= self.least_bin).toPandas()
-        top = top.sort_values(["c", "h"], ascending=[False, True])
-        h = top["h"].to_numpy().view(np.uint64)
-        self.n_classes = min(CLASSES, len(h))
-        order = np.argsort(h)
-        self.h, self.c, self.rank = h[order], top["c"].to_numpy()[order], np.arange(len(h))[order]
-        few = np.flatnonzero(self.rank < self.n_classes)
-        self.class_h, self.class_of = self.h[few], self.rank[few]
-        self.n_contexts = min(CONTEXTS, self.n_classes)
-        self.end_class = int(self._lookup(self.class_h, self.class_of, np.array([END]), self.n_classes)[0])
-
-    @staticmethod
-    def _lookup(keys: np.ndarray, values: np.ndarray, h: np.ndarray, other: int) -> np.ndarray:
-        if not len(keys):
-            return np.full(len(h), other)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return np.where(keys[at] == h, values[at], other)
-
-    def classes(self, h: np.ndarray) -> np.ndarray:
-        """The class of each word; n_classes is the shared one."""
-        return self._lookup(self.class_h, self.class_of, h, self.n_classes)
-
-    def contexts(self, cls: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The context of each token of a row of tokens, `first` marking those that begin a text."""
-        before = np.concatenate(([0], cls[:-1]))
-        return np.where(first, self.n_contexts + 1, np.minimum(before, self.n_contexts))
-
-    def tokens_of(self, h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, is first of its text, text) of each token: words, and one end after each text's words."""
-        text = np.repeat(np.arange(len(counts)), counts + 1)
-        ends = np.cumsum(counts + 1) - 1
-        out = np.empty(len(text), np.uint64)
-        is_end = np.zeros(len(text), bool)
-        is_end[ends] = True
-        out[~is_end], out[is_end] = h, END
-        first = np.zeros(len(text), bool)
-        first[ends - counts] = True
-        return out, first, text
-
-
-def _count_pairs(model: Model):
+class Lookup:
+    """Values of sorted 64-bit keys."""
+
+    def __init__(self, keys: np.ndarray, **values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], {k: v[order] for k, v in values.items()}
+
+    def at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key, and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return place, self.keys[place] == h
+
+
+class Sweep:
+    """What a sweep is given: tables (T) and parent probability (P) of each word, of frequent ones by lookup, of all as a table."""
+
+    def __init__(self, number: int, words: DataFrame, types: int) -> None:
+        total = words.agg(F.coalesce(F.sum("K"), F.lit(0)).alias("k"), F.coalesce(F.sum("t0"), F.lit(0)).alias("t0"), F.count_if(F.col("K") == 1).alias("one"), F.count_if(F.col("K") == 2).alias("two")).first()
+        self.number, self.tables = number, int(total["t0"])
+        self.discount = _discount(total["one"], total["two"])
+        p = (F.col("K") - self.discount * F.col("t0") + (STRENGTH + self.discount * self.tables) / (types + 1)) / (STRENGTH + total["k"])
+        self.all = words.select("h", F.col("T").cast("double").alias("T"), p.alias("P"), "frequent")
+        self.unknown = (STRENGTH + self.discount * self.tables) / (types + 1) / (STRENGTH + total["k"])
+        top = self.all.where("frequent").select("h", "T", "P").toPandas()
+        self.lookup = Lookup(top["h"].to_numpy(np.int64).view(np.uint64), T=top["T"].to_numpy(float), P=top["P"].to_numpy(float))
+
+
+def _seat_cells(sweeps: list[Sweep], discount: float, *, joined: bool, sums: bool):
+    """Seats cells (u, w, c) in each of the sweeps. With sums: (h, tu, tw), tables of contexts and of words; else (u, w, c, t), mean tables of cells."""
+    given = [(s.number, s.lookup) for s in sweeps]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = model.n_classes + 1
-        total = np.zeros((model.n_contexts + 2) * width, np.int64)
         for b in batches:
-            for _, h, counts in runs_of(raw(b.column(0))):
-                h, first, _ = model.tokens_of(h, counts)
-                cls = model.classes(h)
-                total += np.bincount(model.contexts(cls, first) * width + cls, minlength=len(total))
-        key = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(key // width), pa.array(key % width), pa.array(total[key])], ["u", "w", "c"])
+            u, w, c = (b.column(k).to_numpy() for k in range(3))
+            x, y = u.view(np.uint64), w.view(np.uint64)
+            cell, t = cell_key(x, y), np.zeros(len(c))
+            for k, (number, lookup) in enumerate(given):
+                if joined:
+                    tables, parent = b.column(3 + 2 * k).to_numpy(), b.column(4 + 2 * k).to_numpy()
+                else:
+                    tables, parent = lookup.values["T"][lookup.at(x)[0]], lookup.values["P"][lookup.at(y)[0]]
+                t += seat(c, (STRENGTH + discount * tables) * parent, discount, cell, number)
+            t /= len(given)
+            if sums:
+                h, at = np.unique(np.concatenate([u, w]), return_inverse=True)
+                n = len(u)
+                tu, tw = np.bincount(at[:n], weights=t, minlength=len(h)), np.bincount(at[n:], weights=t, minlength=len(h))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(tu.astype(np.int64)), pa.array(tw.astype(np.int64))], ["h", "tu", "tw"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(c), pa.array(t)], ["u", "w", "c", "t"])
 
     return run
 
 
-def _context_tables(pairs: DataFrame, sweeps: list[tuple[int, np.ndarray, np.ndarray]], discount: float) -> DataFrame:
-    """(u, w, c, t): each context's tables, averaged over the given sweeps (number, tables of each context, parent's probabilities)."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("w")
-        u, w = int(rows["u"].iloc[0]), rows["w"].to_numpy()
-        t = [seat(rows["c"].to_numpy(), tables[u], parent[w], discount, np.random.default_rng([n, u])) for n, tables, parent in sweeps]
-        return rows.assign(t=np.mean(t, axis=0))
-
-    return pairs.groupBy("u").applyInPandas(run, "u long, w long, c long, t double")
-
-
-def context_probabilities(pairs: DataFrame, n_contexts: int, n_classes: int) -> np.ndarray:
-    """P(class | context) averaged over the samples, as a dense table of bounded size."""
-    width, discount = n_classes + 1, _discount(pairs)
-    customers = np.zeros(n_contexts + 2)
-    tables = np.zeros(n_contexts + 2)
-    for r in pairs.groupBy("u").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
-        customers[r["u"]], tables[r["u"]] = r["c"], r["n"]
-    parent = np.full(width, 1 / width)
-    kept, r = [], np.random.default_rng(17)
-    parent_tables = 0.0
-    for n in range(BURN_IN + SAMPLES):
-        now = (n, tables.copy(), parent.copy())
-        if n >= BURN_IN:
-            kept.append(now)
-        seated = _context_tables(pairs, [now], discount).groupBy("w").agg(F.sum("t").alias("t")).collect()
-        below = np.zeros(width, np.int64)
-        for row in seated:
-            below[row["w"]] = round(row["t"])
-        own = seat(below, parent_tables or (below > 0).sum(), 1 / width, 0.5, r)
-        parent_tables = float(own.sum())
-        parent = (below - 0.5 * own + (STRENGTH + 0.5 * parent_tables) / width) / (STRENGTH + below.sum())
-        for row in _context_tables(pairs, [now], discount).groupBy("u").agg(F.sum("t").alias("t")).collect():
-            tables[row["u"]] = row["t"]
-    own = np.zeros((n_contexts + 2, width))
-    for u, w, c, t in _context_tables(pairs, kept, discount).collect():
-        own[u, w] = c - discount * t
-    handed = np.mean([((STRENGTH + discount * tb)[:, None] * p[None]) for _, tb, p in kept], axis=0)
-    return (own + handed) / (STRENGTH + customers)[:, None]
-
-
-def _seat_words(sweeps: list[tuple[int, float]], base: float, discount: float):
+def _seated(cells: DataFrame, sweeps: list[Sweep], discount: float, *, sums: bool) -> DataFrame:
+    """All cells seated in the sweeps: those of two frequent words by lookup, the others joined with their words."""
+    schema = "h long, tu long, tw long" if sums else "u long, w long, c long, t double"
+    plain = cells.where("frequent").select("u", "w", "c").mapInArrow(_seat_cells(sweeps, discount, joined=False, sums=sums), schema)
+    rare = cells.where("not frequent").select("u", "w", "c")
+    for k, s in enumerate(sweeps):
+        rare = rare.join(s.all.select(F.col("h").alias("u"), F.col("T").alias(f"T{k}")), "u").join(s.all.select(F.col("h").alias("w"), F.col("P").alias(f"P{k}")), "w")
+    columns = [x for k in range(len(sweeps)) for x in (f"T{k}", f"P{k}")]
+    return plain.unionByName(rare.select("u", "w", "c", *columns).mapInArrow(_seat_cells(sweeps, discount, joined=True, sums=sums), schema))
+
+
+def _seat_parent(number: int, tables: int, types: int, discount: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            t = np.mean([seat(c, tables, base, discount, _seed(h, n)) for n, tables in sweeps], axis=0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t, pa.float64())], ["h", "c", "t"])
+            h, customers = b.column(0).to_numpy(), b.column(2).to_numpy()
+            t0 = seat(customers, np.full(len(h), (STRENGTH + discount * tables) / (types + 1)), discount, mix(h.view(np.uint64)), number)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t0)], ["h", "T", "K", "frequent", "t0"])
 
     return run
 
 
-def _score(model: Model, log_context: np.ndarray, log_base: np.ndarray, log_rare: np.ndarray):
+class Model:
+    """The seated model of training texts (columns text, held_out): see the module's text."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        spark = docs.sparkSession
+        counted = docs.where("not held_out").select("text").mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 0")
+        vocabulary = stage(counted, "vocabulary")
+        n = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
+        self.tokens, self.types = n["tokens"], n["types"]
+        least = _least_bin(vocabulary, "c", FREQUENT)
+        ends = vocabulary.where(F.col("h") == int(END)).select(F.lit(int(BEGIN)).cast("long").alias("h"), F.lit(0).cast("long").alias("c"), F.col("c").alias("customers"))
+        # every word but the end is followed by a token; each text begins once
+        words = vocabulary.select("h", "c", F.when(F.col("h") == int(END), 0).otherwise(F.col("c")).alias("customers")).unionByName(ends)
+        words = words.withColumn("frequent", (_bin("c") >= least) | (F.col("h") == int(BEGIN)))
+        # cells seen twice or more, and those seen once that a held-out text asks for
+        cells = docs.select("text", "held_out").mapInArrow(_count_cells, "u long, w long, c long, asked boolean").groupBy("u", "w").agg(F.sum("c").alias("c"), F.bool_or("asked").alias("asked"))
+        known = words.where("frequent").select("h")
+        cells = stage(cells.where("c > 1 or (c = 1 and asked)").select("u", "w", "c"), "cells")
+        release(spark)
+        mark = lambda name: F.broadcast(known.select(F.col("h").alias(name), F.lit(True).alias(f"known_{name}")))
+        marked = cells.where("c > 1").join(mark("u"), "u", "left").join(mark("w"), "w", "left")
+        active = stage(marked.select("u", "w", "c", F.coalesce(F.col("known_u") & F.col("known_w"), F.lit(False)).alias("frequent")), "active")
+        some = active.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count_if(F.col("c") == 2).alias("two")).first()
+        self.discount = _discount(self.tokens - some["c"], some["two"])
+        role = lambda h, *values: F.struct(F.col(h).alias("h"), *[(F.col(v) if v == "c" else F.lit(v)).cast("long").alias(k) for k, v in zip(("cu", "tu", "cw", "tw"), values, strict=True)])
+        both = F.explode(F.array(role("u", "c", 1, 0, 0), role("w", 0, 0, "c", 1)))
+        zero = lambda x: F.coalesce(x, F.lit(0))
+        own = active.select(both.alias("x")).groupBy("x.h").agg(*[F.sum(f"x.{k}").alias(k) for k in ("cu", "tu", "cw", "tw")])
+        joined = words.join(own, "h", "left")
+        words = stage(
+            joined.select(
+                "h", "c", "customers", "frequent", (F.col("customers") - zero("cu")).alias("single_u"), (F.col("c") - zero("cw")).alias("single_w"), zero("tu").cast("long").alias("tu"), zero("tw").cast("long").alias("tw")
+            ),
+            "words",
+        )
+        sums, tables, discount, kept = words.select("h", "tu", "tw"), self.types, 0.5, []
+        for number in range(BURN_IN + SAMPLES):
+            now = words.select("h", "frequent", "single_u", "single_w").join(sums, "h", "left")
+            now = now.select("h", (F.col("single_u") + zero("tu")).alias("T"), (F.col("single_w") + zero("tw")).alias("K"), "frequent")
+            state = stage(now.mapInArrow(_seat_parent(number, tables, self.types, discount), "h long, T long, K long, frequent boolean, t0 long"), "state")
+            sweep = Sweep(number, state, self.types)
+            tables, discount = sweep.tables, sweep.discount
+            if number >= BURN_IN:
+                kept.append((sweep, state))
+            if number < BURN_IN + SAMPLES - 1:
+                sums = _seated(active, [sweep], self.discount, sums=True).groupBy("h").agg(F.sum("tu").alias("tu"), F.sum("tw").alias("tw"))
+        seated = stage(_seated(active, [s for s, _ in kept], self.discount, sums=False), "seated")
+        mean = None
+        for s, _ in kept:
+            one = s.all.select("h", "P")
+            mean = one if mean is None else mean.unionByName(one)
+        mean = mean.groupBy("h").agg(F.avg("P").alias("P"))
+        # a context hands on what the tables of its own cells leave, so that its probabilities add up to one
+        tables_of = seated.groupBy(F.col("u").alias("h")).agg(F.sum("t").alias("tables"))
+        self.unknown = float(np.mean([s.unknown for s, _ in kept]))
+        # of each word: its count, what it hands its parent as a context, its customers there, and the parent's probability of it
+        self.words = stage(words.select("h", "c", "customers", "frequent", "single_u").join(mean, "h").join(tables_of, "h", "left").select("h", "c", (STRENGTH + self.discount * (F.col("single_u") + F.coalesce("tables", F.lit(0.0)))).alias("B"), (STRENGTH + F.col("customers")).alias("D"), "P", "frequent"), "model_words")
+        own = seated.select("u", "w", "c", (F.col("c") - self.discount * F.col("t")).alias("a")).unionByName(cells.where("c = 1").select("u", "w", "c", F.lit(1 - self.discount).alias("a")))
+        context = self.words.select(F.col("h").alias("u"), "B", "D")
+        parent = self.words.select(F.col("h").alias("w"), "P")
+        self.cells = stage(own.join(context, "u").join(parent, "w").select("u", "w", "c", F.log10((F.col("a") + F.col("B") * F.col("P")) / F.col("D")).alias("said")), "model_cells")
+        for df in (vocabulary, cells, active, words, seated, *(state for _, state in kept)):
+            unstage(spark, df)
+        top = self.words.where("frequent").select("h", "c", "B", "D", "P").toPandas()
+        self.lookup = Lookup(top["h"].to_numpy(np.int64).view(np.uint64), **{k: top[k].to_numpy(float) for k in "cBDP"})
+        top = self.cells.where(_bin("c") >= _least_bin(self.cells, "c", TOP)).select("u", "w", "said").toPandas()
+        self.top = Lookup(cell_key(top["u"].to_numpy(np.int64).view(np.uint64), top["w"].to_numpy(np.int64).view(np.uint64)), said=top["said"].to_numpy(np.float32).astype(float))
+        self.filter = self._filter()
+
+    def _filter(self) -> np.ndarray:
+        """BITS bits, those of all cells set."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(BITS >> 6, np.uint64)
+            for b in batches:
+                key = cell_key(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64)) & np.uint64(BITS - 1)
+                np.bitwise_or.at(bits, (key >> np.uint64(6)).astype(np.int64), np.uint64(1) << (key & np.uint64(63)))
+            at = np.flatnonzero(bits)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], ["at", "bits"])
+
+        out = np.zeros(BITS >> 6, np.uint64)
+        got = self.cells.select("u", "w").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+        out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+        return out
+
+
+def may_have(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether each key may be a cell's, by the filter."""
+    key = key & np.uint64(BITS - 1)
+    return (bits[(key >> np.uint64(6)).astype(np.int64)] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+#: Lists of a scored row: cells to look up (u, w), rare words with what their context hands on (NaN: known otherwise), rare contexts with their word's probability, and pairs of both.
+LISTS = ["cell_u", "cell_w", "rare_w", "rare_b", "rare_u", "rare_p", "pair_u", "pair_w"]
+_FLOATS = {"rare_b", "rare_p"}
+
+
+def _score(lookup: Lookup, top: Lookup, bits: np.ndarray, discount: float, tokens: int, types: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"]
         for b in batches:
+            out_of_training = np.array(b.column(1).to_pylist(), bool)
             for at, h, counts in runs_of(raw(b.column(2))):
-                h, first, text = model.tokens_of(h, counts)
-                place = np.minimum(np.searchsorted(model.h, h), max(len(model.h) - 1, 0))
-                known = model.h[place] == h if len(model.h) else np.zeros(len(h), bool)
-                cls = np.where(known, np.minimum(model.rank[place], model.n_classes), model.n_classes) if len(model.h) else np.zeros(len(h), np.int64)
-                score = log_context[model.contexts(cls, first), cls]
-                base = np.zeros(len(h))
-                if len(model.h):
-                    score = score + np.where(known & (cls == model.n_classes), log_rare[place], 0.0)
-                    base = np.where(known, log_base[place], 0.0)
+                u, w, text = tokens_of(h, counts)
+                (iu, ku), (iw, kw) = lookup.at(u), lookup.at(w)
+                val = lambda k, i: lookup.values[k][i] if len(lookup.keys) else np.zeros(len(i))
+                key = cell_key(u, w)
+                it, kt = top.at(key)
+                score = np.where(kt, top.values["said"][it] if len(top.keys) else 0.0, 0.0)
+                base = np.where(kw, np.log10((val("c", iw) + 1) / (tokens + types + 1)), 0.0)
+                ask = ~kt & may_have(bits, key)
+                alone = ~kt & ~ask
+                a = np.where(out_of_training[at + text], 0.0, 1 - discount)
+                easy = alone & ku & kw
+                score[easy] = np.log10((a + val("B", iu) * val("P", iw))[easy] / val("D", iu)[easy])
+                word, context, pair = ~kw & (~alone | ku), alone & ~ku & kw, alone & ~ku & ~kw
+                with_context = alone & ku & ~kw
+                score[with_context] -= np.log10(val("D", iu)[with_context])
+                handed = np.where(with_context, val("B", iu), np.nan)
                 sums = lambda x: np.bincount(text, weights=x, minlength=len(counts))  # noqa: B023, E731
-                left = ~known
-                key = np.stack([text[left].astype(np.uint64), h[left]], 1)
-                own, n = np.unique(key, axis=0, return_counts=True) if len(key) else (key, np.zeros(0, np.int64))
-                offsets = pa.array(np.searchsorted(own[:, 0], np.arange(len(counts) + 1).astype(np.uint64)).astype(np.int32))
+                lists = {"cell_u": (ask, u), "cell_w": (ask, w), "rare_w": (word, w), "rare_b": (word, handed), "rare_u": (context, u), "rare_p": (context, val("P", iw)), "pair_u": (pair, u), "pair_w": (pair, w)}
+                columns = []
+                for name in LISTS:
+                    which, values = lists[name]
+                    offsets = np.concatenate(([0], np.cumsum(np.bincount(text[which], minlength=len(counts))))).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[which].astype(np.float32)) if name in _FLOATS else pa.array(values[which].view(np.int64))))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).slice(at, len(counts)), b.column(1).slice(at, len(counts)), pa.array(np.bincount(text, minlength=len(counts))), pa.array(sums(known).astype(np.int64)), pa.array(sums(base)), pa.array(sums(score)),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(own[:, 1]).view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))),
-                    ],
-                    names,
+                    [b.column(0).slice(at, len(counts)), b.column(1).slice(at, len(counts)), pa.array(np.bincount(text, minlength=len(counts))), pa.array(sums(kw).astype(np.int64)), pa.array(sums(base)), pa.array(sums(score)), *columns],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", *LISTS],
                 )
 
     return run
@@ -241,48 +387,38 @@ def scored(docs: DataFrame) -> DataFrame:
 
     A null or empty text is one end token. A null doc_id is not held out; repeated rows count and score one by one.
     Without a training text every token is unknown: both scores are of uniform chance. An empty table gives an
-    empty table; other columns are ignored.
+    empty table; other columns are ignored. Scores are rounded to nine decimals, as sums come in any order.
     """
     docs = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id").cast("long")).alias("held_out"), "text")
-    train = docs.where("not held_out").select("text")
-    counted = train.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 0")
-    vocabulary = stage(counted, "vocabulary")
-    n = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
-    model = Model(vocabulary, n["tokens"], n["types"])
-    # the restaurant of the words that share a class
-    frequent = {int(x) for x in model.class_h.view(np.int64)}
-    shared = vocabulary.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in frequent], "h long")), "h", "left_anti")
-    some = shared.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count("*").alias("n")).first()
-    discount, base = _discount(shared), 1 / (some["n"] + 1)
-    tables, kept = float(some["n"]), []
-    for k in range(BURN_IN + SAMPLES):
-        if k >= BURN_IN:
-            kept.append((k, tables))
-        tables = shared.mapInArrow(_seat_words([(k, tables)], base, discount), "h long, c long, t double").agg(F.coalesce(F.sum("t"), F.lit(0.0))).first()[0]
-    seated = stage(shared.mapInArrow(_seat_words(kept, base, discount), "h long, c long, t double"), "seated")
-    mean_tables = float(np.mean([t for _, t in kept]))
-    rare = lambda c, t: (c - discount * t + (STRENGTH + discount * mean_tables) * base) / (STRENGTH + some["c"])
-    top = {r["h"]: r["t"] for r in seated.where(count_bin() >= model.least_bin).select("h", "t").collect()}
-    own_t = np.array([top.get(int(x), 0.0) for x in model.h.view(np.int64)])
-    log_rare = np.log10(np.maximum(rare(model.c, own_t), 1e-300)) if len(model.h) else np.zeros(0)
-    log_base = np.log10((model.c + 1) / (model.tokens + model.types + 1))
-    # the contexts' restaurants
-    pairs = stage(train.mapInArrow(_count_pairs(model), "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c")), "pairs")
-    log_context = np.log10(context_probabilities(pairs, model.n_contexts, model.n_classes))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>"
-    rows = stage(docs.mapInArrow(_score(model, log_context.astype(np.float32), log_base, log_rare), schema), "scores").withColumn("row", F.monotonically_increasing_id())
-    tail = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
-    all_words = seated.where(count_bin() < model.least_bin)
-    c, t = F.coalesce("c", F.lit(0)), F.coalesce("t", F.lit(0.0))
-    p = (c - t * discount + (STRENGTH + discount * mean_tables) * base) / (STRENGTH + some["c"])
-    more = tail.join(all_words, "h", "left").groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("k"),
-        F.sum(F.col("times") * F.log10((c + 1) / float(model.tokens + model.types + 1))).alias("b"),
-        F.sum(F.col("times") * F.log10(p)).alias("s"),
+    m = Model(docs)
+    release(docs.sparkSession)
+    lists = ", ".join(f"{x} array<{'float' if x in _FLOATS else 'long'}>" for x in LISTS)
+    schema = f"doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, {lists}"
+    rows = stage(docs.mapInArrow(_score(m.lookup, m.top, m.filter, m.discount, m.tokens, m.types), schema), "scores").withColumn("row", F.monotonically_increasing_id())
+    a = F.when(F.col("held_out"), 0.0).otherwise(1 - m.discount).alias("a")
+    zipped = lambda *names: rows.select("row", a, F.explode(F.arrays_zip(*names)).alias("x")).select("row", "a", "x.*")
+    context = m.words.select(F.col("h").alias("u"), "B", "D")
+    parent = m.words.select(F.col("h").alias("w"), F.col("c").alias("n"), "P")
+    none = F.lit(None).cast("double")
+    asked = zipped("cell_u", "cell_w").withColumnsRenamed({"cell_u": "u", "cell_w": "w"}).join(m.cells.select("u", "w", "said"), ["u", "w"], "left")
+    # words to look up: of tokens whose cell is known otherwise (b is no number), with a context's share, or with a context to look up as well
+    ask = asked.where("said is null").select("row", "a", "w", "u", none.alias("b"), F.lit(False).alias("counts"))
+    ask = ask.unionByName(zipped("rare_w", "rare_b").select("row", "a", F.col("rare_w").alias("w"), F.lit(None).cast("long").alias("u"), F.col("rare_b").cast("double").alias("b"), F.lit(True).alias("counts")))
+    ask = ask.unionByName(zipped("pair_u", "pair_w").select("row", "a", F.col("pair_w").alias("w"), F.col("pair_u").alias("u"), none.alias("b"), F.lit(True).alias("counts")))
+    met = ask.join(parent, "w", "left").select("row", "a", "u", "b", "counts", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("P", F.lit(m.unknown)).alias("p"))
+    met = met.withColumn("k", (F.col("counts") & (F.col("n") > 0)).cast("long")).withColumn("base", F.when(F.col("counts"), F.log10((F.col("n") + 1) / float(m.tokens + m.types + 1))).otherwise(0.0))
+    done = met.where("u is null").select("row", "k", "base", F.when(F.isnan("b"), 0.0).otherwise(F.log10(F.col("a") + F.col("b") * F.col("p"))).alias("s"))
+    open_ = met.where("u is not null").select("row", "a", "u", "p", "k", "base").unionByName(
+        zipped("rare_u", "rare_p").select("row", "a", F.col("rare_u").alias("u"), F.col("rare_p").cast("double").alias("p"), F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("base"))
     )
-    plus = lambda name, extra: (F.col(name) + F.coalesce(extra, F.lit(0))).alias(name)
+    # a context without a restaurant hands everything to the parent
+    last = open_.join(context, "u", "left").select("row", "k", "base", F.log10(F.when(F.col("D").isNull(), F.col("p")).otherwise((F.col("a") + F.col("B") * F.col("p")) / F.col("D"))).alias("s"))
+    found = asked.where("said is not null").select("row", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("base"), F.col("said").alias("s"))
+    more = found.unionByName(done).unionByName(last).groupBy("row").agg(*[F.sum(c).alias(f"more_{c}") for c in ("k", "base", "s")])
+    plus = lambda name, extra: F.col(name) + F.coalesce(extra, F.lit(0))
     return rows.join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", plus("n_known", "k"), F.lit(model.tokens).cast("long").alias("train_tokens"), plus("base_score", "b"), plus("score", "s")
+        "doc_id", "held_out", "n_tokens", plus("n_known", "more_k").alias("n_known"), F.lit(m.tokens).cast("long").alias("train_tokens"),
+        F.round(plus("base_score", "more_base"), 9).alias("base_score"), F.round(plus("score", "more_s"), 9).alias("score"),
     )
 
 

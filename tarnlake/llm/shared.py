@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ def unstage(spark: SparkSession, df: DataFrame | None) -> None:
         _written.remove(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished jobs: Spark deletes them once nothing refers to their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -305,6 +305,7 @@ def test_gradient_of_the_labeller():
 @pytest.mark.parametrize("frequent", [1 << 18, 300])
 def test_language_model(spark, docs, frequent, monkeypatch):
     monkeypatch.setattr(pitman_yor, "FREQUENT", frequent)
+    monkeypatch.setattr(pitman_yor, "TOP", frequent)
     got = {r.doc_id: r for r in pitman_yor.op10(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     words = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode())), None]
     out = lambda d: zlib.crc32(str(d.doc_id).encode()) % 7 == 2
@@ -317,25 +318,56 @@ def test_language_model(spark, docs, frequent, monkeypatch):
         assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
         if r.held_out:
             model, base = model + r.score, base + r.base_score
-    assert base < model < 0
+    # per word far likelier than by the base counts; not so by any probability over one
+    assert base < 1.1 * model < 0 and all(r.score < 0 for r in got.values())
+    if frequent == 300:
+        return
+    # neither partitions nor batches change a score
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    again = {r.doc_id: r.score for r in pitman_yor.op10(spark.read.parquet(f"{SF}/documents.parquet").repartition(5)).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert again == {k: r.score for k, r in got.items()}
+
+
+def test_predictive_probabilities_sum_to_one(spark):
+    docs = spark.createDataFrame([(i, x, False) for i, x in enumerate(["a b a b c", "a b", "b b a", "c", ""] * 3)], "doc_id long, text string, held_out boolean")
+    m = pitman_yor.Model(docs)
+    words = m.words.collect()
+    parent = {r.h: r.P for r in words if r.h != int(pitman_yor.BEGIN)}
+    assert math.isclose(sum(parent.values()) + m.unknown, 1, rel_tol=1e-9)
+    told = {(r.u, r.w): 10**r.said for r in m.cells.collect()}
+    for r in words:
+        if r.D > pitman_yor.STRENGTH:
+            # a cell's share over what it gets from the parent, and everything else from the parent
+            total = sum(told.get((r.h, w), r.B * p / r.D) for w, p in parent.items()) + r.B * m.unknown / r.D
+            assert abs(total - 1) < 1e-6, (r, total)
 
 
 def test_seating():
     r = np.random.default_rng(3)
     c = np.array([0, 1, 2, 50, 100_000])
-    t = np.mean([pitman_yor.seat(c, 10.0, 0.01, 0.5, r) for _ in range(300)], axis=0)
+    cells = np.arange(5, dtype=np.uint64)
+    weight = np.full(5, (pitman_yor.STRENGTH + 0.5 * 10.0) * 0.01)
+    t = np.mean([pitman_yor.seat(c, weight, 0.5, cells, n) for n in range(300)], axis=0)
     assert t[0] == 0 and t[1] == 1 and (t <= np.maximum(c, 1)).all() and (np.diff(t) > 0).all()
     # one by one, as the rule has it
     slow = []
     for _ in range(300):
         k = 1
         for seated in range(1, 50):
-            w = (pitman_yor.STRENGTH + 0.5 * 10.0) * 0.01
-            k += r.random() < w / (w + seated - 0.5 * k)
+            k += r.random() < weight[3] / (weight[3] + seated - 0.5 * k)
         slow.append(k)
     assert abs(np.mean(slow) - t[3]) < 0.15
 
 
+def test_binomial_quantiles():
+    u = pitman_yor.uniform(np.arange(40_000, dtype=np.uint64), 1, 2)
+    assert abs(u.mean() - 0.5) < 0.01
+    for n, p in ((1, 0.3), (5, 0.02), (9, 0.97), (400, 0.01), (5000, 0.4)):
+        got = pitman_yor.binomial(u, np.full(len(u), n), np.full(len(u), p))
+        assert abs(got.mean() - n * p) < 5 * (n * p * (1 - p) / len(u)) ** 0.5 + 1e-9 and abs(got.var() / (n * p * (1 - p)) - 1) < 0.1
+
+
 def test_word_hashes():
     h, n = words_of([b"The cat", b"", b" the\tCAT\n", b"cat the"])
     assert n.tolist() == [2, 0, 2, 2] and h[0] == h[2] == h[5] and h[1] == h[3] == h[4] and h[0] != h[1]
