@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tarnlake.llm.shared import mix, raw, release, stage, unstage
 from tarnlake.llm.words import runs_of
 
-FREQUENT, TOP = 1 << 18, 1 << 20
+FREQUENT, TOP = 1 << 18, 1 << 19
 BURN_IN, SAMPLES = 2, 4
 STRENGTH = 1.0
 #: Distinct words, and pairs of words, that a task holds before it hands their counts on.
@@ -189,21 +189,31 @@ class Lookup:
 
 
 class Sweep:
-    """What a sweep is given: tables (T) and parent probability (P) of each word, of frequent ones by lookup, of all as a table."""
+    """What a sweep is given: tables (T) and parent probability (P) of each word, of frequent ones by lookup, of those in cells to seat as a table.
 
-    def __init__(self, number: int, words: DataFrame, types: int) -> None:
-        total = words.agg(F.coalesce(F.sum("K"), F.lit(0)).alias("k"), F.coalesce(F.sum("t0"), F.lit(0)).alias("t0"), F.count_if(F.col("K") == 1).alias("one"), F.count_if(F.col("K") == 2).alias("two")).first()
-        self.number, self.tables = number, int(total["t0"])
-        self.discount = _discount(total["one"], total["two"])
-        p = (F.col("K") - self.discount * F.col("t0") + (STRENGTH + self.discount * self.tables) / (types + 1)) / (STRENGTH + total["k"])
-        self.all = words.select("h", F.col("T").cast("double").alias("T"), p.alias("P"), "frequent")
-        self.unknown = (STRENGTH + self.discount * self.tables) / (types + 1) / (STRENGTH + total["k"])
-        top = self.all.where("frequent").select("h", "T", "P").toPandas()
-        self.lookup = Lookup(top["h"].to_numpy(np.int64).view(np.uint64), T=top["T"].to_numpy(float), P=top["P"].to_numpy(float))
+    Words in no such cell are `still`: their T and K never change, and their tables at the parent are drawn where they are needed.
+    """
+
+    def __init__(self, number: int, moving: DataFrame, still: DataFrame, types: int, tables: int, discount: float) -> None:
+        state = stage(moving.mapInArrow(_seat_parent(number, tables, types, discount), "h long, T long, K long, frequent boolean, t0 long"), "state")
+        rest = still.mapInArrow(_seat_parent(number, tables, types, discount), "h long, T long, K long, frequent boolean, t0 long")
+        zero = lambda x: F.coalesce(F.sum(x), F.lit(0))
+        sums = [df.agg(zero("K").alias("k"), zero("t0").alias("t0"), F.count_if(F.col("K") == 1).alias("one"), F.count_if(F.col("K") == 2).alias("two")).first() for df in (state, rest)]
+        self.number, self.given, self.state = number, (tables, discount), state
+        self.customers, self.tables, one, two = (sum(x[k] for x in sums) for k in ("k", "t0", "one", "two"))
+        self.discount = _discount(one, two)
+        self.unknown = (STRENGTH + self.discount * self.tables) / (types + 1) / (STRENGTH + self.customers)
+        self.all = state.select("h", F.col("T").cast("double").alias("T"), self.probability(F.col("K"), F.col("t0")).alias("P"))
+        top = state.where("frequent").unionByName(rest.where("frequent")).select("h", "T", "K", "t0").toPandas()
+        self.lookup = Lookup(top["h"].to_numpy(np.int64).view(np.uint64), T=top["T"].to_numpy(float), P=self.probability(top["K"].to_numpy(float), top["t0"].to_numpy(float)))
+
+    def probability(self, customers, tables):
+        """The parent's, of a word with so many customers and tables there."""
+        return (customers - self.discount * tables) / (STRENGTH + self.customers) + self.unknown
 
 
 def _seat_cells(sweeps: list[Sweep], discount: float, *, joined: bool, sums: bool):
-    """Seats cells (u, w, c) in each of the sweeps. With sums: (h, tu, tw), tables of contexts and of words; else (u, w, c, t), mean tables of cells."""
+    """Seats cells (u, w, c) in each of the sweeps. With sums: (h, tu, tw), tables of contexts and of words; else (u, w, c, t, frequent), mean tables of cells."""
     given = [(s.number, s.lookup) for s in sweeps]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,14 +234,14 @@ def _seat_cells(sweeps: list[Sweep], discount: float, *, joined: bool, sums: boo
                 tu, tw = np.bincount(at[:n], weights=t, minlength=len(h)), np.bincount(at[n:], weights=t, minlength=len(h))
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(tu.astype(np.int64)), pa.array(tw.astype(np.int64))], ["h", "tu", "tw"])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(c), pa.array(t)], ["u", "w", "c", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(c), pa.array(t), pa.array(np.full(len(c), not joined))], ["u", "w", "c", "t", "frequent"])
 
     return run
 
 
 def _seated(cells: DataFrame, sweeps: list[Sweep], discount: float, *, sums: bool) -> DataFrame:
     """All cells seated in the sweeps: those of two frequent words by lookup, the others joined with their words."""
-    schema = "h long, tu long, tw long" if sums else "u long, w long, c long, t double"
+    schema = "h long, tu long, tw long" if sums else "u long, w long, c long, t double, frequent boolean"
     plain = cells.where("frequent").select("u", "w", "c").mapInArrow(_seat_cells(sweeps, discount, joined=False, sums=sums), schema)
     rare = cells.where("not frequent").select("u", "w", "c")
     for k, s in enumerate(sweeps):
@@ -250,6 +260,33 @@ def _seat_parent(number: int, tables: int, types: int, discount: float):
     return run
 
 
+def _alone(sweeps: list[Sweep], types: int):
+    """(h, c, single_u, customers, frequent, P) of words (h, c, single_w, ...) whose customers at the parent never change: P is the mean of the sweeps' probabilities."""
+    given = [(s.number, *s.given, s.discount, s.customers, s.unknown) for s in sweeps]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, k, p = b.column(0).to_numpy(), b.column(2).to_numpy(), np.zeros(b.num_rows)
+            for number, tables, before, discount, customers, unknown in given:
+                t0 = seat(k, np.full(len(h), (STRENGTH + before * tables) / (types + 1)), before, mix(h.view(np.uint64)), number)
+                p += (k - discount * t0) / (STRENGTH + customers) + unknown
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *b.columns[3:], pa.array(p / len(given))], ["h", "c", "single_u", "customers", "frequent", "P"])
+
+    return run
+
+
+def _said(lookup: Lookup):
+    """(u, w, c, said): the decimal logarithm of p(w | u) of cells (u, w, c, a) of two frequent words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (iu, _), (iw, _) = (lookup.at(b.column(k).to_numpy().view(np.uint64)) for k in range(2))
+            v = lookup.values
+            said = np.log10((b.column(3).to_numpy() + v["B"][iu] * v["P"][iw]) / v["D"][iu])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(said)], ["u", "w", "c", "said"])
+
+    return run
+
+
 class Model:
     """The seated model of training texts (columns text, held_out): see the module's text."""
 
@@ -267,11 +304,11 @@ class Model:
         # cells seen twice or more, and those seen once that a held-out text asks for
         cells = docs.select("text", "held_out").mapInArrow(_count_cells, "u long, w long, c long, asked boolean").groupBy("u", "w").agg(F.sum("c").alias("c"), F.bool_or("asked").alias("asked"))
         known = words.where("frequent").select("h")
-        cells = stage(cells.where("c > 1 or (c = 1 and asked)").select("u", "w", "c"), "cells")
-        release(spark)
         mark = lambda name: F.broadcast(known.select(F.col("h").alias(name), F.lit(True).alias(f"known_{name}")))
-        marked = cells.where("c > 1").join(mark("u"), "u", "left").join(mark("w"), "w", "left")
-        active = stage(marked.select("u", "w", "c", F.coalesce(F.col("known_u") & F.col("known_w"), F.lit(False)).alias("frequent")), "active")
+        cells = cells.where("c > 1 or (c = 1 and asked)").join(mark("u"), "u", "left").join(mark("w"), "w", "left")
+        cells = stage(cells.select("u", "w", "c", F.coalesce(F.col("known_u") & F.col("known_w"), F.lit(False)).alias("frequent")), "cells")
+        release(spark)
+        active = cells.where("c > 1")
         some = active.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count_if(F.col("c") == 2).alias("two")).first()
         self.discount = _discount(self.tokens - some["c"], some["two"])
         role = lambda h, *values: F.struct(F.col(h).alias("h"), *[(F.col(v) if v == "c" else F.lit(v)).cast("long").alias(k) for k, v in zip(("cu", "tu", "cw", "tw"), values, strict=True)])
@@ -281,40 +318,48 @@ class Model:
         joined = words.join(own, "h", "left")
         words = stage(
             joined.select(
-                "h", "c", "customers", "frequent", (F.col("customers") - zero("cu")).alias("single_u"), (F.col("c") - zero("cw")).alias("single_w"), zero("tu").cast("long").alias("tu"), zero("tw").cast("long").alias("tw")
+                "h", "c", "customers", "frequent", (F.col("customers") - zero("cu")).alias("single_u"), (F.col("c") - zero("cw")).alias("single_w"), "tu", "tw"
             ),
             "words",
         )
-        sums, tables, discount, kept = words.select("h", "tu", "tw"), self.types, 0.5, []
+        unstage(spark, vocabulary)
+        still = words.where("tu is null").select("h", F.col("single_u").alias("T"), F.col("single_w").alias("K"), "frequent")
+        moves = words.where("tu is not null")
+        sums, tables, discount, kept = moves.select("h", "tu", "tw"), self.types, 0.5, []
         for number in range(BURN_IN + SAMPLES):
-            now = words.select("h", "frequent", "single_u", "single_w").join(sums, "h", "left")
+            now = moves.select("h", "frequent", "single_u", "single_w").join(sums, "h", "left")
             now = now.select("h", (F.col("single_u") + zero("tu")).alias("T"), (F.col("single_w") + zero("tw")).alias("K"), "frequent")
-            state = stage(now.mapInArrow(_seat_parent(number, tables, self.types, discount), "h long, T long, K long, frequent boolean, t0 long"), "state")
-            sweep = Sweep(number, state, self.types)
+            sweep = Sweep(number, now, still, self.types, tables, discount)
             tables, discount = sweep.tables, sweep.discount
             if number >= BURN_IN:
-                kept.append((sweep, state))
+                kept.append(sweep)
             if number < BURN_IN + SAMPLES - 1:
                 sums = _seated(active, [sweep], self.discount, sums=True).groupBy("h").agg(F.sum("tu").alias("tu"), F.sum("tw").alias("tw"))
-        seated = stage(_seated(active, [s for s, _ in kept], self.discount, sums=False), "seated")
-        mean = None
-        for s, _ in kept:
-            one = s.all.select("h", "P")
-            mean = one if mean is None else mean.unionByName(one)
-        mean = mean.groupBy("h").agg(F.avg("P").alias("P"))
+        seated = stage(_seated(active, kept, self.discount, sums=False), "seated")
         # a context hands on what the tables of its own cells leave, so that its probabilities add up to one
         tables_of = seated.groupBy(F.col("u").alias("h")).agg(F.sum("t").alias("tables"))
-        self.unknown = float(np.mean([s.unknown for s, _ in kept]))
+        means = kept[0].all.select("h", "P")
+        for s in kept[1:]:
+            means = means.unionByName(s.all.select("h", "P"))
+        means = means.groupBy("h").agg(F.avg("P").alias("P"))
+        self.unknown = float(np.mean([s.unknown for s in kept]))
         # of each word: its count, what it hands its parent as a context, its customers there, and the parent's probability of it
-        self.words = stage(words.select("h", "c", "customers", "frequent", "single_u").join(mean, "h").join(tables_of, "h", "left").select("h", "c", (STRENGTH + self.discount * (F.col("single_u") + F.coalesce("tables", F.lit(0.0)))).alias("B"), (STRENGTH + F.col("customers")).alias("D"), "P", "frequent"), "model_words")
-        own = seated.select("u", "w", "c", (F.col("c") - self.discount * F.col("t")).alias("a")).unionByName(cells.where("c = 1").select("u", "w", "c", F.lit(1 - self.discount).alias("a")))
-        context = self.words.select(F.col("h").alias("u"), "B", "D")
-        parent = self.words.select(F.col("h").alias("w"), "P")
-        self.cells = stage(own.join(context, "u").join(parent, "w").select("u", "w", "c", F.log10((F.col("a") + F.col("B") * F.col("P")) / F.col("D")).alias("said")), "model_cells")
-        for df in (vocabulary, cells, active, words, seated, *(state for _, state in kept)):
+        said = lambda df, tables: df.select("h", "c", (STRENGTH + self.discount * (F.col("single_u") + tables)).alias("B"), (STRENGTH + F.col("customers")).alias("D"), "P", "frequent")
+        alone = words.where("tu is null").select("h", "c", F.col("single_w"), "single_u", "customers", "frequent").mapInArrow(_alone(kept, self.types), "h long, c long, single_u long, customers long, frequent boolean, P double")
+        moved = moves.select("h", "c", "customers", "frequent", "single_u").join(means, "h").join(tables_of, "h", "left")
+        self.words = stage(said(moved, zero("tables")).unionByName(said(alone, F.lit(0))), "model_words")
+        for df in (words, *(s.state for s in [*kept])):
             unstage(spark, df)
         top = self.words.where("frequent").select("h", "c", "B", "D", "P").toPandas()
         self.lookup = Lookup(top["h"].to_numpy(np.int64).view(np.uint64), **{k: top[k].to_numpy(float) for k in "cBDP"})
+        own = seated.select("u", "w", "c", (F.col("c") - self.discount * F.col("t")).alias("a"), "frequent").unionByName(cells.where("c = 1").select("u", "w", "c", F.lit(1 - self.discount).alias("a"), "frequent"))
+        easy = own.where("frequent").drop("frequent").mapInArrow(_said(self.lookup), "u long, w long, c long, said double")
+        context = self.words.select(F.col("h").alias("u"), "B", "D")
+        parent = self.words.select(F.col("h").alias("w"), "P")
+        rest = own.where("not frequent").join(context, "u").join(parent, "w").select("u", "w", "c", F.log10((F.col("a") + F.col("B") * F.col("P")) / F.col("D")).alias("said"))
+        self.cells = stage(easy.unionByName(rest), "model_cells")
+        for df in (cells, seated):
+            unstage(spark, df)
         top = self.cells.where(_bin("c") >= _least_bin(self.cells, "c", TOP)).select("u", "w", "said").toPandas()
         self.top = Lookup(cell_key(top["u"].to_numpy(np.int64).view(np.uint64), top["w"].to_numpy(np.int64).view(np.uint64)), said=top["said"].to_numpy(np.float32).astype(float))
         self.filter = self._filter()
