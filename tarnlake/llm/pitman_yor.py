@@ -28,7 +28,7 @@ from tarnlake.llm.shared import mix, raw, release, stage, unstage
 from tarnlake.llm.words import runs_of
 
 FREQUENT, TOP = 1 << 18, 1 << 19
-BURN_IN, SAMPLES = 2, 4
+BURN_IN, SAMPLES = 2, 3
 STRENGTH = 1.0
 #: Distinct words, and pairs of words, that a task holds before it hands their counts on.
 HELD, HELD_PAIRS = 1 << 20, 1 << 21
@@ -173,6 +173,12 @@ def _least_bin(table: DataFrame, column: str, room: int) -> int:
     return least
 
 
+def _columns(df: DataFrame) -> dict[str, np.ndarray]:
+    """A table of bounded size as arrays."""
+    got = df.toArrow()
+    return {k: got.column(k).to_numpy() for k in got.column_names}
+
+
 class Lookup:
     """Values of sorted 64-bit keys."""
 
@@ -204,8 +210,8 @@ class Sweep:
         self.discount = _discount(one, two)
         self.unknown = (STRENGTH + self.discount * self.tables) / (types + 1) / (STRENGTH + self.customers)
         self.all = state.select("h", F.col("T").cast("double").alias("T"), self.probability(F.col("K"), F.col("t0")).alias("P"))
-        top = state.where("frequent").unionByName(rest.where("frequent")).select("h", "T", "K", "t0").toPandas()
-        self.lookup = Lookup(top["h"].to_numpy(np.int64).view(np.uint64), T=top["T"].to_numpy(float), P=self.probability(top["K"].to_numpy(float), top["t0"].to_numpy(float)))
+        top = _columns(state.where("frequent").unionByName(rest.where("frequent")).select("h", "T", "K", "t0"))
+        self.lookup = Lookup(top["h"].view(np.uint64), T=top["T"], P=self.probability(top["K"], top["t0"]))
 
     def probability(self, customers, tables):
         """The parent's, of a word with so many customers and tables there."""
@@ -331,6 +337,7 @@ class Model:
             now = now.select("h", (F.col("single_u") + zero("tu")).alias("T"), (F.col("single_w") + zero("tw")).alias("K"), "frequent")
             sweep = Sweep(number, now, still, self.types, tables, discount)
             tables, discount = sweep.tables, sweep.discount
+            release(spark)
             if number >= BURN_IN:
                 kept.append(sweep)
             if number < BURN_IN + SAMPLES - 1:
@@ -350,8 +357,8 @@ class Model:
         self.words = stage(said(moved, zero("tables")).unionByName(said(alone, F.lit(0))), "model_words")
         for df in (words, *(s.state for s in [*kept])):
             unstage(spark, df)
-        top = self.words.where("frequent").select("h", "c", "B", "D", "P").toPandas()
-        self.lookup = Lookup(top["h"].to_numpy(np.int64).view(np.uint64), **{k: top[k].to_numpy(float) for k in "cBDP"})
+        top = _columns(self.words.where("frequent").select("h", "c", "B", "D", "P"))
+        self.lookup = Lookup(top["h"].view(np.uint64), **{k: top[k] for k in "cBDP"})
         own = seated.select("u", "w", "c", (F.col("c") - self.discount * F.col("t")).alias("a"), "frequent").unionByName(cells.where("c = 1").select("u", "w", "c", F.lit(1 - self.discount).alias("a"), "frequent"))
         easy = own.where("frequent").drop("frequent").mapInArrow(_said(self.lookup), "u long, w long, c long, said double")
         context = self.words.select(F.col("h").alias("u"), "B", "D")
@@ -360,8 +367,8 @@ class Model:
         self.cells = stage(easy.unionByName(rest), "model_cells")
         for df in (cells, seated):
             unstage(spark, df)
-        top = self.cells.where(_bin("c") >= _least_bin(self.cells, "c", TOP)).select("u", "w", "said").toPandas()
-        self.top = Lookup(cell_key(top["u"].to_numpy(np.int64).view(np.uint64), top["w"].to_numpy(np.int64).view(np.uint64)), said=top["said"].to_numpy(np.float32).astype(float))
+        top = _columns(self.cells.where(_bin("c") >= _least_bin(self.cells, "c", TOP)).select("u", "w", F.col("said").cast("float")))
+        self.top = Lookup(cell_key(top["u"].view(np.uint64), top["w"].view(np.uint64)), said=top["said"])
         self.filter = self._filter()
 
     def _filter(self) -> np.ndarray:
@@ -375,8 +382,8 @@ class Model:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], ["at", "bits"])
 
         out = np.zeros(BITS >> 6, np.uint64)
-        got = self.cells.select("u", "w").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
-        out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+        got = _columns(self.cells.select("u", "w").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")))
+        out[got["at"]] = got["bits"].view(np.uint64)
         return out
 
 
