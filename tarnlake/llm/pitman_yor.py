@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tarnlake.llm.shared import mix, raw, release, stage, unstage
 from tarnlake.llm.words import runs_of
 
-FREQUENT, TOP = 1 << 18, 1 << 19
+FREQUENT, TOP = 1 << 19, 1 << 19
 BURN_IN, SAMPLES = 2, 3
 STRENGTH = 1.0
 #: Distinct words, and pairs of words, that a task holds before it hands their counts on.
@@ -211,7 +211,7 @@ class Sweep:
         self.unknown = (STRENGTH + self.discount * self.tables) / (types + 1) / (STRENGTH + self.customers)
         self.all = state.select("h", F.col("T").cast("double").alias("T"), self.probability(F.col("K"), F.col("t0")).alias("P"))
         top = _columns(state.where("frequent").unionByName(rest.where("frequent")).select("h", "T", "K", "t0"))
-        self.lookup = Lookup(top["h"].view(np.uint64), T=top["T"], P=self.probability(top["K"], top["t0"]))
+        self.lookup = Lookup(top["h"].view(np.uint64), T=top["T"].astype(np.float32), P=self.probability(top["K"], top["t0"]).astype(np.float32))
 
     def probability(self, customers, tables):
         """The parent's, of a word with so many customers and tables there."""
@@ -358,7 +358,7 @@ class Model:
         for df in (words, *(s.state for s in [*kept])):
             unstage(spark, df)
         top = _columns(self.words.where("frequent").select("h", "c", "B", "D", "P"))
-        self.lookup = Lookup(top["h"].view(np.uint64), **{k: top[k] for k in "cBDP"})
+        self.lookup = Lookup(top["h"].view(np.uint64), c=top["c"], **{k: top[k].astype(np.float32) for k in "BDP"})
         own = seated.select("u", "w", "c", (F.col("c") - self.discount * F.col("t")).alias("a"), "frequent").unionByName(cells.where("c = 1").select("u", "w", "c", F.lit(1 - self.discount).alias("a"), "frequent"))
         easy = own.where("frequent").drop("frequent").mapInArrow(_said(self.lookup), "u long, w long, c long, said double")
         context = self.words.select(F.col("h").alias("u"), "B", "D")
@@ -447,26 +447,28 @@ def scored(docs: DataFrame) -> DataFrame:
     lists = ", ".join(f"{x} array<{'float' if x in _FLOATS else 'long'}>" for x in LISTS)
     schema = f"doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, {lists}"
     rows = stage(docs.mapInArrow(_score(m.lookup, m.top, m.filter, m.discount, m.tokens, m.types), schema), "scores").withColumn("row", F.monotonically_increasing_id())
-    a = F.when(F.col("held_out"), 0.0).otherwise(1 - m.discount).alias("a")
-    zipped = lambda *names: rows.select("row", a, F.explode(F.arrays_zip(*names)).alias("x")).select("row", "a", "x.*")
+    # what moves is narrow: counts and single-precision shares; logarithms of counts are taken after the last shuffle
+    a = F.when(F.col("held_out"), 0.0).otherwise(1 - m.discount)
+    zipped = lambda *names: rows.select("row", "held_out", F.explode(F.arrays_zip(*names)).alias("x")).select("row", "held_out", "x.*")
     context = m.words.select(F.col("h").alias("u"), "B", "D")
     parent = m.words.select(F.col("h").alias("w"), F.col("c").alias("n"), "P")
-    none = F.lit(None).cast("double")
-    asked = zipped("cell_u", "cell_w").withColumnsRenamed({"cell_u": "u", "cell_w": "w"}).join(m.cells.select("u", "w", "said"), ["u", "w"], "left")
+    none = F.lit(None).cast("float")
+    asked = zipped("cell_u", "cell_w").withColumnsRenamed({"cell_u": "u", "cell_w": "w"}).join(m.cells.select("u", "w", F.col("said").cast("float").alias("said")), ["u", "w"], "left")
     # words to look up: of tokens whose cell is known otherwise (b is no number), with a context's share, or with a context to look up as well
-    ask = asked.where("said is null").select("row", "a", "w", "u", none.alias("b"), F.lit(False).alias("counts"))
-    ask = ask.unionByName(zipped("rare_w", "rare_b").select("row", "a", F.col("rare_w").alias("w"), F.lit(None).cast("long").alias("u"), F.col("rare_b").cast("double").alias("b"), F.lit(True).alias("counts")))
-    ask = ask.unionByName(zipped("pair_u", "pair_w").select("row", "a", F.col("pair_w").alias("w"), F.col("pair_u").alias("u"), none.alias("b"), F.lit(True).alias("counts")))
-    met = ask.join(parent, "w", "left").select("row", "a", "u", "b", "counts", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("P", F.lit(m.unknown)).alias("p"))
-    met = met.withColumn("k", (F.col("counts") & (F.col("n") > 0)).cast("long")).withColumn("base", F.when(F.col("counts"), F.log10((F.col("n") + 1) / float(m.tokens + m.types + 1))).otherwise(0.0))
-    done = met.where("u is null").select("row", "k", "base", F.when(F.isnan("b"), 0.0).otherwise(F.log10(F.col("a") + F.col("b") * F.col("p"))).alias("s"))
-    open_ = met.where("u is not null").select("row", "a", "u", "p", "k", "base").unionByName(
-        zipped("rare_u", "rare_p").select("row", "a", F.col("rare_u").alias("u"), F.col("rare_p").cast("double").alias("p"), F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("base"))
+    ask = asked.where("said is null").select("row", "held_out", "w", "u", none.alias("b"), F.lit(False).alias("counts"))
+    ask = ask.unionByName(zipped("rare_w", "rare_b").select("row", "held_out", F.col("rare_w").alias("w"), F.lit(None).cast("long").alias("u"), F.col("rare_b").alias("b"), F.lit(True).alias("counts")))
+    ask = ask.unionByName(zipped("pair_u", "pair_w").select("row", "held_out", F.col("pair_w").alias("w"), F.col("pair_u").alias("u"), none.alias("b"), F.lit(True).alias("counts")))
+    met = ask.join(parent, "w", "left").select("row", "held_out", "u", "b", F.when(F.col("counts"), F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("P", F.lit(m.unknown)).alias("p"))
+    done = met.where("u is null").select("row", "n", F.when(F.isnan("b"), 0.0).otherwise(F.log10(a + F.col("b") * F.col("p"))).cast("float").alias("s"))
+    no_count = F.lit(None).cast("long").alias("n")
+    open_ = met.where("u is not null").select("row", "held_out", "u", "p", "n").unionByName(
+        zipped("rare_u", "rare_p").select("row", "held_out", F.col("rare_u").alias("u"), F.col("rare_p").cast("double").alias("p"), no_count)
     )
     # a context without a restaurant hands everything to the parent
-    last = open_.join(context, "u", "left").select("row", "k", "base", F.log10(F.when(F.col("D").isNull(), F.col("p")).otherwise((F.col("a") + F.col("B") * F.col("p")) / F.col("D"))).alias("s"))
-    found = asked.where("said is not null").select("row", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("base"), F.col("said").alias("s"))
-    more = found.unionByName(done).unionByName(last).groupBy("row").agg(*[F.sum(c).alias(f"more_{c}") for c in ("k", "base", "s")])
+    last = open_.join(context, "u", "left").select("row", "n", F.log10(F.when(F.col("D").isNull(), F.col("p")).otherwise((a + F.col("B") * F.col("p")) / F.col("D"))).cast("float").alias("s"))
+    found = asked.where("said is not null").select("row", no_count, F.col("said").cast("float").alias("s"))
+    sums = {"k": F.count_if(F.col("n") > 0), "base": F.sum(F.log10((F.col("n") + 1) / float(m.tokens + m.types + 1))), "s": F.sum(F.col("s").cast("double"))}
+    more = found.unionByName(done).unionByName(last).repartition("row").groupBy("row").agg(*[f.alias(f"more_{c}") for c, f in sums.items()])
     plus = lambda name, extra: F.col(name) + F.coalesce(extra, F.lit(0))
     return rows.join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", plus("n_known", "more_k").alias("n_known"), F.lit(m.tokens).cast("long").alias("train_tokens"),
