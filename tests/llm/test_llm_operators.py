@@ -16,7 +16,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tarnlake.llm import digest, html_blocks, packing, pii_crf, pitman_yor, secret_scan, simhash_dedup, source_mixing
+from tarnlake.llm import digest, html_blocks, license_scan, packing, pii_crf, pitman_yor, secret_scan, simhash_dedup, source_mixing
 from tarnlake.llm.components import connected_components
 from tarnlake.llm.queries import ORACLE_SQL, QUERIES
 from tarnlake.llm.words import words_of
@@ -443,3 +443,16 @@ def test_hostile_pages_are_read_in_linear_time():
     page = html_blocks.blocks("".join(f"<div class=c{i % 7}><p>some words {i}, and more.</p></div>" for i in range(9000)))
     model = html_blocks.trained()
     assert np.allclose(model.read(page), model.enter(html_blocks.vectors(page)))
+
+
+def test_licenses(spark):
+    grant = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles (the Software), to deal"
+    cases = {
+        grant: "mit", "x " * 61 + grant + " y" * 100: "mit", "This work is licensed under the GNU General Public License, version 3.": "gpl", "is licensed under the GNU Lesser General Public License": "gpl,lgpl",
+        "Licensed under CC BY 4.0": "cc-by", "Licensed under CC BY-NC 4.0": "cc-by-nc", "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa", "released under the Apache License": "apache",
+        "the license under mit which was released a while ago under the sun": "", "Redistribution and use in source and binary forms, with or\n without modification, are\npermitted provided": "bsd",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted": "isc", "": "",
+    }
+    got = {r.doc_id: r.labels for r in license_scan.op4(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
