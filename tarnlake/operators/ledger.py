@@ -6,17 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """new rows, and the old ones whose key isn't among them; a column that new lacks is null in its rows."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def latest_of(rows: DataFrame, key: str, latest: str | None = None) -> DataFrame:
+    """One row of each key: the one with the largest value of `latest` (null last); of equal ones the one that comes last as JSON."""
+    order = [F.col(latest)] if latest else []
+    return rows.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*rows.columns), F.struct(*order, F.to_json(F.struct(*rows.columns)))).alias("row")).select("row.*")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, *, latest: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a key: new rows, and the old ones whose key isn't among them.
+
+    Of several new rows of a key latest_of() counts. The columns in `keep`, such as an id, stay as the old row has them; any
+    other column that new lacks is null in its rows.
+    """
+    new = latest_of(new, key, latest)
+    out = new
+    if keep:
+        before = old.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in keep])
+        kept = [F.coalesce(f"__{c}", *([c] if c in new.columns else [])).alias(c) for c in keep]
+        out = new.join(before, F.col(key) == F.col("__key"), "left").select(*[c for c in new.columns if c not in keep], *kept)
+    return old.join(new.select(key), key, "left_anti").unionByName(out, allowMissingColumns=True)
 
 
 def merge_sessions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """By uuid: facets of new where known, else of old; first_seen of old, last_archived of new."""
-    o, n = old.select([F.col(c).alias(f"o_{c}") for c in old.columns]), new
+    """Sessions (uuid, project_slug, cwd, git_branch, cc_version, first_seen, last_archived) after a run, one row each.
+
+    A session met again takes the run's project_slug and last_archived, of its facets those that the run knows, and keeps
+    its first_seen. Of several new rows the one archived last counts.
+    """
+    o = old.select([F.col(c).alias(f"o_{c}") for c in old.columns])
+    n = latest_of(new, "uuid", "last_archived")
     both = n.join(o, n.uuid == F.col("o_uuid"), "full")
     newer = lambda c: F.coalesce(c, f"o_{c}").alias(c)
-    return both.select(newer("uuid"), newer("git_branch"), F.coalesce("o_first_seen", "first_seen").alias("first_seen"), newer("last_archived"))
+    return both.select(*map(newer, ("uuid", "project_slug", "cwd", "git_branch", "cc_version")), F.coalesce("o_first_seen", "first_seen").alias("first_seen"), newer("last_archived"))
 
 
 def capture_plan(current: DataFrame, prior: DataFrame) -> DataFrame:
@@ -76,7 +97,17 @@ def store_key(slug: Column, uuid: Column) -> Column:
     return F.when(F.octet_length(key) > 255, F.concat(F.lit("_h256--"), F.sha2(F.concat(slug, F.lit("\0"), uuid), 256))).otherwise(key)
 
 
-def shapes(paths: DataFrame) -> DataFrame:
-    """(shape, n, bytes, example) of (path, bytes): numbers and long hexadecimal parts of a path become templates."""
-    parts = F.transform(F.split("path", "/"), lambda p: F.when(p.rlike("^[0-9a-f-]{32,}$"), "<uuid>").when(p.rlike("^[0-9]+([.?#].*)?$"), "<n>").otherwise(p))
-    return paths.select("*", F.array_join(parts, "/").alias("shape")).groupBy("shape").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("path").alias("example"))
+def shapes(files: DataFrame) -> DataFrame:
+    """(user, kind, shape, n, bytes, example) of users' files (user, home, path, bytes): what lies below a home, by the template of its path.
+
+    The second part below the home is the project's slug, and parts of 32 or more hexadecimal digits and dashes, before .jsonl
+    as well, are names of sessions: both become templates. The kind is told by the file's name and its folder's.
+    """
+    below = F.split(F.substr("path", F.length("home") + 2), "/")
+    name, parent = F.element_at("part", -1), F.try_element_at("part", F.lit(-2))
+    template = F.transform("part", lambda p, i: F.when(i == 1, "<slug>").when(p.rlike(r"^[0-9a-fA-F-]{32,}(\.jsonl)?$"), "<uuid>").otherwise(p))
+    kind = F.when(F.endswith(name, F.lit(".meta.json")) | (parent == "subagents"), "subagents").when(parent == "tool-results", "tool-results").when(F.endswith(name, F.lit(".jsonl")), "transcript").otherwise("unknown")
+    label = F.element_at(F.split("home", "/"), -1)
+    x = files.where(F.startswith("path", F.concat("home", F.lit("/")))).withColumn("part", below)
+    x = x.select("user", kind.alias("kind"), F.concat_ws("/", label, F.array_join(template, "/")).alias("shape"), "bytes", "path")
+    return x.groupBy("user", "shape").agg(F.min_by("kind", "path").alias("kind"), F.count("*").alias("n"), F.sum("bytes").cast("long").alias("bytes"), F.min("path").alias("example"))

@@ -135,9 +135,10 @@ def indexed_text(texts: DataFrame) -> DataFrame:
 
 
 def unescaped(text: str) -> str:
-    r"""\uXXXX and \xXX escapes undone, again and again, four times at most."""
+    r"""\uXXXX and \xXX escapes undone, again and again, four times at most; half a surrogate pair is no character and goes."""
+    said = lambda n: "" if 0xD800 <= n <= 0xDFFF else chr(n)
     for _ in range(4):
-        new = re.sub(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})", lambda m: chr(int(m[1] or m[2], 16)), text)
+        new = re.sub(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})", lambda m: said(int(m[1] or m[2], 16)), text)
         if new == text:
             break
         text = new
@@ -154,24 +155,52 @@ def canonical(text: str) -> str:
     return strip(unicodedata.normalize("NFKC", strip(text)))
 
 
-def _hides(text: str) -> bool:
-    forms = {unescaped(text), canonical(unescaped(text)), canonical(text)} - {text}
-    return any(m[0] not in text for f in forms for _, _, p in DETECTORS for m in re.finditer(p, f))
+def json_strings(text: str) -> list[str]:
+    """All keys and string values of the lines of a text that are JSON, at whatever depth."""
+    found, open_ = [], []
+    for line in text.split("\n"):
+        try:
+            open_.append(json.loads(line))
+        except (ValueError, RecursionError):
+            continue
+        while open_:
+            x = open_.pop()
+            if isinstance(x, str):
+                # half a surrogate pair is no character
+                found.append("".join(c for c in x if not 0xD800 <= ord(c) <= 0xDFFF))
+            elif isinstance(x, list):
+                open_ += x
+            elif isinstance(x, dict):
+                open_ += [*x, *x.values()]
+    return found
+
+
+def hides(text: str, allow: list[str] | None = None, *, lines: bool = False) -> bool:
+    """Whether an unescaped or canonical form of a text (with `lines`, of the strings in its JSON lines) shows a secret that the text itself doesn't and the list doesn't allow."""
+    tags, patterns = allowlist(allow or [])
+    for candidate in json_strings(text) if lines else [text]:
+        deep = unescaped(candidate)
+        for form in {deep, canonical(deep)} - {text}:
+            for *_, p in DETECTORS:
+                for m in re.finditer(p, form):
+                    if m[0] not in text and tag(m[0]) not in tags and not any(a.search(m[0]) for a in patterns):
+                        return True
+    return False
 
 
-def hidden_secrets(texts: DataFrame) -> DataFrame:
-    """(id, hidden): whether an unescaped or canonical form shows a secret that the text itself doesn't.
+def hidden_secrets(texts: DataFrame, allow: list[str] | None = None, *, lines: bool = False) -> DataFrame:
+    """(id, hidden) of texts (id, text), by hides(); a null text hides nothing.
 
-    Only texts with an escape or a character beyond plain ASCII can, and only those reach Python.
+    Only texts with a backslash or a character beyond plain printable ASCII can, and only those reach Python.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_hides(t) for t in b.column(1).to_pylist()], pa.bool_())], ["id", "hidden"])
+            done = [t is not None and hides(t, allow, lines=lines) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.bool_())], ["id", "hidden"])
 
-    may = F.col("text").rlike(r"\\u|\\x|[^\x20-\x7E\n\t\r]")
-    may = F.coalesce(may, F.lit(False))
-    ids = F.col("id").cast("long").alias("id")
-    return texts.where(~may).select(ids, F.lit(False).alias("hidden")).unionByName(texts.where(may).select(ids, "text").mapInArrow(run, "id long, hidden boolean"))
+    may = F.coalesce(F.col("text").rlike(r"\\|[^\x20-\x7E\n\t\r]" if lines else r"\\u|\\x|[^\x20-\x7E\n\t\r]"), F.lit(False))
+    # one pass: a text that can't hide anything goes through without its characters
+    return texts.select(F.col("id").cast("long").alias("id"), F.when(may, F.col("text")).alias("text")).mapInArrow(run, "id long, hidden boolean")
 
 
 def nul_islands(files: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 from functools import reduce
@@ -64,28 +65,49 @@ def recent(entries: DataFrame, q: Query, limit: int = 20) -> DataFrame:
     return hit.orderBy(F.desc_nulls_last("timestamp"), "entry_uuid").limit(limit)
 
 
-#: Accented letters of the Latin scripts in use, and what they fold to.
-FOLD = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+def _folded_letters() -> tuple[str, str]:
+    """Lower-case letters that are a plain Latin letter with marks by their decomposition, and those plain letters."""
+    found = {}
+    for c in map(chr, range(0xC0, 0x2000)):
+        first, *marks = unicodedata.normalize("NFD", c)
+        if marks and "a" <= first <= "z" and all(unicodedata.category(m) == "Mn" for m in marks):
+            found[c] = first
+    return "".join(found), "".join(found.values())
+
+
+FOLD = _folded_letters()
 
 
 def normal(text: Column) -> Column:
     """Lower-cased, accents folded, tokens of letters and digits with one space around each."""
     folded = F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}", ""), *FOLD)
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}\p{Co}]+", " ")), F.lit(" "))
+
+
+def folded_phrase(phrase: str) -> str:
+    """A phrase as normal() would have it, without the outer spaces."""
+    folded = "".join(c for c in phrase.lower() if unicodedata.category(c) != "Mn").translate(str.maketrans(*FOLD))
+    return " ".join("".join(c if unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co" else " " for c in folded).split())
 
 
-def _normal(phrase: str) -> str:
-    kept = "".join(c if c.isalnum() else " " for c in phrase.lower().translate(str.maketrans(*FOLD)))
-    return " ".join(kept.split())
+def ranked(hit: DataFrame, phrases: int, limit: int | None = None) -> DataFrame:
+    """(entry_uuid, session_uuid, rank) of hits with dl, n, avgdl and each phrase's tf and df, best (least) rank first."""
+    score = F.lit(0.0)
+    for i in range(phrases):
+        idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        t = F.col(f"tf{i}")
+        score = score + F.when(idf > 0, idf).otherwise(LEAST_IDF) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    out = hit.select("entry_uuid", "session_uuid", F.round(-score, 9).alias("rank")).orderBy("rank", "entry_uuid")
+    return out.limit(limit) if limit else out
 
 
 def bm25(entries: DataFrame, q: Query, limit: int | None = None) -> DataFrame:
-    """(entry_uuid, session_uuid, rank) of entries with every phrase, best (least) rank first.
+    """(entry_uuid, session_uuid, rank) of entries with every phrase, best (least) rank first; for entries that no index holds.
 
     A phrase is consecutive tokens; one without tokens is ignored, and only such phrases match nothing. Corpus
     sizes are of all entries, not of those that pass the facets, and come in one pre-aggregated row.
     """
-    phrases = [p for p in map(_normal, q.phrases) if p]
+    phrases = [p for p in map(folded_phrase, q.phrases) if p]
     if not phrases:
         return entries.where("false").select("entry_uuid", "session_uuid", F.lit(0.0).alias("rank"))
     tokens = normal(F.col("text"))
@@ -95,13 +117,7 @@ def bm25(entries: DataFrame, q: Query, limit: int | None = None) -> DataFrame:
     e = entries.select("*", size.cast("double").alias("dl"), *tf)
     stats = e.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))])
     hit = matching(e, q).where(reduce(and_, [F.col(f"tf{i}") > 0 for i in range(len(phrases))])).join(F.broadcast(stats))
-    score = F.lit(0.0)
-    for i in range(len(phrases)):
-        idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        t = F.col(f"tf{i}")
-        score = score + F.when(idf > 0, idf).otherwise(LEAST_IDF) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    out = hit.select("entry_uuid", "session_uuid", F.round(-score, 9).alias("rank")).orderBy("rank", "entry_uuid")
-    return out.limit(limit) if limit else out
+    return ranked(hit, len(phrases), limit)
 
 
 def contains_trigrams(entries: DataFrame, term: str) -> DataFrame:
@@ -112,7 +128,7 @@ def contains_trigrams(entries: DataFrame, term: str) -> DataFrame:
 def snippet(entries: DataFrame, phrase: str, context: int = 12) -> DataFrame:
     """(entry_uuid, snippet): so many tokens (1 to 64) from a little before the first hit on, the hit in brackets."""
     context = min(64, max(1, context))
-    p = _normal(phrase)
+    p = folded_phrase(phrase)
     before = F.array_compact(F.slice(F.reverse(F.split(F.trim(F.split_part("norm", F.lit(f" {p} "), F.lit(1))), " ")), 1, context // 2))
     after = F.slice(F.split(F.trim(F.expr(f"substr(norm, locate(' {p} ', norm) + {len(p) + 1})")), " "), 1, context - context // 2)
     hit = entries.select("entry_uuid", normal(F.col("text")).alias("norm")).where(F.contains("norm", F.lit(f" {p} ")))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 SHOWN = ["command", "file_path", "description", "pattern", "path"]
 MOST_TOOL_TEXT = 4096
 _V = "'variant'"
+#: A text of white space only, of whatever kind.
+BLANK = r"(?U)^\s*$"
+_BLANK = BLANK.replace("\\", "\\\\")
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -24,7 +27,7 @@ def parsed(numbered: DataFrame) -> DataFrame:
     """
     t = F.col("line")
     whole = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}"))).isNotNull()
-    blank = F.trim(t) == ""
+    blank = t.rlike(BLANK)
     return numbered.withColumn("v", F.when(~blank & whole, F.try_parse_json(t))).withColumn("malformed", ~blank & F.col("v").isNull())
 
 
@@ -60,7 +63,7 @@ def parsed_entries(values: DataFrame) -> DataFrame:
     x = values.where("v IS NOT NULL").selectExpr("artifact", "seq", "v", f"{text_at('v', '$.type')} AS kind", f"{text_at('v', '$.uuid')} AS uuid", f"{content} AS blocks", f"{text_at('v', '$.message.content')} AS plain", f"startswith(schema_of_variant(try_variant_get(v, '$.message.content', {_V})), 'ARRAY') AS listed")
     results = f"filter(blocks, b -> {text_at('b', '$.type')} = 'tool_result')"
     inner = f"coalesce({text_at('b', '$.content')}, {_joined(_blocks('b', '$.content'), 'text', 'i')})"
-    bodies = f"array_join(transform(filter(transform({results}, b -> struct({inner} AS body, coalesce(try_variant_get(b, '$.is_error', 'boolean'), false) AS bad)), r -> trim(r.body) <> ''), r -> concat(CASE WHEN r.bad THEN '[error] ' ELSE '' END, r.body)), '\n')"
+    bodies = f"array_join(transform(filter(transform({results}, b -> struct({inner} AS body, coalesce(CASE WHEN schema_of_variant(try_variant_get(b, '$.is_error', {_V})) = 'BOOLEAN' THEN try_variant_get(b, '$.is_error', 'boolean') END, false) AS bad)), r -> NOT rlike(r.body, '{_BLANK}')), r -> concat(CASE WHEN r.bad THEN '[error] ' ELSE '' END, r.body)), '\n')"
     said = f"array_join(array_compact(transform(blocks, b -> CASE {text_at('b', '$.type')} WHEN 'text' THEN {text_at('b', '$.text')} WHEN 'thinking' THEN {text_at('b', '$.thinking')} WHEN 'tool_use' THEN {_call()} END)), '\n')"
     x = x.selectExpr(
         "*", f"size({results}) > 0 AS answers",
@@ -70,7 +73,7 @@ def parsed_entries(values: DataFrame) -> DataFrame:
         "CASE WHEN kind = 'user' AND answers THEN 'tool_result' WHEN kind = 'user' AND (plain IS NOT NULL OR listed) THEN 'user' WHEN kind = 'assistant' AND listed THEN 'assistant' WHEN kind IN ('system', 'summary') THEN kind END AS role",
         f"CASE WHEN kind = 'user' AND answers THEN {bodies} WHEN kind = 'user' THEN coalesce(plain, {_joined('blocks', 'text')}) WHEN kind = 'assistant' AND listed THEN {said} WHEN kind = 'system' THEN coalesce({text_at('v', '$.content')}, plain) WHEN kind = 'summary' THEN {text_at('v', '$.summary')} END AS text",
         "CASE WHEN kind = 'assistant' THEN called END AS called",
-    ).where("role IS NOT NULL AND trim(text) <> ''")
+    ).where(f"role IS NOT NULL AND NOT rlike(text, '{_BLANK}')")
     calls = values.where("v IS NOT NULL").selectExpr("artifact", "seq", f"posexplode({content}) AS (at, b)").selectExpr("artifact AS a", f"{text_at('b', '$.id')} AS id", f"{text_at('b', '$.name')} AS name", f"{text_at('b', '$.type')} AS t", "struct(seq, at) AS place")
     calls = calls.where("t = 'tool_use' AND id IS NOT NULL").groupBy("a", "id").agg(F.max_by("name", "place").alias("name"))
     asked = x.where("role = 'tool_result'").selectExpr("artifact", "seq", f"posexplode(transform({results}, b -> {text_at('b', '$.tool_use_id')})) AS (at, id)")

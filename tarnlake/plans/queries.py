@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.operators import index, ledger, paths, retention, scanning, scratch, search, transcripts
+from tarnlake.operators import archive, index, ledger, paths, postings, retention, scanning, scratch, search, transcripts
 from tarnlake.sources import files
 from tarnlake.sources import tables as t
 
@@ -44,7 +45,7 @@ _search("search_inline_loses_to_named", "role:user session:conv-4", "role = 'ass
 _search("search_time_range", "since:2024-01-02 until:2024-01-03", "timestamp >= '2024-01-02' AND timestamp < '2024-01-03'", 100)
 _search("search_on_date", "since:2024-01-09", "timestamp >= '2024-01-02' AND timestamp < '2024-01-03'", 100, on="2024-01-02")
 
-_NORMAL = f"""' ' || trim(regexp_replace(translate(lower(text), '{search.FOLD[0]}', '{search.FOLD[1]}'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"""
+_NORMAL = f"""' ' || trim(regexp_replace(translate(lower(text), '{search.FOLD[0]}', '{search.FOLD[1]}'), '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+', ' ', 'g')) || ' '"""
 
 
 def _ranked(phrases: list[str], where: str = "true") -> str:
@@ -58,24 +59,56 @@ def _ranked(phrases: list[str], where: str = "true") -> str:
  SELECT entry_uuid, session_uuid, round(-({score}), 9) AS rank FROM n1, st WHERE {" AND ".join(f"tf{i} > 0" for i in range(len(phrases)))} AND {where}"""
 
 
-@query("search_bm25_single", _ranked(["than"]))
-def _(s, d):
-    return search.bm25(t.entries(s, d), search.parse("than"))
+_built: dict[tuple[str, str], postings.Index] = {}
+
+
+def _index(s: SparkSession, d: str) -> postings.Index:
+    """The index of all entries, built at its first use in a session, in the folder that executors share (on a local master without one: a temporary folder)."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _built:
+        shared = s.conf.get("spark.checkpoint.dir", None)
+        if not shared and not s.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{shared.rstrip('/')}/index-{len(_built)}-{key[0]}" if shared else tempfile.mkdtemp(prefix="tarnlake-index-")
+        _built[key] = postings.Index(s, folder).build(t.entries(s, d))
+    return _built[key]
+
 
+def _bm25(name: str, text: str, sql: str) -> None:
+    query(name, sql)(lambda s, d: _index(s, d).bm25(search.parse(text)))
 
-@query("search_bm25_and", _ranked(["the", "er"]))
+
+_bm25("search_bm25_single", "than", _ranked(["than"]))
+_bm25("search_bm25_and", "the er", _ranked(["the", "er"]))
+_bm25("search_bm25_faceted", "étion role:user", _ranked(["etion"], "role = 'user'"))
+_bm25("search_phrase", "of:the", _ranked(["of the"]))
+
+
+@query("search_bm25_unindexed", _ranked(["of the"]))
 def _(s, d):
-    return search.bm25(t.entries(s, d), search.parse("the er"))
+    return search.bm25(t.entries(s, d), search.parse("of:the"))
 
 
-@query("search_bm25_faceted", _ranked(["etion"], "role = 'user'"))
+def _terms_sql(entries: str) -> str:
+    return f""", e AS ({entries}), n0 AS (SELECT entry_uuid, unnest(string_split(trim({_NORMAL}), ' ')) AS term FROM e), n1 AS (SELECT term, entry_uuid, count(*) AS tf FROM n0 WHERE term <> '' GROUP BY ALL)
+ SELECT term, count(*) AS entries, sum(tf)::BIGINT AS occurrences FROM n1 GROUP BY term"""
+
+
+def _terms(held: postings.Index) -> DataFrame:
+    return held.table("postings").groupBy("term").agg(F.count("*").alias("entries"), F.sum("tf").alias("occurrences"))
+
+
+@query("index_build", _terms_sql("SELECT * FROM entries"))
 def _(s, d):
-    return search.bm25(t.entries(s, d), search.parse("étion role:user"))
+    return _terms(_index(s, d))
 
 
-@query("search_phrase", _ranked(["of the"]))
+@query("index_sync", _terms_sql("SELECT entry_uuid, CASE WHEN artifact_id % 10 = 0 THEN text || ' Dőrch čas' ELSE text END AS text FROM entries WHERE artifact_id % 10 <> 1"))
 def _(s, d):
-    return search.bm25(t.entries(s, d), search.parse("of:the"))
+    e = t.entries(s, d)
+    changed = e.where("artifact_id % 10 = 0").withColumn("text", F.concat("text", F.lit(" Dőrch čas")))
+    old = _index(s, d)
+    return _terms(old.sync(changed, e.where("artifact_id % 10 = 1"), f"{old.path}-synced"))
 
 
 @query("search_trigram_substring", "SELECT entry_uuid, session_uuid FROM entries WHERE contains(lower(text), 'tion')")
@@ -115,7 +148,7 @@ def _(s, d):
 
 _LINES = """, l AS (SELECT *, seq % 11 = 10 AS cut, tool_name IS NOT NULL AS calls, role = 'user' AND seq % 2 = 0 AND seq > 0 AS answers FROM entries),
  p AS (SELECT artifact_id AS artifact, seq, entry_uuid, CASE WHEN answers THEN 'tool_result' ELSE role END AS role, CASE WHEN calls THEN '$' || tool_name || ' ' || substr(text, 1, 40) ELSE text END AS text,
-   CASE WHEN calls THEN tool_name WHEN answers THEN (SELECT c.tool_name FROM l c WHERE c.artifact_id = l.artifact_id AND c.seq = l.seq - 1 AND NOT c.cut AND c.calls) END AS tool_name FROM l WHERE NOT cut AND trim(text) <> '')"""
+   CASE WHEN calls THEN tool_name WHEN answers THEN (SELECT c.tool_name FROM l c WHERE c.artifact_id = l.artifact_id AND c.seq = l.seq - 1 AND NOT c.cut AND c.calls) END AS tool_name FROM l WHERE NOT cut AND NOT regexp_matches(text, '^[\\s\\pZ]*$'))"""
 
 
 def _values(s: SparkSession, d: str) -> DataFrame:
@@ -217,11 +250,32 @@ def _(s, d):
     return _values(s, d).groupBy("artifact").agg(F.bool_or("malformed").alias("quarantined"))
 
 
-@query("scan_hidden_secret", "SELECT doc_id AS id, doc_id % 6 = 0 AS hidden FROM documents")
-def _(s, d):
+#: The key's first letters in forms that a plain pattern doesn't see: an escape, a control character, bold mathematical letters, half a surrogate pair, a space of no width.
+_MASKS = ["AK\\u0049A", "AK\bIA", "\U0001D400\U0001D40A\U0001D408\U0001D400", "AK\\ud800IA", "AK\u200bIA"]
+_MASKED_SQL = "CASE doc_id % 8 WHEN 0 THEN 'AK\\u0049A' WHEN 1 THEN 'AK' || chr(8) || 'IA' WHEN 2 THEN chr(119808) || chr(119818) || chr(119816) || chr(119808) WHEN 3 THEN 'AK\\ud800IA' WHEN 4 THEN 'AK' || chr(8203) || 'IA' WHEN 5 THEN 'AK' || 'IA' ELSE '' END"
+_ALL_HITS = "list_concat(" * (len(scanning.DETECTORS) - 1) + f"regexp_extract_all(form, $${scanning.DETECTORS[0][2]}$$)" + "".join(f", regexp_extract_all(form, $${p}$$))" for *_, p in scanning.DETECTORS[1:])
+
+
+def _masked(s: SparkSession, d: str) -> DataFrame:
     x = t.table(s, d, "documents")
-    split = F.concat(F.lit(" AK\\u0049A"), F.upper(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 16)), F.lit(" "))
-    return scanning.hidden_secrets(x.select(F.col("doc_id").alias("id"), F.concat("text", F.when(F.col("doc_id") % 6 == 0, split).otherwise("")).alias("text")))
+    mask = F.coalesce(t.pick([*_MASKS, "AK" + "IA"], F.col("doc_id") % 8), F.lit(""))
+    return x.select(F.col("doc_id").alias("id"), F.concat(F.lit(" "), mask, F.upper(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 16)), F.lit(" "), "text").alias("text"))
+
+
+@query("scan_hidden_secret", f""", x AS (SELECT doc_id AS id, ' ' || {_MASKED_SQL} || upper(substr(sha256(doc_id::VARCHAR), 1, 16)) || ' ' || text AS text FROM documents),
+ deep AS (SELECT id, text, regexp_replace(replace(replace(text, '\\u0049', 'I'), '\\ud800', ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{{9F}}\\p{{Cf}}\\p{{M}}\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', '', 'g') AS bare FROM x),
+ forms AS (SELECT id, text, translate(bare, chr(119808) || chr(119818) || chr(119816), 'AKI') AS form FROM deep)
+ SELECT id, len(list_filter({_ALL_HITS}, lambda h: NOT contains(text, h))) > 0 AS hidden FROM forms""")
+def _(s, d):
+    return scanning.hidden_secrets(_masked(s, d))
+
+
+@query("scan_hidden_in_lines", f""", x AS (SELECT doc_id AS id, {_MASKED_SQL} || upper(substr(sha256(doc_id::VARCHAR), 1, 16)) AS word, doc_id % 8 AS k FROM documents)
+ SELECT id, regexp_matches(replace(replace(regexp_replace(word, '[\\x08\\x{{200B}}]', '', 'g'), '\\u0049', 'I'), '\\ud800', ''), $${scanning.DETECTORS[0][2]}$$) AND k <> 5 OR k = 2 AS hidden FROM x""")
+def _(s, d):
+    word = F.regexp_extract("text", "^ ([^ ]*) ", 1)
+    line = F.when(F.col("id") % 2 == 0, F.to_json(F.struct(F.struct(F.array(word).alias("b")).alias("a")))).otherwise(F.concat(F.lit('{"'), F.replace(F.replace(word, F.lit("\\"), F.lit("\\\\")), F.lit("\b"), F.lit("\\b")), F.lit('": 1}')))
+    return scanning.hidden_secrets(_masked(s, d).select("id", F.concat(F.lit('{"x": 1}\nnone\n'), line, F.lit("\n")).alias("text")), lines=True)
 
 
 @query("scan_nul_island", "SELECT doc_id AS id, doc_id % 5 = 0 AS island FROM documents")
@@ -247,11 +301,85 @@ def _(s, d):
     return scanning.rescan_plan(_stored(s, d))
 
 
-@query("rescan_kinds", f"{_STORED} SELECT transition, count(*) AS n FROM r GROUP BY 1")
+@query("rescan_transitions", f"{_STORED} SELECT transition, count(*) AS n FROM r GROUP BY 1")
 def _(s, d):
     return scanning.rescan_plan(_stored(s, d)).groupBy("transition").agg(F.count("*").alias("n"))
 
 
+@query("rescan_kinds", f"{_STORED}, h AS (SELECT id, CASE WHEN k = 1 THEN 'aws-key' ELSE 'generic-entropy' END AS kind, CASE WHEN k = 1 THEN 1 ELSE len(regexp_extract_all(text, $${scanning.DETECTORS[17][2]}$$)) END AS n FROM x WHERE k > 0) SELECT id, kind, n::BIGINT AS n FROM h WHERE n > 0")
+def _(s, d):
+    kinds = archive.finding_kinds(scanning.scanned(_stored(s, d).where("quarantined = 0").select("id", "text")))
+    return kinds.select("id", F.explode("kinds").alias("kind", "n"))
+
+
+# --- capture run -------------------------------------------------------------------------------------------
+
+_WHY = "CASE WHEN doc_id % 9 = 4 THEN 'non-utf8' END"
+
+
+def _captured(s: SparkSession, d: str) -> DataFrame:
+    return _stored(s, d).select("id", F.when(F.col("id") % 8 == 0, F.concat(F.lit("‹REDACTED:x:0› "), "text")).otherwise(F.col("text")).alias("text"), F.when(F.col("id") % 9 == 4, "non-utf8").alias("why"))
+
+
+_CAPTURED = _STORED.replace("r AS (SELECT", "unused AS (SELECT", 1) + f""", c AS (SELECT x.id, CASE WHEN k = 0 THEN '‹REDACTED:x:0› ' || x.text ELSE x.text END AS text, {_WHY.replace("doc_id", "x.id")} AS why, k, len(regexp_extract_all(x.text, $${scanning.DETECTORS[17][2]}$$)) AS e FROM x)"""
+
+
+@query("archive_outcomes", f"""{_CAPTURED}, o AS (SELECT id, why IS NULL AS scanned, why IS NOT NULL OR k IN (0, 1) OR e > 0 AS was_redacted, why IS NOT NULL OR k = 1 AS needs_quarantine, CASE WHEN why IS NULL AND k = 0 THEN 1 ELSE 0 END::BIGINT AS flagged, CASE WHEN why IS NOT NULL THEN 1 WHEN k = 1 THEN 1 ELSE e END::BIGINT AS redacted_count,
+ CASE WHEN why IS NOT NULL THEN '‹QUARANTINED:non-utf8:' || substr(sha256(text), 1, 8) || '›' || chr(10) WHEN k = 1 THEN '‹REDACTED:aws-key:' || substr(sha256(text), 1, 8) || '›' WHEN k = 0 AND e = 0 THEN replace(replace(text, '‹REDACTED:', '<REDACTED:'), '‹QUARANTINED:', '<QUARANTINED:') WHEN e = 0 THEN text END AS redacted FROM c)
+ SELECT * FROM o""")
+def _(s, d):
+    o = archive.outcomes(_captured(s, d))
+    plain = ~F.exists("findings", lambda f: f["kind"] == "generic-entropy")
+    return o.select("id", "scanned", "was_redacted", "needs_quarantine", "flagged", "redacted_count", F.when(plain, F.col("redacted")).alias("redacted"))
+
+
+@query("archive_quarantine_all", f"{_CAPTURED} SELECT id, sha256(text) AS sha256 FROM c WHERE why IS NOT NULL OR k = 1 OR e > 0")
+def _(s, d):
+    x = _captured(s, d)
+    return archive.originals(x, archive.outcomes(x, quarantine_all=True)).select("id", F.sha2("content", 256).alias("sha256"))
+
+
+@query("archive_frames", ", x AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN text || 'x' ELSE text END AS old, CASE WHEN doc_id % 5 < 3 THEN text || 'more' ELSE text END AS now FROM documents) SELECT doc_id::VARCHAR AS path, CASE WHEN starts_with(now, old) THEN 'append' ELSE 'rewrite' END AS how, sha256(CASE WHEN starts_with(now, old) THEN substr(now, length(old) + 1) ELSE now END) AS sha256 FROM x WHERE old IS NULL OR old <> now")
+def _(s, d):
+    x, k = t.table(s, d, "documents"), F.col("doc_id") % 5
+    path = F.col("doc_id").cast("string").alias("path")
+    now = x.select(path, F.when(k < 3, F.concat("text", F.lit("more"))).otherwise(F.col("text")).cast("binary").alias("content"))
+    old = x.where(k > 0).select(path, F.when(k == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text")).cast("binary").alias("content"))
+    return archive.frames(old, now).select("path", "how", F.sha2("content", 256).alias("sha256"))
+
+
+@query("archive_manifest_state", ", x AS (SELECT doc_id::VARCHAR AS key, doc_id % 4 AS k, doc_id FROM documents) SELECT key, CASE k WHEN 0 THEN 'missing' WHEN 1 THEN 'unreadable' WHEN 2 THEN 'unreadable' ELSE 'ok' END AS state, CASE WHEN k = 3 THEN doc_id % 3 END::INT AS version FROM x")
+def _(s, d):
+    x, k = t.table(s, d, "documents"), F.col("doc_id") % 4
+    key = F.col("doc_id").cast("string").alias("key")
+    content = F.when(k == 1, '{"version": ').when(k == 2, "[1]").otherwise(F.to_json(F.struct((F.col("doc_id") % 3).alias("version"))))
+    return archive.manifest_state(x.select(key), x.where(k > 0).select(key, content.alias("content"))).select("key", "state", F.col("manifest.version").alias("version"))
+
+
+@query("index_modes", "SELECT id, CASE WHEN role IN ('transcript', 'subagent', 'history') THEN 'entries' WHEN role IN ('tool-result', 'mcp', 'snapshot', 'paste') THEN 'document' ELSE 'skip' END AS mode FROM artifacts")
+def _(s, d):
+    return archive.modes(t.artifacts(s, d)).select("id", "mode")
+
+
+@query("index_enriched", "SELECT a.id AS artifact_id, a.session_uuid, project_slug, git_branch, 'main' AS agent FROM artifacts a LEFT JOIN sessions s ON a.session_uuid = s.uuid")
+def _(s, d):
+    docs = t.artifacts(s, d).select(F.col("id").alias("artifact_id"))
+    return archive.enriched(docs, t.artifacts(s, d), t.sessions(s, d).withColumn("cwd", F.lit(None).cast("string")), "main").drop("cwd")
+
+
+@query("denied_inodes", "SELECT doc_id AS ino FROM documents WHERE doc_id % 7 <> 2 AND NOT (doc_id IN (SELECT doc_id // 2 FROM documents WHERE doc_id % 6 = 0) AND doc_id % 2 = 1)")
+def _(s, d):
+    x = t.table(s, d, "documents")
+    files = x.select((F.col("doc_id") % 2).alias("dev"), F.when(F.col("doc_id") % 7 != 2, F.col("doc_id")).alias("ino"))
+    return archive.not_denied(files, x.where("doc_id % 6 = 0").select(F.lit(1).cast("long").alias("dev"), F.expr("doc_id div 2").alias("ino"))).select("ino")
+
+
+@query("deletable_trees", "SELECT count(*) FILTER (doc_id % 3 = 1 AND doc_id % 4 = 2) AS n FROM documents")
+def _(s, d):
+    x = t.table(s, d, "documents").select(F.when(F.col("doc_id") % 3 == 1, "scratch-tree").otherwise("file").alias("kind"), F.when(F.col("doc_id") % 4 == 2, "delete").otherwise("protected").alias("verdict"))
+    return archive.deletable(x, "scratch-tree")
+
+
 # --- ledger ------------------------------------------------------------------------------------------------
 
 
@@ -312,12 +440,24 @@ def _(s, d):
     return ledger.upsert(old, a.where("id % 10 = 0").select("id", "source_path", F.col("live_sha256").alias("source_sha256")), "source_path")
 
 
-@query("session_upsert", "SELECT uuid, coalesce(git_branch, 'old') AS git_branch, CASE WHEN substr(uuid, 6)::INT % 2 = 0 THEN '2023' ELSE '2024' END AS first_seen, '2024' AS last_archived FROM sessions")
+@query("capture_upsert_repeats", "SELECT CASE WHEN archived THEN id ELSE 1000000 + id END AS id, source_path, CASE WHEN id % 10 = 0 THEN live_sha256 ELSE source_sha256 END AS source_sha256 FROM artifacts WHERE archived OR id % 10 = 0")
+def _(s, d):
+    a = t.artifacts(s, d)
+    old = a.where("archived").select("id", "source_path", "source_sha256")
+    new = a.where("id % 10 = 0").select((F.col("id") + 1_000_000).alias("id"), "source_path", F.col("live_sha256").alias("source_sha256"), F.lit(2).alias("run"))
+    earlier = new.withColumn("source_sha256", F.lit("earlier")).withColumn("run", F.lit(1))
+    return ledger.upsert(old, earlier.unionByName(new), "source_path", latest="run", keep=("id",)).select("id", "source_path", "source_sha256")
+
+
+@query("session_upsert", """, x AS (SELECT uuid, project_slug, git_branch, substr(uuid, 6)::INT AS n FROM sessions), o AS (SELECT *, 'old' AS o_branch FROM x WHERE n % 2 = 0), w AS (SELECT * FROM x WHERE n % 3 > 0)
+ SELECT coalesce(w.uuid, o.uuid) AS uuid, coalesce(w.project_slug || '-now', o.project_slug) AS project_slug, coalesce(CASE WHEN w.n % 5 > 0 THEN '/new' END, CASE WHEN o.uuid IS NOT NULL THEN '/old' END) AS cwd, coalesce(w.git_branch, o.o_branch) AS git_branch,
+ CASE WHEN w.uuid IS NOT NULL THEN '2.0' END AS cc_version, coalesce(CASE WHEN o.uuid IS NOT NULL THEN '2023' END, '2024') AS first_seen, CASE WHEN w.uuid IS NOT NULL THEN '2024' ELSE '2023' END AS last_archived FROM w FULL JOIN o ON w.uuid = o.uuid""")
 def _(s, d):
-    x = t.sessions(s, d)
-    old = x.where("cast(substr(uuid, 6) as int) % 2 = 0").select("uuid", F.lit("old").alias("git_branch"), F.lit("2023").alias("first_seen"), F.lit("2023").alias("last_archived"))
-    new = x.select("uuid", F.when((F.substring("uuid", 6, 9).cast("int") % 2 == 0) | F.col("git_branch").isNotNull(), F.col("git_branch")).otherwise("old").alias("git_branch"), F.lit("2024").alias("first_seen"), F.lit("2024").alias("last_archived"))
-    return ledger.merge_sessions(old, new)
+    x, n = t.sessions(s, d), F.substring("uuid", 6, 9).cast("int")
+    text = lambda v, name: F.lit(v).cast("string").alias(name)
+    old = x.where(n % 2 == 0).select("uuid", "project_slug", text("/old", "cwd"), text("old", "git_branch"), text(None, "cc_version"), text("2023", "first_seen"), text("2023", "last_archived"))
+    new = x.where(n % 3 > 0).select("uuid", F.concat("project_slug", F.lit("-now")).alias("project_slug"), F.when(n % 5 > 0, "/new").alias("cwd"), "git_branch", text("2.0", "cc_version"), text("2024", "first_seen"), text("2024", "last_archived"))
+    return ledger.merge_sessions(old, new.unionByName(new.withColumn("cwd", F.lit("/earlier")).withColumn("last_archived", F.lit("2022"))))
 
 
 @query("manifest_rollup", "SELECT session_uuid, count(*) AS n, sum(source_bytes)::BIGINT AS bytes, bool_or(quarantined = 1) AS any_quarantined FROM artifacts GROUP BY 1")
@@ -325,10 +465,19 @@ def _(s, d):
     return t.artifacts(s, d).groupBy("session_uuid").agg(F.count("*").alias("n"), F.sum("source_bytes").alias("bytes"), F.bool_or(F.col("quarantined") == 1).alias("any_quarantined"))
 
 
-@query("shape_inventory", r"""SELECT array_to_string(list_transform(string_split(url, '/'), lambda p: CASE WHEN regexp_matches(p, '^[0-9a-f-]{32,}$') THEN '<uuid>' WHEN regexp_matches(p, '^[0-9]+([.?#].*)?$') THEN '<n>' ELSE p END), '/') AS shape,
- count(*) AS n, sum(octet_length(encode(html)))::BIGINT AS bytes, min(url) AS example FROM pages GROUP BY 1""")
+_SESSION_FILES = """, f AS (SELECT 'user-' || (doc_id % 3) AS "user", '/home/user-' || (doc_id % 3) || '/.claude' AS home, 'projects/-w-' || source || '/' || CASE doc_id % 5 WHEN 0 THEN sha256(doc_id::VARCHAR) || '.jsonl' WHEN 1 THEN 'subagents/' || doc_id || '.jsonl' WHEN 2 THEN sha256(doc_id::VARCHAR) || '/tool-results/out.txt' WHEN 3 THEN 'note.meta.json' ELSE 'readme.txt' END AS below, n_chars AS bytes FROM documents)"""
+
+
+@query("shape_inventory", _SESSION_FILES + """, p AS (SELECT *, string_split(below, '/') AS part FROM f),
+ g AS (SELECT *, '.claude/' || array_to_string(list_transform(part, lambda x, i: CASE WHEN i = 2 THEN '<slug>' WHEN regexp_matches(x, '^[0-9a-fA-F-]{32,}([.]jsonl)?$') THEN '<uuid>' ELSE x END), '/') AS shape,
+   CASE WHEN part[-1] LIKE '%.meta.json' OR part[-2] = 'subagents' THEN 'subagents' WHEN part[-2] = 'tool-results' THEN 'tool-results' WHEN part[-1] LIKE '%.jsonl' THEN 'transcript' ELSE 'unknown' END AS kind FROM p)
+ SELECT "user", shape, any_value(kind) AS kind, count(*) AS n, sum(bytes)::BIGINT AS bytes, min(home || '/' || below) AS example FROM g GROUP BY "user", shape""")
 def _(s, d):
-    return ledger.shapes(t.table(s, d, "pages").select(F.col("url").alias("path"), F.octet_length("html").cast("long").alias("bytes")))
+    i, sha = F.col("doc_id"), F.sha2(F.col("doc_id").cast("string"), 256)
+    user = F.concat(F.lit("user-"), i % 3)
+    leaf = F.when(i % 5 == 0, F.concat(sha, F.lit(".jsonl"))).when(i % 5 == 1, F.concat(F.lit("subagents/"), i, F.lit(".jsonl"))).when(i % 5 == 2, F.concat(sha, F.lit("/tool-results/out.txt"))).when(i % 5 == 3, "note.meta.json").otherwise("readme.txt")
+    home = F.concat(F.lit("/home/"), user, F.lit("/.claude"))
+    return ledger.shapes(t.table(s, d, "documents").select(user.alias("user"), home.alias("home"), F.concat(home, F.lit("/projects/-w-"), "source", F.lit("/"), leaf).alias("path"), F.col("n_chars").alias("bytes")))
 
 
 @query("store_key", """, x AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN source || '/x' ELSE repeat(source, 60) END AS slug, 'u' || doc_id AS uuid FROM documents)

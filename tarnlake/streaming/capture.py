@@ -15,7 +15,7 @@ def next_ledger(batch: DataFrame, prior: DataFrame) -> DataFrame:
     """The ledger after a batch of (path, content): captured up to the last newline, hashed over that beginning."""
     plan = capture_plan(batch, prior).where("plan <> 'skip'").select(F.col("path").alias("p"), "end")
     done = batch.join(plan, F.col("path") == F.col("p")).select("path", F.col("end").alias("offset"), F.sha2(F.expr("substr(content, 1, end)"), 256).alias("sha256"))
-    return upsert(prior, done, "path")
+    return upsert(prior, done, "path", latest="offset")
 
 
 def capture_stream(spark: SparkSession, snapshots: DataFrame, ledger_dir: str, checkpoint: str) -> StreamingQuery:
