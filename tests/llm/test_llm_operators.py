@@ -442,7 +442,7 @@ def test_hostile_pages_are_read_in_linear_time():
     # long pages are read in runs of rows, with the same result
     page = html_blocks.blocks("".join(f"<div class=c{i % 7}><p>some words {i}, and more.</p></div>" for i in range(9000)))
     model = html_blocks.trained()
-    assert np.allclose(model.read(page), model.enter(html_blocks.vectors(page)))
+    assert np.abs(model.read(page) - model.enter(html_blocks.vectors(page))).max() < 1e-5
 
 
 def test_licenses(spark):
