@@ -30,8 +30,8 @@ from tarnlake.llm.words import runs_of
 FREQUENT, TOP = 1 << 19, 1 << 19
 BURN_IN, SAMPLES = 2, 3
 STRENGTH = 1.0
-#: Distinct words, and pairs of words, that a task holds before it hands their counts on.
-HELD, HELD_PAIRS = 1 << 20, 1 << 21
+#: Words, and pairs of words, that a task holds before it hands their counts on.
+HELD, HELD_PAIRS = 1 << 22, 1 << 21
 #: Bits of the filter of cells.
 BITS = 1 << 26
 END, BEGIN = np.uint64(0x454E44), np.uint64(0x424547494E)
@@ -61,16 +61,21 @@ def cell_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    parts, held = [], 0
+
+    def merged() -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+        parts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+
     for b in batches:
         for _, h, of_text in runs_of(raw(b.column(0))):
-            own, n = np.unique(h, return_counts=True)
-            held, at = np.unique(np.concatenate([held, own, [END]]), return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate([counts, n, [len(of_text)]]), minlength=len(held)).astype(np.int64)
-            if len(held) > HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], ["h", "c"])
-                held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], ["h", "c"])
+            parts.extend((h, np.full(len(of_text), END)))
+            held += len(h) + len(of_text)
+            if held > HELD:
+                yield merged()
+                held = 0
+    yield merged()
 
 
 def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +84,8 @@ def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def merged() -> pa.RecordBatch:
         u, w, c = np.concatenate([np.zeros(0, np.uint64), *us]), np.concatenate([np.zeros(0, np.uint64), *ws]), np.concatenate([np.zeros(0, bool), *cs])
-        order = np.lexsort((w, u))
+        # by the upper halves of both: a context's pairs stand together, and equal ones that others stand between are added up after the shuffle
+        order = np.argsort(u & np.uint64(0xFFFFFFFF00000000) | w >> np.uint64(32))
         u, w, c = u[order], w[order], c[order]
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(u)), bool), (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
         n = np.add.reduceat(c.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
@@ -190,7 +196,9 @@ class Lookup:
         """The place of each key, and whether it is there."""
         if not len(self.keys):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        place = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        # asked in order, which reads the keys from one end to the other
+        order, place = np.argsort(h), np.empty(len(h), np.int64)
+        place[order] = np.minimum(np.searchsorted(self.keys, h[order]), len(self.keys) - 1)
         return place, self.keys[place] == h
 
 
@@ -227,11 +235,14 @@ def _seat_cells(sweeps: list[Sweep], discount: float, *, joined: bool, sums: boo
             u, w, c = (b.column(k).to_numpy() for k in range(3))
             x, y = u.view(np.uint64), w.view(np.uint64)
             cell, t = cell_key(x, y), np.zeros(len(c))
+            if not joined:
+                # all sweeps look up the same words
+                iu, iw = given[0][1].at(x)[0], given[0][1].at(y)[0]
             for k, (number, lookup) in enumerate(given):
                 if joined:
                     tables, parent = b.column(3 + 2 * k).to_numpy(), b.column(4 + 2 * k).to_numpy()
                 else:
-                    tables, parent = lookup.values["T"][lookup.at(x)[0]], lookup.values["P"][lookup.at(y)[0]]
+                    tables, parent = lookup.values["T"][iu], lookup.values["P"][iw]
                 t += seat(c, (STRENGTH + discount * tables) * parent, discount, cell, number)
             t /= len(given)
             if sums:
@@ -404,7 +415,11 @@ def _score(lookup: Lookup, top: Lookup, bits: np.ndarray, discount: float, token
             out_of_training = np.array(b.column(1).to_pylist(), bool)
             for at, h, counts in runs_of(raw(b.column(2))):
                 u, w, text = tokens_of(h, counts)
-                (iu, ku), (iw, kw) = lookup.at(u), lookup.at(w)
+                iw, kw = lookup.at(w)
+                # a token's context is the token before it, or the beginning
+                first, at_first = lookup.at(np.array([BEGIN]))
+                begins = u == BEGIN
+                iu, ku = np.where(begins, first, np.roll(iw, 1)), np.where(begins, at_first, np.roll(kw, 1))
                 val = lambda k, i: lookup.values[k][i] if len(lookup.keys) else np.zeros(len(i))
                 key = cell_key(u, w)
                 it, kt = top.at(key)
@@ -446,7 +461,8 @@ def scored(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     lists = ", ".join(f"{x} array<{'float' if x in _FLOATS else 'long'}>" for x in LISTS)
     schema = f"doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, {lists}"
-    rows = stage(docs.mapInArrow(_score(m.lookup, m.top, m.filter, m.discount, m.tokens, m.types), schema), "scores").withColumn("row", F.monotonically_increasing_id())
+    told = docs.mapInArrow(_score(m.lookup, m.top, m.filter, m.discount, m.tokens, m.types), schema)
+    rows = stage(told.withColumn("row", F.monotonically_increasing_id()), "scores")
     # what moves is narrow: counts and single-precision shares; logarithms of counts are taken after the last shuffle
     a = F.when(F.col("held_out"), 0.0).otherwise(1 - m.discount)
     zipped = lambda *names: rows.select("row", "held_out", F.explode(F.arrays_zip(*names)).alias("x")).select("row", "held_out", "x.*")
@@ -454,6 +470,11 @@ def scored(docs: DataFrame) -> DataFrame:
     parent = m.words.select(F.col("h").alias("w"), F.col("c").alias("n"), "P")
     none = F.lit(None).cast("float")
     asked = zipped("cell_u", "cell_w").withColumnsRenamed({"cell_u": "u", "cell_w": "w"}).join(m.cells.select("u", "w", F.col("said").cast("float").alias("said")), ["u", "w"], "left")
+    # written once, as two ways lead on from here; what was found needs no words any more
+    still = lambda c: F.when(F.col("said").isNull(), F.col(c)).alias(c)
+    asked = stage(asked.select("row", "held_out", still("u"), still("w"), "said"), "asked")
+    unstage(docs.sparkSession, m.cells)
+    release(docs.sparkSession)
     # words to look up: of tokens whose cell is known otherwise (b is no number), with a context's share, or with a context to look up as well
     ask = asked.where("said is null").select("row", "held_out", "w", "u", none.alias("b"), F.lit(False).alias("counts"))
     ask = ask.unionByName(zipped("rare_w", "rare_b").select("row", "held_out", F.col("rare_w").alias("w"), F.lit(None).cast("long").alias("u"), F.col("rare_b").alias("b"), F.lit(True).alias("counts")))
