@@ -1,4 +1,4 @@
-"""Directory inventories: normal paths, containment, denied globs, trees, empty directories, live sessions and users' roots."""
+"""Directory inventories: normal paths, containment, denied globs and inodes, trees, empty directories, live sessions and users' roots."""
 
 from __future__ import annotations
 
@@ -27,14 +27,14 @@ def contained(path: Column, roots: list[str]) -> Column:
     return F.coalesce(inside, F.lit(False))
 
 
-def denied_pattern(entries: list[str], home: str, store: str) -> str:
-    """One regular expression for denied paths: the store and all in it, and entries, of which those with ~/ lie in home.
+def denied_pattern(entries: list[str], home: str, store: str | None) -> str:
+    """One regular expression for denied paths: the store (if any) and all in it, and entries, of which those with ~/ lie in home.
 
     Home and store are paths, not globs, and so are the parts of an entry before its first part with a glob character.
     A relative entry holds at any depth.
     """
     quote = lambda t: "".join("\\" + c if not c.isalnum() and c not in "/_" else c for c in t)
-    out = [f"{quote(store)}(?:/.*)?"]
+    out = [f"{quote(store)}(?:/.*)?"] if store else []
     for e in entries:
         full = f"{home}/{e[2:]}" if e.startswith("~/") else e
         if not full.startswith("/"):
@@ -53,6 +53,17 @@ def denied(path: Column, entries: list[str], home: str, store: str) -> Column:
     return F.coalesce(normal_path(path).rlike(denied_pattern(entries, home, store)), F.lit(True))
 
 
+def admitted(files: DataFrame, entries: list[str], guarded: list[str], home: str, store: str) -> DataFrame:
+    """Files (path, dev, ino, ...) whose path isn't denied, and which are no other name of a file at a guarded path (globs as in entries).
+
+    Where dev or ino is null a file's names can't be told, and its path alone counts; a null path is denied.
+    """
+    kept = files.where(~denied(F.col("path"), [*entries, *guarded], home, store))
+    gone = files.where(normal_path(F.col("path")).rlike(denied_pattern(guarded, home, None)))
+    gone = gone.select(F.col("dev").alias("__dev"), F.col("ino").alias("__ino")).distinct()
+    return kept.join(gone, (F.col("dev") == F.col("__dev")) & (F.col("ino") == F.col("__ino")), "left_anti")
+
+
 def trees(files: DataFrame, root: str) -> DataFrame:
     """(tree, files, bytes, newest) of files (path, bytes, modified; bytes null for a directory): what lies two levels below the root.
 

@@ -845,6 +845,14 @@ def _(s, d):
     return x.select("id", paths.normal_path(p).alias("normal"), paths.denied(p, ["~/.keys.json", "~/backups/**", "/srv/a*/x", "*.pem"], "/home/u[1]", "/home/u[1]/.lake").alias("denied"), paths.contained(p, ["/home/u[1]/", "/tmp"]).alias("inside"))
 
 
+@query("path_inodes", """, x AS (SELECT doc_id AS id, doc_id % 8 AS k, doc_id % 2 AS dev, doc_id // 3 AS ino FROM documents)
+SELECT id FROM x WHERE k > 4 AND NOT EXISTS (SELECT 1 FROM x y WHERE y.k IN (0, 1) AND y.dev = x.dev AND y.ino = x.ino)""")
+def _(s, d):
+    i = F.col("doc_id")
+    x = t.table(s, d, "documents").select(i.alias("id"), t.pick(_PLACES, i % 8).alias("path"), (i % 2).alias("dev"), F.floor(i / 3).alias("ino"))
+    return paths.admitted(x, ["/srv/a*/x", "*.pem"], ["~/.keys.json", "~/backups/**"], "/home/u[1]", "/home/u[1]/.lake").select("id")
+
+
 @query("live_sessions", """SELECT 'conv-' || (doc_id % 50) AS session_uuid FROM documents WHERE doc_id % 3 = 0 AND doc_id % 4 > 0 UNION SELECT 'conv-' || (100 + doc_id % 20) FROM documents WHERE doc_id % 2 = 0 AND doc_id % 40 >= 30""")
 def _(s, d):
     x, i = t.table(s, d, "documents"), F.col("doc_id")

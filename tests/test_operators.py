@@ -205,6 +205,11 @@ def test_paths(spark):
 
 def test_inventories_of_nothing(spark):
     none = lambda schema: spark.createDataFrame([], schema)
+    rows = [("/h/key", 1, 7), ("/a/link", 1, 7), ("/a/other", 2, 7), ("/a/untold", None, 7), ("/h/key", None, 9), ("/a/nine", 1, 9), ("/s/x", 3, 3), ("/a/of_store", 3, 3), (None, 4, 4), ("/a/four", 4, 4), ("/b.pem", 5, 5), ("/a/five", 5, 5), ("/h/./key", 6, 6), ("/a/six", 6, 6), ("/a/other", 2, 7)]
+    held = paths.admitted(spark.createDataFrame(rows, "path string, dev long, ino long"), ["*.pem"], ["~/key"], "/h", "/s")
+    assert held.columns == ["path", "dev", "ino"]
+    assert sorted(r["path"] for r in held.collect()) == ["/a/five", "/a/four", "/a/nine", "/a/of_store", "/a/other", "/a/other", "/a/untold"]
+    assert paths.admitted(none("path string, dev long, ino long"), [], [], "/h", "/s").count() == 0
     assert paths.trees(none("path string, bytes long, modified long"), "/t").count() == 0
     assert paths.empty_dirs(none("path string"), none("path string")).count() == 0
     assert paths.active_sessions(none("pid long, content string"), none("pid long"), none("path string, modified long"), F.lit(0)).count() == 0
