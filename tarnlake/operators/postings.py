@@ -62,7 +62,10 @@ class Index:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def _write(self, posts: DataFrame, docs: DataFrame) -> Index:
-        posts.repartition("bucket").sortWithinPartitions("bucket", "term", "entry_uuid").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        # a bucket, and with it a word of most entries, is dealt over as many tasks as the session's partitions allow
+        splits = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+        dealt = posts.repartition("bucket", F.pmod(F.xxhash64("entry_uuid"), F.lit(splits)))
+        dealt.sortWithinPartitions("bucket", "term", "entry_uuid").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
         docs.write.mode("overwrite").parquet(f"{self.path}/documents")
         totals(self.table("documents")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals")
         return self
