@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ _byte = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _base = 0x5851F42D4C957F2D
 _space = np.zeros(256, bool)
 _space[[32, 9, 10, 11, 12, 13]] = True
+_white = re.compile(rb"[ \t-\r]")
 _powers: list[np.ndarray] = []
 
 
@@ -54,3 +56,15 @@ def runs_of(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.nda
             size += len(part[-1])
         yield at, *words_of(part)
         at += len(part)
+
+
+def pieces(text: bytes, size: int = CHUNK) -> Iterator[bytes]:
+    """A text in pieces of about `size` bytes that end before a white-space byte: no word is cut, however long it is."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            m = _white.search(text, end)
+            end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
