@@ -15,6 +15,8 @@ _byte = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _base = 0x5851F42D4C957F2D
 _space = np.zeros(256, bool)
 _space[[32, 9, 10, 11, 12, 13]] = True
+#: A-Z to a-z, 0-9, a-z and all bytes beyond ASCII as they are, everything else a space.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _white = re.compile(rb"[ \t-\r]")
 _powers: list[np.ndarray] = []
 
