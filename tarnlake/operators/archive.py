@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.operators import scanning
+from tarnlake.operators import scanning, transcripts
 
 #: Roles whose entries are indexed line by line, and roles that are one document.
-PER_ENTRY, SINGLE = ["transcript", "subagent", "history"], ["tool-result", "mcp", "snapshot", "paste"]
+PER_ENTRY, SINGLE = ["transcript", "subagent"], ["tool-result", "mcp", "snapshot", "paste", "history"]
 #: Roles whose lines must be JSON.
 JSON_LINES = ["transcript", "subagent", "history"]
-TARGETS = ["transcripts", "scratch", "mcp", "empty-dirs"]
+#: What retention can be asked for.
+TARGETS = ["transcripts", "scratch", "mcp", "empty-dirs", "paste", "snapshots"]
 
 
 def modes(artifacts: DataFrame) -> DataFrame:
@@ -54,36 +55,87 @@ def manifest_state(keys: DataFrame, manifests: DataFrame, schema: str = "version
     return x.select("key", state.alias("state"), F.when(legible, F.from_json("content", schema)).alias("manifest"))
 
 
+#: The finding that stands for placeholders which a text brought along.
+FORGED = {"kind": "preinjected-placeholder", "severity": "low", "sha8": "00000000", "action": "flag"}
+
+
+def _judged(x: DataFrame, content: Column, allow: list[str] | None, *, quarantine_all: bool) -> DataFrame:
+    """x (id, __text, __why, __forged) with the outcome of a scan; content is what the artifact's tag and size are of. Rows with a reason in __why are not scanned."""
+    x = scanning.with_findings(x, "__text", allow, redacted="__redacted", findings="__found")
+    n = lambda *actions: F.size(F.filter("__found", lambda f: f["action"].isin(*actions))).cast("long")
+    whole, tag = F.col("__why").isNotNull(), F.substring(F.sha2(content, 256), 1, 8)
+    one = lambda kind, severity, sha8, action, size: F.array(F.struct(kind.alias("kind"), severity.alias("severity"), sha8.alias("sha8"), action.alias("action"), F.lit(0).cast("long").alias("span_start"), size.cast("long").alias("span_len")))
+    set_aside = one(F.col("__why"), F.lit("high"), tag, F.lit("quarantine"), F.octet_length(content))
+    flag = one(*[F.lit(v) for v in FORGED.values()], F.lit(0))
+    either = lambda a, b: F.when(whole, a).otherwise(b)
+    count = n("redact", "quarantine")
+    return x.select(
+        "*", F.col("__why").alias("why"), (~whole).alias("scanned"), either(F.concat(F.lit(scanning.QUARANTINED), "__why", F.lit(":"), tag, F.lit("›\n")), F.col("__redacted")).alias("redacted"),
+        either(F.lit(True), F.col("__forged") | (F.col("__redacted") != F.col("__text"))).alias("was_redacted"),
+        either(F.lit(True), (n("quarantine") > 0) | (F.lit(quarantine_all) & (count > 0))).alias("needs_quarantine"),
+        either(F.lit(0), n("flag") + F.col("__forged").cast("long")).cast("long").alias("flagged"), either(F.lit(1), count).cast("long").alias("redacted_count"),
+        either(set_aside, F.when(F.col("__forged"), F.concat(flag, "__found")).otherwise(F.col("__found"))).alias("findings"),
+    )
+
+
+OUTCOME = ["scanned", "redacted", "was_redacted", "needs_quarantine", "flagged", "redacted_count", "findings"]
+
+
+def _unscanned(x: DataFrame, redacted: Column) -> DataFrame:
+    """x with the outcome of a run that scans nothing: every artifact passes as it is, and counts as scanned."""
+    zero, no = F.lit(0).cast("long"), F.lit(False)
+    none = F.expr(f"cast(array() as {scanning.FINDINGS})")
+    return x.select("*", F.lit(True).alias("scanned"), redacted.alias("redacted"), no.alias("was_redacted"), no.alias("needs_quarantine"), zero.alias("flagged"), zero.alias("redacted_count"), none.alias("findings"))
+
+
 def outcomes(texts: DataFrame, allow: list[str] | None = None, *, scan: bool = True, quarantine_all: bool = False) -> DataFrame:
-    """(id, scanned, redacted, was_redacted, needs_quarantine, flagged, redacted_count, findings) of artifacts (id, text, why).
+    """(id, scanned, redacted, was_redacted, needs_quarantine, flagged, redacted_count, findings) of artifacts (id, text, why) whose gates were judged before.
 
     why says for what an artifact is set aside as a whole (null: it isn't): then the stored text is one marker with the tag of
-    its bytes, and one finding covers them all. Otherwise placeholders it brought along are made harmless, which is a flag, and
-    what the detectors find is redacted. With quarantine_all a text with any finding that isn't allowed needs quarantine too.
-    Without scan all texts pass as they are. A null text is empty.
+    its bytes, and one finding covers them all. Otherwise placeholders it brought along are made harmless, which is a finding
+    of low severity, and what the detectors find is redacted. With quarantine_all a text with any finding that isn't allowed
+    needs quarantine too. Without scan all texts pass as they are, and count as scanned. A null text is empty.
     """
     t = texts.select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "why")
-    none = F.expr(f"cast(array() as {scanning.FINDINGS})")
     if not scan:
-        zero = F.lit(0).cast("long")
-        return t.select("id", F.lit(False).alias("scanned"), F.col("text").alias("redacted"), F.lit(False).alias("was_redacted"), F.lit(False).alias("needs_quarantine"), zero.alias("flagged"), zero.alias("redacted_count"), none.alias("findings"))
-    forged = F.contains("text", F.lit(scanning.REDACTED)) | F.contains("text", F.lit(scanning.QUARANTINED))
-    clean = F.replace(F.replace("text", F.lit(scanning.REDACTED), F.lit("<REDACTED:")), F.lit(scanning.QUARANTINED), F.lit("<QUARANTINED:"))
+        return _unscanned(t.select("id", "text"), F.col("text")).select("id", *OUTCOME)
+    clean = F.when(F.col("why").isNull(), scanning.harmless(F.col("text"))).otherwise("")
+    x = t.select("id", "text", clean.alias("__text"), F.col("why").alias("__why"), scanning.redacted_mark(F.col("text")).alias("__forged"))
+    return _judged(x, F.col("text"), allow, quarantine_all=quarantine_all).select("id", *OUTCOME)
+
+
+def _malformed(text: str) -> Column:
+    """Whether a line of a column of texts that isn't blank is no JSON, by the test of transcripts.parsed()."""
+    whole = "try_parse_json(concat('[', l, ']')) IS NOT NULL AND try_parse_json(concat('{\"v\":', l, '}')) IS NOT NULL"
+    return F.expr(f"exists(split({text}, '\n'), l -> NOT rlike(l, '{transcripts.BLANK_SQL}') AND NOT ({whole}))")
+
+
+def scan_artifacts(artifacts: DataFrame, allow: list[str] | None = None, *, scan: bool = True, quarantine_all: bool = False, trust_tags: bool = False) -> DataFrame:
+    """artifacts (role, content binary, ...) with the outcome of their scan: why, scanned, redacted (binary), was_redacted, needs_quarantine, flagged, redacted_count, findings.
+
+    One pass from the bytes on: the first gate that fails says why an artifact is set aside as a whole. The gates are bytes that
+    are no text (non-utf8, utf16-decode-failed, utf16-ambiguous), in roles of JSON lines a line that isn't JSON (malformed-jsonl),
+    and a secret that shows only unescaped or in canonical form (escape-hidden-secret). What passes is redacted as outcomes()
+    says. trust_tags is for stored contents, whose placeholders are the redactor's own. A null content is empty. Columns of
+    artifacts stay; names that begin with two underscores are taken.
+    """
+    kept = artifacts.columns
+    raw = F.coalesce(F.col("content"), F.lit(b""))
+    if not scan:
+        return _unscanned(artifacts.withColumn("why", F.lit(None).cast("string")), raw).select(*kept, "why", *OUTCOME)
+    x = artifacts.withColumn("__d", scanning.decoded_column(F.col("content")))
+    text = F.coalesce("__d.text", F.lit(""))
+    forged = F.lit(False) if trust_tags else scanning.redacted_mark(text)
+    x = scanning.step(x, [*kept, "__d"], __forged=forged, __clean=text if trust_tags else scanning.harmless(text))
+    lines = F.coalesce(F.col("role").isin(JSON_LINES), F.lit(False))
+    x = scanning.step(x, [*kept, "__forged", "__clean"], __first=F.coalesce("__d.reason", F.when(lines & _malformed("__clean"), "malformed-jsonl")))
+    hidden = scanning.hides_column(F.when(F.col("__first").isNull(), F.col("__clean")), lines, allow)
+    x = x.withColumn("__hidden", hidden)
+    x = scanning.step(x, [*kept, "__forged", "__clean"], __why=F.coalesce("__first", F.when(F.col("__hidden"), "escape-hidden-secret")))
     # an artifact that is set aside is not scanned: its text goes through empty
-    x = t.select("id", "text", "why", forged.alias("forged"), F.when(F.col("why").isNull(), clean).otherwise("").alias("clean"))
-    done = scanning.scanned(x.select("id", F.col("clean").alias("text")), allow).withColumnsRenamed({"id": "i", "redacted": "r", "findings": "f"})
-    x = x.join(done, F.col("id") == F.col("i"))
-    n = lambda *actions: F.size(F.filter("f", lambda f: f["action"].isin(*actions))).cast("long")
-    whole, tag = F.col("why").isNotNull(), F.substring(F.sha2("text", 256), 1, 8)
-    found = F.struct(F.col("why").alias("kind"), F.lit("high").alias("severity"), tag.alias("sha8"), F.lit("quarantine").alias("action"), F.lit(0).cast("long").alias("span_start"), F.octet_length("text").cast("long").alias("span_len"))
-    either = lambda a, b: F.when(whole, a).otherwise(b)
-    count = n("redact", "quarantine")
-    return x.select(
-        "id", (~whole).alias("scanned"), either(F.concat(F.lit(scanning.QUARANTINED), "why", F.lit(":"), tag, F.lit("›\n")), F.col("r")).alias("redacted"),
-        either(F.lit(True), F.col("forged") | (F.col("r") != F.col("clean"))).alias("was_redacted"),
-        either(F.lit(True), (n("quarantine") > 0) | (F.lit(quarantine_all) & (count > 0))).alias("needs_quarantine"),
-        either(F.lit(0), n("flag") + F.col("forged").cast("long")).cast("long").alias("flagged"), either(F.lit(1), count).cast("long").alias("redacted_count"), either(F.array(found), F.col("f")).alias("findings"),
-    )
+    x = x.withColumn("__text", F.when(F.col("__why").isNull(), F.col("__clean")).otherwise(""))
+    out = _judged(x, raw, allow, quarantine_all=quarantine_all)
+    return out.withColumn("redacted", F.encode("redacted", "UTF-8")).select(*kept, "why", *OUTCOME)
 
 
 def originals(texts: DataFrame, outcome: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """The search index: postings of terms with their places, sizes of entries, and corpus sizes, as tables that are built once and kept in step.
 
-postings: term, bucket, entry_uuid, artifact_id, tf, places (sorted); documents: an entry's columns and its number of tokens;
-totals: number of entries and of tokens, and the tokenizer. Postings are written by bucket of their term, sorted by term, so
-that a query reads the files of its terms' buckets, and in them the row groups of its terms.
+postings: term, entry_uuid, artifact_id, session_uuid, dl, tf, places (sorted); documents: an entry's columns and its number of
+tokens; totals: number of entries and of tokens, and the tokenizer. All lie in buckets of PER_BUCKET artifacts of neighbouring
+numbers. A sync rewrites the buckets of the artifacts it touches, and a version file switches to them (sources/versions.py).
+Postings are sorted by term within a bucket, so a query reads the row groups of its terms.
 """
 
 from __future__ import annotations
@@ -12,15 +13,21 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tarnlake.operators import search
+from tarnlake.sources.versions import Versions
 
-BUCKETS = 32
+#: Artifacts of a bucket.
+PER_BUCKET = 1000
+#: About so many entries go into one file of postings.
+PER_FILE = 200_000
 TOKENIZER = "unicode-letters-digits-folded-1"
 
 
-def bucket(term):
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def bucket(artifact: str, per_bucket: int = PER_BUCKET) -> Column:
+    """The bucket of an artifact's number; -1 without one."""
+    return F.coalesce(F.floor(F.col(artifact) / per_bucket), F.lit(-1)).cast("long")
 
 
 def documents(entries: DataFrame) -> DataFrame:
@@ -30,79 +37,102 @@ def documents(entries: DataFrame) -> DataFrame:
     return entries.withColumn("dl", F.coalesce(size, F.lit(0)).cast("long"))
 
 
-def postings(entries: DataFrame) -> DataFrame:
-    """(term, bucket, entry_uuid, artifact_id, tf, places) of every token of the entries' texts."""
+def postings(docs: DataFrame) -> DataFrame:
+    """(term, entry_uuid, artifact_id, session_uuid, dl, tf, places) of every token of documents() of entries."""
     words = F.posexplode(F.filter(F.split(search.normal(F.col("text")), " "), lambda w: w != "")).alias("at", "term")
-    tokens = entries.select("entry_uuid", "artifact_id", words)
-    held = tokens.groupBy("term", "entry_uuid", "artifact_id").agg(F.array_sort(F.collect_list("at")).alias("places"))
-    return held.select("term", bucket("term").alias("bucket"), "entry_uuid", "artifact_id", F.size("places").cast("long").alias("tf"), "places")
-
-
-def totals(docs: DataFrame) -> DataFrame:
-    return docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).withColumn("tokenizer", F.lit(TOKENIZER))
+    of = ["entry_uuid", "artifact_id", "session_uuid", "dl"]
+    held = docs.select(*of, words).groupBy("term", *of).agg(F.array_sort(F.collect_list("at")).alias("places"))
+    return held.select("term", *of, F.size("places").cast("long").alias("tf"), "places")
 
 
 def _occurrences(phrase: list[str]) -> Column:
     """How often the words of a phrase stand one after another, from the map `at` of their places."""
     places = [F.coalesce(F.try_element_at("at", F.lit(t)), F.array().cast("array<int>")) for t in phrase]
-
-    def follows(x: Column) -> Column:
-        return reduce(and_, [F.array_contains(other, x + k) for k, other in enumerate(places[1:], 1)], F.lit(True))
-
-    return F.size(F.filter(places[0], follows)).cast("double")
+    # places of the first word at which every other word follows: sets, so linear in the places
+    earlier = lambda other, k: F.transform(other, lambda x: x - F.lit(k))
+    shifted = [places[0], *[earlier(other, k) for k, other in enumerate(places[1:], 1)]]
+    return F.size(reduce(F.array_intersect, shifted)).cast("double")
 
 
 class Index:
-    """The tables of an index below a folder that driver and executors share."""
+    """A version of the index below a folder that driver and executors share; the last one unless a number is given."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, version: int | None = None, per_bucket: int = PER_BUCKET) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self._all = Versions(spark, self.path)
+        self.version = self._all.latest() if version is None else version
+        self._held = self._all.read(self.version)
+        self.per_bucket = self._held["about"].get("per_bucket", per_bucket)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
-
-    def _write(self, posts: DataFrame, docs: DataFrame) -> Index:
-        # a bucket, and with it a word of most entries, is dealt over as many tasks as the session's partitions allow
-        splits = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
-        dealt = posts.repartition("bucket", F.pmod(F.xxhash64("entry_uuid"), F.lit(splits)))
-        dealt.sortWithinPartitions("bucket", "term", "entry_uuid").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        docs.write.mode("overwrite").parquet(f"{self.path}/documents")
-        totals(self.table("documents")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals")
-        return self
+        if name == "totals":
+            n = [sum(b[k] for b in self._held["buckets"].values()) for k in ("n", "tokens")]
+            return self.spark.createDataFrame([(*n, self._held["about"].get("tokenizer"))], "n long, tokens long, tokenizer string")
+        return self._all.table(self.version, name).drop("bucket")
+
+    def touched(self, since: int) -> list[int]:
+        """Buckets that are not in the folders they were in at another version."""
+        old, new = self._all.read(since)["buckets"], self._held["buckets"]
+        return sorted(int(b) for b in old.keys() | new.keys() if old.get(b, {}).get("tables") != new.get(b, {}).get("tables"))
+
+    def _next(self, docs: DataFrame, posts: DataFrame, replaced: set[str]) -> Index:
+        """The next version: the buckets of these rows, and what this version has in buckets that aren't replaced."""
+        number = self.version + 1
+        own = lambda df: df.withColumn("bucket", bucket("artifact_id", self.per_bucket))
+        folders, doc_schema = self._all.write(number, "documents", own(docs).repartition("bucket"))
+        written = self.spark.read.schema(StructType.fromJson(doc_schema)).parquet(f"{self.path}/documents/version={number}")
+        sizes = {str(r["bucket"]): {"n": r["n"], "tokens": r["tokens"]} for r in written.groupBy("bucket").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).collect()}
+        # a bucket of many entries goes into several files
+        splits = max([1, *(-(-v["n"] // PER_FILE) for v in sizes.values())])
+        dealt = own(posts).repartition("bucket", F.pmod(F.xxhash64("entry_uuid"), F.lit(splits))).sortWithinPartitions("bucket", "term", "entry_uuid")
+        post_folders, post_schema = self._all.write(number, "postings", dealt)
+        buckets = {b: v for b, v in self._held["buckets"].items() if b not in replaced and b not in sizes}
+        for b, size in sizes.items():
+            buckets[b] = {"tables": {t: f[b] for t, f in (("documents", folders), ("postings", post_folders)) if b in f}, **size}
+        about = {"tokenizer": TOKENIZER, "per_bucket": self.per_bucket}
+        self._all.commit(number, {"buckets": buckets, "schemas": {"documents": doc_schema, "postings": post_schema}, "about": about})
+        return Index(self.spark, self.path, number)
 
     def build(self, entries: DataFrame) -> Index:
-        """Writes the index of all entries anew."""
-        return self._write(postings(entries), documents(entries))
+        """The next version, of these entries alone."""
+        docs = documents(entries)
+        return self._next(docs, postings(docs), set(self._held["buckets"]))
 
-    def sync(self, changed: DataFrame, gone: DataFrame, path: str, *, reindex: bool = False) -> Index:
-        """The index at `path`, in which the entries of the artifacts in `changed` are replaced by those there, and artifacts of `gone` (artifact_id) have none.
+    def sync(self, changed: DataFrame, gone: DataFrame, *, reindex: bool = False) -> Index:
+        """The next version, in which the entries of the artifacts in `changed` are those there, and artifacts of `gone` (artifact_id) have none.
 
-        A null-safe anti join drops what is touched; only new entries are cut into tokens. An index of another tokenizer
-        is refused, unless reindex is set: then all entries that stay are cut anew.
+        Only buckets of touched artifacts are read and written; in them a null-safe anti join drops what is touched. An index of
+        another tokenizer is refused, unless reindex is set: then all entries that stay are cut anew. The driver gets the
+        numbers of the touched buckets.
         """
-        other = self.table("totals").first()["tokenizer"] != TOKENIZER
+        other = self._held["about"].get("tokenizer") != TOKENIZER
         if other and not reindex:
             raise ValueError("the index was built by another tokenizer: build it anew")
         touched = changed.select("artifact_id").unionByName(gone.select("artifact_id")).distinct().withColumnRenamed("artifact_id", "touched")
+        here = {r[0] for r in touched.select(bucket("touched", self.per_bucket)).distinct().collect()}
         left = lambda df: df.join(touched, F.col("artifact_id").eqNullSafe(F.col("touched")), "left_anti")
-        docs = left(self.table("documents"))
-        posts = postings(docs.drop("dl")) if other else left(self.table("postings"))
-        return Index(self.spark, path)._write(posts.unionByName(postings(changed)), docs.unionByName(documents(changed)))
+        old = lambda name: left(self._all.table(self.version, name, None if other else here).drop("bucket"))
+        kept, new = old("documents"), documents(changed)
+        posts = postings(kept) if other else old("postings")
+        replaced = set(self._held["buckets"]) if other else {str(b) for b in here}
+        return self._next(kept.unionByName(new), posts.unionByName(postings(new)), replaced)
 
     def bm25(self, q: search.Query, limit: int | None = None) -> DataFrame:
-        """search.bm25() by postings: only those of the query's terms are read, joined on the entry, and phrases are found by places."""
+        """search.bm25() by postings: only those of the query's terms are read, and phrases are found by places. Entries are read only for facets and bounds."""
         none = self.table("documents").select("entry_uuid", "session_uuid", F.lit(0.0).alias("rank")).where("false")
         phrases = [p.split(" ") for p in map(search.folded_phrase, q.phrases) if p]
         if not phrases:
             return none
         terms = sorted({t for p in phrases for t in p})
-        number = {r["term"]: r["b"] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select("term", bucket("term").alias("b")).collect()}
-        posts = self.table("postings").where(F.col("bucket").isin(sorted(set(number.values()))) & F.col("term").isin(terms))
+        posts = self.table("postings").where(F.col("term").isin(terms))
         places = F.map_from_entries(F.collect_list(F.struct("term", "places")))
-        by_entry = posts.groupBy("entry_uuid").agg(places.alias("at"))
+        by_entry = posts.groupBy("entry_uuid", "artifact_id").agg(places.alias("at"), F.first("session_uuid").alias("session_uuid"), F.first("dl").cast("double").alias("dl"))
         counts = [_occurrences(p).alias(f"tf{i}") for i, p in enumerate(phrases)]
-        found = by_entry.select("entry_uuid", *counts)
-        stats = found.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))]).join(self.table("totals").select("n", (F.col("tokens") / F.col("n")).alias("avgdl")))
+        found = by_entry.select("entry_uuid", "artifact_id", "session_uuid", "dl", *counts)
+        n, tokens, _ = self.table("totals").first()
+        stats = found.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))]).select("*", F.lit(n).alias("n"), F.lit(tokens / n if n else 0.0).alias("avgdl"))
         hit = found.where(reduce(and_, [F.col(f"tf{i}") > 0 for i in range(len(phrases))]))
-        docs = search.matching(self.table("documents"), q).select("entry_uuid", "session_uuid", F.col("dl").cast("double").alias("dl"))
-        return search.ranked(hit.join(docs, "entry_uuid").join(F.broadcast(stats)), len(phrases), limit)
+        if q.facets or q.since or q.until:
+            passing = search.matching(self.table("documents"), q).select("entry_uuid", "artifact_id")
+            hit = hit.join(passing, (hit.entry_uuid == passing.entry_uuid) & hit.artifact_id.eqNullSafe(passing.artifact_id), "left_semi")
+        return search.ranked(hit.drop("artifact_id").join(F.broadcast(stats)), len(phrases), limit)

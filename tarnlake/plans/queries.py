@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.operators import archive, index, ledger, paths, postings, retention, scanning, scratch, search, transcripts
+from tarnlake.operators import archive, documents, index, ledger, paths, postings, retention, scanning, scratch, search, transcripts
 from tarnlake.sources import files
 from tarnlake.sources import tables as t
 
@@ -59,21 +60,36 @@ def _ranked(phrases: list[str], where: str = "true") -> str:
  SELECT entry_uuid, session_uuid, round(-({score}), 9) AS rank FROM n1, st WHERE {" AND ".join(f"tf{i} > 0" for i in range(len(phrases)))} AND {where}"""
 
 
-_built: dict[tuple[str, str], postings.Index] = {}
+_built: dict[tuple, postings.Index] = {}
 
 
-def _index(s: SparkSession, d: str) -> postings.Index:
-    """The index of all entries, built at its first use in a session, in the folder that executors share (on a local master without one: a temporary folder)."""
-    key = (s.sparkContext.applicationId, d)
-    if key not in _built:
-        shared = s.conf.get("spark.checkpoint.dir", None)
-        if not shared and not s.sparkContext.master.startswith("local["):
+def _shared(s: SparkSession) -> str:
+    """The folder that executors share (on a local master without one: a temporary folder, for the session)."""
+    shared = s.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not s.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"{shared.rstrip('/')}/index-{len(_built)}-{key[0]}" if shared else tempfile.mkdtemp(prefix="tarnlake-index-")
-        _built[key] = postings.Index(s, folder).build(t.entries(s, d))
+        shared = tempfile.mkdtemp(prefix="tarnlake-")
+        s.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
+
+def _kept(s: SparkSession, d: str, name: str, make: Callable[[str], postings.Index]) -> postings.Index:
+    """An index that is made in a new folder at its first use in a session, and again once the table's files have changed."""
+    path = s.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/conversations.parquet")
+    fs = path.getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(path))
+    key = (name, s.sparkContext.applicationId, *files)
+    if key not in _built:
+        _built[key] = make(f"{_shared(s)}/index-{uuid.uuid4().hex}")
     return _built[key]
 
 
+def _index(s: SparkSession, d: str) -> postings.Index:
+    """The index of all entries."""
+    return _kept(s, d, "entries", lambda folder: postings.Index(s, folder).build(t.entries(s, d)))
+
+
 def _bm25(name: str, text: str, sql: str) -> None:
     query(name, sql)(lambda s, d: _index(s, d).bm25(search.parse(text)))
 
@@ -107,8 +123,7 @@ def _(s, d):
 def _(s, d):
     e = t.entries(s, d)
     changed = e.where("artifact_id % 10 = 0").withColumn("text", F.concat("text", F.lit(" Dőrch čas")))
-    old = _index(s, d)
-    return _terms(old.sync(changed, e.where("artifact_id % 10 = 1"), f"{old.path}-synced"))
+    return _terms(_kept(s, d, "synced", lambda folder: postings.Index(s, folder).build(e).sync(changed, e.where("artifact_id % 10 = 1"))))
 
 
 @query("search_trigram_substring", "SELECT entry_uuid, session_uuid FROM entries WHERE contains(lower(text), 'tion')")
@@ -147,7 +162,7 @@ def _(s, d):
 # --- transcripts -------------------------------------------------------------------------------------------
 
 _LINES = """, l AS (SELECT *, seq % 11 = 10 AS cut, tool_name IS NOT NULL AS calls, role = 'user' AND seq % 2 = 0 AND seq > 0 AS answers FROM entries),
- p AS (SELECT artifact_id AS artifact, seq, entry_uuid, CASE WHEN answers THEN 'tool_result' ELSE role END AS role, CASE WHEN calls THEN '$' || tool_name || ' ' || substr(text, 1, 40) ELSE text END AS text,
+ p AS (SELECT artifact_id AS artifact, seq, entry_uuid, parent_uuid, timestamp, CASE WHEN answers THEN 'tool_result' ELSE role END AS role, CASE WHEN calls THEN '$' || tool_name || ' ' || substr(text, 1, 40) ELSE text END AS text,
    CASE WHEN calls THEN tool_name WHEN answers THEN (SELECT c.tool_name FROM l c WHERE c.artifact_id = l.artifact_id AND c.seq = l.seq - 1 AND NOT c.cut AND c.calls) END AS tool_name FROM l WHERE NOT cut AND NOT regexp_matches(text, '^[\\s\\pZ]*$'))"""
 
 
@@ -155,7 +170,7 @@ def _values(s: SparkSession, d: str) -> DataFrame:
     return transcripts.parsed(transcripts.lines(transcripts.as_transcripts(t.entries(s, d))))
 
 
-@query("jsonl_parse_entries", f"{_LINES} SELECT artifact, seq, entry_uuid, role, text, tool_name FROM p")
+@query("jsonl_parse_entries", f"{_LINES} SELECT artifact, seq, entry_uuid, parent_uuid, timestamp, role, text, tool_name FROM p")
 def _(s, d):
     return transcripts.parsed_entries(_values(s, d))
 
@@ -170,11 +185,78 @@ def _(s, d):
     return _values(s, d).groupBy("artifact").agg(F.count_if("malformed").alias("skipped"), F.count("*").alias("lines"))
 
 
-@query("transcript_header", "SELECT artifact_id AS artifact, arg_min(cwd, seq) AS cwd, arg_min(git_branch, seq) AS branch, arg_min(timestamp, seq) AS first_seen, arg_max(timestamp, seq) AS last_seen, count(*) AS n_lines FROM entries WHERE seq % 11 <> 10 GROUP BY 1")
+@query("transcript_header", "SELECT artifact_id AS artifact, arg_min(cwd, seq) AS cwd, arg_min(git_branch, seq) AS branch, '1.' || (artifact_id % 3) AS version, arg_min(timestamp, seq) AS first_seen, arg_max(timestamp, seq) AS last_seen, count(*) AS n_lines FROM entries WHERE seq % 11 <> 10 GROUP BY 1")
 def _(s, d):
     return transcripts.header(_values(s, d))
 
 
+# --- index of stored artifacts -----------------------------------------------------------------------------
+
+#: Entries of t.stored(): the roles are written out, and what is a document gives its texts as one.
+_STORED_DOCS = _LINES + """, d AS (SELECT artifact_id, ['transcript', 'subagent', 'transcript', 'history', 'paste', 'snapshot', 'scratch-file', 'tool-result'][(artifact_id % 8) + 1] AS role, session_uuid, any_value(agent) AS agent, any_value(project_slug) AS project_slug,
+   any_value(cwd) AS cwd, any_value(git_branch) AS git_branch, '1.' || (artifact_id % 3) AS cc_version, string_agg(text, chr(10) ORDER BY seq) AS text FROM entries GROUP BY artifact_id, session_uuid),
+ docs AS (SELECT entry_uuid, parent_uuid, session_uuid, artifact_id, '/p/' || artifact_id AS source_path, p.role, agent, tool_name, project_slug, cwd, git_branch, cc_version, timestamp, contains(p.text, '‹REDACTED:') OR contains(p.text, '‹QUARANTINED:') AS has_redaction, seq,
+   CASE WHEN length(p.text) > 262144 THEN left(p.text, 262144) || '…[truncated]' ELSE p.text END AS text FROM p JOIN d ON artifact = artifact_id WHERE artifact_id % 8 IN (0, 1, 2)
+   UNION ALL SELECT 'art:' || artifact_id, NULL, session_uuid, artifact_id, '/p/' || artifact_id, role, 'main', NULL, project_slug, cwd, git_branch, cc_version, NULL, contains(text, '‹REDACTED:') OR contains(text, '‹QUARANTINED:'), 0,
+   CASE WHEN length(text) > 262144 THEN left(text, 262144) || '…[truncated]' ELSE text END FROM d WHERE artifact_id % 8 IN (3, 4, 5, 7) AND NOT regexp_matches(text, '^[\\s\\pZ]*$'))"""
+_DOC_COLUMNS = ", ".join(documents.COLUMNS)
+
+
+def _stored_artifacts(s: SparkSession, d: str) -> DataFrame:
+    a = t.stored(s, d, transcripts.as_transcripts(t.entries(s, d)))
+    return a.withColumn("source_sha256", F.sha2("content", 256))
+
+
+def _changed_artifacts(s: SparkSession, d: str) -> DataFrame:
+    """Of every hundred artifacts the last has grown by a line."""
+    grown = F.col("artifact_id") % 100 == 99
+    line = F.to_json(F.struct(F.lit("summary").alias("type"), F.concat(F.lit("s"), "artifact_id").alias("uuid"), F.lit("Dőrch čas").alias("summary")))
+    entry = F.when(F.col("role").isin("transcript", "subagent"), F.concat(line, F.lit("\n"))).otherwise("\nDőrch čas")
+    a = _stored_artifacts(s, d).withColumn("content", F.when(grown, F.concat("content", entry)).otherwise(F.col("content")))
+    return a.withColumn("source_sha256", F.sha2("content", 256))
+
+
+def _transcript_index(s: SparkSession, d: str) -> postings.Index:
+    return _kept(s, d, "stored", lambda folder: documents.build_index(s, _stored_artifacts(s, d), folder, per_bucket=10))
+
+
+def _grown_index(s: SparkSession, d: str) -> postings.Index:
+    def make(folder: str) -> postings.Index:
+        old = _stored_artifacts(s, d)
+        built = documents.build_index(s, old, folder, per_bucket=10)
+        return documents.sync_index(built, _changed_artifacts(s, d), old.select("source_path", "source_sha256", F.lit(0).cast("long").alias("doc_count")))[0]
+
+    return _kept(s, d, "grown", make)
+
+
+@query("index_documents", f"{_STORED_DOCS} SELECT {_DOC_COLUMNS} FROM docs")
+def _(s, d):
+    return documents.indexed(_stored_artifacts(s, d))
+
+
+@query("search_transcripts", _STORED_DOCS + _ranked(["of the"]).replace("FROM entries)", "FROM docs)", 1))
+def _(s, d):
+    return _transcript_index(s, d).bm25(search.parse("of:the"))
+
+
+@query("search_transcripts_faceted", _STORED_DOCS + _ranked(["the"], "role = 'tool_result' AND tool_name = 'Edit' AND timestamp >= '2024-01-02'").replace("FROM entries)", "FROM docs)", 1))
+def _(s, d):
+    return _transcript_index(s, d).bm25(search.parse("the role:tool_result tool:Edit since:2024-01-02"))
+
+
+_GROWN = """, more AS (SELECT artifact_id, CASE WHEN role IN ('transcript', 'subagent') THEN 's' || artifact_id ELSE 'art:' || artifact_id END AS entry_uuid, role IN ('transcript', 'subagent') AS own, text FROM d WHERE artifact_id % 100 = 99 AND role <> 'scratch-file')"""
+
+
+@query("index_increment", f"{_STORED_DOCS}{_GROWN} SELECT entry_uuid, artifact_id, sha256(text) AS sha256 FROM docs WHERE entry_uuid NOT IN (SELECT entry_uuid FROM more) UNION ALL SELECT entry_uuid, artifact_id, sha256(CASE WHEN own THEN 'Dőrch čas' ELSE text || chr(10) || 'Dőrch čas' END) FROM more")
+def _(s, d):
+    return _grown_index(s, d).table("documents").select("entry_uuid", "artifact_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("index_touched", "SELECT DISTINCT artifact_id // 10 AS bucket FROM conversations, (SELECT DISTINCT conv_id AS artifact_id FROM conversations) WHERE artifact_id % 100 = 99 AND artifact_id % 8 <> 6")
+def _(s, d):
+    return s.createDataFrame([(b,) for b in _grown_index(s, d).touched(1)], "bucket long")
+
+
 # --- scan --------------------------------------------------------------------------------------------------
 
 #: Keys made from ids, so that several detectors have something to find; put together when the query runs.

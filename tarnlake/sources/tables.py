@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 ROLES = ["transcript", "subagent", "subagent-meta", "tool-result", "history", "mcp", "scratch-file"]
 INDEXABLE = ["transcript", "subagent", "tool-result", "mcp", "snapshot", "paste", "history"]
+STORED_ROLES = ["transcript", "subagent", "transcript", "history", "paste", "snapshot", "scratch-file", "tool-result"]
 TOOLS = ["Bash", "Read", "Edit"]
 #: The moment that age rules take as now; always an argument of the operators.
 NOW = "2024-01-31 00:00:00"
@@ -74,6 +75,17 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored(spark: SparkSession, sf_dir: str, transcripts) -> DataFrame:
+    """One row per conversation as a stored artifact: transcripts (artifact, content) as they are, and in some other roles all texts of the conversation below one another."""
+    e = entries(spark, sf_dir).withColumn("source_path", F.concat(F.lit("/p/"), "artifact_id"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "\n")
+    first = lambda c: F.first(c).alias(c)
+    a = e.groupBy("artifact_id").agg(joined.alias("plain"), *map(first, ("session_uuid", "source_path", "project_slug", "cwd", "git_branch", "agent")))
+    a = a.join(transcripts, F.col("artifact_id") == F.col("artifact"))
+    role = pick(STORED_ROLES, F.col("artifact_id") % len(STORED_ROLES))
+    return a.select("artifact_id", role.alias("role"), "session_uuid", "source_path", "project_slug", "cwd", "git_branch", F.concat(F.lit("1."), F.col("artifact_id") % 3).alias("cc_version"), "agent", F.when(role.isin("transcript", "subagent"), F.col("content")).otherwise(F.col("plain")).alias("content"))
+
+
 #: The same relations in DuckDB's dialect, as common table expressions.
 SQL = """entries AS (SELECT conv_id || ':' || turn AS entry_uuid, CASE WHEN turn > 0 THEN conv_id || ':' || (turn - 1) END AS parent_uuid, 'conv-' || conv_id AS session_uuid, conv_id AS artifact_id, role,
   CASE WHEN conv_id % 5 = 0 THEN 'sub' ELSE 'main' END AS agent, CASE WHEN role = 'assistant' THEN ['Bash', 'Read', 'Edit'][(turn % 4) + 1] END AS tool_name, 'proj-' || (conv_id % 7) AS project_slug,
