@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: the shape of every file of a scratch tree.
+SCRATCH_SHAPE = "/tmp/claude-<uid>/<slug>/<uuid>/scratch"
+
 
 def latest_of(rows: DataFrame, key: str, latest: str | None = None) -> DataFrame:
     """One row of each key: the one with the largest value of `latest` (null last); of equal ones the one that comes last as JSON."""
@@ -90,24 +93,32 @@ def secrets_report(found: DataFrame, artifacts: DataFrame, least: str = "low") -
 
 
 def store_key(slug: Column, uuid: Column) -> Column:
-    """slug--uuid; its hexadecimal form if a part has a slash or begins with an underscore; a digest if that is longer than 255 bytes."""
+    """slug--uuid; the hexadecimal form of the two if that begins like a coded key or is longer than 255 bytes, and a digest of that form if it is longer than 255 bytes too.
+
+    Fixed values: the two beginnings and the length.
+    """
     plain = F.concat(slug, F.lit("--"), uuid)
-    coded = F.concat(F.lit("_hex--"), F.lower(F.hex(slug)), F.lit("--"), F.lower(F.hex(uuid)))
-    key = F.when(plain.rlike("/|^_"), coded).otherwise(plain)
-    return F.when(F.octet_length(key) > 255, F.concat(F.lit("_h256--"), F.sha2(F.concat(slug, F.lit("\0"), uuid), 256))).otherwise(key)
+    pair = F.concat(F.lower(F.hex(slug)), F.lit("--"), F.lower(F.hex(uuid)))
+    coded = F.startswith(plain, F.lit("_hex--")) | F.startswith(plain, F.lit("_h256--")) | (F.octet_length(plain) > 255)
+    long = F.length(pair) + len("_hex--") > 255
+    return F.when(~coded, plain).when(~long, F.concat(F.lit("_hex--"), pair)).otherwise(F.concat(F.lit("_h256--"), F.sha2(pair, 256)))
 
 
 def shapes(files: DataFrame) -> DataFrame:
-    """(user, kind, shape, n, bytes, example) of users' files (user, home, path, bytes): what lies below a home, by the template of its path.
+    """(user, kind, shape, n, bytes, example) of users' files (user, home, root, path, bytes): what lies below a root, by the template of its path.
 
-    The second part below the home is the project's slug, and parts of 32 or more hexadecimal digits and dashes, before .jsonl
-    as well, are names of sessions: both become templates. The kind is told by the file's name and its folder's.
+    root says what the home is: `claude` for session files, whose second part below it is the project's slug, `cache` for logs of
+    servers, which are of kind mcp, and `tmp` for scratch trees, which are of one shape. Parts of 32 or more hexadecimal digits
+    and dashes, before .jsonl as well, are names of sessions. Slugs and sessions become templates. The kind of a session file is
+    told by its name and its folder's. Files outside their home are left out.
     """
     below = F.split(F.substr("path", F.length("home") + 2), "/")
     name, parent = F.element_at("part", -1), F.try_element_at("part", F.lit(-2))
-    template = F.transform("part", lambda p, i: F.when(i == 1, "<slug>").when(p.rlike(r"^[0-9a-fA-F-]{32,}(\.jsonl)?$"), "<uuid>").otherwise(p))
-    kind = F.when(F.endswith(name, F.lit(".meta.json")) | (parent == "subagents"), "subagents").when(parent == "tool-results", "tool-results").when(F.endswith(name, F.lit(".jsonl")), "transcript").otherwise("unknown")
-    label = F.element_at(F.split("home", "/"), -1)
+    template = F.transform("part", lambda p, i: F.when((i == 1) & (F.col("root") == "claude"), "<slug>").when(p.rlike(r"^[0-9a-fA-F-]{32,}(\.jsonl)?$"), "<uuid>").otherwise(p))
+    session = F.when(F.endswith(name, F.lit(".meta.json")) | (parent == "subagents"), "subagents").when(parent == "tool-results", "tool-results").when(F.endswith(name, F.lit(".jsonl")), "transcript").otherwise("unknown")
+    kind = F.when(F.col("root") == "cache", "mcp").when(F.col("root") == "tmp", "scratch").otherwise(session)
+    label = F.when(F.col("root") == "claude", ".claude").otherwise(F.element_at(F.split("home", "/"), -1))
     x = files.where(F.startswith("path", F.concat("home", F.lit("/")))).withColumn("part", below)
-    x = x.select("user", kind.alias("kind"), F.concat_ws("/", label, F.array_join(template, "/")).alias("shape"), "bytes", "path")
+    shape = F.when(F.col("root") == "tmp", SCRATCH_SHAPE).otherwise(F.concat_ws("/", label, F.array_join(template, "/")))
+    x = x.select("user", kind.alias("kind"), shape.alias("shape"), "bytes", "path")
     return x.groupBy("user", "shape").agg(F.min_by("kind", "path").alias("kind"), F.count("*").alias("n"), F.sum("bytes").cast("long").alias("bytes"), F.min("path").alias("example"))

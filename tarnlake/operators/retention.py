@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Policy:
-    """Ages in days. `full` sets aside retention windows and keeps the active window as the floor."""
+    """Ages in days; the windows are fixed values. `full` sets aside retention windows and keeps the active window as the floor."""
 
     min_age: float = 7
-    retain: tuple[tuple[str, float], ...] = (("transcript", 90), ("subagent", 90), ("mcp", 14), ("scratch-file", 3))
+    retain: tuple[tuple[str, float], ...] = (("transcript", 90), ("subagent", 90), ("mcp", 14), ("scratch-file", 3), ("paste", 14), ("snapshot", 30))
     active_window: float = 1 / 24
     full: bool = False
     require_indexed: bool = False
@@ -116,22 +116,43 @@ def retained(prior: DataFrame, live: DataFrame) -> DataFrame:
     return live.select("tree", "path", "sha256", F.lit(True).alias("present")).unionByName(once.withColumn("present", F.lit(False)))
 
 
-#: Issues that need exclusive access to be violations; without it they are unverifiable.
-EXCLUSIVE = ["UnclaimedArtifact", "MissingArtifact", "ContentMismatch", "OrphanArtifact", "QuarantineStray", "QuarantineMismatch"]
-UNVERIFIABLE = ["NoContentHash", "QuarantineNoSourceHash"]
+#: What each issue is, and which compare a ledger with a store and so need that nobody writes meanwhile.
+CLASSES = {
+    "refused key": ["ForeignStoreDir", "UnreadableStoreRoot", "StoreKeyCollision", "UnreconcilableKey", "QuarantineForeignRoot"],
+    "violation": ["NoManifest", "UnreadableManifest", "MissingArtifact", "UnclaimedArtifact", "OrphanArtifact", "ContentMismatch", "DuplicateIdentity", "QuarantineCollision", "QuarantineMissing", "QuarantineMismatch"],
+    "unverifiable": ["NoContentHash", "UndecodableEntry", "UndecodableIdentity", "QuarantineNoSourceHash"],
+    "foreign matter": ["ForeignArtifact", "QuarantineLegacyLayout", "QuarantineStray"],
+}
+EXCLUSIVE = ["NoManifest", "MissingArtifact", "UnclaimedArtifact", "OrphanArtifact", "ContentMismatch", "QuarantineStray", "QuarantineMismatch"]
 
 
-def store_issues(store: DataFrame, claims: DataFrame) -> DataFrame:
-    """(key, path, issue) from both sides: artifacts in the store (key, path, sha256) against claims (key, path, stored, content_sha256)."""
-    claimed = claims.groupBy("key", "path").agg(F.count("*").alias("n"), F.bool_or("stored").alias("stored"), F.max("content_sha256").alias("content_sha256"))
-    s = store.select(F.col("key").alias("sk"), F.col("path").alias("sp"), F.col("sha256").alias("store_sha"))
-    x = claimed.join(s, (F.col("key") == F.col("sk")) & (F.col("path") == F.col("sp")), "full")
-    there, claim = F.col("sp").isNotNull(), F.col("key").isNotNull()
-    issue = (
-        F.when(~claim, "OrphanArtifact").when(F.col("n") > 1, "DuplicateIdentity").when(~F.col("stored") & there, "UnclaimedArtifact").when(F.col("stored") & ~there, "MissingArtifact")
-        .when(F.col("stored") & F.coalesce(F.col("content_sha256") == "", F.lit(True)), "NoContentHash").when(F.col("stored") & (F.col("content_sha256") != F.col("store_sha")), "ContentMismatch")
+def store_issues(store: DataFrame, entries: DataFrame) -> DataFrame:
+    """(key, path, issue) of stores against their manifests, from both sides; a path can have several issues.
+
+    store: artifacts (key, path, sha256, regular), the hash null where they can't be decoded; entries: (key, no, path, shown, stored,
+    content_sha256), no being their order and path null where it can't be decoded (then `shown` names the entry).
+    Of entries of one path the first is judged, and the others are told once. An entry that isn't stored claims no artifact; a
+    stored one needs its artifact, and its hash if the entry has one (null or empty: none). What is no regular file is told and
+    counts for nothing else. Artifacts that no entry names are orphans, except under keys with an entry that can't be decoded, for
+    they may be that entry's; such a key is told as a whole, with an empty path.
+    """
+    named = entries.where("path is not null").groupBy("key", "path").agg(F.count("*").alias("n"), F.min_by(F.struct("stored", "content_sha256"), "no").alias("first"))
+    held = store.where("regular").groupBy(F.col("key").alias("sk"), F.col("path").alias("sp")).agg(F.first("sha256").alias("sha256"))
+    x = named.join(held, (F.col("key") == F.col("sk")) & (F.col("path") == F.col("sp")), "full")
+    there, stored = F.col("sp").isNotNull(), F.col("first.stored")
+    content = F.nullif("first.content_sha256", F.lit(""))
+    verdict = (
+        F.when(~stored & there, "UnclaimedArtifact").when(~stored, None).when(~there, "MissingArtifact").when(content.isNull(), "NoContentHash")
+        .when(F.coalesce(content != F.col("sha256"), F.lit(True)), "ContentMismatch")
     )
-    return x.select(F.coalesce("key", "sk").alias("key"), F.coalesce("path", "sp").alias("path"), issue.alias("issue")).where("issue is not null")
+    claimed = x.where("key is not null").select("key", "path", F.explode(F.array_compact(F.array(F.when(F.col("n") > 1, "DuplicateIdentity"), verdict))).alias("issue"))
+    lost = entries.where("path is null")
+    blind = lost.select(F.col("key").alias("blind")).distinct()
+    orphans = x.where("key is null").join(blind, F.col("sk") == F.col("blind"), "left_anti").select(F.col("sk").alias("key"), F.col("sp").alias("path"), F.lit("OrphanArtifact").alias("issue"))
+    undecoded = lost.select("key", F.col("shown").alias("path"), F.lit("UndecodableEntry").alias("issue"))
+    whole = blind.select(F.col("blind").alias("key"), F.lit("").alias("path"), F.lit("UnreconcilableKey").alias("issue"))
+    foreign = store.where("not regular").select("key", "path", F.lit("ForeignArtifact").alias("issue"))
+    return claimed.unionByName(orphans).unionByName(undecoded).unionByName(whole).unionByName(foreign)
 
 
 def legacy_places(path: Column) -> Column:
@@ -145,32 +166,60 @@ def legacy_places(path: Column) -> Column:
     return F.when(F.size(part) < 2, F.array().cast("array<string>")).when(first == "_scratch", scratch).when(F.startswith(first, F.lit("_")), category).otherwise(session)
 
 
-def quarantine_issues(files: DataFrame, claims: DataFrame) -> DataFrame:
-    """(path, issue): two claims of one path, claimed originals that are missing, files that nothing claims, and wrong or unknown hashes.
+def _below(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those paths (path, ...) that are, or stand below, a root (root): paths meet roots by each of their beginnings."""
+    part = F.split("path", "/")
+    begins = F.transform(F.sequence(F.lit(1), F.size(part)), lambda k: F.array_join(F.slice(part, F.lit(1), k), "/"))
+    below = paths.select("path", F.explode(begins).alias("root")).join(roots.select("root").distinct(), "root", "left_semi").select(F.col("path").alias("__below")).distinct()
+    return paths.join(below, F.col("path") == F.col("__below"), "left_semi")
+
 
-    An original that stands in a superseded layout is told as such, under the path where it stands, as is an unclaimed file
-    that has the form of one: its first part is a claim's session, begins with _scratch--, or comes twice. The old place's
-    hash is not compared.
+def quarantine_issues(files: DataFrame, claims: DataFrame, *, unexamined: DataFrame | None = None, opened: bool = True, swept: bool = True, foreign_root: bool = False) -> DataFrame:
+    """(path, issue) of originals set aside against the ledger; a path can have several issues.
+
+    files: (path, sha256, regular); claims: (path, no, quarantined, source_sha256) of all artifacts, path being where an original
+    belongs, and no their order. Claims that record an original: two of one path collide; the original of each path, spoken for
+    by its first claim, is missing unless it stands there as a regular file or in a superseded layout, which is told under the path
+    where it stands. With `opened` its hash is compared, at an old place too; a null or empty one can't be. With `swept` files
+    that no artifact claims, whether or not it records an original, are strays, or of an old layout by their form: the first part is
+    a claim's session, begins with _scratch--, or comes twice. Nothing below an unexamined root (root) is swept. A root of the
+    whole tree that isn't the store's own ends all checks.
     """
-    c = claims.groupBy("path").agg(F.count("*").alias("n"), F.min("source_sha256").alias("claimed"))
-    f = files.select(F.col("path").alias("fp"), "sha256")
-    x = c.join(f, F.col("path") == F.col("fp"), "full")
+    if foreign_root:
+        return files.sparkSession.createDataFrame([("", "QuarantineForeignRoot")], "path string, issue string")
+    recorded = claims.where("quarantined").groupBy("path").agg(F.count("*").alias("n"), F.min_by(F.coalesce("source_sha256", F.lit("")), "no").alias("claimed"))
+    f = files.where("regular").groupBy(F.col("path").alias("fp")).agg(F.first("sha256").alias("sha256"))
+    x = recorded.join(f, F.col("path") == F.col("fp"), "left")
     # an old place is looked up for claims without an original only; of several the first that is there counts
-    lost = x.where("path is not null and fp is null").select("path", F.posexplode(legacy_places(F.col("path"))).alias("at", "old"))
-    moved = lost.join(files.select(F.col("path").alias("old")).distinct(), "old").groupBy("path").agg(F.min_by("old", "at").alias("old"))
-    x = x.join(moved.withColumnRenamed("path", "lost"), F.col("path") == F.col("lost"), "left").join(moved.select(F.col("old").alias("located")).distinct(), F.col("fp") == F.col("located"), "left")
-    part = F.split("fp", "/")
+    lost = x.where("fp is null").select(F.col("path").alias("lost"), F.posexplode(legacy_places(F.col("path"))).alias("at", "old"))
+    moved = lost.join(f, F.col("old") == F.col("fp")).groupBy("lost").agg(F.min_by(F.struct("old", "sha256"), "at").alias("moved"))
+    x = x.join(moved, F.col("path") == F.col("lost"), "left").withColumn("place", F.when(F.col("fp").isNotNull(), F.col("path")).otherwise(F.col("moved.old")))
+    hashed = F.coalesce("sha256", "moved.sha256")
+    compared = F.when(F.lit(opened) & F.col("place").isNotNull(), F.when(F.col("claimed") == "", "QuarantineNoSourceHash").when(F.coalesce(F.col("claimed") != hashed, F.lit(True)), "QuarantineMismatch"))
+    found = F.array_compact(F.array(
+        F.when(F.col("n") > 1, F.struct("path", F.lit("QuarantineCollision").alias("issue"))),
+        F.when(F.col("place").isNull(), F.struct("path", F.lit("QuarantineMissing").alias("issue"))),
+        F.when(F.col("fp").isNull() & F.col("place").isNotNull(), F.struct(F.col("place").alias("path"), F.lit("QuarantineLegacyLayout").alias("issue"))),
+        F.when(compared.isNotNull(), F.struct(F.col("place").alias("path"), compared.alias("issue"))),
+    ))
+    out = x.select(F.explode(found).alias("i")).select("i.path", "i.issue")
+    if not swept:
+        return out
+    known = claims.select(F.col("path").alias("k")).unionByName(moved.select(F.col("moved.old").alias("k"))).distinct()
+    rest = files.select("path").join(known, F.col("path") == F.col("k"), "left_anti")
+    if unexamined is not None:
+        rest = rest.join(_below(rest, unexamined).select(F.col("path").alias("skipped")), F.col("path") == F.col("skipped"), "left_anti")
+    part = F.split("path", "/")
     session = claims.select(F.split("path", "/").alias("p")).where("size(p) > 1 and not startswith(p[0], '_')").select(F.get("p", F.lit(1)).alias("session")).distinct()
-    x = x.withColumn("first", F.when(F.col("path").isNull(), F.get(part, F.lit(0)))).join(session, F.col("first") == F.col("session"), "left")
+    rest = rest.withColumn("first", F.get(part, F.lit(0))).join(session, F.col("first") == F.col("session"), "left")
     old_form = F.col("session").isNotNull() | F.startswith("first", F.lit("_scratch--")) | F.coalesce(F.col("first") == F.get(part, F.lit(1)), F.lit(False))
-    issue = (
-        F.when(F.col("path").isNull(), F.when(F.col("located").isNotNull(), None).when(old_form, "QuarantineLegacyLayout").otherwise("QuarantineStray")).when(F.col("n") > 1, "QuarantineCollision")
-        .when(F.col("old").isNotNull(), "QuarantineLegacyLayout").when(F.col("fp").isNull(), "QuarantineMissing").when(F.coalesce("claimed", F.lit("")) == "", "QuarantineNoSourceHash").when(F.col("claimed") != F.col("sha256"), "QuarantineMismatch")
-    )
-    return x.select(F.coalesce("old", "path", "fp").alias("path"), issue.alias("issue")).where("issue is not null")
+    return out.unionByName(rest.select("path", F.when(old_form, "QuarantineLegacyLayout").otherwise("QuarantineStray").alias("issue")))
 
 
 def classed(issues: DataFrame, *, exclusive: bool) -> DataFrame:
-    """(issue, class, n)."""
-    unsure = F.col("issue").isin(UNVERIFIABLE) | (F.col("issue").isin(EXCLUSIVE) & F.lit(not exclusive))
-    return issues.groupBy("issue").agg(F.count("*").alias("n")).select("issue", F.when(unsure, "unverifiable").otherwise("violation").alias("class"), "n")
+    """(issue, class, n): without exclusive access an issue that needs it is unverifiable; an unknown one has no class."""
+    c = F.lit(None).cast("string")
+    for name, held in CLASSES.items():
+        c = F.when(F.col("issue").isin(held), name).otherwise(c)
+    c = F.when(F.col("issue").isin(EXCLUSIVE) & F.lit(not exclusive), "unverifiable").otherwise(c)
+    return issues.groupBy("issue").agg(F.count("*").alias("n")).select("issue", c.alias("class"), "n")

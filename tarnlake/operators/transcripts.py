@@ -70,7 +70,7 @@ def parsed_entries(values: DataFrame) -> DataFrame:
     said = f"array_join(array_compact(transform(blocks, b -> CASE {text_at('b', '$.type')} WHEN 'text' THEN {text_at('b', '$.text')} WHEN 'thinking' THEN {text_at('b', '$.thinking')} WHEN 'tool_use' THEN {_call()} END)), '\n')"
     x = x.selectExpr(
         "*", f"size({results}) > 0 AS answers",
-        f"get(transform(filter(blocks, b -> {text_at('b', '$.type')} = 'tool_use'), b -> {text_at('b', '$.name')}), 0) AS called",
+        f"get(array_compact(transform(filter(blocks, b -> {text_at('b', '$.type')} = 'tool_use'), b -> {text_at('b', '$.name')})), 0) AS called",
     ).selectExpr(
         "artifact", "seq", "uuid", "parent_uuid", "timestamp", "blocks",
         "CASE WHEN kind = 'user' AND answers THEN 'tool_result' WHEN kind = 'user' AND (plain IS NOT NULL OR listed) THEN 'user' WHEN kind = 'assistant' AND listed THEN 'assistant' WHEN kind IN ('system', 'summary') THEN kind END AS role",

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.operators import archive, documents, index, ledger, paths, postings, retention, scanning, scratch, search, transcripts
+from tarnlake.operators import archive, capture, documents, index, ledger, paths, postings, retention, scanning, scratch, search, transcripts
 from tarnlake.sources import files
 from tarnlake.sources import tables as t
 
@@ -396,6 +396,64 @@ def _(s, d):
 
 # --- capture run -------------------------------------------------------------------------------------------
 
+#: Live files of a first and a second run: unchanged results of tools, the same with a key before them, pastes that grow, transcripts that grow by a line and a half.
+_LIVE = f""", x AS (SELECT doc_id AS i, doc_id % 4 AS k, source || '/' || doc_id AS source_path, text, '{{"type":"summary","summary":"' || sha256(text) || '"}}' || chr(10) AS line, 'AK' || 'IA' || upper(substr(sha256(doc_id::VARCHAR), 1, 16)) AS key FROM documents),
+ y AS (SELECT i, k, source_path, ['tool-result', 'tool-result', 'paste', 'transcript'][k + 1] AS role, key, CASE k WHEN 1 THEN key || ' ' || text WHEN 2 THEN text || ' more' WHEN 3 THEN line || line ELSE text END AS content FROM x),
+ z AS (SELECT *, regexp_extract_all(content, $${scanning.DETECTORS[17][2]}$$) AS hits, string_split_regex(content, $${scanning.DETECTORS[17][2]}$$) AS gaps FROM y),
+ r AS (SELECT *, replace(array_to_string(list_transform(range(1, len(gaps) + 1), lambda j: gaps[j] || CASE WHEN j <= len(hits) THEN '‹REDACTED:generic-entropy:' || substr(sha256(hits[j]), 1, 8) || '›' ELSE '' END), ''), CASE WHEN k = 1 THEN key ELSE chr(0) END, '‹REDACTED:aws-key:' || substr(sha256(key), 1, 8) || '›') AS stored FROM z)"""
+
+
+def _live(s: SparkSession, d: str, *, second: bool) -> DataFrame:
+    x, k = t.table(s, d, "documents"), F.col("doc_id") % 4
+    key = F.concat(F.lit("AK"), F.lit("IA"), F.upper(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 16)), F.lit(" "), "text")
+    line = F.concat(F.lit('{"type":"summary","summary":"'), F.sha2("text", 256), F.lit('"}\n'))
+    grown = (F.concat("text", F.lit(" more")), F.concat(line, line, F.lit('{"type"'))) if second else (F.col("text"), line)
+    content = F.when(k == 1, key).when(k == 2, grown[0]).when(k == 3, grown[1]).otherwise(F.col("text"))
+    return x.select(F.concat_ws("/", "source", "doc_id").alias("source_path"), t.pick(["tool-result", "tool-result", "paste", "transcript"], k).alias("role"), F.lit("s").alias("session_uuid"), content.cast("binary").alias("content"))
+
+
+def _captured_twice(s: SparkSession, d: str) -> tuple[capture.Store, capture.Run]:
+    """A store after two runs, and what the second one did."""
+    store = capture.Store(s, f"{_shared(s)}/store-{uuid.uuid4().hex}", buckets=8)
+    capture.capture(store, _live(s, d, second=False), "2024-01-01T00:00:00")
+    return store, capture.capture(store, _live(s, d, second=True), "2024-01-02T00:00:00")
+
+
+@query("capture_ledger", f"{_LIVE} SELECT source_path, role, sha256(content) AS source_sha256, strlen(content) AS source_bytes, sha256(stored) AS content_sha256, k = 1 OR len(hits) > 0 AS redacted, k = 1 AS quarantined, CASE WHEN k = 3 THEN 2 ELSE 1 END AS n_frames, CASE WHEN k < 2 THEN '2024-01-01T00:00:00' ELSE '2024-01-02T00:00:00' END AS captured_at FROM r")
+def _(s, d):
+    return _captured_twice(s, d)[0].ledger().select("source_path", "role", "source_sha256", "source_bytes", "content_sha256", "redacted", "quarantined", F.size("frames").alias("n_frames"), "captured_at")
+
+
+@query("capture_contents", f"{_LIVE} SELECT source_path, stored AS content FROM r")
+def _(s, d):
+    return _captured_twice(s, d)[0].contents().select("source_path", F.decode("content", "UTF-8").alias("content"))
+
+
+@query("capture_counts", f"{_LIVE} SELECT count(*) FILTER (k < 2) AS skipped, count(*) FILTER (k > 1) AS written, sum(len(hits)) FILTER (k > 1)::BIGINT AS redacted FROM r")
+def _(s, d):
+    counts = _captured_twice(s, d)[1].counts
+    return s.createDataFrame([tuple(counts[c] for c in ("skipped", "written", "redacted"))], "skipped long, written long, redacted long")
+
+
+_GATED = """, x AS (SELECT doc_id AS id, doc_id % 8 AS k, text FROM documents)
+ SELECT id, CASE k WHEN 1 THEN 'non-utf8' WHEN 2 THEN 'utf16-ambiguous' WHEN 3 THEN 'malformed-jsonl' WHEN 4 THEN 'escape-hidden-secret' WHEN 5 THEN 'escape-hidden-secret' END AS why, k IN (0, 6, 7) AS scanned, k BETWEEN 1 AND 5 AS needs_quarantine, CASE WHEN k = 6 THEN 1 ELSE 0 END::BIGINT AS flagged,
+  CASE k WHEN 1 THEN 'high' WHEN 2 THEN 'high' WHEN 3 THEN 'high' WHEN 4 THEN 'high' WHEN 5 THEN 'high' WHEN 6 THEN 'low' END AS severity FROM x"""
+
+
+@query("scan_artifacts", _GATED)
+def _(s, d):
+    i, k = F.col("doc_id"), F.col("doc_id") % 8
+    line = F.concat(F.lit('{"type":"user","text":"'), F.sha2("text", 256), F.lit('"}\n'))
+    hidden = F.concat(F.lit("AK\\u0049A"), F.upper(F.substring(F.sha2(i.cast("string"), 256), 1, 16)))
+    content = (
+        F.when(k == 1, F.concat(F.col("text").cast("binary"), F.lit(b"\xff"))).when(k == 2, F.concat(F.col("text").cast("binary"), F.lit(b"a\0" * 40))).when(k == 3, F.concat(line, F.lit("{broken\n")).cast("binary"))
+        .when(k == 4, F.concat(line, F.lit('["'), hidden, F.lit('"]\n')).cast("binary")).when(k == 5, F.concat("text", hidden).cast("binary")).when(k == 6, F.concat(F.lit("‹REDACTED:x:0› "), line).cast("binary")).otherwise(line.cast("binary"))
+    )
+    role = F.when(k.isin(0, 3, 4, 7), "transcript").otherwise("paste")
+    out = archive.scan_artifacts(t.table(s, d, "documents").select(i.alias("id"), role.alias("role"), content.alias("content")))
+    return out.select("id", "why", "scanned", "needs_quarantine", "flagged", F.get("findings", F.lit(0))["severity"].alias("severity"))
+
+
 _WHY = "CASE WHEN doc_id % 9 = 4 THEN 'non-utf8' END"
 
 
@@ -438,7 +496,7 @@ def _(s, d):
     return archive.manifest_state(x.select(key), x.where(k > 0).select(key, content.alias("content"))).select("key", "state", F.col("manifest.version").alias("version"))
 
 
-@query("index_modes", "SELECT id, CASE WHEN role IN ('transcript', 'subagent', 'history') THEN 'entries' WHEN role IN ('tool-result', 'mcp', 'snapshot', 'paste') THEN 'document' ELSE 'skip' END AS mode FROM artifacts")
+@query("index_modes", "SELECT id, CASE WHEN role IN ('transcript', 'subagent') THEN 'entries' WHEN role IN ('tool-result', 'mcp', 'snapshot', 'paste', 'history') THEN 'document' ELSE 'skip' END AS mode FROM artifacts")
 def _(s, d):
     return archive.modes(t.artifacts(s, d)).select("id", "mode")
 
@@ -547,26 +605,38 @@ def _(s, d):
     return t.artifacts(s, d).groupBy("session_uuid").agg(F.count("*").alias("n"), F.sum("source_bytes").alias("bytes"), F.bool_or(F.col("quarantined") == 1).alias("any_quarantined"))
 
 
-_SESSION_FILES = """, f AS (SELECT 'user-' || (doc_id % 3) AS "user", '/home/user-' || (doc_id % 3) || '/.claude' AS home, 'projects/-w-' || source || '/' || CASE doc_id % 5 WHEN 0 THEN sha256(doc_id::VARCHAR) || '.jsonl' WHEN 1 THEN 'subagents/' || doc_id || '.jsonl' WHEN 2 THEN sha256(doc_id::VARCHAR) || '/tool-results/out.txt' WHEN 3 THEN 'note.meta.json' ELSE 'readme.txt' END AS below, n_chars AS bytes FROM documents)"""
+#: Session files, logs of servers below a cache, and files of scratch trees; the expected shape and kind stand beside each.
+_USER_FILES = """, f AS (SELECT 'user-' || (doc_id % 3) AS "user", doc_id, n_chars AS bytes, sha256(doc_id::VARCHAR) AS sha, '/home/user-' || (doc_id % 3) AS h, source FROM documents),
+ g AS (SELECT "user", bytes, CASE doc_id % 7 WHEN 0 THEN h || '/.claude/projects/-w-' || source || '/' || sha || '.jsonl' WHEN 1 THEN h || '/.claude/projects/-w-' || source || '/subagents/' || doc_id || '.jsonl' WHEN 2 THEN h || '/.claude/projects/-w-' || source || '/' || sha || '/tool-results/out.txt'
+   WHEN 3 THEN h || '/.claude/projects/-w-' || source || '/note.meta.json' WHEN 4 THEN h || '/.claude/projects/-w-' || source || '/readme.txt' WHEN 5 THEN h || '/.cache/srv/' || source || '/mcp-logs-x/' || sha || '.jsonl' ELSE '/tmp/claude-7/' || source || '/' || sha || '/a/b.md' END AS path,
+   CASE doc_id % 7 WHEN 0 THEN '.claude/projects/<slug>/<uuid>' WHEN 1 THEN '.claude/projects/<slug>/subagents/' || doc_id || '.jsonl' WHEN 2 THEN '.claude/projects/<slug>/<uuid>/tool-results/out.txt' WHEN 3 THEN '.claude/projects/<slug>/note.meta.json' WHEN 4 THEN '.claude/projects/<slug>/readme.txt'
+   WHEN 5 THEN 'srv/' || source || '/mcp-logs-x/<uuid>' ELSE '/tmp/claude-<uid>/<slug>/<uuid>/scratch' END AS shape, ['transcript', 'subagents', 'tool-results', 'subagents', 'unknown', 'mcp', 'scratch'][(doc_id % 7) + 1] AS kind FROM f)"""
 
 
-@query("shape_inventory", _SESSION_FILES + """, p AS (SELECT *, string_split(below, '/') AS part FROM f),
- g AS (SELECT *, '.claude/' || array_to_string(list_transform(part, lambda x, i: CASE WHEN i = 2 THEN '<slug>' WHEN regexp_matches(x, '^[0-9a-fA-F-]{32,}([.]jsonl)?$') THEN '<uuid>' ELSE x END), '/') AS shape,
-   CASE WHEN part[-1] LIKE '%.meta.json' OR part[-2] = 'subagents' THEN 'subagents' WHEN part[-2] = 'tool-results' THEN 'tool-results' WHEN part[-1] LIKE '%.jsonl' THEN 'transcript' ELSE 'unknown' END AS kind FROM p)
- SELECT "user", shape, any_value(kind) AS kind, count(*) AS n, sum(bytes)::BIGINT AS bytes, min(home || '/' || below) AS example FROM g GROUP BY "user", shape""")
+@query("shape_inventory", _USER_FILES + ' SELECT "user", shape, any_value(kind) AS kind, count(*) AS n, sum(bytes)::BIGINT AS bytes, min(path) AS example FROM g GROUP BY "user", shape')
 def _(s, d):
     i, sha = F.col("doc_id"), F.sha2(F.col("doc_id").cast("string"), 256)
     user = F.concat(F.lit("user-"), i % 3)
-    leaf = F.when(i % 5 == 0, F.concat(sha, F.lit(".jsonl"))).when(i % 5 == 1, F.concat(F.lit("subagents/"), i, F.lit(".jsonl"))).when(i % 5 == 2, F.concat(sha, F.lit("/tool-results/out.txt"))).when(i % 5 == 3, "note.meta.json").otherwise("readme.txt")
-    home = F.concat(F.lit("/home/"), user, F.lit("/.claude"))
-    return ledger.shapes(t.table(s, d, "documents").select(user.alias("user"), home.alias("home"), F.concat(home, F.lit("/projects/-w-"), "source", F.lit("/"), leaf).alias("path"), F.col("n_chars").alias("bytes")))
+    own = F.concat(F.lit("/home/"), user)
+    k, project = i % 7, F.concat(F.lit("projects/-w-"), "source", F.lit("/"))
+    leaf = (
+        F.when(k == 0, F.concat(project, sha, F.lit(".jsonl"))).when(k == 1, F.concat(project, F.lit("subagents/"), i, F.lit(".jsonl"))).when(k == 2, F.concat(project, sha, F.lit("/tool-results/out.txt"))).when(k == 3, F.concat(project, F.lit("note.meta.json")))
+        .when(k == 4, F.concat(project, F.lit("readme.txt"))).when(k == 5, F.concat("source", F.lit("/mcp-logs-x/"), sha, F.lit(".jsonl"))).otherwise(F.concat("source", F.lit("/"), sha, F.lit("/a/b.md")))
+    )
+    root = F.when(k == 5, "cache").when(k == 6, "tmp").otherwise("claude")
+    home = F.when(k == 5, F.concat(own, F.lit("/.cache/srv"))).when(k == 6, "/tmp/claude-7").otherwise(F.concat(own, F.lit("/.claude")))
+    return ledger.shapes(t.table(s, d, "documents").select(user.alias("user"), home.alias("home"), root.alias("root"), F.concat(home, F.lit("/"), leaf).alias("path"), F.col("n_chars").alias("bytes")))
+
 
+#: Slugs as they are, with a leading underscore, with a coded key's beginning, long, and too long for the hexadecimal form.
+_SLUGS = """, x AS (SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN source WHEN 1 THEN '_' || source || '/x' WHEN 2 THEN '_hex--' || source WHEN 3 THEN '_h256--' || source ELSE repeat(source, 60) END AS slug, 'u' || doc_id AS uuid FROM documents)"""
 
-@query("store_key", """, x AS (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN source || '/x' ELSE repeat(source, 60) END AS slug, 'u' || doc_id AS uuid FROM documents)
- SELECT id, CASE WHEN id % 3 = 1 THEN '_hex--' || lower(hex(encode(slug))) || '--' || lower(hex(encode(uuid))) WHEN octet_length(encode(slug || '--' || uuid)) > 255 THEN '_h256--' || sha256(slug || chr(0) || uuid) ELSE slug || '--' || uuid END AS key FROM x""")
+
+@query("store_key", f"""{_SLUGS}, y AS (SELECT *, lower(hex(encode(slug))) || '--' || lower(hex(encode(uuid))) AS pair, slug || '--' || uuid AS plain FROM x)
+ SELECT id, CASE WHEN id % 5 < 2 OR (id % 5 = 4 AND octet_length(encode(plain)) <= 255) THEN plain WHEN length('_hex--' || pair) <= 255 THEN '_hex--' || pair ELSE '_h256--' || sha256(pair) END AS key FROM y""")
 def _(s, d):
-    x, k = t.table(s, d, "documents"), F.col("doc_id") % 3
-    slug = F.when(k == 0, F.col("source")).when(k == 1, F.concat("source", F.lit("/x"))).otherwise(F.repeat("source", 60))
+    x, k = t.table(s, d, "documents"), F.col("doc_id") % 5
+    slug = F.when(k == 0, F.col("source")).when(k == 1, F.concat(F.lit("_"), "source", F.lit("/x"))).when(k == 2, F.concat(F.lit("_hex--"), "source")).when(k == 3, F.concat(F.lit("_h256--"), "source")).otherwise(F.repeat("source", 60))
     return x.select(F.col("doc_id").alias("id"), ledger.store_key(slug, F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("key"))
 
 
@@ -588,7 +658,7 @@ def _verdicts(s: SparkSession, d: str, policy: retention.Policy) -> DataFrame:
 
 def _verdict_sql(full: bool, indexed: bool) -> str:
     floor = "1 / 24.0" if full else "7"
-    window = "0" if full else "CASE role WHEN 'transcript' THEN 90 WHEN 'subagent' THEN 90 WHEN 'mcp' THEN 14 WHEN 'scratch-file' THEN 3 ELSE 7 END"
+    window = "0" if full else "CASE role WHEN 'transcript' THEN 90 WHEN 'subagent' THEN 90 WHEN 'mcp' THEN 14 WHEN 'scratch-file' THEN 3 WHEN 'paste' THEN 14 WHEN 'snapshot' THEN 30 ELSE 7 END"
     return f""", act AS ({_ACTIVE}), g AS (SELECT source_path, source_bytes AS bytes, CASE WHEN id % 23 = 0 THEN 'Blacklisted' WHEN id % 29 = 0 THEN 'OpenFailed' WHEN NOT archived THEN 'NoCatalogRow' WHEN live_sha256 <> source_sha256 THEN 'ShaMismatch'
    WHEN content_sha256 = '' THEN 'EmptyContentSha' WHEN id % 31 = 0 THEN 'StoreReverifyFailed' {"WHEN id % 2 = 1 THEN 'NotIndexed'" if indexed else ""} WHEN age_days < {floor} THEN 'TooYoung' WHEN age_days < greatest({floor}, {window}) THEN 'RetainWindow'
    WHEN (role = 'transcript' AND session_uuid IN (SELECT session_uuid FROM act)) OR age_days < 1 / 24.0 THEN 'SessionLive' ELSE '' END AS reason FROM artifacts),
@@ -655,17 +725,31 @@ def _(s, d):
     return retention.retained(x.unionByName(x.withColumn("sha256", F.lit("later")).withColumn("no", F.col("no") + 10**9)), x.where("no % 6 > 0"))
 
 
-_CLAIM = "CASE WHEN doc_id % 37 = 4 THEN 'OrphanArtifact' WHEN doc_id % 41 = 6 THEN 'DuplicateIdentity' WHEN doc_id % 7 = 2 AND doc_id % 5 = 0 THEN 'UnclaimedArtifact' WHEN doc_id % 7 <> 2 AND doc_id % 5 <> 0 THEN 'MissingArtifact' WHEN doc_id % 7 <> 2 AND doc_id % 17 = 0 THEN 'NoContentHash' WHEN doc_id % 7 <> 2 AND doc_id % 19 = 0 THEN 'ContentMismatch' END"
-_LAW_S = f", x AS (SELECT source AS key, 'a/' || doc_id AS path, {_CLAIM} AS issue, doc_id FROM documents), y AS (SELECT key, path, issue FROM x WHERE issue IS NOT NULL AND (issue <> 'OrphanArtifact' OR doc_id % 5 = 0))"
+#: What a case of law S has: whether an artifact is there, whether and as what it is claimed, and the issues that follow, as the law's own tests have them.
+_LAW_S_CASES = [
+    ("clean", True, ["claim"], []), ("absent", False, ["claim"], ["MissingArtifact"]), ("wrong", True, ["other"], ["ContentMismatch"]), ("legacy", True, ["unhashed"], ["NoContentHash"]),
+    ("disclaimed", True, ["unstored"], ["UnclaimedArtifact"]), ("declined", False, ["unstored"], []), ("orphan", True, [], ["OrphanArtifact"]), ("twice", True, ["claim", "other"], ["DuplicateIdentity"]),
+    ("twice_absent", False, ["claim", "claim", "unstored"], ["DuplicateIdentity", "MissingArtifact"]), ("twice_wrong", True, ["other", "claim"], ["DuplicateIdentity", "ContentMismatch"]), ("link", None, ["claim"], ["ForeignArtifact", "MissingArtifact"]),
+]
+_N = len(_LAW_S_CASES)
+_LAW_S = f""", c AS (SELECT unnest([{", ".join(f"{{'k': {k}, 'issues': {issues!r}::VARCHAR[]}}" for k, (*_, issues) in enumerate(_LAW_S_CASES))}], recursive := true)),
+ x AS (SELECT source AS key, 'a/' || doc_id AS path, doc_id % {_N} AS k, try_cast(substr(source, 4) AS INT) % 5 = 3 AS blind FROM documents),
+ y AS (SELECT key, path, issue FROM (SELECT key, path, blind, unnest(issues) AS issue FROM x JOIN c USING (k)) WHERE NOT (blind AND issue = 'OrphanArtifact')
+   UNION ALL SELECT DISTINCT key, unnest(['', '?']), unnest(['UnreconcilableKey', 'UndecodableEntry']) FROM x WHERE blind)"""
 
 
 def _law_s(s: SparkSession, d: str) -> DataFrame:
-    x, i = t.table(s, d, "documents"), F.col("doc_id")
-    sha = F.sha2("text", 256)
-    keys = [F.col("source").alias("key"), F.concat(F.lit("a/"), i).alias("path")]
-    store = x.where("doc_id % 5 = 0").select(*keys, F.when(i % 19 == 0, "other").otherwise(sha).alias("sha256"))
-    claims = x.where("doc_id % 37 <> 4").select(*keys, (i % 7 != 2).alias("stored"), F.when(i % 17 == 0, "").otherwise(sha).alias("content_sha256"), i.alias("i"))
-    return retention.store_issues(store, claims.unionByName(claims.where("i % 41 = 6")))
+    x = t.table(s, d, "documents").select(F.col("source").alias("key"), F.concat(F.lit("a/"), "doc_id").alias("path"), F.sha2("text", 256).alias("sha"), (F.col("doc_id") % _N).alias("k"))
+    regular = t.pick([str(there) for _, there, *_ in _LAW_S_CASES], F.col("k"))
+    store = x.where(regular != "False").select("key", "path", F.col("sha").alias("sha256"), (regular == "True").alias("regular"))
+    kinds = F.get(F.array(*[F.array(*map(F.lit, c)).cast("array<string>") for _, _, c, _ in _LAW_S_CASES]), F.col("k").cast("int"))
+    entries = x.select("key", "path", "sha", F.posexplode(kinds).alias("no", "kind")).select(
+        "key", "no", "path", F.col("path").alias("shown"), (F.col("kind") != "unstored").alias("stored"), F.when(F.col("kind") == "claim", F.col("sha")).when(F.col("kind") == "other", "other").otherwise("").alias("content_sha256")
+    )
+    # keys of some sources have an entry whose path can't be decoded
+    blind = x.where(F.expr("try_cast(substr(key, 4) as int) % 5 = 3")).select("key").distinct()
+    blind = blind.select("key", F.lit(-1).alias("no"), F.lit(None).cast("string").alias("path"), F.lit("?").alias("shown"), F.lit(True).alias("stored"), F.lit("").alias("content_sha256"))
+    return retention.store_issues(store, entries.unionByName(blind))
 
 
 @query("verify_law_s", f"{_LAW_S} SELECT * FROM y")
@@ -673,24 +757,46 @@ def _(s, d):
     return _law_s(s, d)
 
 
-@query("verify_classes", f"{_LAW_S} SELECT issue, CASE WHEN issue = 'NoContentHash' THEN 'unverifiable' ELSE 'violation' END AS class, count(*) AS n FROM y GROUP BY 1")
+_CLASS_SQL = """CASE issue WHEN 'UnreconcilableKey' THEN 'refused key' WHEN 'DuplicateIdentity' THEN 'violation' WHEN 'NoContentHash' THEN 'unverifiable' WHEN 'UndecodableEntry' THEN 'unverifiable' WHEN 'ForeignArtifact' THEN 'foreign matter' ELSE '{}' END"""
+
+
+@query("verify_classes", f"{_LAW_S} SELECT issue, {_CLASS_SQL.format('violation')} AS class, count(*) AS n FROM y GROUP BY issue")
 def _(s, d):
     return retention.classed(_law_s(s, d), exclusive=True)
 
 
-@query("verify_exclusion", f"{_LAW_S} SELECT issue, CASE WHEN issue = 'DuplicateIdentity' THEN 'violation' ELSE 'unverifiable' END AS class, count(*) AS n FROM y GROUP BY 1")
+@query("verify_exclusion", f"{_LAW_S} SELECT issue, {_CLASS_SQL.format('unverifiable')} AS class, count(*) AS n FROM y GROUP BY issue")
 def _(s, d):
     return retention.classed(_law_s(s, d), exclusive=False)
 
 
-@query("verify_law_q", """, x AS (SELECT source || '/' || doc_id AS path, CASE WHEN doc_id % 13 = 1 THEN (CASE WHEN doc_id % 3 = 0 THEN 'QuarantineStray' END) WHEN doc_id % 43 = 2 THEN 'QuarantineCollision' WHEN doc_id % 3 <> 0 THEN 'QuarantineMissing' WHEN doc_id % 11 = 0 THEN 'QuarantineNoSourceHash' WHEN doc_id % 23 = 0 THEN 'QuarantineMismatch' END AS issue FROM documents)
- SELECT path, issue FROM x WHERE issue IS NOT NULL""")
+#: Cases of law Q: whether an original is there, its claims, and the issues that follow.
+_LAW_Q_CASES = [
+    ("clean", True, ["claim"], []), ("lost", False, ["claim"], ["QuarantineMissing"]), ("wrong", True, ["other"], ["QuarantineMismatch"]), ("unhashed", True, ["unhashed"], ["QuarantineNoSourceHash"]), ("stray", True, [], ["QuarantineStray"]),
+    ("found_clean_later", True, ["unquarantined"], []), ("nothing", False, ["unquarantined"], []), ("collide", True, ["claim", "claim"], ["QuarantineCollision"]), ("collide_lost", False, ["claim", "other"], ["QuarantineCollision", "QuarantineMissing"]),
+    ("collide_wrong", True, ["other", "claim"], ["QuarantineCollision", "QuarantineMismatch"]), ("one_claims", True, ["claim", "unquarantined"], []), ("link", None, ["claim"], ["QuarantineMissing"]),
+]
+_M = len(_LAW_Q_CASES)
+_LAW_Q = f""", c AS (SELECT unnest([{", ".join(f"{{'k': {k}, 'issues': {issues!r}::VARCHAR[]}}" for k, (*_, issues) in enumerate(_LAW_Q_CASES))}], recursive := true)), x AS (SELECT source || '/' || doc_id AS path, doc_id % {_M} AS k, source, doc_id FROM documents)"""
+
+
+def _law_q(s: SparkSession, d: str, **options) -> DataFrame:
+    x = t.table(s, d, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), F.sha2("text", 256).alias("sha"), (F.col("doc_id") % _M).alias("k"))
+    regular = t.pick([str(there) for _, there, *_ in _LAW_Q_CASES], F.col("k"))
+    held = x.where(regular != "False").select("path", F.col("sha").alias("sha256"), (regular == "True").alias("regular"))
+    kinds = F.get(F.array(*[F.array(*map(F.lit, c)).cast("array<string>") for _, _, c, _ in _LAW_Q_CASES]), F.col("k").cast("int"))
+    claims = x.select("path", "sha", F.posexplode(kinds).alias("no", "kind")).select("path", "no", (F.col("kind") != "unquarantined").alias("quarantined"), F.when(F.col("kind") == "claim", F.col("sha")).when(F.col("kind") == "other", "other").otherwise("").alias("source_sha256"))
+    return retention.quarantine_issues(held, claims, **options)
+
+
+@query("verify_law_q", f"{_LAW_Q} SELECT path, unnest(issues) AS issue FROM x JOIN c USING (k)")
 def _(s, d):
-    x, i = t.table(s, d, "documents"), F.col("doc_id")
-    path, sha = F.concat_ws("/", "source", "doc_id").alias("path"), F.sha2("text", 256)
-    files = x.where("doc_id % 3 = 0").select(path, F.when(i % 23 == 0, "other").otherwise(sha).alias("sha256"))
-    claims = x.where("doc_id % 13 <> 1").select(path, F.when(i % 11 == 0, "").otherwise(sha).alias("source_sha256"), i.alias("i"))
-    return retention.quarantine_issues(files, claims.unionByName(claims.where("i % 43 = 2")))
+    return _law_q(s, d)
+
+
+@query("verify_law_q_unexamined", f"{_LAW_Q}, y AS (SELECT path, source, doc_id, unnest(issues) AS issue FROM x JOIN c USING (k)) SELECT path, issue FROM y WHERE issue NOT IN ('QuarantineMismatch', 'QuarantineNoSourceHash') AND NOT (issue = 'QuarantineStray' AND source = 'src1')")
+def _(s, d):
+    return _law_q(s, d, opened=False, unexamined=s.createDataFrame([("src1",), ("src2/none",)], "root string"))
 
 
 # --- scratch trees and their store -------------------------------------------------------------------------
@@ -799,11 +905,11 @@ def _(s, d):
     return ledger.stored_ok(stored, files.decoded(kept))
 
 
-@query("store_key_select", "SELECT CASE WHEN doc_id % 3 = 0 THEN '_hex--' || lower(hex(encode(source || '/x'))) || '--' || lower(hex(encode('u' || (doc_id % 10)))) WHEN doc_id % 3 = 1 THEN source || '--u' || (doc_id % 10) ELSE '_h256--' || doc_id END AS key, CASE WHEN doc_id % 3 = 2 AND doc_id % 7 = 0 THEN 'unreadable' ELSE 'match' END AS state FROM documents WHERE (doc_id % 3 < 2 AND doc_id % 10 = 4) OR (doc_id % 3 = 2 AND (doc_id % 7 = 0 OR doc_id % 10 = 4))")
+@query("store_key_select", "SELECT CASE WHEN doc_id % 3 = 0 THEN '_hex--' || lower(hex(encode('_hex--' || source))) || '--' || lower(hex(encode('u' || (doc_id % 10)))) WHEN doc_id % 3 = 1 THEN source || '--u' || (doc_id % 10) ELSE '_h256--' || doc_id END AS key, CASE WHEN doc_id % 3 = 2 AND doc_id % 7 = 0 THEN 'unreadable' ELSE 'match' END AS state FROM documents WHERE (doc_id % 3 < 2 AND doc_id % 10 = 4) OR (doc_id % 3 = 2 AND (doc_id % 7 = 0 OR doc_id % 10 = 4))")
 def _(s, d):
     i = F.col("doc_id")
     uuid, slug = F.concat(F.lit("u"), (i % 10).cast("string")), F.col("source")
-    key = F.when(i % 3 == 0, ledger.store_key(F.concat(slug, F.lit("/x")), uuid)).when(i % 3 == 1, ledger.store_key(slug, uuid)).otherwise(F.concat(F.lit("_h256--"), i.cast("string")))
+    key = F.when(i % 3 == 0, ledger.store_key(F.concat(F.lit("_hex--"), slug), uuid)).when(i % 3 == 1, ledger.store_key(slug, uuid)).otherwise(F.concat(F.lit("_h256--"), i.cast("string")))
     return scratch.selected_keys(t.table(s, d, "documents").select(key.alias("key"), F.when(i % 7 == 0, "xyz").otherwise(F.lower(F.hex(uuid))).alias("uuid_hex")), "u4")
 
 
@@ -822,7 +928,8 @@ def _(s, d):
 @query("verify_legacy_layout", """, x AS (SELECT doc_id AS i, ['slug', '_scratch', '_history'][(doc_id % 3) + 1] || '/' || CASE WHEN doc_id % 3 < 2 THEN 'u' || doc_id || '/' ELSE '' END || doc_id || '.txt' AS path FROM documents),
  y AS (SELECT i, path, CASE i % 3 WHEN 0 THEN 'u' || i || '/' || i || '.txt' WHEN 1 THEN '_scratch--u' || i || '/u' || i || '/' || i || '.txt' ELSE '_history/' || path END AS old FROM x)
  SELECT CASE WHEN i % 4 = 1 THEN old ELSE path END AS path, CASE WHEN i % 4 = 1 THEN 'QuarantineLegacyLayout' ELSE 'QuarantineMissing' END AS issue FROM y WHERE i % 4 IN (1, 2)
- UNION ALL SELECT 'other/' || i, 'QuarantineStray' FROM y WHERE i % 4 = 3 UNION ALL SELECT '_scratch--gone/' || i, 'QuarantineLegacyLayout' FROM y WHERE i % 8 = 3""")
+ UNION ALL SELECT 'other/' || i, 'QuarantineStray' FROM y WHERE i % 4 = 3 UNION ALL SELECT '_scratch--gone/' || i, 'QuarantineLegacyLayout' FROM y WHERE i % 8 = 3
+ UNION ALL SELECT old, 'QuarantineMismatch' FROM y WHERE i % 16 = 1""")
 def _(s, d):
     i = F.col("i")
     name = F.concat(F.lit("u"), i.cast("string"))
@@ -830,7 +937,8 @@ def _(s, d):
     x = x.withColumn("path", F.concat_ws("/", t.pick(["slug", "_scratch", "_history"], i % 3), F.when(i % 3 < 2, name), F.concat(i.cast("string"), F.lit(".txt"))))
     x = x.withColumn("old", F.get(retention.legacy_places(F.col("path")), F.lit(0)))
     at = F.explode(F.array_compact(F.array(F.when(i % 4 == 0, F.col("path")), F.when(i % 4 == 1, F.col("old")), F.when(i % 4 == 3, F.concat(F.lit("other/"), i.cast("string"))), F.when(i % 8 == 3, F.concat(F.lit("_scratch--gone/"), i.cast("string"))))))
-    return retention.quarantine_issues(x.select(at.alias("path"), F.col("sha").alias("sha256")), x.where("i % 4 < 3").select("path", F.col("sha").alias("source_sha256")))
+    claims = x.where("i % 4 < 3").select("path", F.lit(0).alias("no"), F.lit(True).alias("quarantined"), F.when(i % 16 == 1, "other").otherwise(F.col("sha")).alias("source_sha256"))
+    return retention.quarantine_issues(x.select(at.alias("path"), F.col("sha").alias("sha256"), F.lit(True).alias("regular")), claims)
 
 
 @query("scan_utf8_gate", """, x AS (SELECT doc_id AS id, doc_id % 7 AS k, text FROM documents) SELECT id, CASE k WHEN 2 THEN 'non-utf8' WHEN 3 THEN 'utf16-ambiguous' WHEN 4 THEN 'utf16-decode-failed' END AS reason, CASE WHEN k IN (2, 3, 4) THEN NULL WHEN k = 6 THEN repeat('é', 40) || chr(0) ELSE text END AS text FROM x""")
@@ -862,7 +970,7 @@ def _(s, d):
     return scanning.rescan_plan(_stored(s, d)).agg(F.count("*").alias("changed"), F.count_if("fixpoint").alias("fixpoints"))
 
 
-@query("gc_age_policy", "SELECT role, count(*) AS n, count(*) FILTER (age_days >= CASE role WHEN 'transcript' THEN 90 WHEN 'subagent' THEN 90 WHEN 'mcp' THEN 14 ELSE 7 END) AS old_enough FROM artifacts GROUP BY role")
+@query("gc_age_policy", "SELECT role, count(*) AS n, count(*) FILTER (age_days >= CASE role WHEN 'transcript' THEN 90 WHEN 'subagent' THEN 90 WHEN 'mcp' THEN 14 WHEN 'paste' THEN 14 WHEN 'snapshot' THEN 30 ELSE 7 END) AS old_enough FROM artifacts GROUP BY role")
 def _(s, d):
     policy = retention.Policy()
     old = F.col("age_days") >= F.greatest(F.lit(float(policy.floor())), policy.window(F.col("role")))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: larger files are not read.
 MOST_BYTES = 256 * 1024 * 1024
-FAMILIES = {"transcript": ["transcript"], "subagents": ["subagent", "subagent-meta"], "tool-results": ["tool-result"], "history": ["history"], "mcp": ["mcp"], "snapshots": ["snapshot"], "paste": ["paste"]}
+#: Families of files and their roles.
+FAMILIES = {"transcript": ["transcript"], "subagents": ["subagent", "subagent-meta"], "tool-results": ["tool-result"], "history": ["history"], "mcp": ["mcp"], "snapshots": ["snapshot"], "paste": ["paste"], "scratch": ["scratch-file"]}
 
 
 def role_of(path: Column) -> Column:
@@ -23,11 +24,16 @@ def role_of(path: Column) -> Column:
 
 
 def include(families: str) -> list[str]:
-    """Roles of a comma-separated list of families; `all` is every one; an unknown name raises ValueError."""
-    names = list(FAMILIES) if families == "all" else [x.strip() for x in families.split(",") if x.strip()]
-    if unknown := [x for x in names if x not in FAMILIES]:
-        raise ValueError(f"unknown families: {', '.join(unknown)}")
-    return [r for x in names for r in FAMILIES[x]]
+    """Roles of a comma-separated list of families, once each; an `all` stands for every one, wherever it is in the list; an unknown name before it raises ValueError."""
+    names: list[str] = []
+    for x in (x.strip() for x in families.split(",")):
+        if x == "all":
+            names = list(FAMILIES)
+            break
+        if x and x not in FAMILIES:
+            raise ValueError(f"unknown family: {x}")
+        names += [x] if x else []
+    return list(dict.fromkeys(r for x in names for r in FAMILIES[x]))
 
 
 def discover(spark: SparkSession, root: str, families: str = "transcript,subagents,tool-results") -> DataFrame:

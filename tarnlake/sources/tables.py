@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROLES = ["transcript", "subagent", "subagent-meta", "tool-result", "history", "mcp", "scratch-file"]
+ROLES = ["transcript", "subagent", "subagent-meta", "tool-result", "history", "mcp", "scratch-file", "snapshot", "paste"]
 INDEXABLE = ["transcript", "subagent", "tool-result", "mcp", "snapshot", "paste", "history"]
 STORED_ROLES = ["transcript", "subagent", "transcript", "history", "paste", "snapshot", "scratch-file", "tool-result"]
 TOOLS = ["Bash", "Read", "Edit"]
@@ -59,7 +59,7 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("conv-"), F.col("doc_id") % 50).alias("session_uuid"),
-        pick(ROLES, F.col("doc_id") % 7).alias("role"),
+        pick(ROLES, F.col("doc_id") % 9).alias("role"),
         F.concat_ws("/", "source", "doc_id").alias("source_path"),
         "source",
         sha.alias("source_sha256"),
@@ -91,6 +91,6 @@ SQL = """entries AS (SELECT conv_id || ':' || turn AS entry_uuid, CASE WHEN turn
   CASE WHEN conv_id % 5 = 0 THEN 'sub' ELSE 'main' END AS agent, CASE WHEN role = 'assistant' THEN ['Bash', 'Read', 'Edit'][(turn % 4) + 1] END AS tool_name, 'proj-' || (conv_id % 7) AS project_slug,
   '/w/' || (conv_id % 4) AS cwd, ['main', 'dev'][(conv_id % 3) + 1] AS git_branch, strftime(TIMESTAMP '2024-01-01' + to_hours(conv_id) + to_minutes(turn), '%Y-%m-%dT%H:%M:%S') AS timestamp, turn AS seq, text FROM conversations),
 sessions AS (SELECT 'conv-' || conv_id AS uuid, 'proj-' || (conv_id % 7) AS project_slug, ['main', 'dev'][(conv_id % 3) + 1] AS git_branch, count(*) AS entry_count FROM conversations GROUP BY conv_id),
-artifacts AS (SELECT doc_id AS id, 'conv-' || (doc_id % 50) AS session_uuid, ['transcript', 'subagent', 'subagent-meta', 'tool-result', 'history', 'mcp', 'scratch-file'][(doc_id % 7) + 1] AS role, source || '/' || doc_id AS source_path, source,
+artifacts AS (SELECT doc_id AS id, 'conv-' || (doc_id % 50) AS session_uuid, ['transcript', 'subagent', 'subagent-meta', 'tool-result', 'history', 'mcp', 'scratch-file', 'snapshot', 'paste'][(doc_id % 9) + 1] AS role, source || '/' || doc_id AS source_path, source,
   sha256(text) AS source_sha256, octet_length(encode(text)) AS source_bytes, CASE WHEN doc_id % 10 = 0 THEN sha256(text || '+') ELSE sha256(text) END AS live_sha256, CASE WHEN doc_id % 13 = 0 THEN '' ELSE sha256(text) END AS content_sha256,
   (doc_id % 17 = 0)::INT AS redacted, (doc_id % 19 = 0)::INT AS quarantined, CASE WHEN doc_id % 3 > 0 THEN '2024-01-20T00:00:00' END AS verified_at, doc_id % 40 AS age_days, doc_id % 11 > 0 AS archived, text FROM documents)"""

@@ -186,12 +186,68 @@ def test_empty_tables(spark):
     assert tuple(r) == (0, 0, 0, 0, 0, 0)
 
 
+def _law_q(spark, files, claims, **options):
+    f = spark.createDataFrame([(p, h, r) for p, h, r in files], "path string, sha256 string, regular boolean")
+    c = spark.createDataFrame([(p, k, q, h) for k, (p, q, h) in enumerate(claims)], "path string, no int, quarantined boolean, source_sha256 string")
+    return sorted(tuple(r) for r in retention.quarantine_issues(f, c, **options).collect())
+
+
 def test_quarantine_layouts(spark):
-    claim = spark.createDataFrame([("slug/u1/a", "x"), ("_scratch/k/a", "x"), ("_history/h", "x"), ("slug/u2/b", "x")], "path string, source_sha256 string")
-    there = spark.createDataFrame([("u1/slug/u1/a", "x"), ("_scratch--k/k/a", "y"), ("_history/_history/h", "x"), ("u2/other", "x"), ("q/q/r", "x"), ("q/r", "x")], "path string, sha256 string")
-    got = {tuple(r) for r in retention.quarantine_issues(there, claim).collect()}
-    old = {"u1/slug/u1/a", "_scratch--k/k/a", "_history/_history/h", "u2/other", "q/q/r"}
-    assert got == {(p, "QuarantineLegacyLayout") for p in old} | {("slug/u2/b", "QuarantineMissing"), ("q/r", "QuarantineStray")}
+    claims = [("slug/u1/a", True, "x"), ("_scratch/k/a", True, "x"), ("_history/h", True, "x"), ("slug/u2/b", True, "x"), ("slug/u3/c", True, None), ("slug/u4/d", False, None)]
+    there = [("u1/slug/u1/a", "x", True), ("_scratch--k/k/a", "y", True), ("_history/_history/h", "x", True), ("u2/other", "x", True), ("q/q/r", "x", True), ("q/r", "x", True), ("u3/c", "z", True), ("slug/u4/d", "w", True), ("u4/d", "w", False)]
+    old = ["u1/slug/u1/a", "_scratch--k/k/a", "_history/_history/h", "u2/other", "q/q/r", "u3/c", "u4/d"]
+    want = [(p, "QuarantineLegacyLayout") for p in old] + [("slug/u2/b", "QuarantineMissing"), ("q/r", "QuarantineStray"), ("_scratch--k/k/a", "QuarantineMismatch"), ("u3/c", "QuarantineNoSourceHash")]
+    assert _law_q(spark, there, claims) == sorted(want)
+    # nothing opened: no hash is judged; nothing swept: only claims are
+    assert _law_q(spark, there, claims, opened=False) == sorted(want[:-2])
+    assert _law_q(spark, there, claims, swept=False) == sorted(w for w in want if w[0] not in ("u2/other", "q/q/r", "q/r", "u4/d"))
+    roots = spark.createDataFrame([("q",), ("u",), ("u2/other/deep",)], "root string")
+    assert _law_q(spark, there, claims, unexamined=roots) == sorted(w for w in want if w[0] not in ("q/q/r", "q/r"))
+    assert _law_q(spark, there, claims, foreign_root=True) == [("", "QuarantineForeignRoot")]
+    # claims without a tree: all originals are missing
+    assert _law_q(spark, [], claims[:2]) == [("_scratch/k/a", "QuarantineMissing"), ("slug/u1/a", "QuarantineMissing")]
+    # a collision doesn't hide that the one original is gone, and is one only between recorded originals
+    assert _law_q(spark, [], [("s/u/a", True, "x"), ("s/u/a", True, "y")]) == [("s/u/a", "QuarantineCollision"), ("s/u/a", "QuarantineMissing")]
+    assert _law_q(spark, [("s/u/a", "x", True)], [("s/u/a", True, "x"), ("s/u/a", False, "y")]) == []
+
+
+def test_store_laws(spark):
+    entries = [("k", 0, "a", "a", True, "h1"), ("k", 1, "a", "a", True, "h2"), ("k", 2, "a", "a", False, None), ("k", 3, "b", "b", True, None), ("j", 0, None, "raw", True, "h"), ("j", 1, "c", "c", False, None), ("k", 4, "d", "d", True, "h4")]
+    store = [("k", "a", "h2", True), ("k", "b", "x", True), ("k", "o", "x", True), ("j", "o", "x", True), ("j", "c", "x", True), ("k", "l", None, False), ("k", "d", None, True)]
+    run = lambda e, s: sorted(tuple(r) for r in retention.store_issues(spark.createDataFrame(s, "key string, path string, sha256 string, regular boolean"), spark.createDataFrame(e, "key string, no int, path string, shown string, stored boolean, content_sha256 string")).collect())
+    want = [("k", "a", "DuplicateIdentity"), ("k", "a", "ContentMismatch"), ("k", "b", "NoContentHash"), ("k", "o", "OrphanArtifact"), ("k", "l", "ForeignArtifact"), ("k", "d", "ContentMismatch"), ("j", "raw", "UndecodableEntry"), ("j", "", "UnreconcilableKey"), ("j", "c", "UnclaimedArtifact")]
+    assert run(entries, store) == sorted(want) and run([], []) == []
+    issues = spark.createDataFrame([(i,) for i in ("NoManifest", "UnreconcilableKey", "ForeignArtifact", "UndecodableEntry", "ForeignStoreDir", "QuarantineStray", "QuarantineMissing", "DuplicateIdentity")], "issue string")
+    cls = lambda **k: {r["issue"]: r["class"] for r in retention.classed(issues, **k).collect()}
+    alone = {"NoManifest": "violation", "UnreconcilableKey": "refused key", "ForeignArtifact": "foreign matter", "UndecodableEntry": "unverifiable", "ForeignStoreDir": "refused key", "QuarantineStray": "foreign matter", "QuarantineMissing": "violation", "DuplicateIdentity": "violation"}
+    assert cls(exclusive=True) == alone and cls(exclusive=False) == {**alone, "NoManifest": "unverifiable", "QuarantineStray": "unverifiable"}
+
+
+def test_fixed_values(spark):
+    key = lambda s, u: spark.range(1).select(ledger.store_key(F.lit(s), F.lit(u))).first()[0]
+    import hashlib
+
+    assert key("a", "-b") == key("a-", "b") == "a---b" and key("_x/y", "u") == "_x/y--u"
+    assert key("_hex--a", "b") == "_hex--5f6865782d2d61--62" and key("_h256--a", "b") == "_hex--5f683235362d2d61--62"
+    assert key("a" * 252, "b") == "a" * 252 + "--b" and key("a" * 253, "b") == "_h256--" + hashlib.sha256(("61" * 253 + "--62").encode()).hexdigest()
+    assert files.include("transcript, all ,nothing") == [r for v in files.FAMILIES.values() for r in v] and files.include("scratch,scratch") == ["scratch-file"]
+    policy = retention.Policy()
+    days = {r["role"]: r["d"] for r in spark.createDataFrame([(r,) for r in ("transcript", "subagent", "mcp", "scratch-file", "paste", "snapshot", "history")], "role string").select("role", policy.window(F.col("role")).alias("d")).collect()}
+    assert days == {"transcript": 90, "subagent": 90, "mcp": 14, "scratch-file": 3, "paste": 14, "snapshot": 30, "history": 7}
+    lines = lambda text: [r.line for r in transcripts.lines(spark.createDataFrame([(1, text)], "artifact int, content string")).orderBy("seq").collect()]
+    assert lines("x\n\n\n") == ["x", "", ""] and lines("x\r\r") == ["x\r\r"] and lines("x\r\r\ny\r\n") == ["x\r", "y"] and lines("") == [] and lines("\n") == [""] and lines("a\nb") == ["a", "b"]
+
+
+def test_entries_as_they_stand(spark):
+    v = _entries(
+        spark,
+        '{"type":"user","uuid":"","parentUuid":"p","timestamp":"t1","message":{"content":"hi"}}',
+        '{"type":"assistant","message":{"content":[{"type":"tool_use","id":"c1","input":{"path":"x","other":"y"}},{"type":"tool_use","id":"c2","name":"Grep","input":{"pattern":1}}]}}',
+        '{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"c1","is_error":true},{"type":"tool_result","tool_use_id":"c2","content":"found"}]}}',
+        '{"type":"user","message":{"content":[{"type":"tool_use","id":"c2","name":"Forged","input":{}}]}}',
+    )
+    got = {r["seq"]: (r["entry_uuid"], r["parent_uuid"], r["timestamp"], r["role"], r["text"], r["tool_name"]) for r in transcripts.parsed_entries(v).collect()}
+    assert got == {0: ("line:t:0", "p", "t1", "user", "hi", None), 1: ("line:t:1", None, None, "assistant", "$tool x\n$Grep 1", "Grep"), 2: ("line:t:2", None, None, "tool_result", "[error] \nfound", "Grep")}
 
 
 def test_keys(spark):
