@@ -28,12 +28,12 @@ ROWS = 4096
 #: A comment, a tag, or another declaration. Each alternative matches to the end of the page if it is never closed, so that
 #: no stretch is read twice. A quote counts after an equals sign and if it is closed; any other one is a character as others.
 _tag = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.DOTALL,
 )
 _attr = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 #: Elements whose content is no text, those of them that end only with their end tag, what a head holds, elements inside a line, elements that end an open one of their kind, and elements without content.
-SILENT = {"script", "style", "noscript", "template", "svg", "head", "iframe", "textarea", "select", "object"}
+SILENT = {"title", "script", "style", "noscript", "template", "svg", "head", "iframe", "textarea", "select", "object"}
 RAW = {"script", "style", "textarea", "title"}
 HEAD_SILENT = {"title", "script", "style", "noscript", "template"}
 HEAD = HEAD_SILENT | {"head", "meta", "link", "base"}
@@ -96,9 +96,8 @@ def _silent_end(html: str, name: str, at: int, never: set[str]) -> int:
     return len(html) if name in RAW else at
 
 
-def _head_end(html: str, at: int) -> int:
-    """Where the head ends: after its end tag, or before the first tag or text that belongs to the body."""
-    never: set[str] = set()
+def _head_end(html: str, at: int, never: set[str]) -> int:
+    """Where the head ends: after its end tag, or before the first tag or text that belongs to the body. never is the page's, as for _silent_end()."""
     while m := _tag.search(html, at):
         if html[at : m.start()].strip():
             return at
@@ -145,7 +144,7 @@ def blocks(html: str) -> list[Block]:
         if name in SILENT:
             if not m[1] and not m[3].rstrip().endswith("/"):
                 close()
-                at = _head_end(html, at) if name == "head" else _silent_end(html, name, at, never)
+                at = _head_end(html, at, never) if name == "head" else _silent_end(html, name, at, never)
             continue
         if name in INLINE:
             if name == "a":

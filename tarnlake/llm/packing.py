@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm.shared import LOWER, raw, stage
-from tarnlake.llm.words import located
 
 LENGTH = 2048
 END = 1
@@ -95,21 +95,20 @@ class Tokenized:
 
     def _by_word(self, texts: list[bytes]) -> list[np.ndarray]:
         full, known = len(self.index) >= REMEMBER, (self.n_flat, self.n_known)
-        data, begin, end, h, counts = located(texts)
-        order = np.argsort(h)
-        ranked = h[order]
-        fresh = np.concatenate((np.ones(min(1, len(h)), bool), ranked[1:] != ranked[:-1]))
-        where = order[fresh]
-        own = [data[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist(), strict=True)]
-        number = np.fromiter((self.index.get(x, -1) for x in own), np.int64, len(own))
-        new = np.flatnonzero(number < 0)
+        words: list[bytes] = []
+        counts = []
+        for t in texts:
+            own = t.translate(LOWER).split()
+            words += own
+            counts.append(len(own))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
         if len(new):
-            number[new] = np.arange(self.n_known, self.n_known + len(new))
+            fresh: dict[bytes, int] = {}
+            at[new] = [fresh.setdefault(words[i], self.n_known + len(fresh)) for i in new.tolist()]
             if not full:
-                self.index.update((own[i], n) for i, n in zip(new.tolist(), number[new].tolist(), strict=True))
-            self._learn([own[i].decode("utf-8", "replace") for i in new.tolist()])
-        at = np.empty(len(h), np.int64)
-        at[order] = number[np.cumsum(fresh) - 1]
+                self.index.update(fresh)
+            self._learn([w.decode("utf-8", "replace") for w in fresh])
         sizes = self.length[at].astype(np.int64)
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

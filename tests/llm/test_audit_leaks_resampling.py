@@ -1,10 +1,9 @@
 """The filter audit, the search for benchmark passages and the resampling against brute force on small tables."""
 
-import glob
 import math
-import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -13,11 +12,10 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from tarnlake.llm import decontamination, filter_audit, resampling
-from tarnlake.llm.words import pieces
+from tarnlake.llm import decontamination, filter_audit, html_blocks, packing, resampling, simhash_dedup
+from tarnlake.llm.words import pieces, words_of
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SF = "/root/testdata/sf0.001"
 
 
 def words(text):
@@ -244,3 +242,33 @@ def test_selection(spark, seed):
         order = sorted(rows, key=lambda r: (-r[2], r[0] is None, r[0], r[1]))
         got = sorted(((r.rank, r.doc_id, r.score) for r in resampling.ranked(df, df.doc_id.isNull() | (df.score > -10**18), k).collect() if r.rank), key=lambda r: r[0])
         assert got == [(i, r[0], r[2]) for i, r in enumerate(order[:k], 1)]
+
+
+# --- words of one hash, and pages that lose text -------------------------------------------------------------
+
+
+def _twins():
+    """Two words of 1,024 letters that sums of powers modulo 2^64 cannot tell apart, whatever the base: a Thue-Morse word and its opposite."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_long_words_have_hashes_of_their_own(spark):
+    one, other = _twins()
+    h, _ = words_of([f"{one} {other} {one}".encode()])
+    assert h[0] == h[2] != h[1]
+    tok = packing.Tokenized("/opt/tokenizers/word_bpe_49k.json")
+    ids = [tok.ids([f"{w} x {w}".encode()])[0].tolist() for w in (one, other)]
+    both = tok.ids([f"{one} {other}".encode()])[0].tolist()
+    want = [tok.tokenizer.encode(w, add_special_tokens=False).ids for w in (one, other)]
+    assert both == [*want[0], *want[1], 1] and want[0] != want[1] and ids[1][: len(want[1])] == want[1]
+    docs = spark.createDataFrame([(1, " ".join([one] * 9)), (2, " ".join([other] * 9))], "doc_id long, text string")
+    assert {r.doc_id for r in simhash_dedup.deduplicate(docs).collect()} == {1, 2}
+
+
+def test_pages_that_lost_text():
+    texts = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert texts("<!--><p>shown</p>") == texts("<!---><p>shown</p>") == texts("<!-- a --!><p>shown</p>") == texts("<!----><p>shown</p>") == ["shown"]
+    assert texts("<title>no text</title><p>shown</p>") == ["shown"] and texts("<!-- <p>hidden</p> --><p>shown</p>") == ["shown"]
+    began = time.perf_counter()
+    assert texts("<head><noscript><p>" * 50_000) == [] and time.perf_counter() - began < 3
