@@ -23,6 +23,8 @@ PER_BUCKET = 1000
 #: About so many entries go into one file of postings.
 PER_FILE = 200_000
 TOKENIZER = "unicode-letters-digits-folded-1"
+#: Tokens of every three characters in a row, letters made small: a phrase is any part of a text, of three characters or more.
+TRIGRAMS = "trigrams-lower-1"
 
 
 def bucket(artifact: str, per_bucket: int = PER_BUCKET) -> Column:
@@ -30,39 +32,62 @@ def bucket(artifact: str, per_bucket: int = PER_BUCKET) -> Column:
     return F.coalesce(F.floor(F.col(artifact) / per_bucket), F.lit(-1)).cast("long")
 
 
-def documents(entries: DataFrame) -> DataFrame:
+def _tokens(tokenizer: str) -> Column:
+    """The tokens of the column text, in order."""
+    if tokenizer == TRIGRAMS:
+        c = F.regexp_extract_all(F.lower("text"), F.lit(r"(?s)."), F.lit(0))
+        joined = lambda a, k: F.zip_with(a, F.slice(c, F.lit(k), F.size(c)), lambda x, y: F.concat(x, y))
+        return joined(joined(c, 2), 3)
+    return F.filter(F.split(search.normal(F.col("text")), " "), lambda w: w != "")
+
+
+def documents(entries: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """entries with `dl`, the number of tokens of each."""
-    tokens = search.normal(F.col("text"))
-    size = F.when(F.length(tokens) <= 2, 0).otherwise(F.length(tokens) - F.length(F.replace(tokens, F.lit(" "), F.lit(""))) - 1)
+    if tokenizer == TRIGRAMS:
+        size = F.greatest(F.length(F.lower("text")) - 2, F.lit(0))
+    else:
+        tokens = search.normal(F.col("text"))
+        size = F.when(F.length(tokens) <= 2, 0).otherwise(F.length(tokens) - F.length(F.replace(tokens, F.lit(" "), F.lit(""))) - 1)
     return entries.withColumn("dl", F.coalesce(size, F.lit(0)).cast("long"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(term, entry_uuid, artifact_id, session_uuid, dl, tf, places) of every token of documents() of entries."""
-    words = F.posexplode(F.filter(F.split(search.normal(F.col("text")), " "), lambda w: w != "")).alias("at", "term")
+    # pairs that run beyond the last character end in null, and so are no tokens
+    words = F.posexplode(_tokens(tokenizer)).alias("at", "term")
     of = ["entry_uuid", "artifact_id", "session_uuid", "dl"]
-    held = docs.select(*of, words).groupBy("term", *of).agg(F.array_sort(F.collect_list("at")).alias("places"))
+    held = docs.select(*of, words).where("term is not null").groupBy("term", *of).agg(F.array_sort(F.collect_list("at")).alias("places"))
     return held.select("term", *of, F.size("places").cast("long").alias("tf"), "places")
 
 
-def _occurrences(phrase: list[str]) -> Column:
-    """How often the words of a phrase stand one after another, from the map `at` of their places."""
-    places = [F.coalesce(F.try_element_at("at", F.lit(t)), F.array().cast("array<int>")) for t in phrase]
-    # places of the first word at which every other word follows: sets, so linear in the places
-    earlier = lambda other, k: F.transform(other, lambda x: x - F.lit(k))
-    shifted = [places[0], *[earlier(other, k) for k, other in enumerate(places[1:], 1)]]
-    return F.size(reduce(F.array_intersect, shifted)).cast("double")
+def terms_of(phrase: str, tokenizer: str = TOKENIZER) -> dict[int, str]:
+    """The tokens that tell a phrase, by their places from its start. Of trigrams every third one and the last: these hold all of its characters; under three characters there is none."""
+    if tokenizer != TRIGRAMS:
+        return dict(enumerate(search.folded_phrase(phrase).split()))
+    low = phrase.lower()
+    last = len(low) - 3
+    return {k: low[k : k + 3] for k in sorted({*range(0, last, 3), last})} if last >= 0 else {}
+
+
+def _occurrences(phrase: dict[int, str]) -> Column:
+    """How often the tokens of a phrase stand at their places one from another, from the map `at` of places."""
+    earlier = lambda term, k: F.transform(F.coalesce(F.try_element_at("at", F.lit(term)), F.array().cast("array<int>")), lambda x: x - F.lit(k))
+    # places where the phrase may begin, by each of its tokens: sets, so linear in the places
+    return F.size(reduce(F.array_intersect, [F.array_distinct(earlier(t, k)) for k, t in phrase.items()])).cast("double")
 
 
 class Index:
     """A version of the index below a folder that driver and executors share; the last one unless a number is given."""
 
-    def __init__(self, spark: SparkSession, path: str, version: int | None = None, per_bucket: int = PER_BUCKET) -> None:
+    def __init__(self, spark: SparkSession, path: str, version: int | None = None, per_bucket: int = PER_BUCKET, tokenizer: str | None = None) -> None:
         self.spark, self.path = spark, path.rstrip("/")
         self._all = Versions(spark, self.path)
         self.version = self._all.latest() if version is None else version
         self._held = self._all.read(self.version)
         self.per_bucket = self._held["about"].get("per_bucket", per_bucket)
+        self.built_by = self._held["about"].get("tokenizer")
+        # another tokenizer than asked for is taken over by a rebuild only
+        self.tokenizer = tokenizer or (TRIGRAMS if self.built_by == TRIGRAMS else TOKENIZER)
 
     def table(self, name: str) -> DataFrame:
         if name == "totals":
@@ -89,14 +114,14 @@ class Index:
         buckets = {b: v for b, v in self._held["buckets"].items() if b not in replaced and b not in sizes}
         for b, size in sizes.items():
             buckets[b] = {"tables": {t: f[b] for t, f in (("documents", folders), ("postings", post_folders)) if b in f}, **size}
-        about = {"tokenizer": TOKENIZER, "per_bucket": self.per_bucket}
+        about = {"tokenizer": self.tokenizer, "per_bucket": self.per_bucket}
         self._all.commit(number, {"buckets": buckets, "schemas": {"documents": doc_schema, "postings": post_schema}, "about": about})
         return Index(self.spark, self.path, number)
 
     def build(self, entries: DataFrame) -> Index:
         """The next version, of these entries alone."""
-        docs = documents(entries)
-        return self._next(docs, postings(docs), set(self._held["buckets"]))
+        docs = documents(entries, self.tokenizer)
+        return self._next(docs, postings(docs, self.tokenizer), set(self._held["buckets"]))
 
     def sync(self, changed: DataFrame, gone: DataFrame, *, reindex: bool = False) -> Index:
         """The next version, in which the entries of the artifacts in `changed` are those there, and artifacts of `gone` (artifact_id) have none.
@@ -105,26 +130,37 @@ class Index:
         another tokenizer is refused, unless reindex is set: then all entries that stay are cut anew. The driver gets the
         numbers of the touched buckets.
         """
-        other = self._held["about"].get("tokenizer") != TOKENIZER
+        other = self.built_by != self.tokenizer
         if other and not reindex:
             raise ValueError("the index was built by another tokenizer: build it anew")
         touched = changed.select("artifact_id").unionByName(gone.select("artifact_id")).distinct().withColumnRenamed("artifact_id", "touched")
         here = {r[0] for r in touched.select(bucket("touched", self.per_bucket)).distinct().collect()}
         left = lambda df: df.join(touched, F.col("artifact_id").eqNullSafe(F.col("touched")), "left_anti")
         old = lambda name: left(self._all.table(self.version, name, None if other else here).drop("bucket"))
-        kept, new = old("documents"), documents(changed)
-        posts = postings(kept) if other else old("postings")
+        kept, new = old("documents"), documents(changed, self.tokenizer)
+        kept = documents(kept.drop("dl"), self.tokenizer) if other else kept
+        posts = postings(kept, self.tokenizer) if other else old("postings")
         replaced = set(self._held["buckets"]) if other else {str(b) for b in here}
-        return self._next(kept.unionByName(new), posts.unionByName(postings(new)), replaced)
+        return self._next(kept.unionByName(new), posts.unionByName(postings(new, self.tokenizer)), replaced)
 
     def bm25(self, q: search.Query, limit: int | None = None) -> DataFrame:
         """search.bm25() by postings: only those of the query's terms are read, and phrases are found by places. Entries are read only for facets and bounds."""
+        if self.built_by and self.built_by != self.tokenizer:
+            raise ValueError("the index was built by another tokenizer: build it anew")
         none = self.table("documents").select("entry_uuid", "session_uuid", F.lit(0.0).alias("rank")).where("false")
-        phrases = [p.split(" ") for p in map(search.folded_phrase, q.phrases) if p]
-        if not phrases:
+        phrases = [terms_of(p, self.tokenizer) for p in q.phrases]
+        # a word without tokens says nothing, but a part of a text that is too short for this index is in none
+        phrases = [p for p in phrases if p or self.tokenizer == TRIGRAMS]
+        if not phrases or not all(phrases):
             return none
-        terms = sorted({t for p in phrases for t in p})
+        terms = sorted({t for p in phrases for t in p.values()})
         posts = self.table("postings").where(F.col("term").isin(terms))
+        if self.tokenizer == TRIGRAMS and len(phrases) == 1 and len(terms) > 1:
+            # the list of the rarest token tells which entries of the others are looked at
+            sizes = {r["term"]: r["n"] for r in posts.groupBy("term").agg(F.count("*").alias("n")).collect()}
+            rarest = min(terms, key=lambda t: sizes.get(t, 0))
+            few = posts.where(F.col("term") == rarest).select(F.col("entry_uuid").alias("e"), F.col("artifact_id").alias("a"))
+            posts = posts.join(few, (F.col("entry_uuid") == F.col("e")) & F.col("artifact_id").eqNullSafe(F.col("a")), "left_semi")
         places = F.map_from_entries(F.collect_list(F.struct("term", "places")))
         by_entry = posts.groupBy("entry_uuid", "artifact_id").agg(places.alias("at"), F.first("session_uuid").alias("session_uuid"), F.first("dl").cast("double").alias("dl"))
         counts = [_occurrences(p).alias(f"tf{i}") for i, p in enumerate(phrases)]

@@ -116,6 +116,38 @@ def retained(prior: DataFrame, live: DataFrame) -> DataFrame:
     return live.select("tree", "path", "sha256", F.lit(True).alias("present")).unionByName(once.withColumn("present", F.lit(False)))
 
 
+#: Fields of a manifest's entry.
+ENTRY = ["tree", "path", "shown", "bytes", "present", "capture_failed", "stored", "source_sha256", "content_sha256", "quarantined"]
+
+
+def salvaged(prior: DataFrame, live: DataFrame, store: DataFrame) -> DataFrame:
+    """A manifest's entries (ENTRY) after a run: of live files, of those that couldn't be read, and of what is gone.
+
+    live: (tree, path, bytes, readable, stored, source_sha256, content_sha256, quarantined), one row a path; prior: ENTRY and `no`,
+    the order of entries, with path null where it can't be decoded; store: (tree, path) of artifacts that are there.
+    A readable file has what the run made of it. One that couldn't be read is marked so, and carries on what the first prior entry
+    of its path claims, if that was stored and its artifact is there; else it is not stored. A prior path without a live file stays
+    once, as not present, by its first entry. Entries that can't be decoded stay as they are, every one.
+    """
+    first = prior.where("path is not null").groupBy(F.col("tree").alias("pt"), F.col("path").alias("pp")).agg(F.min_by(F.struct(*ENTRY), "no").alias("p"))
+    held = store.select(F.col("tree").alias("st"), F.col("path").alias("sp")).distinct()
+    x = live.join(first, (F.col("tree") == F.col("pt")) & (F.col("path") == F.col("pp")), "full").join(held, (F.col("tree") == F.col("st")) & (F.col("path") == F.col("sp")), "left")
+    carried = F.coalesce(F.col("p.stored") & F.col("sp").isNotNull(), F.lit(False))
+    either = lambda c, none: F.when(F.col("readable"), F.col(c)).when(carried, F.col(f"p.{c}")).otherwise(F.lit(none)).alias(c)
+    now = x.where("path is not null").select(
+        "tree", "path", F.col("path").alias("shown"), "bytes", F.lit(True).alias("present"), (~F.col("readable")).alias("capture_failed"), F.when(F.col("readable"), F.col("stored")).otherwise(carried).alias("stored"),
+        either("source_sha256", None), either("content_sha256", None), either("quarantined", False),
+    )
+    gone = x.where("path is null").select("p.*").withColumn("present", F.lit(False))
+    return now.unionByName(gone.select(*ENTRY)).unionByName(prior.where("path is null").select(*ENTRY))
+
+
+def manifest_totals(entries: DataFrame) -> DataFrame:
+    """(tree, entries, total_bytes, stored_bytes, failed, complete) of entries (ENTRY): bytes of present files, of stored ones, and whether every entry could be decoded."""
+    size = lambda c: F.coalesce(F.sum(F.when(c, F.col("bytes"))), F.lit(0)).cast("long")
+    return entries.groupBy("tree").agg(F.count("*").alias("entries"), size(F.col("present")).alias("total_bytes"), size(F.col("present") & F.col("stored")).alias("stored_bytes"), F.count_if("capture_failed").alias("failed"), F.bool_and(F.col("path").isNotNull()).alias("complete"))
+
+
 #: What each issue is, and which compare a ledger with a store and so need that nobody writes meanwhile.
 CLASSES = {
     "refused key": ["ForeignStoreDir", "UnreadableStoreRoot", "StoreKeyCollision", "UnreconcilableKey", "QuarantineForeignRoot"],

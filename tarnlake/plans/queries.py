@@ -131,6 +131,12 @@ def _(s, d):
     return search.contains_trigrams(t.entries(s, d), "Tion")
 
 
+@query("search_trigram_index", "SELECT entry_uuid, session_uuid FROM entries WHERE contains(lower(text), 'rention')")
+def _(s, d):
+    held = _kept(s, d, "trigrams", lambda folder: postings.Index(s, folder, tokenizer=postings.TRIGRAMS).build(t.entries(s, d)))
+    return held.bm25(search.Query(phrases=["renTion"])).select("entry_uuid", "session_uuid")
+
+
 @query("search_snippet")
 def _(s, d):
     return search.snippet(t.entries(s, d), "the")
@@ -725,6 +731,33 @@ def _(s, d):
     return retention.retained(x.unionByName(x.withColumn("sha256", F.lit("later")).withColumn("no", F.col("no") + 10**9)), x.where("no % 6 > 0"))
 
 
+#: Live files that are read, that can't be read (with a prior entry that was stored and is there, was stored and is gone, wasn't stored, or without one), and prior entries without a file, twice, or that can't be decoded.
+_SALVAGE = """, x AS (SELECT source AS tree, 'a/' || doc_id AS path, doc_id % 8 AS k, n_chars AS bytes, sha256(text) AS sha FROM documents),
+ e AS (SELECT tree, path, path AS shown, bytes, true AS present, k > 0 AS capture_failed, k IN (0, 1) AS stored, CASE k WHEN 0 THEN sha WHEN 1 THEN 'prior' END AS source_sha256, k = 1 AS quarantined FROM x WHERE k < 5
+   UNION ALL SELECT tree, path, path, bytes, false, false, true, 'prior', true FROM x WHERE k IN (5, 6) UNION ALL SELECT tree, NULL, path, bytes, true, false, true, 'prior', true FROM x WHERE k = 7)"""
+
+
+def _salvaged(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("doc_id") % 8
+    x = t.table(s, d, "documents").select(F.col("source").alias("tree"), F.concat(F.lit("a/"), "doc_id").alias("path"), k.alias("k"), F.col("n_chars").alias("bytes"), F.sha2("text", 256).alias("sha"))
+    live = x.where("k < 5").select("tree", "path", "bytes", (F.col("k") == 0).alias("readable"), (F.col("k") == 0).alias("stored"), F.col("sha").alias("source_sha256"), F.col("sha").alias("content_sha256"), F.lit(False).alias("quarantined"))
+    entry = lambda stored, sha, no: x.select(
+        "tree", F.when(F.col("k") < 7, F.col("path")).alias("path"), F.col("path").alias("shown"), "bytes", F.lit(True).alias("present"), F.lit(False).alias("capture_failed"), stored.alias("stored"), F.lit(sha).alias("source_sha256"), F.lit(sha).alias("content_sha256"), F.lit(True).alias("quarantined"), F.lit(no).alias("no"), "k",
+    )
+    prior = entry(F.col("k") != 3, "prior", 0).where("k <> 4").unionByName(entry(F.lit(True), "later", 1).where("k in (1, 3, 6)")).drop("k")
+    return retention.salvaged(prior, live, x.where("k in (1, 3, 4)").select("tree", "path"))
+
+
+@query("manifest_salvage", f"{_SALVAGE} SELECT * FROM e")
+def _(s, d):
+    return _salvaged(s, d).drop("content_sha256")
+
+
+@query("manifest_totals", f"{_SALVAGE} SELECT tree, count(*) AS entries, coalesce(sum(bytes) FILTER (present), 0)::BIGINT AS total_bytes, coalesce(sum(bytes) FILTER (present AND stored), 0)::BIGINT AS stored_bytes, count(*) FILTER (capture_failed) AS failed, bool_and(path IS NOT NULL) AS complete FROM e GROUP BY tree")
+def _(s, d):
+    return retention.manifest_totals(_salvaged(s, d))
+
+
 #: What a case of law S has: whether an artifact is there, whether and as what it is claimed, and the issues that follow, as the law's own tests have them.
 _LAW_S_CASES = [
     ("clean", True, ["claim"], []), ("absent", False, ["claim"], ["MissingArtifact"]), ("wrong", True, ["other"], ["ContentMismatch"]), ("legacy", True, ["unhashed"], ["NoContentHash"]),

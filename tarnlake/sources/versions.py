@@ -78,3 +78,13 @@ class Versions:
         if not self._fs.rename(made, name):
             self._fs.delete(made, False)
             raise Conflict(f"version {number} is there")
+
+    def forget(self, number: int) -> None:
+        """Deletes a version and the folders that only it names, of it and the two after it."""
+        if number < 1 or not self._fs.exists(self._at(f"versions/{number}.json")):
+            return
+        named = lambda n: {f for b in self.read(n)["buckets"].values() for f in b["tables"].values()}
+        kept = set().union(*(named(n) for n in (number + 1, number + 2) if self._fs.exists(self._at(f"versions/{n}.json"))))
+        for folder in named(number) - kept:
+            self._fs.delete(self._at(folder), True)
+        self._fs.delete(self._at(f"versions/{number}.json"), False)

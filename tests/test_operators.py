@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from tarnlake.functions.units import parse_duration, parse_size, show_duration
 from tarnlake.operators import index, ledger, paths, retention, scanning, scratch, search, transcripts
 from tarnlake.sources import files
-from tarnlake.streaming.capture import LEDGER, capture_stream
+from tarnlake.sources.versions import Versions
+from tarnlake.streaming import capture as stream
 
 
 def test_units():
@@ -150,12 +151,32 @@ def test_stream_is_idempotent(spark, tmp_path):
     last = {}
     for n, content in enumerate([b"a\n", b"a\nb\npart", b"a\nb\npart"]):
         spark.createDataFrame([("f", content)], schema).write.mode("append").parquet(source)
-        q = capture_stream(spark, spark.readStream.schema(schema).parquet(source), str(tmp_path / "ledger"), str(tmp_path / "cp"))
+        q = stream.capture_stream(spark, spark.readStream.schema(schema).parquet(source), str(tmp_path / "ledger"), str(tmp_path / "cp"))
         q.awaitTermination()
-        last[n] = spark.read.schema(LEDGER).parquet(str(tmp_path / f"ledger/v{n}")).first()
+        last[n] = stream.ledger(spark, str(tmp_path / "ledger")).first()
     assert [last[n]["offset"] for n in range(3)] == [2, 4, 4] and last[1] == last[2]
 
 
+def test_a_batch_writes_the_buckets_of_its_paths(spark, tmp_path):
+    import os
+
+    d = str(tmp_path / "ledger")
+    rows = lambda names, content: spark.createDataFrame([(f"/f{k}", content) for k in names], "path string, content binary")
+    stream.merged(spark, rows(range(60), b"a\n"), 0, d, buckets=16)
+    stream.merged(spark, rows([3], b"a\nb\n"), 1, d)
+    folders = lambda n: sorted(f for f in os.listdir(f"{d}/rows/version={n}") if f.startswith("bucket="))
+    assert len(folders(1)) > 8 and len(folders(2)) == 1
+    now = {r.path: r.offset for r in stream.ledger(spark, d).collect()}
+    assert now == {f"/f{k}": 4 if k == 3 else 2 for k in range(60)}
+    # a batch that comes again counts once, even with other rows
+    stream.merged(spark, rows([3, 4], b"a\nb\nc\n"), 1, d)
+    assert Versions(spark, d).latest() == 2 and stream.ledger(spark, d, 1).where("path = '/f3'").first().offset == 2
+    stream.merged(spark, rows([3], b"a\nb\nc\n"), 2, d)
+    assert {r.path: r.offset for r in stream.ledger(spark, d).collect()} == {**now, "/f3": 6}
+    # the version before the last can still be read, the one before that is gone, and so is the folder only it named
+    assert stream.ledger(spark, d, 2).count() == 60 and not os.path.exists(f"{d}/versions/1.json") and len(folders(1)) == len({*folders(1)} - {*folders(2)})
+
+
 def test_files(spark, tmp_path):
     base = tmp_path / "root/projects/slug"
     (base / "u1/subagents").mkdir(parents=True)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.operators import archive, ledger, postings, scanning, search, transcripts
 from tarnlake.sources import tables as t
+from tarnlake.sources import versions
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,12 +21,40 @@ def test_index_and_plain_search_agree(spark, tmp_path):
     now = e.where("artifact_id % 3 = 2").unionByName(changed)
     for text in ("the of", "dorch", "cas", "dorch:cas"):
         assert synced.bm25(search.parse(text)).collect() == search.bm25(now, search.parse(text)).collect()
-    before, postings.TOKENIZER = postings.TOKENIZER, "another"
-    with pytest.raises(ValueError):
-        synced.sync(changed.limit(0), changed.limit(0))
-    again = synced.sync(changed.limit(0), changed.limit(0), reindex=True)
-    postings.TOKENIZER = before
-    assert again.table("postings").count() == synced.table("postings").count()
+    other = postings.Index(spark, str(tmp_path / "a"), tokenizer=postings.TRIGRAMS)
+    for refused in (lambda: other.sync(changed.limit(0), changed.limit(0)), lambda: other.bm25(search.parse("the"))):
+        with pytest.raises(ValueError, match="another tokenizer"):
+            refused()
+    again = other.sync(changed.limit(0), changed.limit(0), reindex=True)
+    assert again.table("totals").first()["tokenizer"] == postings.TRIGRAMS and again.table("documents").count() == synced.table("documents").count()
+    back = postings.Index(spark, str(tmp_path / "a"), tokenizer=postings.TOKENIZER).sync(changed.limit(0), changed.limit(0), reindex=True)
+    assert back.table("postings").count() == synced.table("postings").count()
+
+
+def test_versions_stay_and_buckets_are_kept(spark, tmp_path):
+    e = t.entries(spark, SF)
+    first = postings.Index(spark, str(tmp_path), per_bucket=4).build(e)
+    n = first.table("documents").count()
+    changed = e.where("artifact_id = 9").limit(1).withColumn("text", F.lit("Dőrch"))
+    second = first.sync(changed, e.where("artifact_id = 10"))
+    assert second.touched(1) == [2] and first.table("documents").count() == n and [r.entry_uuid for r in second.bm25(search.parse("dorch")).collect()] == [changed.first().entry_uuid]
+    assert second.table("documents").where("artifact_id in (9, 10)").count() == 1
+    with pytest.raises(versions.Conflict):
+        first.sync(changed, changed)
+    assert postings.Index(spark, str(tmp_path)).version == 2 and second.sync(e.where("false"), e.where("artifact_id between 8 and 11")).touched(2) == [2]
+
+
+def test_trigrams(spark, tmp_path):
+    rows = [("a", 1, "s", "設計レビュー 思兼課長の索引方針について"), ("b", 1, "s", "ABCabcABC"), ("c", 2, "s", "ab"), ("d", 2, None, None), ("e", 3, "s", "x😀y😀z"), ("f", 3, "s", "bca abd"), ("g", 4, "s", "")]
+    e = spark.createDataFrame(rows, "entry_uuid string, artifact_id long, session_uuid string, text string")
+    index = postings.Index(spark, str(tmp_path), tokenizer=postings.TRIGRAMS).build(e)
+    found = lambda term: [r.entry_uuid for r in index.bm25(search.Query(phrases=[term])).collect()]
+    assert found("思兼課") == ["a"] and found("思兼課長の索引方針") == ["a"] and found("思兼") == [] and found("思課長") == []
+    assert found("cab") == ["b"] and found("BCABCA") == ["b"] and found("abcabcabcabc") == [] and found("y😀z") == ["e"] and found("ab") == [] and found("abc abd") == []
+    for term in ("abca", "BCA", "abd"):
+        assert sorted(found(term)) == sorted(r[0] for r in rows if r[3] and term.lower() in r[3].lower())
+    plan = index.bm25(search.Query(phrases=["思兼課長"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "documents" not in plan and "text#" not in plan
 
 
 def test_folding_covers_latin_letters(spark):
