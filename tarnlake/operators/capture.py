@@ -7,7 +7,6 @@ folders anew and goes through. So no row of the ledger lacks its bytes, and no r
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -36,6 +35,8 @@ class Run:
 
     number: int
     counts: dict[str, int] = field(default_factory=dict)
+    buckets: dict = field(default_factory=dict, repr=False)
+    schema: dict = field(default_factory=dict, repr=False)
 
 
 class Store:
@@ -89,6 +90,24 @@ def _write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def _merge(store: Store, run: Run, new: DataFrame, after: Callable[[str], None]) -> None:
+    """Writes the ledger's buckets of new rows, in which they replace those of their paths."""
+    versions = store._versions
+    held = versions.read(versions.latest())
+    touched = {str(r[0]) for r in new.select(store._bucket()).distinct().collect()}
+    stay = versions.table(versions.latest(), "rows", touched).drop("bucket") if held["buckets"] else store.spark.createDataFrame([], LEDGER)
+    merged = stay.select(*new.columns).join(new.select(F.col("source_path").alias("n")), F.col("source_path") == F.col("n"), "left_anti").unionByName(new)
+    folders, schema = versions.write(run.number, "rows", merged.withColumn("bucket", store._bucket()).repartition("bucket"))
+    run.buckets = {b: v for b, v in held["buckets"].items() if b not in touched} | {b: {"tables": {"rows": f}} for b, f in folders.items()}
+    run.schema = schema
+    after("ledger")
+
+
+def _commit(store: Store, run: Run) -> None:
+    """Makes the ledger that a run wrote the last version."""
+    store._versions.commit(run.number, {"buckets": run.buckets, "schemas": {"rows": run.schema}, "about": {"buckets": store.buckets, "counts": run.counts}})
+
+
 def capture(
     store: Store, sources: DataFrame, now: str, *, allow: list[str] | None = None, scan: bool = True, quarantine_all: bool = False,
     write_originals: Callable[[DataFrame, str], None] = _write, after: Callable[[str], None] = lambda step: None,
@@ -144,14 +163,66 @@ def capture(
         (F.when(F.col("grows"), F.col("old_stored")).otherwise(F.lit(0)) + F.col("bytes")).cast("long").alias("stored_bytes"), (F.col("was_redacted") | F.coalesce("old_redacted", F.lit(False))).alias("redacted"),
         F.col("needs_quarantine").alias("quarantined"), "findings", F.when(F.col("grows"), F.concat("old_frames", one)).otherwise(one).alias("frames"), F.lit(now).alias("captured_at"),
     )
-    held = versions.read(versions.latest())
-    touched = {str(r[0]) for r in new.select(store._bucket()).distinct().collect()}
-    stay = versions.table(versions.latest(), "rows", touched).drop("bucket") if held["buckets"] else spark.createDataFrame([], LEDGER)
-    merged = stay.select(*new.columns).join(new.select(F.col("source_path").alias("n")), F.col("source_path") == F.col("n"), "left_anti").unionByName(new)
-    folders, schema = versions.write(run.number, "rows", merged.withColumn("bucket", store._bucket()).repartition("bucket"))
-    after("ledger")
-    buckets = {b: v for b, v in held["buckets"].items() if b not in touched} | {b: {"tables": {"rows": f}} for b, f in folders.items()}
+    _merge(store, run, new, after)
     run.counts = {**seen.get, **found.get, **stored.get}
     run.counts["refused"] = run.counts["scanned"] - run.counts["written"]
-    versions.commit(run.number, {"buckets": buckets, "schemas": {"rows": schema}, "about": {"buckets": store.buckets, "counts": json.loads(json.dumps(run.counts))}})
+    _commit(store, run)
     return run
+
+
+def rescan(
+    store: Store, now: str, *, allow: list[str] | None = None, write_originals: Callable[[DataFrame, str], None] = _write, after: Callable[[str], None] = lambda step: None,
+) -> Run:
+    """Scans all that a store holds by the present rules and writes back what changes, in the steps of capture().
+
+    Contents are scanned as stored ones, whose placeholders are the redactor's own; what is one quarantine marker and recorded as
+    quarantined is passed over. A content that a second scan would change again isn't written, and counts as `unstable`. What needs
+    quarantine goes on only if the content before the change is found among the originals written. A changed path has one frame,
+    the hashes and sizes of its new content, is marked redacted, and stays quarantined if it was; what tells its source, and the
+    source's part that it covers, stay. Contents that don't change are not written.
+    """
+    spark, versions = store.spark, store._versions
+    run = Run(versions.latest() + 1)
+    folder = lambda name: f"{store.path}/{name}/run={run.number}"
+    rows = store.ledger()
+    held = store.contents().select(F.col("source_path").alias("p"), "content")
+    marker = F.decode("content", "UTF-8").rlike(r"(?U)^\s*‹QUARANTINED:[^›]*›\s*$") & F.is_valid_utf8(F.col("content").cast("string"))
+    live = rows.select("source_path", "role", F.col("quarantined").alias("was_quarantined")).join(held, F.col("source_path") == F.col("p")).drop("p").where(~(F.col("was_quarantined") & marker))
+    once = archive.scan_artifacts(live, allow, trust_tags=True).where("redacted <> content")
+    kept = ["source_path", "role", "was_quarantined", "needs_quarantine", "findings", "content", "redacted"]
+    again = archive.scan_artifacts(once.select("source_path", "role", "was_quarantined", F.struct(*kept).alias("first"), F.col("redacted").alias("content")), allow, trust_tags=True)
+    # a marker is its own fix-point: it is never scanned again
+    whole = F.decode("first.redacted", "UTF-8").rlike(r"(?U)^\s*‹QUARANTINED:[^›]*›\s*$") & F.col("first.needs_quarantine")
+    seen = Observation("rescan")
+    judged = again.select("first.*", (whole | (F.col("redacted") == F.col("content"))).alias("stable"))
+    judged = judged.observe(seen, F.count("*").alias("changed"), F.count_if(~F.col("stable")).alias("unstable"), F.count_if("needs_quarantine").alias("needing_quarantine"))
+    _write(judged, folder("scanned"))
+    after("scanned")
+    judged = spark.read.schema(judged.schema).parquet(folder("scanned")).where("stable")
+    write_originals(judged.where("needs_quarantine").select("source_path", "content"), folder("originals"))
+    after("originals")
+    there = spark.read.schema("source_path string, content binary").parquet(folder("originals")).select(F.col("source_path").alias("p"), F.sha2("content", 256).alias("h"))
+    safe = judged.where("needs_quarantine").join(there, (F.col("source_path") == F.col("p")) & (F.sha2("content", 256) == F.col("h")), "left_semi")
+    safe = judged.where("not needs_quarantine").unionByName(safe)
+    frame = files.encoded(safe.select(F.col("source_path").alias("path"), F.col("redacted").alias("content"))).withColumnRenamed("path", "source_path")
+    stored = Observation("rescan frames")
+    _write(frame.observe(stored, F.count("*").alias("written"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("bytes_stored")), folder("frames"))
+    after("frames")
+    size = spark.read.schema("source_path string, content binary").parquet(folder("frames")).select(F.col("source_path").alias("f"), F.octet_length("content").cast("long").alias("bytes"))
+    c = safe.select(F.col("source_path").alias("s"), F.sha2("redacted", 256).alias("sha"), F.octet_length("redacted").cast("long").alias("n"), "needs_quarantine", F.col("findings").alias("found")).join(size, F.col("s") == F.col("f"))
+    new = rows.join(c, F.col("source_path") == F.col("s")).select(
+        "source_path", "role", "session_uuid", "source_sha256", "source_bytes", F.col("sha").alias("content_sha256"), F.col("n").alias("content_bytes"), F.col("bytes").alias("stored_bytes"), F.lit(True).alias("redacted"),
+        (F.col("quarantined") | F.col("needs_quarantine")).alias("quarantined"), F.col("found").alias("findings"),
+        F.array(F.struct(F.lit(run.number).cast("long").alias("run"), F.lit(0).cast("long").alias("src_offset"), F.col("source_bytes").alias("src_len"), "bytes")).alias("frames"), F.lit(now).alias("captured_at"),
+    )
+    _merge(store, run, new, after)
+    run.counts = {**seen.get, **stored.get}
+    run.counts["refused"] = run.counts["changed"] - run.counts["unstable"] - run.counts["written"]
+    _commit(store, run)
+    return run
+
+
+def status(ledger: DataFrame) -> DataFrame:
+    """One row of a ledger's counts and bytes, those of the sources and those stored; zeros for an empty one."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return ledger.agg(F.count("*").alias("artifacts"), F.count_distinct("session_uuid").alias("sessions"), F.count_if("redacted").alias("redacted"), F.count_if("quarantined").alias("quarantined"), total("source_bytes"), total("stored_bytes"), total("content_bytes"))

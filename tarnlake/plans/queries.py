@@ -441,6 +441,21 @@ def _(s, d):
     return s.createDataFrame([tuple(counts[c] for c in ("skipped", "written", "redacted"))], "skipped long, written long, redacted long")
 
 
+@query("rescan_apply", f"{_LIVE} SELECT source_path, stored AS content, k = 1 OR len(hits) > 0 AS redacted, k = 1 AS quarantined, CASE WHEN k = 1 OR len(hits) > 0 THEN '2024-01-03T00:00:00' ELSE '2024-01-02T00:00:00' END AS captured_at FROM r")
+def _(s, d):
+    store = capture.Store(s, f"{_shared(s)}/store-{uuid.uuid4().hex}", buckets=8)
+    capture.capture(store, _live(s, d, second=True), "2024-01-02T00:00:00", scan=False)
+    capture.rescan(store, "2024-01-03T00:00:00")
+    text = store.contents().select(F.col("source_path").alias("p"), F.decode("content", "UTF-8").alias("content"))
+    return store.ledger().join(text, F.col("source_path") == F.col("p")).select("source_path", "content", "redacted", "quarantined", "captured_at")
+
+
+@query("status_stored", f"{_LIVE} SELECT count(*) AS artifacts, 1::BIGINT AS sessions, count(*) FILTER (k = 1 OR len(hits) > 0) AS redacted, count(*) FILTER (k = 1) AS quarantined, sum(strlen(content))::BIGINT AS source_bytes, sum(strlen(stored))::BIGINT AS content_bytes, true AS stored FROM r")
+def _(s, d):
+    row = capture.status(_captured_twice(s, d)[0].ledger())
+    return row.withColumn("stored", F.col("stored_bytes") > 0).drop("stored_bytes")
+
+
 _GATED = """, x AS (SELECT doc_id AS id, doc_id % 8 AS k, text FROM documents)
  SELECT id, CASE k WHEN 1 THEN 'non-utf8' WHEN 2 THEN 'utf16-ambiguous' WHEN 3 THEN 'malformed-jsonl' WHEN 4 THEN 'escape-hidden-secret' WHEN 5 THEN 'escape-hidden-secret' END AS why, k IN (0, 6, 7) AS scanned, k BETWEEN 1 AND 5 AS needs_quarantine, CASE WHEN k = 6 THEN 1 ELSE 0 END::BIGINT AS flagged,
   CASE k WHEN 1 THEN 'high' WHEN 2 THEN 'high' WHEN 3 THEN 'high' WHEN 4 THEN 'high' WHEN 5 THEN 'high' WHEN 6 THEN 'low' END AS severity FROM x"""

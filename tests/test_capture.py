@@ -81,6 +81,36 @@ def test_without_its_original_nothing_is_stored(spark, tmp_path):
     assert (again.counts["written"], again.counts["skipped"]) == (2, 6) and {"/key", "/utf"} <= _state(store)[0].keys()
 
 
+def test_rescan(spark, tmp_path):
+    """What was stored without a scan is redacted where it lies; a second run finds nothing more."""
+    store = capture.Store(spark, str(tmp_path), buckets=4)
+    capture.capture(store, _sources(spark), "1", scan=False)
+    rows, contents = _state(store)
+    assert contents["/key"].decode() == f"a {KEY} b" and not any(r[3] or r[4] for r in rows.values()) and contents["/broken"] == b'{"half\n'
+
+    def stop(at):
+        if at == "ledger":
+            raise OSError(at)
+
+    with pytest.raises(OSError, match="ledger"):
+        capture.rescan(store, "2", after=stop)
+    assert _state(store) == (rows, contents)
+    run = capture.rescan(store, "2")
+    assert {k: run.counts[k] for k in ("changed", "unstable", "needing_quarantine", "written", "refused")} == {"changed": 4, "unstable": 0, "needing_quarantine": 3, "written": 4, "refused": 0}
+    now, after = _state(store)
+    assert after["/key"].decode() == f"a ‹REDACTED:aws-key:{scanning.tag(KEY)}› b" and now["/key"][3:] == (True, True, 1) and now["/key"][:2] == rows["/key"][:2]
+    assert after["/broken"].startswith("‹QUARANTINED:malformed-jsonl:".encode()) and now["/grown"][3:5] == (True, False) and now["/same"] == rows["/same"]
+    kept = {r.source_path: bytes(r.content) for r in spark.read.parquet(f"{tmp_path}/originals/run=2").collect()}
+    assert kept == {"/key": contents["/key"], "/broken": contents["/broken"], "/utf": contents["/utf"]}
+    third = capture.rescan(store, "3")
+    assert third.counts["changed"] == 0 and _state(store) == (now, after)
+    s = capture.status(store.ledger()).first()
+    assert (s.artifacts, s.sessions, s.redacted, s.quarantined) == (8, 2, 4, 3) and s.stored_bytes == sum(f.bytes for r in store.ledger().collect() for f in r.frames)
+    # a growing file that was rescanned is captured whole again, as its stored beginning is another
+    capture.capture(store, _sources(spark, second=True), "4")
+    assert _state(store)[1]["/t"] == LINE * 3
+
+
 def test_gates_of_a_scan(spark):
     hidden = "AK\\u0049A" + KEY[4:]
     rows = [
