@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.functions.steps import step
 from tarnlake.operators import scanning, transcripts
 
 #: Roles whose entries are indexed line by line, and roles that are one document.
@@ -126,12 +127,12 @@ def scan_artifacts(artifacts: DataFrame, allow: list[str] | None = None, *, scan
     x = artifacts.withColumn("__d", scanning.decoded_column(F.col("content")))
     text = F.coalesce("__d.text", F.lit(""))
     forged = F.lit(False) if trust_tags else scanning.redacted_mark(text)
-    x = scanning.step(x, [*kept, "__d"], __forged=forged, __clean=text if trust_tags else scanning.harmless(text))
+    x = step(x, [*kept, "__d"], __forged=forged, __clean=text if trust_tags else scanning.harmless(text))
     lines = F.coalesce(F.col("role").isin(JSON_LINES), F.lit(False))
-    x = scanning.step(x, [*kept, "__forged", "__clean"], __first=F.coalesce("__d.reason", F.when(lines & _malformed("__clean"), "malformed-jsonl")))
+    x = step(x, [*kept, "__forged", "__clean"], __first=F.coalesce("__d.reason", F.when(lines & _malformed("__clean"), "malformed-jsonl")))
     hidden = scanning.hides_column(F.when(F.col("__first").isNull(), F.col("__clean")), lines, allow)
     x = x.withColumn("__hidden", hidden)
-    x = scanning.step(x, [*kept, "__forged", "__clean"], __why=F.coalesce("__first", F.when(F.col("__hidden"), "escape-hidden-secret")))
+    x = step(x, [*kept, "__forged", "__clean"], __why=F.coalesce("__first", F.when(F.col("__hidden"), "escape-hidden-secret")))
     # an artifact that is set aside is not scanned: its text goes through empty
     x = x.withColumn("__text", F.when(F.col("__why").isNull(), F.col("__clean")).otherwise(""))
     out = _judged(x, raw, allow, quarantine_all=quarantine_all)

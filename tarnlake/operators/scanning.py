@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.functions.steps import step
+
 #: Kind, severity and pattern of every detector; the order settles ties.
 DETECTORS = [
     ("aws-key", "high", r"A(?:KIA|SIA)[0-9A-Z]{16}"),
@@ -97,11 +99,6 @@ def _fold(items: str, state: str, out: str, now: str, found: str) -> str:
     return f"CASE WHEN size({items}) > 0 THEN aggregate({runs}, named_struct('state', {state}, 'out', cast(array() AS array<array<{out}>>)), (a, r) -> {run}, a -> flatten(a.out)) END"
 
 
-def step(df: DataFrame, kept: list[str], **columns: Column) -> DataFrame:
-    """The kept columns of df and new ones, each worked out once: what generates rows is not merged with what reads them, nor are filters pushed below it."""
-    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
-
-
 _SPAN = "struct<at:bigint,grade:int,back:bigint,no:int,found:string>"
 
 

@@ -11,6 +11,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.functions.steps import step
+
 #: Search fields and the entry columns they name.
 FACETS = {"project": "project_slug", "session": "session_uuid", "agent": "agent", "role": "role", "tool": "tool_name", "branch": "git_branch", "cwd": "cwd"}
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -125,14 +127,43 @@ def contains_trigrams(entries: DataFrame, term: str) -> DataFrame:
     return entries.where(F.contains(F.lower("text"), F.lit(term.lower())) & F.lit(len(term) >= 3)).select("entry_uuid", "session_uuid")
 
 
-def snippet(entries: DataFrame, phrase: str, context: int = 12) -> DataFrame:
-    """(entry_uuid, snippet): so many tokens (1 to 64) from a little before the first hit on, the hit in brackets."""
-    context = min(64, max(1, context))
-    p = folded_phrase(phrase)
-    before = F.array_compact(F.slice(F.reverse(F.split(F.trim(F.split_part("norm", F.lit(f" {p} "), F.lit(1))), " ")), 1, context // 2))
-    after = F.slice(F.split(F.trim(F.expr(f"substr(norm, locate(' {p} ', norm) + {len(p) + 1})")), " "), 1, context - context // 2)
-    hit = entries.select("entry_uuid", normal(F.col("text")).alias("norm")).where(F.contains("norm", F.lit(f" {p} ")))
-    return hit.select("entry_uuid", F.trim(F.concat_ws(" ", F.array_join(F.reverse(before), " "), F.lit(f"[{p}]"), F.array_join(after, " "))).alias("snippet"))
+#: A token as it stands in a text: what normal() makes one token of.
+TOKEN = r"\p{Mn}*[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*"
+
+
+def snippet(entries: DataFrame, phrases: str | list[str], context: int = 12) -> DataFrame:
+    """(entry_uuid, snippet) of entries with any of the phrases: the best window of so many tokens (1 to 64), hits in brackets.
+
+    Of windows that begin with a hit the one with the most different phrases counts, then the one with the most hits, then the
+    first; hits count if they end within it. It is then moved to have them in its middle, as far as the text goes. The text stands
+    as it is; where it is cut, there is an ellipsis, and hits that overlap share their brackets. One row's expressions do it all:
+    a window looks at no more hits than it has room for, so the time is linear in a text's hits.
+    """
+    words = [w for w in (folded_phrase(p).split() for p in ([phrases] if isinstance(phrases, str) else phrases)) if w]
+    size = min(64, max(1, context))
+    if not words:
+        return entries.where("false").select("entry_uuid", F.lit("").alias("snippet"))
+    folded = lambda t: F.translate(F.regexp_replace(F.lower(t), r"\p{Mn}", ""), *FOLD)
+    x = step(entries.select("entry_uuid", F.coalesce("text", F.lit("")).alias("text")), ["entry_uuid"], tok=F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), gap=F.split("text", TOKEN, -1))
+    x = step(x, ["entry_uuid", "tok", "gap"], norm=F.transform("tok", folded), n=F.size("tok"))
+    found = []
+    for no, w in enumerate(words):
+        same = " AND ".join(f"get(norm, i + {k}) = '{t}'" for k, t in enumerate(w))
+        found.append(f"CASE WHEN n >= {len(w)} THEN transform(filter(sequence(0, n - {len(w)}), i -> {same}), i -> named_struct('at', i, 'size', {len(w)}, 'no', {no})) ELSE array() END")
+    x = step(x, ["entry_uuid", "tok", "gap", "n"], hits=F.expr(f"array_sort(concat({', '.join(found)}))")).where("size(hits) > 0")
+    within = f"filter(slice(hits, k + 1, {size * len(words)}), x -> x.at + x.size <= h.at + {size})"
+    score = "size(array_distinct(transform(w, x -> x.no))) * 999 + size(w)"
+    last = f"coalesce(array_max(transform(w, x -> x.at + x.size)), h.at + {size})"
+    windows = f"transform(hits, (h, k) -> transform(array({within}), w -> named_struct('score', {score}, 'back', -h.at, 'last', {last}))[0])"
+    x = step(x, ["entry_uuid", "tok", "gap", "n", "hits"], best=F.expr(f"array_max({windows})"))
+    x = step(x, ["entry_uuid", "tok", "gap", "n", "hits"], start=F.expr(f"greatest(0, least(-best.back - cast(floor(({size} - (best.last + best.back)) / 2) AS int), n - {size}))"))
+    x = step(x, ["entry_uuid", "tok", "gap", "n", "start"], upto=F.expr(f"least(start + {size}, n)"), inside=F.expr(f"filter(hits, x -> x.at >= start AND x.at + x.size <= least(start + {size}, n))"))
+    covered = "exists(inside, x -> x.at <= i AND i < x.at + x.size)"
+    opens = f"CASE WHEN {covered} AND NOT exists(inside, x -> x.at < i AND i < x.at + x.size) THEN '[' ELSE '' END"
+    closes = f"CASE WHEN {covered} AND NOT exists(inside, x -> x.at <= i AND i + 1 < x.at + x.size) THEN ']' ELSE '' END"
+    shown = f"array_join(transform(sequence(start, upto - 1), i -> concat(CASE WHEN i > start THEN get(gap, i) ELSE '' END, {opens}, get(tok, i), {closes})), '')"
+    ends = "CASE WHEN start > 0 THEN '… ' ELSE get(gap, 0) END", "CASE WHEN upto < n THEN ' …' ELSE get(gap, n) END"
+    return x.select("entry_uuid", F.expr(f"concat({ends[0]}, {shown}, {ends[1]})").alias("snippet"))
 
 
 def thread(entries: DataFrame, session: str, *, agents: bool = False, grep: str | None = None) -> DataFrame:

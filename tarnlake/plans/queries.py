@@ -137,9 +137,22 @@ def _(s, d):
     return held.bm25(search.Query(phrases=["renTion"])).select("entry_uuid", "session_uuid")
 
 
-@query("search_snippet")
-def _(s, d):
-    return search.snippet(t.entries(s, d), "the")
+#: The window is found by joining every hit with the hits that end within it, and put together again token by token.
+_SNIPPET = f""", n0 AS (SELECT entry_uuid, regexp_extract_all(text, '[\\pL\\pN\\p{{Mn}}]+') AS tok, string_split_regex(text, '[\\pL\\pN\\p{{Mn}}]+') AS gap, string_split(trim({_NORMAL}), ' ') AS norm FROM entries),
+ p AS (SELECT entry_uuid, len(tok) AS n, norm, unnest(range(0, len(tok))) AS i FROM n0),
+ h AS (SELECT entry_uuid, n, i, 2 AS size, 'of the' AS no FROM p WHERE norm[i + 1] = 'of' AND norm[i + 2] = 'the' UNION ALL SELECT entry_uuid, n, i, 1, 'in' FROM p WHERE norm[i + 1] = 'in' UNION ALL SELECT entry_uuid, n, i, 1, 'the' FROM p WHERE norm[i + 1] = 'the'),
+ w AS (SELECT a.entry_uuid, a.n, a.i, count(DISTINCT b.no) AS kinds, count(*) AS hits, max(b.i + b.size) AS last FROM (SELECT DISTINCT entry_uuid, n, i FROM h) a JOIN h b ON a.entry_uuid = b.entry_uuid AND b.i >= a.i AND b.i + b.size <= a.i + 12 GROUP BY a.entry_uuid, a.n, a.i),
+ best AS (SELECT *, greatest(0, least(i - (12 - (last - i)) // 2, n - 12)) AS first FROM (SELECT *, row_number() OVER (PARTITION BY entry_uuid ORDER BY kinds DESC, hits DESC, i) AS r FROM w) WHERE r = 1),
+ c AS (SELECT entry_uuid, first, least(first + 12, n) AS upto, n, unnest(range(first, least(first + 12, n))) AS k FROM best),
+ m AS (SELECT c.*, tok, gap, (SELECT count(*) FROM h WHERE h.entry_uuid = c.entry_uuid AND h.i >= first AND h.i + size <= upto AND h.i <= k AND k < h.i + size) AS covered,
+   (SELECT count(*) FROM h WHERE h.entry_uuid = c.entry_uuid AND h.i >= first AND h.i + size <= upto AND h.i < k AND k < h.i + size) AS before, (SELECT count(*) FROM h WHERE h.entry_uuid = c.entry_uuid AND h.i >= first AND h.i + size <= upto AND h.i <= k AND k + 1 < h.i + size) AS behind FROM c JOIN n0 USING (entry_uuid))
+ SELECT entry_uuid, any_value(CASE WHEN first > 0 THEN '… ' ELSE gap[1] END) || string_agg(CASE WHEN k > first THEN gap[k + 1] ELSE '' END || CASE WHEN covered > 0 AND before = 0 THEN '[' ELSE '' END || tok[k + 1] || CASE WHEN covered > 0 AND behind = 0 THEN ']' ELSE '' END, '' ORDER BY k)
+   || any_value(CASE WHEN upto < n THEN ' …' ELSE gap[n + 1] END) AS snippet FROM m GROUP BY entry_uuid"""
+
+
+@query("search_snippet", _SNIPPET)
+def _(s, d):
+    return search.snippet(t.entries(s, d), ["of the", "in", "the"])
 
 
 _THREAD = "SELECT entry_uuid, parent_uuid, role, agent, tool_name, timestamp, seq, text FROM entries WHERE session_uuid = '{}'"

@@ -33,7 +33,16 @@ def test_search_without_tokens_or_rows(spark):
     assert search.bm25(e.where("false"), search.parse("epee")).count() == 0
     assert search.matching(e, search.parse("since:2000")).count() == 0
     assert search.contains_trigrams(e, "of").count() == 0 and search.contains_trigrams(e, "LAK").count() == 1
-    assert search.snippet(e, "of the").first()["snippet"] == "epee [of the] lake"
+    assert search.snippet(e, "of the").first()["snippet"] == "Épée [of THE] lake" and search.snippet(e, ["--"]).count() == 0
+
+
+def test_snippets(spark):
+    text = "«Zero» one a. two b; " + "filler " * 20 + "a, b c a b d! " + "filler " * 20 + "a b. END…"
+    e = spark.createDataFrame([("x", text), ("y", "nothing"), ("z", None), ("w", "A\u0301 B")], "entry_uuid string, text string")
+    shown = lambda phrases, n: {r.entry_uuid: r.snippet for r in search.snippet(e, phrases, n).collect()}
+    # the window with most kinds of hits, then most hits; overlapping hits share brackets, neighbours don't
+    assert shown(["a b", "b c", "d"], 7)["x"] == "… [a, b c] [a b] [d]! filler …" and shown(["A", "b"], 6) == {"x": "… [a], [b] c [a] [b] d …", "w": "[A\u0301] [B]"}
+    assert shown("one", 3)["x"] == "«Zero» [one] a …" and shown("end", 4)["x"] == "… filler a b. [END]…" and shown("zero", 64)["x"].startswith("«[Zero]» one a. two b; filler")
 
 
 def _entries(spark, *lines):
