@@ -97,16 +97,32 @@ def tree_totals(admitted: DataFrame) -> DataFrame:
     return admitted.groupBy("tree").agg(F.count("*").alias("files"), F.sum("bytes").cast("long").alias("total_bytes"), s(F.col("not_stored").isNull()).alias("admitted_bytes"), s(F.col("stored")).alias("archived_bytes"), s(~F.col("stored")).alias("unarchived_bytes"), F.bool_or("over_total").alias("over_total"))
 
 
-def tree_coverage(live: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(tree, reason): the first live file, by path, whose content the manifest doesn't cover, and why; '' if all are covered."""
-    m = manifest.select(F.col("tree").alias("mt"), F.col("path").alias("mp"), "stored", F.col("bytes").alias("mb"), "source_sha256", "content_sha256", "capture_failed")
-    x = live.join(m, (F.col("tree") == F.col("mt")) & (F.col("path") == F.col("mp")), "left")
+#: Fixed value: live files of more bytes are not hashed again, so they are never covered.
+MOST_REHASHED = 64 * 1024 * 1024
+
+
+def tree_coverage(live: DataFrame, manifest: DataFrame, store: DataFrame) -> DataFrame:
+    """(tree, reason): the first live file, by path, that the archive doesn't hold as it is, and why; '' if all are covered.
+
+    live: (tree, path, bytes, live_sha256, readable, denied), path null where the name can't be told; manifest: (tree, path, no,
+    blacklisted, capture_failed, stored, bytes, source_sha256, content_sha256), of one path the last by `no`; store: (tree, path,
+    sha256), the hash of the decoded artifact, null if it can't be decoded. Gates, in order: a row of the manifest, no denied entry
+    or failed capture; a file that isn't stored needs the recorded size only; a stored one both hashes recorded, a live file that
+    may be opened, has the recorded size and is not over MOST_REHASHED, its hash, and the artifact's.
+    """
+    m = manifest.where("path is not null").groupBy(F.col("tree").alias("mt"), F.col("path").alias("mp")).agg(F.max_by(F.struct("blacklisted", "capture_failed", "stored", "bytes", "source_sha256", "content_sha256"), "no").alias("m"))
+    held = store.groupBy(F.col("tree").alias("st"), F.col("path").alias("sp")).agg(F.first("sha256").alias("held"))
+    x = live.join(m, (F.col("tree") == F.col("mt")) & (F.col("path") == F.col("mp")), "left").join(held, (F.col("tree") == F.col("st")) & (F.col("path") == F.col("sp")), "left")
+    none = lambda c: F.coalesce(c, F.lit("")) == ""
     why = (
-        F.when(F.col("mp").isNull(), "NoCatalogRow").when(F.col("capture_failed"), "OpenFailed")
-        .when(~F.col("stored"), F.when(F.col("bytes") != F.col("mb"), "ShaMismatch"))
-        .when(F.coalesce("source_sha256", F.lit("")).eqNullSafe("") | F.coalesce("content_sha256", F.lit("")).eqNullSafe(""), "StoreReverifyFailed").when(F.col("live_sha256") != F.col("source_sha256"), "ShaMismatch")
+        F.when(F.col("mp").isNull(), "NoCatalogRow").when(F.col("m.blacklisted"), "Blacklisted").when(F.col("m.capture_failed"), "OpenFailed")
+        .when(~F.col("m.stored"), F.when(F.col("bytes") != F.col("m.bytes"), "ShaMismatch"))
+        .when(none("m.source_sha256") | none("m.content_sha256"), "StoreReverifyFailed").when(F.col("denied"), "Blacklisted").when(~F.col("readable"), "OpenFailed")
+        .when((F.col("bytes") != F.col("m.bytes")) | (F.col("bytes") > MOST_REHASHED) | ~F.col("live_sha256").eqNullSafe(F.col("m.source_sha256")), "ShaMismatch")
+        .when(~F.col("held").eqNullSafe(F.col("m.content_sha256")), "StoreReverifyFailed")
     )
-    return x.withColumn("why", why).groupBy("tree").agg(F.coalesce(F.min_by("why", F.when(F.col("why").isNotNull(), F.col("path"))), F.lit("")).alias("reason"))
+    # a path that can't be told comes first
+    return x.withColumn("why", why).groupBy("tree").agg(F.coalesce(F.min_by("why", F.when(F.col("why").isNotNull(), F.coalesce("path", F.lit("")))), F.lit("")).alias("reason"))
 
 
 def retained(prior: DataFrame, live: DataFrame) -> DataFrame:

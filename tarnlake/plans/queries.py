@@ -742,15 +742,25 @@ def _(s, d):
     return retention.tree_totals(retention.admission(_scratch(s, d), 5000, 40_000))
 
 
-@query("scratch_coverage", """, x AS (SELECT source AS tree, doc_id, 'a/' || doc_id AS path, CASE WHEN doc_id % 97 = 5 THEN 'NoCatalogRow' WHEN doc_id % 89 = 3 THEN 'OpenFailed' WHEN doc_id % 83 = 7 THEN 'ShaMismatch' END AS why FROM documents)
- SELECT tree, coalesce(arg_min(why, path) FILTER (why IS NOT NULL), '') AS reason FROM x GROUP BY tree""")
+#: What is wrong with a file of a tree, by its number: nothing of most, so that trees differ in their first reason.
+_UNCOVERED = "CASE doc_id % 211 WHEN 5 THEN 'NoCatalogRow' WHEN 17 THEN 'Blacklisted' WHEN 29 THEN 'OpenFailed' WHEN 41 THEN 'ShaMismatch' WHEN 53 THEN 'StoreReverifyFailed' WHEN 67 THEN 'Blacklisted' WHEN 79 THEN 'OpenFailed' WHEN 83 THEN 'ShaMismatch' WHEN 97 THEN 'ShaMismatch' WHEN 101 THEN 'ShaMismatch' WHEN 113 THEN 'StoreReverifyFailed' WHEN 127 THEN 'StoreReverifyFailed' END"
+
+
+@query("scratch_coverage", f", x AS (SELECT source AS tree, 'a/' || doc_id AS path, {_UNCOVERED} AS why FROM documents) SELECT tree, coalesce(arg_min(why, path) FILTER (why IS NOT NULL), '') AS reason FROM x GROUP BY tree")
 def _(s, d):
-    x = t.table(s, d, "documents")
-    i, sha = F.col("doc_id"), F.sha2("text", 256)
-    keys = [F.col("source").alias("tree"), F.concat(F.lit("a/"), i).alias("path"), F.col("n_chars").alias("bytes")]
-    live = x.select(*keys, sha.alias("live_sha256"))
-    manifest = x.where("doc_id % 97 <> 5").select(*keys, F.lit(True).alias("stored"), F.when(i % 83 == 7, "other").otherwise(sha).alias("source_sha256"), sha.alias("content_sha256"), (i % 89 == 3).alias("capture_failed"))
-    return retention.tree_coverage(live, manifest)
+    k, sha = F.col("doc_id") % 211, F.sha2("text", 256)
+    x = t.table(s, d, "documents").select(F.col("source").alias("tree"), F.concat(F.lit("a/"), "doc_id").alias("path"), F.col("n_chars").alias("n"), k.alias("k"), sha.alias("sha"))
+    size = F.when(F.col("k") == 101, F.lit(retention.MOST_REHASHED + 1)).otherwise(F.col("n"))
+    live = x.select("tree", "path", size.alias("bytes"), F.when(F.col("k") == 97, "other").otherwise(F.col("sha")).alias("live_sha256"), (F.col("k") != 79).alias("readable"), (F.col("k") == 67).alias("denied"))
+    recorded = F.when(F.col("k").isin(41, 83), F.col("n") + 1).otherwise(size)
+    manifest = x.where("k <> 5").select(
+        "tree", "path", F.lit(1).alias("no"), (F.col("k") == 17).alias("blacklisted"), (F.col("k") == 29).alias("capture_failed"), (~F.col("k").isin(41, 42)).alias("stored"), recorded.alias("bytes"),
+        F.col("sha").alias("source_sha256"), F.when(F.col("k") == 53, F.lit(None)).otherwise(F.col("sha")).alias("content_sha256"),
+    )
+    # an earlier entry of the same path is not looked at
+    manifest = manifest.unionByName(manifest.where("path like '%7'").withColumn("no", F.lit(0)).withColumn("stored", F.lit(False)).withColumn("bytes", F.lit(-1).cast("long")))
+    store = x.where("k not in (41, 42, 113)").select("tree", "path", F.when(F.col("k") == 127, F.lit(None)).otherwise(F.col("sha")).alias("sha256"))
+    return retention.tree_coverage(live, manifest, store)
 
 
 @query("scratch_retention", ", x AS (SELECT source AS tree, 'a/' || doc_id AS path, sha256(text) AS sha256, doc_id % 6 > 0 AS present FROM documents) SELECT * FROM x")

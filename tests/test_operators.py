@@ -253,6 +253,31 @@ def test_store_laws(spark):
     assert cls(exclusive=True) == alone and cls(exclusive=False) == {**alone, "NoManifest": "unverifiable", "QuarantineStray": "unverifiable"}
 
 
+def test_coverage_of_a_tree(spark):
+    big = retention.MOST_REHASHED + 1
+    ok = dict(live=("p", 3, "h", True, False), entry=("p", 1, False, False, True, 3, "h", "c"), held="c")
+    cases = {
+        "covered": ("", {}), "unknown": ("NoCatalogRow", {"entry": None}), "unnamed": ("NoCatalogRow", {"live": (None, 3, "h", True, False)}), "denied_entry": ("Blacklisted", {"entry": ("p", 1, True, True, True, 3, "h", "c")}),
+        "failed": ("OpenFailed", {"entry": ("p", 1, False, True, True, 3, "h", "c")}), "declined": ("", {"entry": ("p", 1, False, False, False, 3, None, None), "held": None}), "declined_grown": ("ShaMismatch", {"entry": ("p", 1, False, False, False, 2, None, None)}),
+        "unhashed": ("StoreReverifyFailed", {"entry": ("p", 1, False, False, True, 3, "h", None)}), "denied": ("Blacklisted", {"live": ("p", 3, "h", True, True)}), "unreadable": ("OpenFailed", {"live": ("p", 3, None, False, False)}),
+        "grown": ("ShaMismatch", {"live": ("p", 4, "h", True, False)}), "changed": ("ShaMismatch", {"live": ("p", 3, "x", True, False)}), "large": ("ShaMismatch", {"live": ("p", big, "h", True, False), "entry": ("p", 1, False, False, True, big, "h", "c")}),
+        "torn": ("StoreReverifyFailed", {"held": None}), "other": ("StoreReverifyFailed", {"held": "x"}),
+    }
+    live, entries, store = [], [], []
+    for tree, (_, change) in cases.items():
+        c = {**ok, **change}
+        live.append((tree, *c["live"]))
+        entries += [(tree, *c["entry"])] if c["entry"] else []
+        store.append((tree, "p", c["held"]))
+    entries.append(("covered", "p", 0, True, True, False, 9, None, None))
+    got = retention.tree_coverage(
+        spark.createDataFrame(live, "tree string, path string, bytes long, live_sha256 string, readable boolean, denied boolean"),
+        spark.createDataFrame(entries, "tree string, path string, no int, blacklisted boolean, capture_failed boolean, stored boolean, bytes long, source_sha256 string, content_sha256 string"),
+        spark.createDataFrame(store, "tree string, path string, sha256 string"),
+    )
+    assert {r.tree: r.reason for r in got.collect()} == {tree: why for tree, (why, _) in cases.items()}
+
+
 def test_fixed_values(spark):
     key = lambda s, u: spark.range(1).select(ledger.store_key(F.lit(s), F.lit(u))).first()[0]
     import hashlib
