@@ -23,11 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnlake.llm.shared import give_back
+
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O", *(f"{x}-{k}" for k in KINDS for x in "BI")]
 CONTEXT = 4
 #: Rows of the labelled table that are used for training, at most.
 MOST_ROWS = 50_000
+#: Characters of texts that are decoded together, about.
+PART = 1 << 20
 STEPS, RATE, PENALTY = 120, 0.15, 1e-3
 BATCH = 512
 
@@ -326,6 +330,20 @@ def all_spans(texts: list[str], field: Field) -> list[tuple[list[tuple[int, int,
     return out
 
 
+def _spans(texts: list[str], field: Field) -> Iterator[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """all_spans() of the texts of a batch, about PART characters at a time."""
+    at = 0
+    while at < len(texts):
+        part: list[str] = []
+        size = 0
+        while at + len(part) < len(texts) and (not part or size < PART):
+            part.append(texts[at + len(part)])
+            size += len(part[-1])
+        yield from all_spans(part, field)
+        at += len(part)
+    give_back()
+
+
 _field: Field | None = None
 
 
@@ -344,7 +362,7 @@ def _scan(field: Field):
         names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
         said = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
         for b in batches:
-            found = all_spans([t or "" for t in b.column(1).to_pylist()], field)
+            found = list(_spans([t or "" for t in b.column(1).to_pylist()], field))
             counts = [pa.array([sum(s[0] == k for s in own) for own, _ in found], pa.int64()) for k in range(4)]
             digest = pa.array([sha256(said(own).encode()).hexdigest() for own, _ in found], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, digest, pa.array([said(every) for _, every in found], pa.string())], names)
@@ -367,7 +385,7 @@ def _redact(field: Field, at: int, chars: int | None):
         for b in batches:
             texts = b.column(at).to_pylist()
             out = []
-            for text, (_, spans) in zip(texts, all_spans([t or "" for t in texts], field), strict=True):
+            for text, (_, spans) in zip(texts, _spans([t or "" for t in texts], field), strict=True):
                 parts, last = [], 0
                 for a, e, k in sorted((a, e, k) for k, a, e in spans):
                     if e > last:

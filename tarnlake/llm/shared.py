@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -70,6 +71,14 @@ def _clean() -> None:
                 return
 
 
+def give_back() -> None:
+    """Hands memory that is free in a Python worker back to the machine: workers live on, idle, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def neutral(docs: DataFrame, *needed: str) -> DataFrame:
     """docs with all columns but the needed ones renamed by their place, so that no name can clash; toDF(*docs.columns) undoes it."""
     return docs.toDF(*(n if n in needed else f"column_{i}" for i, n in enumerate(docs.columns)))

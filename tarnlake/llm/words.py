@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 from xxhash import xxh3_64_intdigest
 
-from tarnlake.llm.shared import LOWER, mix
+from tarnlake.llm.shared import LOWER, give_back, mix
 
 CHUNK = 1 << 21
 #: Words of more bytes are hashed one by one.
@@ -64,6 +64,7 @@ def runs_of(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.nda
             size += len(part[-1])
         yield at, *words_of(part)
         at += len(part)
+    give_back()
 
 
 def pieces(text: bytes, size: int = CHUNK) -> Iterator[bytes]:
