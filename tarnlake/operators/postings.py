@@ -89,11 +89,19 @@ class Index:
         # another tokenizer than asked for is taken over by a rebuild only
         self.tokenizer = tokenizer or (TRIGRAMS if self.built_by == TRIGRAMS else TOKENIZER)
 
+        self._tables: dict[str, DataFrame] = {}
+
+    def _total(self, what: str) -> int:
+        return sum(b[what] for b in self._held["buckets"].values())
+
     def table(self, name: str) -> DataFrame:
-        if name == "totals":
-            n = [sum(b[k] for b in self._held["buckets"].values()) for k in ("n", "tokens")]
-            return self.spark.createDataFrame([(*n, self._held["about"].get("tokenizer"))], "n long, tokens long, tokenizer string")
-        return self._all.table(self.version, name).drop("bucket")
+        """A table of this version. Its files are listed once, as a version never changes."""
+        if name not in self._tables:
+            if name == "totals":
+                self._tables[name] = self.spark.createDataFrame([(self._total("n"), self._total("tokens"), self.built_by)], "n long, tokens long, tokenizer string")
+            else:
+                self._tables[name] = self._all.table(self.version, name).drop("bucket")
+        return self._tables[name]
 
     def touched(self, since: int) -> list[int]:
         """Buckets that are not in the folders they were in at another version."""
@@ -165,7 +173,7 @@ class Index:
         by_entry = posts.groupBy("entry_uuid", "artifact_id").agg(places.alias("at"), F.first("session_uuid").alias("session_uuid"), F.first("dl").cast("double").alias("dl"))
         counts = [_occurrences(p).alias(f"tf{i}") for i, p in enumerate(phrases)]
         found = by_entry.select("entry_uuid", "artifact_id", "session_uuid", "dl", *counts)
-        n, tokens, _ = self.table("totals").first()
+        n, tokens = self._total("n"), self._total("tokens")
         stats = found.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(phrases))]).select("*", F.lit(n).alias("n"), F.lit(tokens / n if n else 0.0).alias("avgdl"))
         hit = found.where(reduce(and_, [F.col(f"tf{i}") > 0 for i in range(len(phrases))]))
         if q.facets or q.since or q.until:
