@@ -56,6 +56,41 @@ def manifest_state(keys: DataFrame, manifests: DataFrame, schema: str = "version
     return x.select("key", state.alias("state"), F.when(legible, F.from_json("content", schema)).alias("manifest"))
 
 
+#: The fields of a session's manifest.
+RECORD = "role string, path string, source string, source_sha256 string, source_bytes bigint, stored_sha256 string, stored_bytes bigint, content_sha256 string, redacted boolean, quarantined boolean, scan struct<findings:bigint,redacted:bigint,flagged:bigint,quarantined:boolean>, frames array<struct<src_offset:bigint,src_len:bigint,captured_at:string>>"
+MANIFEST = (
+    "schema_version int, session_uuid string, project_slug string, cwd string, git_branch string, cc_version string, session_start string, session_end string, entry_count bigint, captured_at string, "
+    f"artifacts array<struct<{', '.join(f.replace(' ', ':', 1) for f in RECORD.split(', '))}>>, secret_scan struct<scanned:boolean,findings:bigint,quarantined:boolean,flagged:bigint,redacted:bigint>"
+)
+SCHEMA_VERSION = 1
+
+
+def manifests(sessions: DataFrame, records: DataFrame, now: str) -> DataFrame:
+    """(session_uuid, content): the manifest of each session as JSON, its records in order of their source; absent facets are left out.
+
+    sessions: session_uuid, project_slug, cwd, git_branch, cc_version, session_start, session_end, entry_count; records: session_uuid
+    and RECORD. The summary of the scan is added up from the records; one of none was not scanned. A manifest is one document, so
+    the records of a session meet in one row.
+    """
+    fields = [f.split(" ")[0] for f in RECORD.split(", ")]
+    total = lambda c: F.coalesce(F.sum(f"scan.{c}"), F.lit(0)).cast("long").alias(c)
+    held = records.groupBy(F.col("session_uuid").alias("of")).agg(
+        F.array_sort(F.collect_list(F.struct("source", F.struct(*fields).alias("r")))).alias("all"),
+        F.struct(F.lit(True).alias("scanned"), total("findings"), F.coalesce(F.bool_or("quarantined"), F.lit(False)).alias("quarantined"), total("flagged"), total("redacted")).alias("secret_scan"),
+    )
+    x = sessions.join(held, F.col("session_uuid") == F.col("of"), "left")
+    none = F.from_json(F.lit('{"scanned":false,"findings":0,"quarantined":false,"flagged":0,"redacted":0}'), "scanned boolean, findings bigint, quarantined boolean, flagged bigint, redacted bigint")
+    artifacts = F.coalesce(F.transform("all", lambda a: a["r"]), F.expr(f"cast(array() as array<struct<{', '.join(f.replace(' ', ':', 1) for f in RECORD.split(', '))}>>)"))
+    facets = [F.col(c) for c in ("session_uuid", "project_slug", "cwd", "git_branch", "cc_version", "session_start", "session_end", "entry_count")]
+    content = F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), *facets, F.lit(now).alias("captured_at"), artifacts.alias("artifacts"), F.coalesce("secret_scan", none).alias("secret_scan")))
+    return x.select("session_uuid", content.alias("content"))
+
+
+def read_manifests(stored: DataFrame) -> DataFrame:
+    """(key, state, manifest) of stored manifests (key, content), with all of MANIFEST; manifest_state() says what state means."""
+    return manifest_state(stored, stored, MANIFEST)
+
+
 #: The finding that stands for placeholders which a text brought along.
 FORGED = {"kind": "preinjected-placeholder", "severity": "low", "sha8": "00000000", "action": "flag"}
 

@@ -158,6 +158,11 @@ def salvaged(prior: DataFrame, live: DataFrame, store: DataFrame) -> DataFrame:
     return now.unionByName(gone.select(*ENTRY)).unionByName(prior.where("path is null").select(*ENTRY))
 
 
+def captured(entries: DataFrame) -> DataFrame:
+    """(tree, captured) of entries (ENTRY): whether any file that is present is stored. A tree without entries has no row, and captured nothing."""
+    return entries.groupBy("tree").agg(F.coalesce(F.bool_or(F.col("present") & F.col("stored")), F.lit(False)).alias("captured"))
+
+
 def manifest_totals(entries: DataFrame) -> DataFrame:
     """(tree, entries, total_bytes, stored_bytes, failed, complete) of entries (ENTRY): bytes of present files, of stored ones, and whether every entry could be decoded."""
     size = lambda c: F.coalesce(F.sum(F.when(c, F.col("bytes"))), F.lit(0)).cast("long")

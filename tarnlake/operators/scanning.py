@@ -357,14 +357,13 @@ def decoded_texts(files: DataFrame) -> DataFrame:
 
 
 def canonical_texts(texts: DataFrame) -> DataFrame:
-    """(id, text) in canonical form; texts of plain ASCII are their own unless they hold control characters."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else canonical(t) for t in b.column(1).to_pylist()], pa.string())], ["id", "text"])
-
-    may = F.coalesce(F.col("text").rlike(r"[^\x20-\x7E\n\t\r]"), F.lit(False))
-    t = texts.select(F.col("id").cast("long").alias("id"), "text")
-    return t.where(~may).unionByName(t.where(may).mapInArrow(run, "id long, text string"))
+    """(id, text) in canonical form; texts that it can't change stay in the JVM."""
+    @F.arrow_udf("string")
+    def run(found: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else canonical(t) for t in found.to_pylist()], pa.string())
+
+    may = F.coalesce(F.col("text").rlike(rf"[^\x20-\x7E\n\t\r{_KEPT}]"), F.lit(False))
+    return texts.select(F.col("id").cast("long").alias("id"), F.when(may, run(F.when(may, F.col("text")))).otherwise(F.col("text")).alias("text"))
 
 
 def policy_digest(allow: list[str], *, enabled: bool = True, quarantine_all: bool = False) -> str:

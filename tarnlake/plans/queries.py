@@ -791,6 +791,29 @@ def _(s, d):
     return _salvaged(s, d).drop("content_sha256")
 
 
+@query("manifest_captured", f"{_SALVAGE} SELECT tree, bool_or(present AND stored) AS captured FROM e GROUP BY tree")
+def _(s, d):
+    return retention.captured(_salvaged(s, d))
+
+
+@query("manifest_round_trip", """, r AS (SELECT session_uuid, source_path AS source, source_sha256, source_bytes, id % 3 AS findings, quarantined = 1 AS quarantined FROM artifacts)
+ SELECT session_uuid, 'proj-' || (substr(session_uuid, 6)::INT % 7) AS project_slug, CASE WHEN substr(session_uuid, 6)::INT % 2 = 0 THEN '/w' END AS cwd, source, source_sha256, source_bytes, findings::BIGINT AS findings,
+  sum(findings) OVER (PARTITION BY session_uuid)::BIGINT AS all_findings, bool_or(quarantined) OVER (PARTITION BY session_uuid) AS any_quarantined, row_number() OVER (PARTITION BY session_uuid ORDER BY source) - 1 AS place FROM r""")
+def _(s, d):
+    a = t.artifacts(s, d)
+    n = F.substring("session_uuid", 6, 20).cast("int")
+    sessions = a.select("session_uuid").distinct().select("session_uuid", F.concat(F.lit("proj-"), n % 7).alias("project_slug"), F.when(n % 2 == 0, "/w").alias("cwd"), *[F.lit(None).cast("string").alias(c) for c in ("git_branch", "cc_version", "session_start", "session_end")], F.lit(1).cast("long").alias("entry_count"))
+    scan = F.struct((F.col("id") % 3).alias("findings"), F.lit(0).cast("long").alias("redacted"), F.lit(0).cast("long").alias("flagged"), (F.col("quarantined") == 1).alias("quarantined"))
+    frames = F.array(F.struct(F.lit(0).cast("long").alias("src_offset"), F.col("source_bytes").alias("src_len"), F.lit("t").alias("captured_at")))
+    records = a.select(
+        "session_uuid", "role", F.col("source_path").alias("path"), F.col("source_path").alias("source"), "source_sha256", "source_bytes", F.col("source_sha256").alias("stored_sha256"), F.col("source_bytes").alias("stored_bytes"),
+        "content_sha256", (F.col("redacted") == 1).alias("redacted"), (F.col("quarantined") == 1).alias("quarantined"), scan.alias("scan"), frames.alias("frames"),
+    )
+    m = archive.read_manifests(archive.manifests(sessions, records, "t").withColumnRenamed("session_uuid", "key")).where("state = 'ok'")
+    r = m.select("manifest", F.posexplode("manifest.artifacts").alias("place", "a"))
+    return r.select("manifest.session_uuid", "manifest.project_slug", "manifest.cwd", "a.source", "a.source_sha256", "a.source_bytes", "a.scan.findings", F.col("manifest.secret_scan.findings").alias("all_findings"), F.col("manifest.secret_scan.quarantined").alias("any_quarantined"), "place")
+
+
 @query("manifest_totals", f"{_SALVAGE} SELECT tree, count(*) AS entries, coalesce(sum(bytes) FILTER (present), 0)::BIGINT AS total_bytes, coalesce(sum(bytes) FILTER (present AND stored), 0)::BIGINT AS stored_bytes, count(*) FILTER (capture_failed) AS failed, bool_and(path IS NOT NULL) AS complete FROM e GROUP BY tree")
 def _(s, d):
     return retention.manifest_totals(_salvaged(s, d))
