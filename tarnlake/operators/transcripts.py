@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.functions.steps import step
+
 #: Scalars of a tool call that its text shows, in this order.
 SHOWN = ["command", "file_path", "description", "pattern", "path"]
 MOST_TOOL_TEXT = 4096
@@ -29,9 +31,12 @@ def parsed(numbered: DataFrame) -> DataFrame:
     A line counts only if it still parses inside brackets and inside an object, so trailing garbage cannot slip through.
     """
     t = F.col("line")
-    whole = F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}"))).isNotNull()
     blank = t.rlike(BLANK)
-    return numbered.withColumn("v", F.when(~blank & whole, F.try_parse_json(t))).withColumn("malformed", ~blank & F.col("v").isNull())
+    in_object = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}"))).isNotNull()
+    first = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))), "$[0]", "variant")
+    # what is in brackets is the line's value, so a line is parsed twice
+    x = step(numbered, numbered.columns, v=F.when(~blank & in_object, first))
+    return x.withColumn("malformed", ~blank & F.col("v").isNull())
 
 
 def text_at(v: str, path: str) -> str:

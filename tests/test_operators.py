@@ -293,6 +293,13 @@ def test_fixed_values(spark):
     assert lines("x\n\n\n") == ["x", "", ""] and lines("x\r\r") == ["x\r\r"] and lines("x\r\r\ny\r\n") == ["x\r", "y"] and lines("") == [] and lines("\n") == [""] and lines("a\nb") == ["a", "b"]
 
 
+def test_lines_that_parse(spark):
+    good = ["null", "true", "1", '"x"', "[]", "[1, 2]", "{}", ' {"a": 1} \t', '{"a": null}']
+    bad = ["1, 2", "1]", "[1", "1] [2", '{"a": 1}]', '{"a": 1} x', '{"a": 1}}', '1}, {"b": 2', "nul", "'x'", "{a: 1}"]
+    got = {r.line: (r.malformed, r.there) for r in _entries(spark, *good, *bad, "  ").select("line", "malformed", F.col("v").isNotNull().alias("there")).collect()}
+    assert got == {**{x: (False, True) for x in good}, **{x: (True, False) for x in bad}, "  ": (False, False)}
+
+
 def test_entries_as_they_stand(spark):
     v = _entries(
         spark,
