@@ -1,13 +1,17 @@
 """The search index: postings of terms with their places, sizes of entries, and corpus sizes, as tables that are built once and kept in step.
 
 postings: term, entry_uuid, artifact_id, session_uuid, dl, tf, places (sorted); documents: an entry's columns and its number of
-tokens; totals: number of entries and of tokens, and the tokenizer. All lie in buckets of PER_BUCKET artifacts of neighbouring
-numbers. A sync rewrites the buckets of the artifacts it touches, and a version file switches to them (sources/versions.py).
-Postings are sorted by term within a bucket, so a query reads the row groups of its terms.
+tokens; totals: number of entries and of tokens, and the tokenizer. All belong to buckets of PER_BUCKET artifacts of neighbouring
+numbers. A sync rewrites the buckets of the artifacts it touches, and a version file switches to them (sources/versions.py). What
+a version writes lies in FOLDERS folders at most, however many buckets it has, so files grow in number with the data only; of a
+folder, rows of buckets that a later version has written are passed over. Postings are sorted by term within a file, so a query
+reads the row groups of its terms.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -15,13 +19,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tarnlake.functions.steps import step
 from tarnlake.operators import search
 from tarnlake.sources.versions import Versions
 
 #: Artifacts of a bucket.
 PER_BUCKET = 1000
-#: About so many entries go into one file of postings.
-PER_FILE = 200_000
+#: Folders of a version, each with the buckets of one remainder.
+FOLDERS = 128
+#: About so many tokens become postings in one task, and go into one file.
+PER_FILE = 250_000
 TOKENIZER = "unicode-letters-digits-folded-1"
 #: Tokens of every three characters in a row, letters made small: a phrase is any part of a text, of three characters or more.
 TRIGRAMS = "trigrams-lower-1"
@@ -32,13 +39,13 @@ def bucket(artifact: str, per_bucket: int = PER_BUCKET) -> Column:
     return F.coalesce(F.floor(F.col(artifact) / per_bucket), F.lit(-1)).cast("long")
 
 
-def _tokens(tokenizer: str) -> Column:
-    """The tokens of the column text, in order."""
+def _tokens(text: Column, tokenizer: str) -> Column:
+    """The tokens of a text, in order; of trigrams, two nulls follow them."""
     if tokenizer == TRIGRAMS:
-        c = F.regexp_extract_all(F.lower("text"), F.lit(r"(?s)."), F.lit(0))
+        c = F.regexp_extract_all(F.lower(text), F.lit(r"(?s)."), F.lit(0))
         joined = lambda a, k: F.zip_with(a, F.slice(c, F.lit(k), F.size(c)), lambda x, y: F.concat(x, y))
         return joined(joined(c, 2), 3)
-    return F.filter(F.split(search.normal(F.col("text")), " "), lambda w: w != "")
+    return F.filter(F.split(search.normal(text), " "), lambda w: w != "")
 
 
 def documents(entries: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -51,13 +58,22 @@ def documents(entries: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return entries.withColumn("dl", F.coalesce(size, F.lit(0)).cast("long"))
 
 
-def postings(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(term, entry_uuid, artifact_id, session_uuid, dl, tf, places) of every token of documents() of entries."""
+def postings(docs: DataFrame, tokenizer: str = TOKENIZER, kept: Sequence[str] = ()) -> DataFrame:
+    """(term, entry_uuid, artifact_id, session_uuid, dl, tf, places) of every token of documents() of entries, with columns to keep.
+
+    Tokens are put together within their entry's row: sorted, and cut where the term changes. So only texts are dealt out, and
+    not even these where the kept columns deal them out already.
+    """
+    of = [*kept, "entry_uuid", "artifact_id", "session_uuid", "dl"]
+    x = docs.groupBy(*of).agg(F.collect_list("text").alias("texts"))
+    places = F.flatten(F.transform("texts", lambda text: F.transform(_tokens(text, tokenizer), lambda w, i: F.struct(w.alias("term"), i.alias("at")))))
     # pairs that run beyond the last character end in null, and so are no tokens
-    words = F.posexplode(_tokens(tokenizer)).alias("at", "term")
-    of = ["entry_uuid", "artifact_id", "session_uuid", "dl"]
-    held = docs.select(*of, words).where("term is not null").groupBy("term", *of).agg(F.array_sort(F.collect_list("at")).alias("places"))
-    return held.select("term", *of, F.size("places").cast("long").alias("tf"), "places")
+    x = step(x, of, __s=F.sort_array(F.filter(places, lambda p: p["term"].isNotNull()))).where(F.size("__s") > 0)
+    term = lambda i: F.get("__s", i)["term"]
+    x = step(x, [*of, "__s"], __from=F.filter(F.sequence(F.lit(0), F.size("__s") - 1), lambda i: (i == 0) | (term(i) != term(i - 1))))
+    ends = F.concat(F.slice("__from", F.lit(2), F.size("__from")), F.array(F.size("__s")))
+    runs = F.zip_with("__from", ends, lambda i, j: F.struct(term(i).alias("term"), (j - i).cast("long").alias("tf"), F.transform(F.slice("__s", i + 1, j - i), lambda p: p["at"]).alias("places")))
+    return x.select(*of, F.inline(runs)).select(*kept, "term", *of[len(kept) :], "tf", "places")
 
 
 def terms_of(phrase: str, tokenizer: str = TOKENIZER) -> dict[int, str]:
@@ -100,56 +116,71 @@ class Index:
             if name == "totals":
                 self._tables[name] = self.spark.createDataFrame([(self._total("n"), self._total("tokens"), self.built_by)], "n long, tokens long, tokenizer string")
             else:
-                self._tables[name] = self._all.table(self.version, name).drop("bucket")
+                self._tables[name] = self._rows(name)
         return self._tables[name]
 
+    def _rows(self, name: str, here: set[str] | None = None) -> DataFrame:
+        """The rows of a table's buckets, all or those here."""
+        live = {b: v["version"] for b, v in self._held["buckets"].items() if here is None or b in here}
+        rows = self._all.table(self.version, name, here, dated=True)
+        # what the last version wrote is all alive; other folders may hold buckets that were written again since
+        if here is not None or set(live.values()) != {self.version}:
+            named = F.broadcast(self.spark.createDataFrame([(int(b), v) for b, v in live.items()], "b long, v int"))
+            rows = rows.join(named, (bucket("artifact_id", self.per_bucket) == F.col("b")) & (F.col("version") == F.col("v")), "left_semi")
+        return rows.drop("bucket", "version")
+
     def touched(self, since: int) -> list[int]:
         """Buckets that are not in the folders they were in at another version."""
         old, new = self._all.read(since)["buckets"], self._held["buckets"]
         return sorted(int(b) for b in old.keys() | new.keys() if old.get(b, {}).get("tables") != new.get(b, {}).get("tables"))
 
-    def _next(self, docs: DataFrame, posts: DataFrame, replaced: set[str]) -> Index:
-        """The next version: the buckets of these rows, and what this version has in buckets that aren't replaced."""
+    def _next(self, docs: DataFrame, replaced: set[str]) -> Index:
+        """The next version: the buckets of these documents, and what this version has in buckets that aren't replaced."""
         number = self.version + 1
-        own = lambda df: df.withColumn("bucket", bucket("artifact_id", self.per_bucket))
-        folders, doc_schema = self._all.write(number, "documents", own(docs).repartition("bucket"))
+        own = bucket("artifact_id", self.per_bucket)
+        folder = F.pmod(own, F.lit(FOLDERS))
+        folders, doc_schema = self._all.write(number, "documents", docs.withColumn("bucket", folder).repartition("bucket"))
         written = self.spark.read.schema(StructType.fromJson(doc_schema)).parquet(f"{self.path}/documents/version={number}")
-        sizes = {str(r["bucket"]): {"n": r["n"], "tokens": r["tokens"]} for r in written.groupBy("bucket").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).collect()}
-        # a bucket of many entries goes into several files
-        splits = max([1, *(-(-v["n"] // PER_FILE) for v in sizes.values())])
-        dealt = own(posts).repartition("bucket", F.pmod(F.xxhash64("entry_uuid"), F.lit(splits))).sortWithinPartitions("bucket", "term", "entry_uuid")
-        post_folders, post_schema = self._all.write(number, "postings", dealt)
-        buckets = {b: v for b, v in self._held["buckets"].items() if b not in replaced and b not in sizes}
+        sizes = {r["b"]: {"n": r["n"], "tokens": r["tokens"], "version": number} for r in written.groupBy(own.alias("b")).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).collect()}
+        # a folder of many tokens goes into several files; tasks are as many as the tokens need, however small their texts
+        held = Counter()
+        for b, size in sizes.items():
+            held[b % FOLDERS] += size["tokens"]
+        splits = max([1, *(-(-n // PER_FILE) for n in held.values())])
+        tasks = max(1, min(len(held) * splits, 2 * -(-sum(held.values()) // PER_FILE)))
+        dealt = written.withColumn("split", F.pmod(F.xxhash64("entry_uuid"), F.lit(splits))).repartition(tasks, "bucket", "split")
+        posts = postings(dealt, self.tokenizer, kept=("bucket", "split")).drop("split").sortWithinPartitions("bucket", "term", "entry_uuid")
+        post_folders, post_schema = self._all.write(number, "postings", posts)
+        buckets = {b: v for b, v in self._held["buckets"].items() if b not in replaced and int(b) not in sizes}
         for b, size in sizes.items():
-            buckets[b] = {"tables": {t: f[b] for t, f in (("documents", folders), ("postings", post_folders)) if b in f}, **size}
+            f = str(b % FOLDERS)
+            buckets[str(b)] = {"tables": {t: at[f] for t, at in (("documents", folders), ("postings", post_folders)) if f in at}, **size}
         about = {"tokenizer": self.tokenizer, "per_bucket": self.per_bucket}
         self._all.commit(number, {"buckets": buckets, "schemas": {"documents": doc_schema, "postings": post_schema}, "about": about})
         return Index(self.spark, self.path, number)
 
     def build(self, entries: DataFrame) -> Index:
         """The next version, of these entries alone."""
-        docs = documents(entries, self.tokenizer)
-        return self._next(docs, postings(docs, self.tokenizer), set(self._held["buckets"]))
+        return self._next(documents(entries, self.tokenizer), set(self._held["buckets"]))
 
     def sync(self, changed: DataFrame, gone: DataFrame, *, reindex: bool = False) -> Index:
         """The next version, in which the entries of the artifacts in `changed` are those there, and artifacts of `gone` (artifact_id) have none.
 
-        Only buckets of touched artifacts are read and written; in them a null-safe anti join drops what is touched. An index of
-        another tokenizer is refused, unless reindex is set: then all entries that stay are cut anew. The driver gets the
-        numbers of the touched buckets.
+        Only buckets of touched artifacts are written, and only their folders read; in them a null-safe anti join drops what is
+        touched. Changed entries are written once, beside the index, so their source is worked out once. An index of another
+        tokenizer is refused, unless reindex is set: then all entries that stay are cut anew. The driver gets the numbers of
+        the touched buckets.
         """
         other = self.built_by != self.tokenizer
         if other and not reindex:
             raise ValueError("the index was built by another tokenizer: build it anew")
-        touched = changed.select("artifact_id").unionByName(gone.select("artifact_id")).distinct().withColumnRenamed("artifact_id", "touched")
-        here = {r[0] for r in touched.select(bucket("touched", self.per_bucket)).distinct().collect()}
-        left = lambda df: df.join(touched, F.col("artifact_id").eqNullSafe(F.col("touched")), "left_anti")
-        old = lambda name: left(self._all.table(self.version, name, None if other else here).drop("bucket"))
-        kept, new = old("documents"), documents(changed, self.tokenizer)
-        kept = documents(kept.drop("dl"), self.tokenizer) if other else kept
-        posts = postings(kept, self.tokenizer) if other else old("postings")
-        replaced = set(self._held["buckets"]) if other else {str(b) for b in here}
-        return self._next(kept.unionByName(new), posts.unionByName(postings(new, self.tokenizer)), replaced)
+        with self._all.aside(documents(changed, self.tokenizer)) as new:
+            touched = new.select("artifact_id").unionByName(gone.select("artifact_id")).distinct().withColumnRenamed("artifact_id", "touched")
+            here = {str(r[0]) for r in touched.select(bucket("touched", self.per_bucket)).distinct().collect()}
+            kept = self._rows("documents", None if other else here & self._held["buckets"].keys())
+            kept = kept.join(touched, F.col("artifact_id").eqNullSafe(F.col("touched")), "left_anti")
+            kept = documents(kept.drop("dl"), self.tokenizer) if other else kept
+            return self._next(kept.unionByName(new), set(self._held["buckets"]) if other else here)
 
     def bm25(self, q: search.Query, limit: int | None = None) -> DataFrame:
         """search.bm25() by postings: only those of the query's terms are read, and phrases are found by places. Entries are read only for facets and bounds."""

@@ -8,7 +8,9 @@ change that didn't come to its end are never read. Two writers of one version: t
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -46,15 +48,16 @@ class Versions:
         finally:
             stream.close()
 
-    def table(self, number: int, name: str, buckets: Iterable[int] | None = None) -> DataFrame:
-        """A table as of a version, all of it or some buckets, with its `bucket`."""
+    def table(self, number: int, name: str, buckets: Iterable[int] | None = None, *, dated: bool = False) -> DataFrame:
+        """A table as of a version, all of it or the folders of some buckets, with its `bucket`; if dated, with the `version` that wrote each row as well."""
         v = self.read(number)
         wanted = None if buckets is None else {str(b) for b in buckets}
-        paths = [f"{self.path}/{b['tables'][name]}" for k, b in v["buckets"].items() if name in b["tables"] and (wanted is None or k in wanted)]
+        # several buckets may lie in one folder
+        paths = list(dict.fromkeys(f"{self.path}/{b['tables'][name]}" for k, b in v["buckets"].items() if name in b["tables"] and (wanted is None or k in wanted)))
         schema = StructType.fromJson(v["schemas"][name])
         if not paths:
-            return self.spark.createDataFrame([], schema)
-        columns = [f.name for f in schema.fields]
+            return self.spark.createDataFrame([], schema.add("version", "integer") if dated else schema)
+        columns = [f.name for f in schema.fields] + ["version"] * dated
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*paths).select(*columns)
 
     def write(self, number: int, name: str, rows: DataFrame) -> tuple[dict[str, str], dict]:
@@ -65,6 +68,16 @@ class Versions:
         held = [s.getPath().getName() for s in self._fs.listStatus(self._at(folder)) if s.isDirectory()]
         return {n[7:]: f"{folder}/{n}" for n in held if n.startswith("bucket=")}, json.loads(rows.schema.json())
 
+    @contextmanager
+    def aside(self, rows: DataFrame) -> Iterator[DataFrame]:
+        """Rows that are written once and read again, for as long as the block lasts; no version names their folder."""
+        name = f"aside/{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(f"{self.path}/{name}")
+            yield self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
+        finally:
+            self._fs.delete(self._at(name), True)
+
     def commit(self, number: int, version: dict) -> None:
         """Makes a version readable, all at once."""
         made, name = self._at(f"versions/.{number}-{id(version)}"), self._at(f"versions/{number}.json")
