@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.functions.steps import step
 from tarnlake.operators import archive
-from tarnlake.operators.ledger import capture_plan
+from tarnlake.operators.ledger import line_plan
 from tarnlake.sources import files
 from tarnlake.sources.versions import Versions
 
@@ -60,36 +61,63 @@ class Store:
     def _columns() -> list[str]:
         return ["source_path", "role", "session_uuid", "source_sha256", "source_bytes", "content_sha256", "content_bytes", "stored_bytes", "redacted", "quarantined", "findings", "frames", "captured_at"]
 
-    def contents(self, version: int | None = None) -> DataFrame:
-        """(source_path, content): the stored contents that the ledger names, their frames decoded one after another."""
-        named = self.ledger(version).select("source_path", F.posexplode("frames").alias("no", "f")).select("source_path", "no", F.col("f.run").alias("run"))
-        runs = sorted(r[0] for r in named.select("run").distinct().collect())
+    def contents(self, version: int | None = None, *columns: str) -> DataFrame:
+        """(source_path, content) and columns of the ledger: the stored contents that it names, their frames decoded one after another; null if they cannot be read.
+
+        Frames are dealt out by path once, as they are stored, and decoded in the rows that they are joined to.
+        """
+        rows = self.ledger(version)
+        runs = sorted(r[0] for r in rows.select(F.explode("frames.run").alias("run")).distinct().collect())
         if not runs:
-            return self.spark.createDataFrame([], "source_path string, content binary")
+            return rows.where("false").select("source_path", F.lit(b"").alias("content"), *columns)
         held = self.spark.read.schema("source_path string, content binary").option("basePath", f"{self.path}/frames").parquet(*[f"{self.path}/frames/run={n}" for n in runs])
-        held = held.select(F.col("source_path").alias("p"), F.col("run").cast("long").alias("r"), "content")
-        frames = named.join(held, (F.col("source_path") == F.col("p")) & (F.col("run") == F.col("r")))
+        frames = held.groupBy(F.col("source_path").alias("__p")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("run").cast("long"), "content"))).alias("__held"))
+        x = rows.select("source_path", F.col("frames.run").alias("__runs"), *columns).join(frames, F.col("source_path") == F.col("__p"))
         # frames of a path follow one another in one zstd stream
-        whole = frames.groupBy("source_path").agg(F.array_sort(F.collect_list(F.struct("no", "content"))).alias("f")).select(F.col("source_path").alias("path"), F.aggregate("f", F.lit(b""), lambda a, x: F.concat(a, x["content"])).alias("content"))
-        return files.decoded(whole).withColumnRenamed("path", "source_path")
+        whole = F.aggregate(F.transform("__runs", lambda r: F.try_element_at("__held", r)), F.lit(b""), lambda a, f: F.concat(a, f))
+        return step(x, ["source_path", *columns], __whole=whole).select("source_path", files.decoded_column(F.col("__whole")).alias("content"), *columns)
+
+
+#: What the plan and the frames of a path need to know of its row in the ledger.
+_OLD = ["source_bytes", "source_sha256", "content_sha256", "content_bytes"]
+
+
+def planned(sources: DataFrame, ledger: DataFrame) -> DataFrame:
+    """sources (source_path, role, content, ...) with plan (skip, tail or full), start and end, and with the ledger's sizes and hashes of their paths as old_*.
+
+    Files that grow count up to their last newline, others as a whole, and only if their hash is another. One join with the
+    ledger; contents that aren't captured go no further.
+    """
+    old = ledger.select(F.col("source_path").alias("__p"), *[F.col(c).alias(f"old_{c}") for c in _OLD])
+    x = sources.join(old, F.col("source_path") == F.col("__p"), "left").drop("__p").withColumn("content", F.coalesce("content", F.lit(b"")))
+    kept = x.columns
+    same = F.coalesce(F.sha2("content", 256) == F.col("old_source_sha256"), F.lit(False))
+    whole = F.struct(F.when(same, "skip").otherwise("full").alias("plan"), F.lit(0).cast("long").alias("start"), F.octet_length("content").cast("long").alias("end"))
+    x = step(x, kept, __plan=F.when(F.col("role").isin(APPENDABLE), line_plan("content", "old_source_bytes", "old_source_sha256")).otherwise(whole))
+    return x.select(*kept, "__plan.*")
 
 
 def plan(sources: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(source_path, plan, start, end): skip, tail or full. Files that grow count up to their last newline, others as a whole, and only if their hash is another."""
-    prior = ledger.select(F.col("source_path").alias("path"), F.col("source_bytes").alias("offset"), F.col("source_sha256").alias("sha256"))
-    now = sources.select(F.col("source_path").alias("path"), "role", F.coalesce("content", F.lit(b"")).alias("content"))
-    lines = capture_plan(now.where(F.col("role").isin(APPENDABLE)).select("path", "content"), prior)
-    whole = now.where(~F.col("role").isin(APPENDABLE)).join(prior.withColumnRenamed("path", "p"), F.col("path") == F.col("p"), "left")
-    same = F.coalesce(F.sha2("content", 256) == F.col("sha256"), F.lit(False))
-    size = F.octet_length("content").cast("long")
-    rest = whole.select("path", F.when(same, "skip").otherwise("full").alias("plan"), F.lit(0).cast("long").alias("start"), size.alias("end"))
-    return lines.unionByName(rest).withColumnRenamed("path", "source_path")
+    """(source_path, plan, start, end) of planned()."""
+    return planned(sources, ledger).select("source_path", "plan", "start", "end")
+
+
+def _aside(df: DataFrame, path: str) -> None:
+    """Writes what only the steps of a run read, packed more tightly."""
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
 def _write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def _safe(judged: DataFrame, there: DataFrame) -> DataFrame:
+    """Judged rows that may go on: those that need no quarantine, and those whose original is there (p, h) by its path and hash."""
+    quarantined = judged.where("needs_quarantine").withColumn("__h", F.sha2("original", 256)).drop("original")
+    kept = quarantined.join(there, (F.col("source_path") == F.col("p")) & (F.col("__h") == F.col("h")), "left_semi").drop("__h")
+    return judged.where("not needs_quarantine").drop("original").unionByName(kept)
+
+
 def _merge(store: Store, run: Run, new: DataFrame, after: Callable[[str], None]) -> None:
     """Writes the ledger's buckets of new rows, in which they replace those of their paths."""
     versions = store._versions
@@ -114,8 +142,8 @@ def capture(
 ) -> Run:
     """Captures live files (source_path, role, session_uuid, content binary), one row a path, into a store.
 
-    Steps, each a job that writes one folder of the run: `scanned` (what is new up to its last newline, with the outcome of its
-    scan), `originals` (contents that need quarantine), `frames`, `ledger`. An artifact that needs quarantine goes on only if its
+    Steps, each a job that writes one folder of the run: `scanned` (of what is new up to its last newline, the outcome of its scan,
+    what its frame will hold, and the content where it needs quarantine), `originals` (contents that need quarantine), `frames`, `ledger`. An artifact that needs quarantine goes on only if its
     original is found among those written, byte for byte by its hash; others are left for a later run. A frame holds what follows
     the stored content if that is the exact beginning of the new one, else all of it. A path once redacted stays marked so. `after`
     is called after every step, before the version is switched. A null content is empty; a null role is no growing file. Paths that
@@ -126,40 +154,40 @@ def capture(
     folder = lambda name: f"{store.path}/{name}/run={run.number}"
     src = sources.select("source_path", F.coalesce("role", F.lit("")).alias("role"), "session_uuid", "content")
     prior = store.ledger()
-    planned = plan(src, prior).withColumnRenamed("source_path", "p")
+    x = planned(src, prior if run.number > 1 else F.broadcast(prior))
     seen = Observation("plan")
-    planned = planned.observe(seen, F.count_if(F.col("plan") == "skip").alias("skipped"))
-    todo = src.join(planned, F.col("source_path") == F.col("p")).where("plan <> 'skip'").drop("p").withColumn("content", F.expr("substr(coalesce(content, X''), 1, cast(end AS int))"))
+    x = x.observe(seen, F.count_if(F.col("plan") == "skip").alias("skipped"))
+    todo = x.where("plan <> 'skip'").withColumn("content", F.expr("substr(content, 1, cast(end AS int))"))
     judged = archive.scan_artifacts(todo, allow, scan=scan, quarantine_all=quarantine_all)
     found = Observation("scan")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     judged = judged.observe(found, F.count("*").alias("scanned"), total("redacted_count").alias("redacted"), total("flagged").alias("flagged"), F.count_if("needs_quarantine").alias("needing_quarantine"))
-    _write(judged, folder("scanned"))
+    begins = (F.col("plan") == "tail") & (F.sha2(F.expr("substr(redacted, 1, cast(old_content_bytes AS int))"), 256) == F.col("old_content_sha256"))
+    grows = F.coalesce(begins & (F.col("old_content_bytes") <= F.octet_length("redacted")), F.lit(False))
+    judged = judged.withColumn("grows", grows).select(
+        "source_path", "role", "session_uuid", "start", "end", "grows", "was_redacted", "needs_quarantine", "findings",
+        F.sha2("content", 256).alias("source_sha256"), F.sha2("redacted", 256).alias("content_sha256"), F.octet_length("redacted").cast("long").alias("content_bytes"),
+        F.when(F.col("needs_quarantine"), F.col("content")).alias("original"), F.when(F.col("grows"), F.expr("substr(redacted, cast(old_content_bytes AS int) + 1)")).otherwise(F.col("redacted")).alias("rest"),
+    )
+    _aside(judged, folder("scanned"))
     after("scanned")
     judged = spark.read.schema(judged.schema).parquet(folder("scanned"))
 
-    write_originals(judged.where("needs_quarantine").select("source_path", "content"), folder("originals"))
+    write_originals(judged.where("needs_quarantine").select("source_path", F.col("original").alias("content")), folder("originals"))
     after("originals")
     there = spark.read.schema("source_path string, content binary").parquet(folder("originals")).select(F.col("source_path").alias("p"), F.sha2("content", 256).alias("h"))
-    safe = judged.withColumn("source_sha256", F.sha2("content", 256))
-    kept = safe.where("needs_quarantine").join(there, (F.col("source_path") == F.col("p")) & (F.col("source_sha256") == F.col("h")), "left_semi")
-    kept = safe.where("not needs_quarantine").unionByName(kept)
-
-    old = prior.select(F.col("source_path").alias("p"), F.col("content_sha256").alias("old_sha"), F.col("content_bytes").alias("old_bytes"), F.col("stored_bytes").alias("old_stored"), F.col("redacted").alias("old_redacted"), F.col("frames").alias("old_frames"))
-    x = kept.join(old, F.col("source_path") == F.col("p"), "left")
-    begins = (F.col("plan") == "tail") & (F.sha2(F.expr("substr(redacted, 1, cast(old_bytes AS int))"), 256) == F.col("old_sha"))
-    x = x.withColumn("grows", F.coalesce(begins & (F.col("old_bytes") <= F.octet_length("redacted")), F.lit(False)))
-    rest = F.when(F.col("grows"), F.expr("substr(redacted, cast(old_bytes AS int) + 1)")).otherwise(F.col("redacted"))
-    frame = files.encoded(x.select(F.col("source_path").alias("path"), rest.alias("content"))).withColumnRenamed("path", "source_path")
+    x = _safe(judged, there)
+    frame = files.encoded(x.select(F.col("source_path").alias("path"), F.col("rest").alias("content"))).withColumnRenamed("path", "source_path")
     stored = Observation("frames")
     _write(frame.observe(stored, F.count("*").alias("written"), total(F.octet_length("content")).alias("bytes_stored")), folder("frames"))
     after("frames")
 
     size = spark.read.schema("source_path string, content binary").parquet(folder("frames")).select(F.col("source_path").alias("f"), F.octet_length("content").cast("long").alias("bytes"))
-    y = x.join(size, F.col("source_path") == F.col("f"))
+    old = prior.select(F.col("source_path").alias("p"), F.col("stored_bytes").alias("old_stored"), F.col("redacted").alias("old_redacted"), F.col("frames").alias("old_frames"))
+    y = judged.join(size, F.col("source_path") == F.col("f")).join(old, F.col("source_path") == F.col("p"), "left")
     one = F.array(F.struct(F.lit(run.number).cast("long").alias("run"), F.when(F.col("grows"), F.col("start")).otherwise(F.lit(0)).cast("long").alias("src_offset"), (F.col("end") - F.when(F.col("grows"), F.col("start")).otherwise(F.lit(0))).cast("long").alias("src_len"), "bytes"))
     new = y.select(
-        "source_path", "role", "session_uuid", "source_sha256", F.col("end").alias("source_bytes"), F.sha2("redacted", 256).alias("content_sha256"), F.octet_length("redacted").cast("long").alias("content_bytes"),
+        "source_path", "role", "session_uuid", "source_sha256", F.col("end").alias("source_bytes"), "content_sha256", "content_bytes",
         (F.when(F.col("grows"), F.col("old_stored")).otherwise(F.lit(0)) + F.col("bytes")).cast("long").alias("stored_bytes"), (F.col("was_redacted") | F.coalesce("old_redacted", F.lit(False))).alias("redacted"),
         F.col("needs_quarantine").alias("quarantined"), "findings", F.when(F.col("grows"), F.concat("old_frames", one)).otherwise(one).alias("frames"), F.lit(now).alias("captured_at"),
     )
@@ -185,31 +213,32 @@ def rescan(
     run = Run(versions.latest() + 1)
     folder = lambda name: f"{store.path}/{name}/run={run.number}"
     rows = store.ledger()
-    held = store.contents().select(F.col("source_path").alias("p"), "content")
     marker = F.decode("content", "UTF-8").rlike(r"(?U)^\s*‹QUARANTINED:[^›]*›\s*$") & F.is_valid_utf8(F.col("content").cast("string"))
-    live = rows.select("source_path", "role", F.col("quarantined").alias("was_quarantined")).join(held, F.col("source_path") == F.col("p")).drop("p").where(~(F.col("was_quarantined") & marker))
+    held = store.contents(None, "role", "quarantined").where("content is not null").withColumnRenamed("quarantined", "was_quarantined")
+    live = held.where(~(F.col("was_quarantined") & marker))
     once = archive.scan_artifacts(live, allow, trust_tags=True).where("redacted <> content")
-    kept = ["source_path", "role", "was_quarantined", "needs_quarantine", "findings", "content", "redacted"]
-    again = archive.scan_artifacts(once.select("source_path", "role", "was_quarantined", F.struct(*kept).alias("first"), F.col("redacted").alias("content")), allow, trust_tags=True)
+    first = ["needs_quarantine", "findings", "content"]
+    again = archive.scan_artifacts(once.select("source_path", "role", *[F.col(c).alias(f"first_{c}") for c in first], F.col("redacted").alias("content")), allow, trust_tags=True)
     # a marker is its own fix-point: it is never scanned again
-    whole = F.decode("first.redacted", "UTF-8").rlike(r"(?U)^\s*‹QUARANTINED:[^›]*›\s*$") & F.col("first.needs_quarantine")
+    whole = F.decode("content", "UTF-8").rlike(r"(?U)^\s*‹QUARANTINED:[^›]*›\s*$") & F.col("first_needs_quarantine")
     seen = Observation("rescan")
-    judged = again.select("first.*", (whole | (F.col("redacted") == F.col("content"))).alias("stable"))
+    judged = again.select("source_path", *[F.col(f"first_{c}").alias(c) for c in first], F.col("content").alias("redacted"), (whole | (F.col("redacted") == F.col("content"))).alias("stable"))
     judged = judged.observe(seen, F.count("*").alias("changed"), F.count_if(~F.col("stable")).alias("unstable"), F.count_if("needs_quarantine").alias("needing_quarantine"))
-    _write(judged, folder("scanned"))
+    judged = judged.where("stable").select(
+        "source_path", "needs_quarantine", "findings", F.when(F.col("needs_quarantine"), F.col("content")).alias("original"), "redacted", F.sha2("redacted", 256).alias("sha"), F.octet_length("redacted").cast("long").alias("n"),
+    )
+    _aside(judged, folder("scanned"))
     after("scanned")
-    judged = spark.read.schema(judged.schema).parquet(folder("scanned")).where("stable")
-    write_originals(judged.where("needs_quarantine").select("source_path", "content"), folder("originals"))
+    judged = spark.read.schema(judged.schema).parquet(folder("scanned"))
+    write_originals(judged.where("needs_quarantine").select("source_path", F.col("original").alias("content")), folder("originals"))
     after("originals")
     there = spark.read.schema("source_path string, content binary").parquet(folder("originals")).select(F.col("source_path").alias("p"), F.sha2("content", 256).alias("h"))
-    safe = judged.where("needs_quarantine").join(there, (F.col("source_path") == F.col("p")) & (F.sha2("content", 256) == F.col("h")), "left_semi")
-    safe = judged.where("not needs_quarantine").unionByName(safe)
-    frame = files.encoded(safe.select(F.col("source_path").alias("path"), F.col("redacted").alias("content"))).withColumnRenamed("path", "source_path")
+    frame = files.encoded(_safe(judged, there).select(F.col("source_path").alias("path"), F.col("redacted").alias("content"))).withColumnRenamed("path", "source_path")
     stored = Observation("rescan frames")
     _write(frame.observe(stored, F.count("*").alias("written"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("bytes_stored")), folder("frames"))
     after("frames")
     size = spark.read.schema("source_path string, content binary").parquet(folder("frames")).select(F.col("source_path").alias("f"), F.octet_length("content").cast("long").alias("bytes"))
-    c = safe.select(F.col("source_path").alias("s"), F.sha2("redacted", 256).alias("sha"), F.octet_length("redacted").cast("long").alias("n"), "needs_quarantine", F.col("findings").alias("found")).join(size, F.col("s") == F.col("f"))
+    c = judged.select(F.col("source_path").alias("s"), "sha", "n", "needs_quarantine", F.col("findings").alias("found")).join(size, F.col("s") == F.col("f"))
     new = rows.join(c, F.col("source_path") == F.col("s")).select(
         "source_path", "role", "session_uuid", "source_sha256", "source_bytes", F.col("sha").alias("content_sha256"), F.col("n").alias("content_bytes"), F.col("bytes").alias("stored_bytes"), F.lit(True).alias("redacted"),
         (F.col("quarantined") | F.col("needs_quarantine")).alias("quarantined"), F.col("found").alias("findings"),

@@ -49,11 +49,16 @@ def capture_plan(current: DataFrame, prior: DataFrame) -> DataFrame:
     Skip if the captured beginning is unchanged and nothing whole follows, tail from the captured end if it is
     unchanged, else full. `current` has (path, content binary), `prior` (path, offset, sha256).
     """
-    c = current.withColumn("end", F.expr("octet_length(content) - instr(reverse(decode(content, 'ISO-8859-1')), '\n') + 1")).withColumn("end", F.when(F.expr("instr(decode(content, 'ISO-8859-1'), '\n') = 0"), 0).otherwise(F.col("end")))
-    x = c.join(prior.withColumnRenamed("path", "p"), F.col("path") == F.col("p"), "left")
-    same = (F.col("offset") <= F.octet_length("content")) & (F.sha2(F.expr("substr(content, 1, offset)"), 256) == F.col("sha256"))
-    plan = F.when(F.coalesce(same, F.lit(False)), F.when(F.col("end") <= F.col("offset"), "skip").otherwise("tail")).otherwise("full")
-    return x.select("path", plan.alias("plan"), F.when(plan == "full", 0).otherwise(F.col("offset")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    x = current.join(prior.withColumnRenamed("path", "p"), F.col("path") == F.col("p"), "left")
+    return x.select("path", F.inline(F.array(line_plan("content", "offset", "sha256"))))
+
+
+def line_plan(content: str, offset: str, sha256: str) -> Column:
+    """A struct (plan, start, end) of capture_plan() for a content and the captured size and hash of its row."""
+    end = F.expr(f"CASE WHEN instr(decode({content}, 'ISO-8859-1'), '\n') = 0 THEN 0 ELSE octet_length({content}) - instr(reverse(decode({content}, 'ISO-8859-1')), '\n') + 1 END")
+    same = (F.col(offset) <= F.octet_length(content)) & (F.sha2(F.expr(f"substr({content}, 1, cast({offset} AS int))"), 256) == F.col(sha256))
+    plan = F.when(F.coalesce(same, F.lit(False)), F.when(end <= F.col(offset), "skip").otherwise("tail")).otherwise("full")
+    return F.struct(plan.alias("plan"), F.when(plan == "full", 0).otherwise(F.col(offset)).cast("long").alias("start"), end.cast("long").alias("end"))
 
 
 def changed(candidates: DataFrame, watermark: DataFrame) -> DataFrame:
@@ -72,9 +77,12 @@ def stored_ok(stored: DataFrame, decoded: DataFrame) -> DataFrame:
 
     An empty content hash is an old record, for which the first check alone counts; what can't be decoded is not ok.
     """
-    x = stored.join(decoded.select(F.col("path").alias("dp"), F.col("content").alias("plain")), F.col("path") == F.col("dp"), "left")
-    inner = (F.col("content_sha256") == "") | (F.sha2("plain", 256) == F.col("content_sha256"))
-    return x.select("path", F.coalesce((F.sha2("content", 256) == F.col("stored_sha256")) & inner, F.lit(False)).alias("ok"))
+    # contents are hashed where they are: the join moves hashes only
+    plain = decoded.select(F.col("path").alias("dp"), F.sha2("content", 256).alias("plain"))
+    outer = stored.select("path", (F.sha2("content", 256) == F.col("stored_sha256")).alias("same"), "content_sha256")
+    x = outer.join(plain, F.col("path") == F.col("dp"), "left")
+    inner = (F.col("content_sha256") == "") | (F.col("plain") == F.col("content_sha256"))
+    return x.select("path", F.coalesce(F.col("same") & inner, F.lit(False)).alias("ok"))
 
 
 def status(sessions: DataFrame, artifacts: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.functions.steps import step
+from tarnlake.functions.workers import give_back
 
 #: Kind, severity and pattern of every detector; the order settles ties.
 DETECTORS = [
@@ -274,6 +275,8 @@ def _plain_letters() -> str:
 
 
 _KEPT = _plain_letters()
+#: A character that the canonical form may change. The class of kept ones has many ranges, so only characters beyond ASCII are looked up in it.
+_OTHER = rf"[^\x20-\x7E\n\t\r](?<![{_KEPT}])"
 
 
 def hides_column(text: Column, lines: Column, allow: list[str] | None = None) -> Column:
@@ -285,10 +288,12 @@ def hides_column(text: Column, lines: Column, allow: list[str] | None = None) ->
 
     @F.arrow_udf("boolean")
     def run(texts: pa.Array, lines: pa.Array) -> pa.Array:
-        return pa.array([t is not None and hides(t, listed, lines=bool(n)) for t, n in zip(texts.to_pylist(), lines.to_pylist(), strict=True)], pa.bool_())
+        # one text at a time as a Python object
+        out = pa.array([t.is_valid and hides(t.as_py(), listed, lines=bool(n.as_py())) for t, n in zip(texts, lines, strict=True)], pa.bool_())
+        give_back()
+        return out
 
-    other = rf"[^\x20-\x7E\n\t\r{_KEPT}]"
-    may = F.when(lines, text.rlike(r"\\|" + other)).otherwise(text.rlike(r"\\u|\\x|" + other))
+    may = F.when(lines, text.rlike(r"\\|" + _OTHER)).otherwise(text.rlike(r"\\u|\\x|" + _OTHER))
     return run(F.when(may, text), lines)
 
 
@@ -342,7 +347,9 @@ def decoded_column(content: Column) -> Column:
 
     @F.arrow_udf("struct<text:string,reason:string>")
     def run(contents: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else dict(zip(("text", "reason"), _text_of(x), strict=True)) for x in contents.to_pylist()], kind)
+        out = pa.array([dict(zip(("text", "reason"), _text_of(x.as_py()), strict=True)) if x.is_valid else None for x in contents], kind)
+        give_back()
+        return out
 
     c = F.coalesce(content, F.lit(b""))
     marked = F.substring(c, 1, 3).isin([_MARKS[0]]) | F.substring(c, 1, 2).isin(list(_MARKS[1:]))
@@ -362,7 +369,7 @@ def canonical_texts(texts: DataFrame) -> DataFrame:
     def run(found: pa.Array) -> pa.Array:
         return pa.array([None if t is None else canonical(t) for t in found.to_pylist()], pa.string())
 
-    may = F.coalesce(F.col("text").rlike(rf"[^\x20-\x7E\n\t\r{_KEPT}]"), F.lit(False))
+    may = F.coalesce(F.col("text").rlike(_OTHER), F.lit(False))
     return texts.select(F.col("id").cast("long").alias("id"), F.when(may, run(F.when(may, F.col("text")))).otherwise(F.col("text")).alias("text"))
 
 

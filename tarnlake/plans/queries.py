@@ -459,8 +459,8 @@ def _(s, d):
     store = capture.Store(s, f"{_shared(s)}/store-{uuid.uuid4().hex}", buckets=8)
     capture.capture(store, _live(s, d, second=True), "2024-01-02T00:00:00", scan=False)
     capture.rescan(store, "2024-01-03T00:00:00")
-    text = store.contents().select(F.col("source_path").alias("p"), F.decode("content", "UTF-8").alias("content"))
-    return store.ledger().join(text, F.col("source_path") == F.col("p")).select("source_path", "content", "redacted", "quarantined", "captured_at")
+    held = store.contents(None, "redacted", "quarantined", "captured_at")
+    return held.select("source_path", F.decode("content", "UTF-8").alias("content"), "redacted", "quarantined", "captured_at")
 
 
 @query("status_stored", f"{_LIVE} SELECT count(*) AS artifacts, 1::BIGINT AS sessions, count(*) FILTER (k = 1 OR len(hits) > 0) AS redacted, count(*) FILTER (k = 1) AS quarantined, sum(strlen(content))::BIGINT AS source_bytes, sum(strlen(stored))::BIGINT AS content_bytes, true AS stored FROM r")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.functions.workers import MOST_HELD, give_back
+
 #: Fixed value: larger files are not read.
 MOST_BYTES = 256 * 1024 * 1024
 #: Families of files and their roles.
@@ -57,19 +59,32 @@ def with_agents(found: DataFrame) -> DataFrame:
     return found.where("role <> 'subagent-meta'").join(side, F.col("path") == F.col("of"), "left").withColumn("agent", agent).drop("of", "kind")
 
 
+def _converted(batches: Iterator[pa.RecordBatch], convert: Callable[[bytes], bytes | None]) -> Iterator[pa.RecordBatch]:
+    """Batches (path, content) with each content converted, about MOST_HELD bytes of results at a time."""
+    for b in batches:
+        start, out, size = 0, [], 0
+        for i, x in enumerate(b.column(1)):
+            content = x.as_py()
+            out.append(None if content is None else convert(content))
+            size += len(content or b"") + len(out[-1] or b"")
+            if size >= MOST_HELD or i + 1 == b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(out)), pa.array(out, pa.binary())], ["path", "content"])
+                start, out, size = i + 1, [], 0
+        give_back()
+
+
 def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import io
 
     import zstandard
 
-    for b in batches:
-        out = []
-        for x in b.column(1).to_pylist():
-            try:
-                out.append(None if x is None else zstandard.ZstdDecompressor().stream_reader(io.BytesIO(x), read_across_frames=True).read())
-            except zstandard.ZstdError:
-                out.append(None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
+    def whole(frames: bytes) -> bytes | None:
+        try:
+            return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(frames), read_across_frames=True).read()
+        except zstandard.ZstdError:
+            return None
+
+    yield from _converted(batches, whole)
 
 
 def decoded(stored: DataFrame) -> DataFrame:
@@ -80,8 +95,18 @@ def decoded(stored: DataFrame) -> DataFrame:
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else zstandard.ZstdCompressor(level=19).compress(x) for x in b.column(1).to_pylist()], pa.binary())], ["path", "content"])
+    # one compressor for all: its tables are large
+    yield from _converted(batches, zstandard.ZstdCompressor(level=19).compress)
+
+
+def decoded_column(stored: Column) -> Column:
+    """The content of stored frames, as decoded() has it; rows stay in the JVM."""
+    @F.arrow_udf("binary")
+    def run(frames: pa.Array) -> pa.Array:
+        batches = iter([pa.RecordBatch.from_arrays([pa.nulls(len(frames)), frames], ["path", "content"])])
+        return pa.concat_arrays([b.column(1) for b in _frames(batches)] or [pa.array([], pa.binary())])
+
+    return run(stored)
 
 
 def encoded(files: DataFrame) -> DataFrame:
