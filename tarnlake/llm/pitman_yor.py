@@ -2,8 +2,7 @@
 
 Every word of the training texts, and the beginning of a text, is a context with a restaurant of its own; the dishes are the
 words that follow. All these restaurants share one parent, whose customers are their tables and whose base is uniform over
-the words and one unknown word. There is no class of words and no cap on contexts or cells: cells (context, word, count) are
-counted by a shuffle and grow with the corpus.
+the words and one unknown word. There is no class of words and no cap on contexts or cells (context, word, count).
 
 A sweep seats every cell's customers anew by the Chinese-restaurant rule, given all other cells' tables of the sweep before,
 then the parent's customers. A cell seen once has one table in any sweep: it needs no seating, and the numbers of such cells
@@ -11,31 +10,40 @@ of a context or a word follow from its count. Random numbers depend on the cell
 partitions nor batches change a draw. After BURN_IN sweeps, tables and the parent's predictive probabilities are averaged
 over SAMPLES sweeps, and p(w | u) = (c - discount * tables + (strength + discount * tables of u) * parent(w)) / (strength + customers of u).
 
-Tasks look up the FREQUENT most frequent words and the TOP most frequent cells, tables of bounded size; everything about
-other words and cells is joined by a shuffle. A filter of bounded size tells most cells that were seen once from others.
+Texts are held in chunks of some million tokens, words in parts by their hash, cells in parts by that of their key; the numbers
+of parts grow with the tokens. What one of them has to tell another is a row of arrays: a chunk tells its distinct words to the
+parts of words and is told their numbers and counts, then its distinct pairs to the parts of cells; in a sweep, parts of cells
+tell those of words the tables of contexts and words, and are told the sums; at last chunks are told the probabilities of their
+words and of their pairs. Nothing is looked up in a table of all words or cells, and nothing but sums goes to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.llm.shared import mix, raw, release, stage, unstage
+from tarnlake.llm.shared import give_back, mix, raw, release, stage, unstage
 from tarnlake.llm.words import runs_of
 
+#: A part of words is for 16 * FREQUENT tokens, a part of cells for 4 * TOP.
 FREQUENT, TOP = 1 << 19, 1 << 19
 BURN_IN, SAMPLES = 2, 3
 STRENGTH = 1.0
-#: Words, and pairs of words, that a task holds before it hands their counts on.
-HELD, HELD_PAIRS = 1 << 22, 1 << 21
-#: Bits of the filter of cells.
-BITS = 1 << 26
+#: Tokens of a chunk.
+HELD = 3 << 19
 END, BEGIN = np.uint64(0x454E44), np.uint64(0x424547494E)
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_B = np.uint64(0xD1342543DE82EF95)
+_HALF, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
+
+#: A row that tells `target` something: what it is, who tells it, two numbers, and arrays.
+ROW = "kind string, target long, source long, n long, m long, p binary, q binary, r binary, s binary, t binary"
+_ROW = pa.schema([("kind", pa.string()), *[(k, pa.int64()) for k in ("target", "source", "n", "m")], *[(k, pa.binary()) for k in "pqrst"]])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,66 +51,136 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def tokens_of(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, word, text) of each token: words, and one end after each text's words."""
-    text = np.repeat(np.arange(len(counts)), counts + 1)
-    ends = np.cumsum(counts + 1) - 1
-    w = np.empty(len(text), np.uint64)
-    is_end = np.zeros(len(text), bool)
-    is_end[ends] = True
-    w[~is_end], w[is_end] = h, END
-    u = np.concatenate((w[:0] if not len(w) else [BEGIN], w[:-1])).astype(np.uint64)
-    u[ends - counts] = BEGIN
-    return u, w, text
+def pack(x: np.ndarray) -> bytes:
+    """An array as bytes: the first bytes of all values, then the second ones and so on, compressed."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T) if len(x) else b""
+    return len(x).to_bytes(8, "little") + (pa.compress(pa.py_buffer(planes), codec="zstd", asbytes=True) if len(x) else b"")
 
 
-def cell_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(mix(u * _A) + w * _B)
+def unpack(b: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(memoryview(b)[8:], decompressed_size=n * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts, held = [], 0
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x.astype(np.uint64), prepend=np.uint64(0)))
 
-    def merged() -> pa.RecordBatch:
-        h, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
-        parts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
 
-    for b in batches:
-        for _, h, of_text in runs_of(raw(b.column(0))):
-            parts.extend((h, np.full(len(of_text), END)))
-            held += len(h) + len(of_text)
-            if held > HELD:
-                yield merged()
-                held = 0
-    yield merged()
-
-
-def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, w, c, asked): pairs of neighbours of training texts and their number; a pair of a held-out text is asked for, and counts nothing."""
-    us, ws, cs, held = [], [], [], 0
-
-    def merged() -> pa.RecordBatch:
-        u, w, c = np.concatenate([np.zeros(0, np.uint64), *us]), np.concatenate([np.zeros(0, np.uint64), *ws]), np.concatenate([np.zeros(0, bool), *cs])
-        # by the upper halves of both: a context's pairs stand together, and equal ones that others stand between are added up after the shuffle
-        order = np.argsort(u & np.uint64(0xFFFFFFFF00000000) | w >> np.uint64(32))
-        u, w, c = u[order], w[order], c[order]
-        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(u)), bool), (u[1:] != u[:-1]) | (w[1:] != w[:-1]))))
-        n = np.add.reduceat(c.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(u)))
-        us.clear(), ws.clear(), cs.clear()
-        return pa.RecordBatch.from_arrays([pa.array(u[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n), pa.array(n < size)], ["u", "w", "c", "asked"])
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
+
+
+def pack_few(x: np.ndarray) -> bytes:
+    """An array of few different numbers in single precision: these, and their places."""
+    values, at = np.unique(x.astype(np.float32), return_inverse=True)
+    values = pack(values)
+    return len(values).to_bytes(8, "little") + values + pack(at.astype(np.uint32))
+
+
+def unpack_few(b: bytes) -> np.ndarray:
+    end = 8 + int.from_bytes(b[:8], "little")
+    return unpack(b[8:end], np.float32)[unpack(b[end:], np.uint32)].astype(float)
+
+
+def _table(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, schema=_ROW)
+
+
+def _told(table: pa.Table) -> dict[str, list[dict]]:
+    """The rows of a group by kind, in the order of their sources and numbers."""
+    out: dict[str, list[dict]] = {}
+    for r in sorted(table.to_pylist(), key=lambda r: (r["source"] or 0, r["n"] or 0)):
+        out.setdefault(r["kind"], []).append(r)
+    return out
+
+
+def _each(df: DataFrame, f: Callable[[dict], list[dict]]) -> DataFrame:
+    """What f makes of each row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield from _table(f(b.slice(i, 1).to_pylist()[0])).to_batches()
+
+    return df.mapInArrow(run, ROW)
+
+
+def _meet(f: Callable[[dict[str, list[dict]]], list[dict]], *told: DataFrame) -> DataFrame:
+    """What f makes of all rows for a target."""
+    def run(table: pa.Table) -> pa.Table:
+        out = _table(f(_told(table)))
+        give_back()
+        return out
+
+    return reduce(DataFrame.unionByName, told).groupBy("target").applyInArrow(run, ROW)
+
+
+def _sum_at(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Sums of whole numbers x by their places."""
+    return np.bincount(at, weights=x, minlength=n).astype(np.int64)
+
+
+def _slices(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each part and where it stands among sorted ones."""
+    edge = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+    for a, b in zip(edge, edge[1:], strict=False):
+        yield int(part[a]), slice(a, b)
+
+
+def _parts(tokens: int, each: int) -> int:
+    """A power of two; it depends on the texts alone, not on how they are dealt out."""
+    return 1 << max(3, (tokens // each).bit_length())
+
+
+def _by_count(c: np.ndarray) -> np.ndarray:
+    """Places of counts, the largest first."""
+    return np.argsort(-c, kind="stable")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of texts, their counts with whether the id is null and held out, their tokens as places by frequency, and the sorted distinct words with their training counts."""
+    hs, ns, ids, outs, held, made = [], [], [], [], 0, 0
+
+    def chunk() -> dict:
+        nonlocal held, made
+        counts, out, doc_id = np.concatenate(ns), np.concatenate(outs), pa.concat_arrays(ids)
+        w = np.empty(held + 1, np.uint64)
+        is_end = np.zeros(held + 1, bool)
+        is_end[np.cumsum(counts + 1) - 1] = True
+        # the beginning is a word of every chunk, and stands last
+        w[is_end], w[-1] = END, BEGIN
+        is_end[-1] = True
+        w[~is_end] = np.concatenate(hs)
+        words, at = np.unique(w, return_inverse=True)
+        at, of_held = at[:-1].astype(np.int32), np.repeat(out, counts + 1)
+        c, asked = (np.bincount(at[x], minlength=len(words)) for x in (~of_held, of_held))
+        begin = int(np.searchsorted(words, BEGIN))
+        asked[begin] = 1
+        # written as places in order of frequency, which are small numbers mostly
+        order, place = _by_count(c), np.empty(len(words), np.int32)
+        place[order] = np.arange(len(words), dtype=np.int32)
+        for x in (hs, ns, ids, outs):
+            x.clear()
+        row = {
+            "kind": "chunk", "target": TaskContext.get().partitionId() << 32 | made, "source": begin, "n": len(at), "m": int((~of_held).sum()),
+            "p": pack(doc_id.fill_null(0).to_numpy(zero_copy_only=False)), "q": pack(counts.astype(np.int64) << 2 | doc_id.is_null().to_numpy(zero_copy_only=False) << 1 | out), "r": pack(place[at]), "s": pack(c << 1 | (asked > 0)), "t": pack_sorted(words),
+        }
+        held, made = 0, made + 1
+        return row
 
     for b in batches:
         out = np.array(b.column(1).to_pylist(), bool)
-        for at, h, counts in runs_of(raw(b.column(0))):
-            u, w, text = tokens_of(h, counts)
-            us.append(u), ws.append(w), cs.append(~out[at + text])
-            held += len(u)
-            if held > HELD_PAIRS:
-                yield merged()
-                held = 0
-    yield merged()
+        for at, h, counts in runs_of(raw(b.column(2))):
+            hs.append(h), ns.append(counts), ids.append(b.column(0).slice(at, len(counts))), outs.append(out[at : at + len(counts)])
+            held += len(h) + len(counts)
+            if held > HELD:
+                yield from _table([chunk()]).to_batches()
+                give_back()
+    if ns:
+        yield from _table([chunk()]).to_batches()
+        give_back()
 
 
 def uniform(cell: np.ndarray, sweep: int, step: int) -> np.ndarray:
@@ -164,289 +242,342 @@ def _discount(once: int, twice: int) -> float:
     return float(np.clip(once / (once + 2 * twice), 0.1, 0.95)) if once else 0.5
 
 
-def _bin(column: str) -> Column:
-    """64 bins to each doubling of a count."""
-    return F.floor(F.log2(column) * 64).cast("int")
+def _ask_words(parts: int) -> Callable[[dict], list[dict]]:
+    """A chunk's distinct words, to the parts of words: these are ranges of hashes."""
+    def run(row: dict) -> list[dict]:
+        h, c = unpack_sorted(row["t"]), unpack(row["s"], np.int64)
+        part = (h >> np.uint64(65 - parts.bit_length())).astype(np.int64)
+        return [{"kind": "ask", "target": k, "source": row["target"], "p": pack_sorted(h[at]), "q": pack(c[at])} for k, at in _slices(part)]
 
+    return run
 
-def _least_bin(table: DataFrame, column: str, room: int) -> int:
-    """The least bin of counts of which, and of all above, at most `room` rows are."""
-    least = 1 << 20
-    for b, n in sorted(((r["bin"], r["n"]) for r in table.groupBy(_bin(column).alias("bin")).agg(F.count("*").alias("n")).collect()), reverse=True):
-        if n > room:
-            break
-        least, room = b, room - n
-    return least
 
+def _number_words(parts: int) -> Callable[[dict[str, list[dict]]], list[dict]]:
+    """The vocabulary of a part, frequent words first, and to each chunk the numbers of its words (0: not in training) with their counts and whether held-out texts have them."""
+    def run(told: dict[str, list[dict]]) -> list[dict]:
+        part = told["ask"][0]["target"]
+        hs = [unpack_sorted(r["p"]) for r in told["ask"]]
+        h, at = np.unique(np.concatenate(hs), return_inverse=True)
+        c = np.concatenate([unpack(r["q"], np.int64) for r in told["ask"]])
+        c, asked = _sum_at(at, c >> 1, len(h)), _sum_at(at, c & 1, len(h)) > 0
+        known = np.flatnonzero((c > 0) | (h == BEGIN))
+        known = known[np.lexsort((h[known], -c[known]))]
+        number = np.zeros(len(h), np.uint32)
+        number[known] = np.arange(len(known), dtype=np.uint32) * np.uint32(parts) + np.uint32(part + 1)
+        if len(known) * parts + part >= 1 << 32:
+            raise ValueError("over 2^32 words")
+        out = [{"kind": "words", "target": part, "n": int(c.sum()), "m": int((c > 0).sum()), "p": pack(h[known]), "q": pack(c[known])}]
+        for r, a, n in zip(told["ask"], np.cumsum([0, *map(len, hs)]).tolist(), map(len, hs), strict=False):
+            own = at[a : a + n]
+            out.append({"kind": "numbers", "target": r["source"], "source": part, "p": pack(number[own]), "q": pack(c[own] << 1 | asked[own])})
+        return out
 
-def _columns(df: DataFrame) -> dict[str, np.ndarray]:
-    """A table of bounded size as arrays."""
-    got = df.toArrow()
-    return {k: got.column(k).to_numpy() for k in got.column_names}
+    return run
 
 
-class Lookup:
-    """Values of sorted 64-bit keys."""
+class Chunk:
+    """A chunk of texts that has been told its words' numbers: its distinct pairs, and those that cells are asked for, by part of cells."""
+
+    def __init__(self, row: dict, numbers: list[dict], parts: int) -> None:
+        x = unpack(row["q"], np.int64)
+        self.counts, self.null, self.out = x >> 2, (x & 2).astype(bool), (x & 1).astype(bool)
+        self.token = _by_count(unpack(row["s"], np.int64) >> 1)[unpack(row["r"], np.int32)]
+        self.text = np.repeat(np.arange(len(self.counts)), self.counts + 1)
+        self.begin = row["source"]
+        self.number = np.concatenate([unpack(r["p"], np.uint32) for r in numbers]).astype(np.uint64)
+        c = np.concatenate([unpack(r["q"], np.int64) for r in numbers])
+        self.c, asked = c >> 1, (c & 1).astype(bool)
+        context = np.roll(self.token, 1)
+        context[np.cumsum(self.counts + 1) - self.counts - 1] = self.begin
+        pair, self.pair_of = np.unique(context.astype(np.uint64) << _HALF | self.token.astype(np.uint64), return_inverse=True)
+        self.u, self.w = (pair >> _HALF).astype(np.int64), (pair & _LOW).astype(np.int64)
+        # a pair with a word that training has once is no cell to seat, and no held-out text asks for it unless such texts have both words
+        ok = (self.number > 0) & (self.c != 1)
+        may = ok[self.u] & ok[self.w] | (asked & (self.number > 0))[self.u] & asked[self.w] & (self.number[self.w] > 0)
+        self.sent = np.flatnonzero(may)
+        key = (self.number[self.u[self.sent]] - np.uint64(1)) << _HALF | (self.number[self.w[self.sent]] - np.uint64(1))
+        part = (mix(key) & np.uint64(parts - 1)).astype(np.int64)
+        order = np.lexsort((key, part))
+        self.sent, self.key, self.part = self.sent[order], key[order], part[order]
+
+
+def _ask_cells(parts: int) -> Callable[[dict[str, list[dict]]], list[dict]]:
+    """A chunk's distinct pairs with their training counts and whether held-out texts have them, to the parts of cells."""
+    def run(told: dict[str, list[dict]]) -> list[dict]:
+        k = Chunk(told["chunk"][0], told["numbers"], parts)
+        of_held = k.out[k.text]
+        n, asked = (np.bincount(k.pair_of[x], minlength=len(k.u))[k.sent] for x in (~of_held, of_held))
+        n = n << 1 | (asked > 0)
+        return [{"kind": "ask", "target": p, "source": told["chunk"][0]["target"], "p": pack_sorted(k.key[at]), "q": pack(n[at])} for p, at in _slices(k.part)]
 
-    def __init__(self, keys: np.ndarray, **values: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], {k: v[order] for k, v in values.items()}
+    return run
 
-    def at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The place of each key, and whether it is there."""
-        if not len(self.keys):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        # asked in order, which reads the keys from one end to the other
-        order, place = np.argsort(h), np.empty(len(h), np.int64)
-        place[order] = np.minimum(np.searchsorted(self.keys, h[order]), len(self.keys) - 1)
-        return place, self.keys[place] == h
 
+def _count_cells(told: dict[str, list[dict]]) -> list[dict]:
+    """The cells of a part that training has twice or more, or once while a held-out text asks for them; and of each chunk, which of its pairs are among them, and where."""
+    part, keys = told["ask"][0]["target"], [unpack_sorted(r["p"]) for r in told["ask"]]
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    c = np.concatenate([unpack(r["q"], np.int64) for r in told["ask"]])
+    c, asked = _sum_at(at, c >> 1, len(key)), _sum_at(at, c & 1, len(key)) > 0
+    kept = (c > 1) | (c == 1) & asked
+    place = np.cumsum(kept) - 1
+    out = [{"kind": "cells", "target": part, "n": int(c[c > 1].sum()), "m": int((c == 2).sum()), "p": pack_sorted(key[kept]), "q": pack(c[kept])}]
+    for r, a, n in zip(told["ask"], np.cumsum([0, *map(len, keys)]).tolist(), map(len, keys), strict=False):
+        own = at[a : a + n]
+        out.append({"kind": "pairs", "target": part, "source": r["source"], "n": n, "p": pack(np.packbits(kept[own])), "q": pack_sorted(place[own[kept[own]]])})
+    return out
 
-class Sweep:
-    """What a sweep is given: tables (T) and parent probability (P) of each word, of frequent ones by lookup, of those in cells to seat as a table.
 
-    Words in no such cell are `still`: their T and K never change, and their tables at the parent are drawn where they are needed.
-    """
+class Cells:
+    """A part of cells, and the words in them by part of words."""
 
-    def __init__(self, number: int, moving: DataFrame, still: DataFrame, types: int, tables: int, discount: float) -> None:
-        state = stage(moving.mapInArrow(_seat_parent(number, tables, types, discount), "h long, T long, K long, frequent boolean, t0 long"), "state")
-        rest = still.mapInArrow(_seat_parent(number, tables, types, discount), "h long, T long, K long, frequent boolean, t0 long")
-        zero = lambda x: F.coalesce(F.sum(x), F.lit(0))
-        sums = [df.agg(zero("K").alias("k"), zero("t0").alias("t0"), F.count_if(F.col("K") == 1).alias("one"), F.count_if(F.col("K") == 2).alias("two")).first() for df in (state, rest)]
-        self.number, self.given, self.state = number, (tables, discount), state
-        self.customers, self.tables, one, two = (sum(x[k] for x in sums) for k in ("k", "t0", "one", "two"))
-        self.discount = _discount(one, two)
-        self.unknown = (STRENGTH + self.discount * self.tables) / (types + 1) / (STRENGTH + self.customers)
-        self.all = state.select("h", F.col("T").cast("double").alias("T"), self.probability(F.col("K"), F.col("t0")).alias("P"))
-        top = _columns(state.where("frequent").unionByName(rest.where("frequent")).select("h", "T", "K", "t0"))
-        self.lookup = Lookup(top["h"].view(np.uint64), T=top["T"].astype(np.float32), P=self.probability(top["K"], top["t0"]).astype(np.float32))
+    def __init__(self, row: dict, word_parts: int) -> None:
+        key, self.c = unpack_sorted(row["p"]), unpack(row["q"], np.int64)
+        self.key, n = key, len(key)
+        words, at = np.unique(np.concatenate((key >> _HALF, key & _LOW)), return_inverse=True)
+        part = (words % np.uint64(word_parts)).astype(np.int64)
+        order, place = np.lexsort((words, part)), np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        self.part, self.rank = part[order], words[order] // np.uint64(word_parts)
+        self.u, self.w = place[at[:n]], place[at[n:]]
 
-    def probability(self, customers, tables):
-        """The parent's, of a word with so many customers and tables there."""
-        return (customers - self.discount * tables) / (STRENGTH + self.customers) + self.unknown
+    def tell(self, me: int, *sums: np.ndarray, kind: str, number: int = 0) -> list[dict]:
+        """Numbers of its words, to their parts."""
+        return [
+            {"kind": kind, "target": k, "source": me, "n": number, "p": pack_sorted(self.rank[at]), **{name: pack(x[at]) for name, x in zip("qrst", sums, strict=False)}}
+            for k, at in _slices(self.part)
+        ]
 
 
-def _seat_cells(sweeps: list[Sweep], discount: float, *, joined: bool, sums: bool):
-    """Seats cells (u, w, c) in each of the sweeps. With sums: (h, tu, tw), tables of contexts and of words; else (u, w, c, t, frequent), mean tables of cells."""
-    given = [(s.number, s.lookup) for s in sweeps]
+def _begin(word_parts: int) -> Callable[[dict], list[dict]]:
+    """Tables (one for each cell to seat) and customers of contexts and words in the cells to seat."""
+    def run(row: dict) -> list[dict]:
+        k = Cells(row, word_parts)
+        live, n = (k.c > 1).astype(np.int64), len(k.rank)
+        c = k.c * live
+        return k.tell(row["target"], _sum_at(k.u, live, n), _sum_at(k.w, live, n), _sum_at(k.u, c, n), _sum_at(k.w, c, n), kind="up", number=-1)
+
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            u, w, c = (b.column(k).to_numpy() for k in range(3))
-            x, y = u.view(np.uint64), w.view(np.uint64)
-            cell, t = cell_key(x, y), np.zeros(len(c))
-            if not joined:
-                # all sweeps look up the same words
-                iu, iw = given[0][1].at(x)[0], given[0][1].at(y)[0]
-            for k, (number, lookup) in enumerate(given):
-                if joined:
-                    tables, parent = b.column(3 + 2 * k).to_numpy(), b.column(4 + 2 * k).to_numpy()
-                else:
-                    tables, parent = lookup.values["T"][iu], lookup.values["P"][iw]
-                t += seat(c, (STRENGTH + discount * tables) * parent, discount, cell, number)
-            t /= len(given)
-            if sums:
-                h, at = np.unique(np.concatenate([u, w]), return_inverse=True)
-                n = len(u)
-                tu, tw = np.bincount(at[:n], weights=t, minlength=len(h)), np.bincount(at[n:], weights=t, minlength=len(h))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(tu.astype(np.int64)), pa.array(tw.astype(np.int64))], ["h", "tu", "tw"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(c), pa.array(t), pa.array(np.full(len(c), not joined))], ["u", "w", "c", "t", "frequent"])
+
+def _settle(told: dict[str, list[dict]]) -> list[dict]:
+    """The words of a part with their counts and customers, and how many of both are of cells seen once."""
+    words = told["words"][0]
+    h, c = unpack(words["p"], np.uint64), unpack(words["q"], np.int64)
+    customers = np.where(h == END, 0, c)
+    # every word but the end is followed by a token; each text begins once
+    customers[h == BEGIN] = c[h == END].sum()
+    of_u, of_w = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+    for r in told.get("up", []):
+        at = unpack_sorted(r["p"]).astype(np.int64)
+        of_u[at] += unpack(r["s"], np.int64)
+        of_w[at] += unpack(r["t"], np.int64)
+    return [{"kind": "words", "target": words["target"], "p": words["p"], "q": words["q"], "r": pack(customers), "s": pack(customers - of_u), "t": pack(c - of_w)}]
+
+
+def _seat_words(number: int, tables: int, types: int, discount: float) -> Callable[[dict[str, list[dict]]], list[dict]]:
+    """Seats the parent's customers: a part's state, with sums, and to each part of cells tables (T), customers at the parent (K) and tables there (t0) of its words."""
+    def run(told: dict[str, list[dict]]) -> list[dict]:
+        words = told["words"][0]
+        h, t, k = unpack(words["p"], np.uint64), unpack(words["s"], np.int64), unpack(words["t"], np.int64)
+        lists = [(r["source"], r["p"], unpack_sorted(r["p"]).astype(np.int64)) for r in told.get("up", [])]
+        for r, (_, _, at) in zip(told.get("up", []), lists, strict=True):
+            t[at] += unpack(r["q"], np.int64)
+            k[at] += unpack(r["r"], np.int64)
+        t0 = seat(k, np.full(len(h), (STRENGTH + discount * tables) / (types + 1)), discount, mix(h), number)
+        sums = np.array([k.sum(), t0.sum(), (k == 1).sum(), (k == 2).sum()], np.int64)
+        out = [{"kind": "state", "target": words["target"], "n": number, "p": sums.tobytes(), "q": pack(k), "r": pack(t0)}]
+        return out + [{"kind": "down", "target": source, "source": words["target"], "n": number, "p": pack(t[at]), "q": pack(k[at]), "r": pack(t0[at])} for source, _, at in lists]
 
     return run
 
 
-def _seated(cells: DataFrame, sweeps: list[Sweep], discount: float, *, sums: bool) -> DataFrame:
-    """All cells seated in the sweeps: those of two frequent words by lookup, the others joined with their words."""
-    schema = "h long, tu long, tw long" if sums else "u long, w long, c long, t double, frequent boolean"
-    plain = cells.where("frequent").select("u", "w", "c").mapInArrow(_seat_cells(sweeps, discount, joined=False, sums=sums), schema)
-    rare = cells.where("not frequent").select("u", "w", "c")
-    for k, s in enumerate(sweeps):
-        rare = rare.join(s.all.select(F.col("h").alias("u"), F.col("T").alias(f"T{k}")), "u").join(s.all.select(F.col("h").alias("w"), F.col("P").alias(f"P{k}")), "w")
-    columns = [x for k in range(len(sweeps)) for x in (f"T{k}", f"P{k}")]
-    return plain.unionByName(rare.select("u", "w", "c", *columns).mapInArrow(_seat_cells(sweeps, discount, joined=True, sums=sums), schema))
+class Sweep:
+    """What a sweep has at the parent: its customers, tables and discount, and what is left for an unknown word."""
 
+    def __init__(self, number: int, sums: np.ndarray, types: int) -> None:
+        self.number, (self.customers, self.tables, once, twice) = number, sums.tolist()
+        self.discount = _discount(once, twice)
+        self.unknown = (STRENGTH + self.discount * self.tables) / (types + 1) / (STRENGTH + self.customers)
 
-def _seat_parent(number: int, tables: int, types: int, discount: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, customers = b.column(0).to_numpy(), b.column(2).to_numpy()
-            t0 = seat(customers, np.full(len(h), (STRENGTH + discount * tables) / (types + 1)), discount, mix(h.view(np.uint64)), number)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t0)], ["h", "T", "K", "frequent", "t0"])
+    def probability(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """The parent's, of words with so many customers and tables there."""
+        return (customers - self.discount * tables) / (STRENGTH + self.customers) + self.unknown
 
-    return run
 
+def _seat_cells(sweep: Sweep, discount: float, word_parts: int) -> Callable[[dict[str, list[dict]]], list[dict]]:
+    """Seats the cells of a part: their tables, and to each part of words the tables of its contexts and words."""
+    def run(told: dict[str, list[dict]]) -> list[dict]:
+        row = told["cells"][0]
+        k = Cells(row, word_parts)
+        tables, customers, t0 = (np.concatenate([unpack(r[x], np.int64) for r in told.get("down", [])] or [np.zeros(0, np.int64)]) for x in "pqr")
+        parent = sweep.probability(customers, t0)
+        live = np.flatnonzero(k.c > 1)
+        t = np.ones(len(k.c), np.int64)
+        u, w = k.u[live], k.w[live]
+        t[live] = seat(k.c[live], (STRENGTH + discount * tables[u]) * parent[w], discount, mix(k.key[live]), sweep.number)
+        n = len(k.rank)
+        out = [{"kind": "tables", "target": row["target"], "n": sweep.number, "p": pack(t)}]
+        return out + k.tell(row["target"], _sum_at(u, t[live], n), _sum_at(w, t[live], n), kind="up", number=sweep.number)
 
-def _alone(sweeps: list[Sweep], types: int):
-    """(h, c, single_u, customers, frequent, P) of words (h, c, single_w, ...) whose customers at the parent never change: P is the mean of the sweeps' probabilities."""
-    given = [(s.number, *s.given, s.discount, s.customers, s.unknown) for s in sweeps]
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, k, p = b.column(0).to_numpy(), b.column(2).to_numpy(), np.zeros(b.num_rows)
-            for number, tables, before, discount, customers, unknown in given:
-                t0 = seat(k, np.full(len(h), (STRENGTH + before * tables) / (types + 1)), before, mix(h.view(np.uint64)), number)
-                p += (k - discount * t0) / (STRENGTH + customers) + unknown
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *b.columns[3:], pa.array(p / len(given))], ["h", "c", "single_u", "customers", "frequent", "P"])
+
+def _mean_words(sweeps: list[Sweep], discount: float) -> Callable[[dict[str, list[dict]]], list[dict]]:
+    """Of a part's words what they hand their parent as contexts (B), what they divide by (D) and the parent's probability of them (P): to parts of cells, and to chunks B and P."""
+    def run(told: dict[str, list[dict]]) -> list[dict]:
+        words = told["words"][0]
+        single, p = unpack(words["s"], np.int64), 0.0
+        for r, s in zip(told["state"], sweeps, strict=True):
+            p = p + s.probability(unpack(r["q"], np.int64), unpack(r["r"], np.int64))
+        p, tables, lists = p / len(sweeps), np.zeros(len(single), np.int64), {}
+        for r in told.get("up", []):
+            at = lists.setdefault(r["source"], unpack_sorted(r["p"]).astype(np.int64))
+            tables[at] += unpack(r["q"], np.int64)
+        # a context hands on what the tables of its own cells leave, so that its probabilities add up to one
+        b = STRENGTH + discount * (single + tables / len(sweeps))
+        d = STRENGTH + unpack(words["r"], np.int64)
+        out = [{"kind": "words", "target": words["target"], "p": words["p"], "q": words["q"], "r": pack(b), "s": pack(d), "t": pack(p)}]
+        out += [{"kind": "down", "target": source, "source": words["target"], "p": pack(b[at]), "q": pack(d[at]), "r": pack(p[at])} for source, at in lists.items()]
+        for r in told["numbers"]:
+            number = unpack(r["p"], np.uint32).astype(np.int64)
+            known, at = number > 0, (number - 1) // r["m"]
+            # a word that training has not hands everything to the parent as a context
+            told_b, told_p = (np.where(known, x[np.maximum(at, 0)] if len(x) else 0.0, other) for x, other in ((b, 1.0), (p, np.mean([s.unknown for s in sweeps]))))
+            out.append({"kind": "numbers", "target": r["source"], "source": words["target"], "p": r["p"], "q": r["q"], "r": pack_few(told_b), "s": pack_few(told_p)})
+        return out
 
     return run
 
 
-def _said(lookup: Lookup):
-    """(u, w, c, said): the decimal logarithm of p(w | u) of cells (u, w, c, a) of two frequent words."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            (iu, _), (iw, _) = (lookup.at(b.column(k).to_numpy().view(np.uint64)) for k in range(2))
-            v = lookup.values
-            said = np.log10((b.column(3).to_numpy() + v["B"][iu] * v["P"][iw]) / v["D"][iu])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(said)], ["u", "w", "c", "said"])
+def _say(discount: float, word_parts: int) -> Callable[[dict[str, list[dict]]], list[dict]]:
+    """The decimal logarithm of p(w | u) of the cells of a part, and to each chunk those of its pairs."""
+    def run(told: dict[str, list[dict]]) -> list[dict]:
+        row = told["cells"][0]
+        k = Cells(row, word_parts)
+        b, d, p = (np.concatenate([unpack(r[x], np.float64) for r in told.get("down", [])] or [np.zeros(0)]) for x in "pqr")
+        t = sum(unpack(r["p"], np.int64) for r in told["tables"]) / len(told["tables"])
+        said = np.log10((k.c - discount * t + b[k.u] * p[k.w]) / d[k.u])
+        out = [{"kind": "cells", "target": row["target"], "p": row["p"], "q": row["q"], "r": pack(said)}]
+        for r in told["pairs"]:
+            out.append({"kind": "said", "target": r["source"], "source": row["target"], "n": r["n"], "p": r["p"], "q": pack(said[unpack_sorted(r["q"]).astype(np.int64)].astype(np.float32))})
+        return out
 
     return run
 
 
 class Model:
-    """The seated model of training texts (columns text, held_out): see the module's text."""
+    """The seated model of training texts (columns text, held_out, and doc_id if it is to score them): see the module's text."""
 
     def __init__(self, docs: DataFrame) -> None:
         spark = docs.sparkSession
-        counted = docs.where("not held_out").select("text").mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 0")
-        vocabulary = stage(counted, "vocabulary")
-        n = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
-        self.tokens, self.types = n["tokens"], n["types"]
-        least = _least_bin(vocabulary, "c", FREQUENT)
-        ends = vocabulary.where(F.col("h") == int(END)).select(F.lit(int(BEGIN)).cast("long").alias("h"), F.lit(0).cast("long").alias("c"), F.col("c").alias("customers"))
-        # every word but the end is followed by a token; each text begins once
-        words = vocabulary.select("h", "c", F.when(F.col("h") == int(END), 0).otherwise(F.col("c")).alias("customers")).unionByName(ends)
-        words = words.withColumn("frequent", (_bin("c") >= least) | (F.col("h") == int(BEGIN)))
-        # cells seen twice or more, and those seen once that a held-out text asks for
-        cells = docs.select("text", "held_out").mapInArrow(_count_cells, "u long, w long, c long, asked boolean").groupBy("u", "w").agg(F.sum("c").alias("c"), F.bool_or("asked").alias("asked"))
-        known = words.where("frequent").select("h")
-        mark = lambda name: F.broadcast(known.select(F.col("h").alias(name), F.lit(True).alias(f"known_{name}")))
-        cells = cells.where("c > 1 or (c = 1 and asked)").join(mark("u"), "u", "left").join(mark("w"), "w", "left")
-        cells = stage(cells.select("u", "w", "c", F.coalesce(F.col("known_u") & F.col("known_w"), F.lit(False)).alias("frequent")), "cells")
+        doc_id = F.col("doc_id").cast("long") if "doc_id" in docs.columns else F.lit(None).cast("long")
+        self.chunks = stage(docs.select(doc_id.alias("doc_id"), "held_out", "text").mapInArrow(_chunks, ROW), "chunks")
+        all_tokens = self.chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        self.word_parts, self.cell_parts = _parts(all_tokens, 16 * FREQUENT), _parts(all_tokens, 4 * TOP)
+        vocabulary = stage(_meet(_number_words(self.word_parts), _each(self.chunks, _ask_words(self.word_parts))), "vocabulary")
         release(spark)
-        active = cells.where("c > 1")
-        some = active.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count_if(F.col("c") == 2).alias("two")).first()
-        self.discount = _discount(self.tokens - some["c"], some["two"])
-        role = lambda h, *values: F.struct(F.col(h).alias("h"), *[(F.col(v) if v == "c" else F.lit(v)).cast("long").alias(k) for k, v in zip(("cu", "tu", "cw", "tw"), values, strict=True)])
-        both = F.explode(F.array(role("u", "c", 1, 0, 0), role("w", 0, 0, "c", 1)))
-        zero = lambda x: F.coalesce(x, F.lit(0))
-        own = active.select(both.alias("x")).groupBy("x.h").agg(*[F.sum(f"x.{k}").alias(k) for k in ("cu", "tu", "cw", "tw")])
-        joined = words.join(own, "h", "left")
-        words = stage(
-            joined.select(
-                "h", "c", "customers", "frequent", (F.col("customers") - zero("cu")).alias("single_u"), (F.col("c") - zero("cw")).alias("single_w"), "tu", "tw"
-            ),
-            "words",
-        )
-        unstage(spark, vocabulary)
-        still = words.where("tu is null").select("h", F.col("single_u").alias("T"), F.col("single_w").alias("K"), "frequent")
-        moves = words.where("tu is not null")
-        sums, tables, discount, kept = moves.select("h", "tu", "tw"), self.types, 0.5, []
+        self.tokens, self.types = vocabulary.where("kind = 'words'").agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in "nm"]).first()
+        self.numbers = vocabulary.where("kind = 'numbers'")
+        # once they are numbered, a chunk's words are no longer handed on
+        self.texts = self.chunks.withColumn("t", F.lit(None).cast("binary"))
+        counted = stage(_meet(_count_cells, _meet(_ask_cells(self.cell_parts), self.texts, self.numbers)), "cells")
+        release(spark)
+        cells = counted.where("kind = 'cells'")
+        of_active, two = cells.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in "nm"]).first()
+        self.discount = _discount(self.tokens - of_active, two)
+        up = stage(_each(cells, _begin(self.word_parts)), "up")
+        words = stage(_meet(_settle, vocabulary.where("kind = 'words'"), up), "words")
+        tables, discount, sweeps, kept, old = self.types, 0.5, [], [], []
         for number in range(BURN_IN + SAMPLES):
-            now = moves.select("h", "frequent", "single_u", "single_w").join(sums, "h", "left")
-            now = now.select("h", (F.col("single_u") + zero("tu")).alias("T"), (F.col("single_w") + zero("tw")).alias("K"), "frequent")
-            sweep = Sweep(number, now, still, self.types, tables, discount)
+            state = stage(_meet(_seat_words(number, tables, self.types, discount), words, up.where("kind = 'up'")), "state")
+            sums = sum((np.frombuffer(r["p"], np.int64) for r in state.where("kind = 'state'").select("p").collect()), np.zeros(4, np.int64))
+            sweep = Sweep(number, sums, self.types)
             tables, discount = sweep.tables, sweep.discount
-            release(spark)
+            last, up = up, stage(_meet(_seat_cells(sweep, self.discount, self.word_parts), cells, state.where("kind = 'down'")), "up")
             if number >= BURN_IN:
-                kept.append(sweep)
-            if number < BURN_IN + SAMPLES - 1:
-                sums = _seated(active, [sweep], self.discount, sums=True).groupBy("h").agg(F.sum("tu").alias("tu"), F.sum("tw").alias("tw"))
-        seated = stage(_seated(active, kept, self.discount, sums=False), "seated")
-        # a context hands on what the tables of its own cells leave, so that its probabilities add up to one
-        tables_of = seated.groupBy(F.col("u").alias("h")).agg(F.sum("t").alias("tables"))
-        means = kept[0].all.select("h", "P")
-        for s in kept[1:]:
-            means = means.unionByName(s.all.select("h", "P"))
-        means = means.groupBy("h").agg(F.avg("P").alias("P"))
-        self.unknown = float(np.mean([s.unknown for s in kept]))
-        # of each word: its count, what it hands its parent as a context, its customers there, and the parent's probability of it
-        said = lambda df, tables: df.select("h", "c", (STRENGTH + self.discount * (F.col("single_u") + tables)).alias("B"), (STRENGTH + F.col("customers")).alias("D"), "P", "frequent")
-        alone = words.where("tu is null").select("h", "c", F.col("single_w"), "single_u", "customers", "frequent").mapInArrow(_alone(kept, self.types), "h long, c long, single_u long, customers long, frequent boolean, P double")
-        moved = moves.select("h", "c", "customers", "frequent", "single_u").join(means, "h").join(tables_of, "h", "left")
-        self.words = stage(said(moved, zero("tables")).unionByName(said(alone, F.lit(0))), "model_words")
-        for df in (words, *(s.state for s in [*kept])):
-            unstage(spark, df)
-        top = _columns(self.words.where("frequent").select("h", "c", "B", "D", "P"))
-        self.lookup = Lookup(top["h"].view(np.uint64), c=top["c"], **{k: top[k].astype(np.float32) for k in "BDP"})
-        own = seated.select("u", "w", "c", (F.col("c") - self.discount * F.col("t")).alias("a"), "frequent").unionByName(cells.where("c = 1").select("u", "w", "c", F.lit(1 - self.discount).alias("a"), "frequent"))
-        easy = own.where("frequent").drop("frequent").mapInArrow(_said(self.lookup), "u long, w long, c long, said double")
-        context = self.words.select(F.col("h").alias("u"), "B", "D")
-        parent = self.words.select(F.col("h").alias("w"), "P")
-        rest = own.where("not frequent").join(context, "u").join(parent, "w").select("u", "w", "c", F.log10((F.col("a") + F.col("B") * F.col("P")) / F.col("D")).alias("said"))
-        self.cells = stage(easy.unionByName(rest), "model_cells")
-        for df in (cells, seated):
+                sweeps.append(sweep)
+                kept += [state, up]
+            if number <= BURN_IN:
+                old.append(last)
+            if number < BURN_IN:
+                old.append(state)
+            while old:
+                unstage(spark, old.pop())
+            release(spark)
+        every = reduce(DataFrame.unionByName, kept)
+        self.unknown = float(np.mean([s.unknown for s in sweeps]))
+        # to parts of words, which tell the chunks: the numbers that they told them before
+        again = self.numbers.select("kind", F.col("source").alias("target"), F.col("target").alias("source"), "n", F.lit(self.word_parts).cast("long").alias("m"), *"pqrst")
+        self._words = stage(_meet(_mean_words(sweeps, self.discount), words, every.where("kind in ('state', 'up')"), again), "model_words")
+        self._cells = stage(_meet(_say(self.discount, self.word_parts), counted, every.where("kind = 'tables'"), self._words.where("kind = 'down'")), "model_cells")
+        for df in (vocabulary, counted, words, *kept):
             unstage(spark, df)
-        top = _columns(self.cells.where(_bin("c") >= _least_bin(self.cells, "c", TOP)).select("u", "w", F.col("said").cast("float")))
-        self.top = Lookup(cell_key(top["u"].view(np.uint64), top["w"].view(np.uint64)), said=top["said"])
-        self.filter = self._filter()
+        release(spark)
+
+    @property
+    def words(self) -> DataFrame:
+        """Of each word: its number, hash, count, what it hands its parent as a context, what it divides by, and the parent's probability of it."""
+        parts = self.word_parts
 
-    def _filter(self) -> np.ndarray:
-        """BITS bits, those of all cells set."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(BITS >> 6, np.uint64)
             for b in batches:
-                key = cell_key(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64)) & np.uint64(BITS - 1)
-                np.bitwise_or.at(bits, (key >> np.uint64(6)).astype(np.int64), np.uint64(1) << (key & np.uint64(63)))
-            at = np.flatnonzero(bits)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], ["at", "bits"])
-
-        out = np.zeros(BITS >> 6, np.uint64)
-        got = _columns(self.cells.select("u", "w").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")))
-        out[got["at"]] = got["bits"].view(np.uint64)
-        return out
-
-
-def may_have(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether each key may be a cell's, by the filter."""
-    key = key & np.uint64(BITS - 1)
-    return (bits[(key >> np.uint64(6)).astype(np.int64)] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool)
-
+                for r in b.to_pylist():
+                    h = unpack(r["p"], np.int64)
+                    number = np.arange(len(h)) * parts + r["target"]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (number, h, unpack(r["q"], np.int64), *(unpack(r[k], np.float64) for k in "rst"))], ["number", "h", "c", "B", "D", "P"])
 
-#: Lists of a scored row: cells to look up (u, w), rare words with what their context hands on (NaN: known otherwise), rare contexts with their word's probability, and pairs of both.
-LISTS = ["cell_u", "cell_w", "rare_w", "rare_b", "rare_u", "rare_p", "pair_u", "pair_w"]
-_FLOATS = {"rare_b", "rare_p"}
+        return self._words.where("kind = 'words'").mapInArrow(run, "number long, h long, c long, B double, D double, P double")
 
-
-def _score(lookup: Lookup, top: Lookup, bits: np.ndarray, discount: float, tokens: int, types: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out_of_training = np.array(b.column(1).to_pylist(), bool)
-            for at, h, counts in runs_of(raw(b.column(2))):
-                u, w, text = tokens_of(h, counts)
-                iw, kw = lookup.at(w)
-                # a token's context is the token before it, or the beginning
-                first, at_first = lookup.at(np.array([BEGIN]))
-                begins = u == BEGIN
-                iu, ku = np.where(begins, first, np.roll(iw, 1)), np.where(begins, at_first, np.roll(kw, 1))
-                val = lambda k, i: lookup.values[k][i] if len(lookup.keys) else np.zeros(len(i))
-                key = cell_key(u, w)
-                it, kt = top.at(key)
-                score = np.where(kt, top.values["said"][it] if len(top.keys) else 0.0, 0.0)
-                base = np.where(kw, np.log10((val("c", iw) + 1) / (tokens + types + 1)), 0.0)
-                ask = ~kt & may_have(bits, key)
-                alone = ~kt & ~ask
-                a = np.where(out_of_training[at + text], 0.0, 1 - discount)
-                easy = alone & ku & kw
-                score[easy] = np.log10((a + val("B", iu) * val("P", iw))[easy] / val("D", iu)[easy])
-                word, context, pair = ~kw & (~alone | ku), alone & ~ku & kw, alone & ~ku & ~kw
-                with_context = alone & ku & ~kw
-                score[with_context] -= np.log10(val("D", iu)[with_context])
-                handed = np.where(with_context, val("B", iu), np.nan)
-                sums = lambda x: np.bincount(text, weights=x, minlength=len(counts))  # noqa: B023, E731
-                lists = {"cell_u": (ask, u), "cell_w": (ask, w), "rare_w": (word, w), "rare_b": (word, handed), "rare_u": (context, u), "rare_p": (context, val("P", iw)), "pair_u": (pair, u), "pair_w": (pair, w)}
-                columns = []
-                for name in LISTS:
-                    which, values = lists[name]
-                    offsets = np.concatenate(([0], np.cumsum(np.bincount(text[which], minlength=len(counts))))).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[which].astype(np.float32)) if name in _FLOATS else pa.array(values[which].view(np.int64))))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(counts)), b.column(1).slice(at, len(counts)), pa.array(np.bincount(text, minlength=len(counts))), pa.array(sums(kw).astype(np.int64)), pa.array(sums(base)), pa.array(sums(score)), *columns],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", *LISTS],
-                )
-
-    return run
+    @property
+    def cells(self) -> DataFrame:
+        """(u, w, c, said): the decimal logarithm of p(w | u) of cells seen twice or more, and of those seen once that a held-out text has."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    key = unpack_sorted(r["p"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((key >> _HALF).view(np.int64), (key & _LOW).view(np.int64), unpack(r["q"], np.int64), unpack(r["r"], np.float64))], ["i", "j", "c", "said"])
+
+        name = lambda number, h: self.words.select(F.col("number").alias(number), F.col("h").alias(h))
+        got = self._cells.where("kind = 'cells'").mapInArrow(run, "i long, j long, c long, said double")
+        return got.join(name("i", "u"), "i").join(name("j", "w"), "j").select("u", "w", "c", "said")
+
+    def scores(self) -> DataFrame:
+        """(doc_id, held_out, n_tokens, n_known, base_score, score) of the model's texts."""
+        discount, norm, parts = self.discount, self.tokens + self.types + 1, self.cell_parts
+
+        def run(table: pa.Table) -> pa.Table:
+            told = _told(table)
+            row = told["chunk"][0]
+            k = Chunk(row, told["numbers"], parts)
+            b, p = (np.concatenate([unpack_few(r[x]) for r in told["numbers"]]) for x in "rs")
+            # a text's end stands last, and as often as training texts begin
+            d = STRENGTH + k.c
+            d[k.begin] = STRENGTH + k.c[k.token[-1]]
+            handed, d = b[k.u] * p[k.w], d[k.u]
+            of_held = np.log10(handed / d)
+            said = np.log10((1 - discount + handed) / d)
+            found, at = np.zeros(len(k.sent), bool), 0
+            values = []
+            for r in told.get("said", []):
+                found[at : at + r["n"]] = np.unpackbits(unpack(r["p"], np.uint8), count=r["n"])
+                values.append(unpack(r["q"], np.float32))
+                at += r["n"]
+            where = k.sent[found]
+            said[where] = of_held[where] = np.concatenate([np.zeros(0), *values])
+            score = np.where(k.out[k.text], of_held[k.pair_of], said[k.pair_of])
+            c = k.c[k.token]
+            sums = lambda x: np.bincount(k.text, weights=x, minlength=len(k.counts))
+            out = pa.table({
+                "doc_id": pa.array(unpack(row["p"], np.int64), mask=k.null), "held_out": k.out, "n_tokens": k.counts + 1, "n_known": sums(c > 0).astype(np.int64),
+                "base_score": sums(np.log10((c + 1) / norm)), "score": sums(score),
+            })
+            give_back()
+            return out
+
+        schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        told = self._words.where("kind = 'numbers'").unionByName(self._cells.where("kind = 'said'"))
+        return self.texts.unionByName(told).groupBy("target").applyInArrow(run, schema)
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -456,44 +587,9 @@ def scored(docs: DataFrame) -> DataFrame:
     Without a training text every token is unknown: both scores are of uniform chance. An empty table gives an
     empty table; other columns are ignored. Scores are rounded to nine decimals, as sums come in any order.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id").cast("long")).alias("held_out"), "text")
-    m = Model(docs)
-    release(docs.sparkSession)
-    lists = ", ".join(f"{x} array<{'float' if x in _FLOATS else 'long'}>" for x in LISTS)
-    schema = f"doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, {lists}"
-    told = docs.mapInArrow(_score(m.lookup, m.top, m.filter, m.discount, m.tokens, m.types), schema)
-    rows = stage(told.withColumn("row", F.monotonically_increasing_id()), "scores")
-    # what moves is narrow: counts and single-precision shares; logarithms of counts are taken after the last shuffle
-    a = F.when(F.col("held_out"), 0.0).otherwise(1 - m.discount)
-    zipped = lambda *names: rows.select("row", "held_out", F.explode(F.arrays_zip(*names)).alias("x")).select("row", "held_out", "x.*")
-    context = m.words.select(F.col("h").alias("u"), "B", "D")
-    parent = m.words.select(F.col("h").alias("w"), F.col("c").alias("n"), "P")
-    none = F.lit(None).cast("float")
-    asked = zipped("cell_u", "cell_w").withColumnsRenamed({"cell_u": "u", "cell_w": "w"}).join(m.cells.select("u", "w", F.col("said").cast("float").alias("said")), ["u", "w"], "left")
-    # written once, as two ways lead on from here; what was found needs no words any more
-    still = lambda c: F.when(F.col("said").isNull(), F.col(c)).alias(c)
-    asked = stage(asked.select("row", "held_out", still("u"), still("w"), "said"), "asked")
-    unstage(docs.sparkSession, m.cells)
-    release(docs.sparkSession)
-    # words to look up: of tokens whose cell is known otherwise (b is no number), with a context's share, or with a context to look up as well
-    ask = asked.where("said is null").select("row", "held_out", "w", "u", none.alias("b"), F.lit(False).alias("counts"))
-    ask = ask.unionByName(zipped("rare_w", "rare_b").select("row", "held_out", F.col("rare_w").alias("w"), F.lit(None).cast("long").alias("u"), F.col("rare_b").alias("b"), F.lit(True).alias("counts")))
-    ask = ask.unionByName(zipped("pair_u", "pair_w").select("row", "held_out", F.col("pair_w").alias("w"), F.col("pair_u").alias("u"), none.alias("b"), F.lit(True).alias("counts")))
-    met = ask.join(parent, "w", "left").select("row", "held_out", "u", "b", F.when(F.col("counts"), F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("P", F.lit(m.unknown)).alias("p"))
-    done = met.where("u is null").select("row", "n", F.when(F.isnan("b"), 0.0).otherwise(F.log10(a + F.col("b") * F.col("p"))).cast("float").alias("s"))
-    no_count = F.lit(None).cast("long").alias("n")
-    open_ = met.where("u is not null").select("row", "held_out", "u", "p", "n").unionByName(
-        zipped("rare_u", "rare_p").select("row", "held_out", F.col("rare_u").alias("u"), F.col("rare_p").cast("double").alias("p"), no_count)
-    )
-    # a context without a restaurant hands everything to the parent
-    last = open_.join(context, "u", "left").select("row", "n", F.log10(F.when(F.col("D").isNull(), F.col("p")).otherwise((a + F.col("B") * F.col("p")) / F.col("D"))).cast("float").alias("s"))
-    found = asked.where("said is not null").select("row", no_count, F.col("said").cast("float").alias("s"))
-    sums = {"k": F.count_if(F.col("n") > 0), "base": F.sum(F.log10((F.col("n") + 1) / float(m.tokens + m.types + 1))), "s": F.sum(F.col("s").cast("double"))}
-    more = found.unionByName(done).unionByName(last).repartition("row").groupBy("row").agg(*[f.alias(f"more_{c}") for c, f in sums.items()])
-    plus = lambda name, extra: F.col(name) + F.coalesce(extra, F.lit(0))
-    return rows.join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", plus("n_known", "more_k").alias("n_known"), F.lit(m.tokens).cast("long").alias("train_tokens"),
-        F.round(plus("base_score", "more_base"), 9).alias("base_score"), F.round(plus("score", "more_s"), 9).alias("score"),
+    m = Model(docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id").cast("long")).alias("held_out"), "text"))
+    return m.scores().select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(m.tokens).cast("long").alias("train_tokens"), F.round("base_score", 9).alias("base_score"), F.round("score", 9).alias("score")
     )
 
 
